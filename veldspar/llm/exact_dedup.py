@@ -46,6 +46,7 @@ def seen_state(sightings: DataFrame, path: str) -> DataFrame:
         prefix + "rocksdb.boundedMemoryUsage": "true",
         prefix + "rocksdb.maxMemoryUsageMB": "256",
         prefix + "rocksdb.writeBufferSizeMB": "8",
+        prefix + "rocksdb.allowFAllocate": "false",  # else each partition's store reserves 4 MB of disk
     }.items():
         session.conf.set(key, value)
     out = scratch(spark, "dedup-state")
