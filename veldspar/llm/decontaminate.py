@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel
-from .common import materialise
+from .common import materialise, ready
 
 WINDOW = 13
 K = 7
@@ -195,7 +195,7 @@ def decontaminate(docs: DataFrame, bench: DataFrame, *, block_bytes: int = BLOCK
 
 
 def _judged(docs: DataFrame, bench: DataFrame, block_bytes: int, at: int, *, keep: bool) -> DataFrame:
-    spark = docs.sparkSession
+    spark = ready(docs.sparkSession)
     blocks = [spark.sparkContext.broadcast(x) for x in _blocks(bench, block_bytes)]
     schema = docs.schema if keep else f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {COLUMNS}"
     names = docs.columns if keep else ["doc_id", *[x.split()[0] for x in COLUMNS.split(", ")]]

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel
-from .common import split_of
+from .common import ready, split_of
 
 SAMPLE_DOCS = 64
 SAMPLE_BYTES = 20_000
@@ -160,7 +160,7 @@ def learn(docs: DataFrame) -> Parsers:
 
 def identify(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred, score: one row per row of docs."""
-    model = docs.sparkSession.sparkContext.broadcast(learn(docs))
+    model = ready(docs.sparkSession).sparkContext.broadcast(learn(docs))
     rows = docs.select(
         "doc_id",
         (split_of(F.col("doc_id"), FOLDS) == HELD_OUT).alias("held_out"),

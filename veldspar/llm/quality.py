@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel
-from .common import split_of
+from .common import ready, split_of
 
 BITS = 18
 MAX_SAMPLE = 6000
@@ -110,7 +110,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, max_sample: int = MAX_SAMPLE, bit
 def classify(docs: DataFrame, labels: DataFrame, *, max_sample: int = MAX_SAMPLE) -> DataFrame:
     """doc_id, held_out, score, predicted: one row per row of docs."""
     weights, bias = fit(docs, labels, max_sample=max_sample)
-    model = docs.sparkSession.sparkContext.broadcast((weights.astype(np.float32), bias))
+    model = ready(docs.sparkSession).sparkContext.broadcast((weights.astype(np.float32), bias))
     rows = docs.select("doc_id", (split_of(F.col("doc_id"), FOLDS) == HELD_OUT).alias("held_out"), F.col("text").cast("string").alias("text"))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,7 +127,7 @@ def classify(docs: DataFrame, labels: DataFrame, *, max_sample: int = MAX_SAMPLE
 def filter_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs whose text is predicted to be good, with all their columns, in one pass over the texts."""
     weights, bias = fit(docs, labels)
-    model = docs.sparkSession.sparkContext.broadcast((weights.astype(np.float32), bias))
+    model = ready(docs.sparkSession).sparkContext.broadcast((weights.astype(np.float32), bias))
     at = docs.columns.index("text")
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
