@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, language, line_dedup, mixing, quality, substring
+from . import decontaminate, exact_dedup, language, lattice, line_dedup, mixing, quality, substring
 from .common import table
 
 
@@ -26,6 +26,10 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("items")
 
 
+def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.score_texts(table(spark, sf_dir, "documents"))
+
+
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents"))
 
@@ -40,7 +44,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_substring_dedup, op2_exact_dedup, op5_quality, op6_decontaminate, op8_language, op9_mix_sources, op10_line_dedup)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_exact_dedup, op5_quality, op6_decontaminate, op7_lm_score, op8_language, op9_mix_sources, op10_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
