@@ -25,13 +25,13 @@ from .common import materialise, scratch, shuffle_partitions, text_or_empty
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def _located(docs: DataFrame) -> DataFrame:
+def _located(docs: DataFrame, columns: list[str]) -> DataFrame:
     """docs with a locator: of the files it is read from, else of a copy in the shared folder."""
     try:
         docs.select("_metadata.row_index").schema  # noqa: B018  analysed here
         return docs
     except AnalysisException:
-        return materialise(docs.select("doc_id", "text"), "dedup-texts")
+        return materialise(docs.select(*columns), "dedup-texts")
 
 
 def seen_state(sightings: DataFrame, path: str) -> DataFrame:
@@ -75,7 +75,7 @@ def exact_dedup(docs: DataFrame, *, digest_bytes: int = 32) -> DataFrame:
     digest_bytes below 32 shortens the digest, so that tests reach the comparison of full texts.
     """
     spark = docs.sparkSession
-    docs = _located(docs)
+    docs = _located(docs, ["doc_id", "text"])
     sha = F.sha2(text_or_empty(F.col("text")).cast("binary"), 256)
     digest = F.unhex(F.substring(sha, 1, 2 * digest_bytes))
     at = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")]
@@ -118,6 +118,14 @@ def exact_dedup(docs: DataFrame, *, digest_bytes: int = 32) -> DataFrame:
     )
 
 
+def keep_one(docs: DataFrame) -> DataFrame:
+    """The rows of docs that stay, with all their columns."""
+    docs = _located(docs, docs.columns)
+    gone = exact_dedup(docs).filter("NOT kept").select(F.col("file").alias("_file"), F.col("row").alias("_row"))
+    at = (F.col("_metadata.file_path") == F.col("_file")) & (F.col("_metadata.row_index") == F.col("_row"))
+    return docs.join(gone.hint("shuffle_hash"), at, "left_anti")
+
+
 ORACLE_SQL = """
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
 FROM {docs} WINDOW w AS (PARTITION BY coalesce(text, ''))
