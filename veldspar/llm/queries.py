@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, language, lattice, line_dedup, minhash, mixing, quality, substring
+from . import decontaminate, exact_dedup, html_extract, language, lattice, line_dedup, minhash, mixing, quality, substring
 from .common import table
 
 
@@ -22,6 +22,10 @@ def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, similarity=85)
 
 
+def op4_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract_text(table(spark, sf_dir, "pages"))
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -48,7 +52,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_substring_dedup, op2_exact_dedup, op3_minhash, op5_quality, op6_decontaminate, op7_lm_score, op8_language, op9_mix_sources, op10_line_dedup)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_exact_dedup, op3_minhash, op4_html_extract, op5_quality, op6_decontaminate, op7_lm_score, op8_language, op9_mix_sources, op10_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
