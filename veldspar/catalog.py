@@ -1,11 +1,854 @@
-"""Registry of the engine's queries and their SQL."""
+"""The engine's queries over the driver's tables, and the SQL that each must equal."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from . import workload as W
+from .functions import predicates as P
+from .functions import vectors as V
+from .operators import clusters as C
+from .operators import evaluate as E
+from .operators import graph as G
+from .operators import grid as R
+from .operators import search as Q
+from .operators.ranking import top_k, with_rank
+from .plans import selection as S
+from .storage import materialise, scratch
+
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f: Callable[[SparkSession, str], DataFrame]):
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+# ---- fixtures -------------------------------------------------------------------------------------------------
+
+K = 10
+N_QUERIES = 20
+SHAPE = [4, 4]
+DEGREE = 8
+
+
+def points(spark: SparkSession, sf: str) -> DataFrame:
+    """Embeddings as points with four attributes."""
+    e = spark.read.parquet(f"{sf}/embeddings.parquet")
+    i = F.col("vec_id")
+    return e.select(i.alias("id"), F.col("embedding").alias("vec"), F.col("label").cast("long").alias("a0"), (i * 7919 % 1000).alias("a1"), (i * 104729 % 97).alias("a2"), i.alias("a3"))
+
+
+def asked(spark: SparkSession, sf: str, *, kind: str = "plain") -> DataFrame:
+    """The first embeddings as queries: plain boxes, narrow ones, open ones, or all three by turns."""
+    e = spark.read.parquet(f"{sf}/embeddings.parquet").filter(F.col("vec_id") < N_QUERIES)
+    i = F.col("vec_id")
+    turn = {"plain": F.lit(0), "narrow": F.lit(1), "open": F.lit(2), "mixed": i % 3}[kind]
+    l0 = F.when(turn == 2, F.lit(-1)).otherwise(F.col("label") - 2)
+    r0 = F.when(turn == 2, F.lit(99)).otherwise(F.col("label") + 2)
+    l1 = F.when(turn == 0, F.lit(100)).when(turn == 1, i * 37 % 900).otherwise(F.lit(0))
+    r1 = F.when(turn == 0, F.lit(700)).when(turn == 1, i * 37 % 900 + 20).otherwise(F.lit(1000))
+    return e.select(i.alias("qid"), F.col("embedding").alias("qvec"), *[c.cast("long").alias(n) for n, c in (("l0", l0), ("r0", r0), ("l1", l1), ("r1", r1))])
+
+
+PTS = "pts AS (SELECT vec_id AS id, embedding AS vec, CAST(label AS BIGINT) AS a0, vec_id * 7919 % 1000 AS a1, vec_id * 104729 % 97 AS a2, vec_id AS a3 FROM embeddings)"
+
+
+def qry(kind: str = "plain") -> str:
+    turn = {"plain": "0", "narrow": "1", "open": "2", "mixed": "vec_id % 3"}[kind]
+    return f"""qry AS (SELECT vec_id AS qid, embedding AS qvec,
+  CAST(CASE WHEN {turn} = 2 THEN -1 ELSE label - 2 END AS BIGINT) AS l0, CAST(CASE WHEN {turn} = 2 THEN 99 ELSE label + 2 END AS BIGINT) AS r0,
+  CAST(CASE WHEN {turn} = 0 THEN 100 WHEN {turn} = 1 THEN vec_id * 37 % 900 ELSE 0 END AS BIGINT) AS l1,
+  CAST(CASE WHEN {turn} = 0 THEN 700 WHEN {turn} = 1 THEN vec_id * 37 % 900 + 20 ELSE 1000 END AS BIGINT) AS r1
+  FROM embeddings WHERE vec_id < {N_QUERIES})"""
+
+
+def d2(a: str, b: str) -> str:
+    return f"list_sum(list_transform(generate_series(1, len({a})), lambda i: (CAST({a}[i] AS DOUBLE) - CAST({b}[i] AS DOUBLE)) * (CAST({a}[i] AS DOUBLE) - CAST({b}[i] AS DOUBLE))))"
+
+
+AND = "a0 BETWEEN l0 AND r0 AND a1 BETWEEN l1 AND r1"
+OR = "(a0 BETWEEN l0 AND r0 OR a1 BETWEEN l1 AND r1)"
+
+
+def knn_sql(condition: str = AND, kind: str = "plain", k: int = K) -> str:
+    return f"""WITH {PTS}, {qry(kind)},
+s AS (SELECT qid, id, {d2("vec", "qvec")} AS dist FROM pts JOIN qry ON {condition}),
+r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY dist, id) AS rank FROM s)
+SELECT qid, rank, id, round(dist, 6) AS dist FROM r WHERE rank <= {k}"""
+
+
+def rounded(df: DataFrame, *names: str) -> DataFrame:
+    for n in names or ("dist",):
+        df = df.withColumn(n, F.round(n, 6))
+    return df
+
+
+def gridded(spark: SparkSession, sf: str) -> DataFrame:
+    return materialise(R.equi_depth(points(spark, sf), SHAPE), "grid")
+
+
+def depth(attribute: str, s: int, table: str = "pts") -> str:
+    return f"least(CAST(floor((row_number() OVER (ORDER BY {attribute}, id) - 1) / ceil((SELECT count(*) FROM {table}) / {float(s)})) AS BIGINT), {s - 1})"
+
+
+GRID = f"g AS (SELECT *, b0 * {SHAPE[1]} + b1 AS cell_id FROM (SELECT *, {depth('a0', SHAPE[0])} AS b0, {depth('a1', SHAPE[1])} AS b1 FROM pts))"
+CELLS = """bd0 AS (SELECT b0, min(a0) AS lo0, max(a0) AS hi0 FROM g GROUP BY b0), bd1 AS (SELECT b1, min(a1) AS lo1, max(a1) AS hi1 FROM g GROUP BY b1),
+cells AS (SELECT cell_id, b0, b1, n, lo0, hi0, lo1, hi1 FROM (SELECT cell_id, b0, b1, count(*) AS n FROM g GROUP BY ALL) JOIN bd0 USING (b0) JOIN bd1 USING (b1))"""
+MEETS = "hi0 >= l0 AND lo0 <= r0 AND hi1 >= l1 AND lo1 <= r1"
+
+
+def chosen_sql(kind: str = "plain") -> str:
+    return f"{PTS}, {qry(kind)}, {GRID}, {CELLS}, qc AS (SELECT qid, cell_id FROM qry JOIN cells ON {MEETS})"
+
+
+class Plan:
+    """Grid, cells, clusters and graphs over the points of one folder."""
+
+    def __init__(self, spark: SparkSession, sf: str, kind: str = "plain"):
+        self.grid = gridded(spark, sf)
+        self.queries = asked(spark, sf, kind=kind)
+        self.cells = materialise(R.cell_boxes(self.grid, 2), "cells")
+        self.chosen = S.query_cells(self.queries, self.cells, 2)
+
+    def clusters(self) -> tuple[DataFrame, DataFrame]:
+        """One step of Lloyd's from the points of ids below 16."""
+        seeds = self.grid.filter("id < 16").select(F.col("id").alias("cid"), F.col("vec").cast("array<double>").alias("vec"))
+        labels = materialise(C.assign(self.grid, seeds), "labels")
+        return labels, materialise(C.means(self.grid, labels), "centroids")
+
+    def order(self) -> DataFrame:
+        labels, centres = self.clusters()
+        return materialise(S.visit_order(self.chosen, C.nearest(self.queries, centres), C.cluster_cells(self.grid, labels)), "order")
+
+    def graphs(self) -> tuple[DataFrame, DataFrame]:
+        return materialise(G.cell_graph(self.grid, DEGREE), "edges"), materialise(G.cross_edges(self.grid, 2), "cross")
+
+
+SEEDS = "seeds AS (SELECT id AS cid, vec AS cv FROM pts WHERE id < 16)"
+LABELS = f"{SEEDS}, lab AS (SELECT id, cid FROM (SELECT id, cid, row_number() OVER (PARTITION BY id ORDER BY {d2('vec', 'cv')}, cid) AS rn FROM pts, seeds) WHERE rn = 1)"
+CENTROIDS = f"""{LABELS}, cl AS (SELECT cid, dim, avg(CAST(x AS DOUBLE)) AS x FROM (SELECT cid, unnest(vec) AS x, generate_subscripts(vec, 1) AS dim FROM pts JOIN lab USING (id)) GROUP BY cid, dim),
+cents AS (SELECT cid, list(x ORDER BY dim) AS cv FROM cl GROUP BY cid)"""
+NEAREST = f"nr AS (SELECT qid, cid, dist, rank FROM (SELECT qid, cid, {d2('qvec', 'cv')} AS dist, row_number() OVER (PARTITION BY qid ORDER BY {d2('qvec', 'cv')}, cid) AS rank FROM qry, cents) WHERE rank <= 4)"
+CELL_GRAPH = f"""e AS (SELECT cell_id, src, rank, dst FROM (SELECT a.cell_id, a.id AS src, b.id AS dst,
+  row_number() OVER (PARTITION BY a.id ORDER BY {d2('a.vec', 'b.vec')}, b.id) AS rank FROM g a JOIN g b ON a.cell_id = b.cell_id AND a.id <> b.id) WHERE rank <= {DEGREE})"""
+CROSS = f"""x AS (SELECT src, dst_cell, rank, dst FROM (SELECT a.id AS src, b.cell_id AS dst_cell, b.id AS dst,
+  row_number() OVER (PARTITION BY a.id, b.cell_id ORDER BY {d2('a.vec', 'b.vec')}, b.id) AS rank FROM g a JOIN g b ON a.id <> b.id) WHERE rank <= 2)"""
+
+# ---- exact search ---------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {PTS}, {qry()} SELECT id, round({d2('vec', 'qvec')}, 6) AS dist FROM pts JOIN qry ON qid = 0 AND {AND} ORDER BY {d2('vec', 'qvec')}, id LIMIT {K}")
+def exact_knn_single(spark, sf):
+    q = asked(spark, sf).filter("qid = 0").first()
+    near = Q.one(points(spark, sf), F.array(*[F.lit(float(x)) for x in q["qvec"]]), F.col("a0").between(q["l0"], q["r0"]) & F.col("a1").between(q["l1"], q["r1"]), K)
+    return rounded(near)
+
+
+@query(knn_sql("true"))
+def exact_knn_unfiltered(spark, sf):
+    return rounded(Q.exact(points(spark, sf), asked(spark, sf), 0, K))
+
+
+@query(knn_sql())
+def exact_knn_filtered(spark, sf):
+    return rounded(Q.exact(points(spark, sf), asked(spark, sf), 2, K))
+
+
+@query(knn_sql(OR))
+def exact_knn_filtered_or(spark, sf):
+    return rounded(Q.exact(points(spark, sf), asked(spark, sf), 2, K, any_=True))
+
+
+@query(knn_sql())
+def exact_knn_with_dist(spark, sf):
+    return rounded(Q.exact_blocks(points(spark, sf), asked(spark, sf), 2, K))
+
+
+@query(knn_sql(OR, "mixed"))
+def exact_knn_blocks_or(spark, sf):
+    return rounded(Q.exact_blocks(points(spark, sf), asked(spark, sf, kind="mixed"), 2, K, any_=True, block=7))
+
+
+@query(knn_sql(kind="narrow"))
+def exact_knn_narrow(spark, sf):
+    return rounded(Q.exact(points(spark, sf), asked(spark, sf, kind="narrow"), 2, K))
+
+
+@query(knn_sql())
+def exact_knn_chunk_merged(spark, sf):
+    return rounded(Q.chunk_merged(points(spark, sf), asked(spark, sf), 2, K, 4))
+
+
+LI = "row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate, l_quantity, l_extendedprice)"
+LI_SQL = f"""li AS (SELECT {LI} - 1 AS id, [l_quantity / 50, l_extendedprice / 1e5::DOUBLE, l_discount * 10, l_tax * 10] AS vec,
+  CAST(date_diff('day', DATE '1995-01-01', CAST(l_shipdate AS DATE)) AS BIGINT) AS a0, CAST(l_partkey AS BIGINT) AS a1, CAST(l_suppkey AS BIGINT) AS a2 FROM lineitem)"""
+
+
+def line_points(spark: SparkSession, sf: str) -> DataFrame:
+    keys = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_quantity", "l_extendedprice"]
+    t = spark.read.parquet(f"{sf}/lineitem.parquet").select(*keys, "l_discount", "l_tax")
+    vec = F.array(F.col("l_quantity") / 50, F.col("l_extendedprice") / F.lit(1e5), F.col("l_discount") * 10, F.col("l_tax") * 10)
+    day = F.datediff(F.to_date("l_shipdate"), F.lit("1995-01-01").cast("date")).cast("long")
+    return with_rank(t, keys, "id").select("id", vec.alias("vec"), day.alias("a0"), F.col("l_partkey").cast("long").alias("a1"), F.col("l_suppkey").cast("long").alias("a2"))
+
+
+LINE_QUERIES = f"lq AS (SELECT id AS qid, vec AS qvec, a0 - 200 AS l0, a0 + 200 AS r0, id % 50 AS l1, id % 50 + 2000 AS r1 FROM li WHERE id % 500 = 0 AND id < 20000)"
+
+
+@query(f"""WITH {LI_SQL}, {LINE_QUERIES}, s AS (SELECT qid, id, {d2("vec", "qvec")} AS dist FROM li JOIN lq ON {AND}),
+r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY dist, id) AS rank FROM s) SELECT qid, rank, round(dist, 6) AS dist FROM r WHERE rank <= {K}""")
+def lineitem_knn(spark, sf):
+    p = materialise(line_points(spark, sf), "lines")
+    q = p.filter("id % 500 = 0 AND id < 20000").select(F.col("id").alias("qid"), F.col("vec").alias("qvec"), (F.col("a0") - 200).alias("l0"), (F.col("a0") + 200).alias("r0"), (F.col("id") % 50).alias("l1"), (F.col("id") % 50 + 2000).alias("r1"))
+    return rounded(Q.exact_blocks(p, q, 2, K)).select("qid", "rank", "dist")
+
+
+# ---- vectors --------------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {PTS}, {qry()}, {CENTROIDS} SELECT qid, cid, round({d2('qvec', 'cv')}, 6) AS dist FROM qry, cents")
+def l2_matrix_centroids(spark, sf):
+    plan = Plan(spark, sf)
+    _, centres = plan.clusters()
+    return rounded(plan.queries.crossJoin(F.broadcast(centres)).select("qid", "cid", V.l2_squared("qvec", "vec").alias("dist")))
+
+
+@query(f"WITH {PTS}, {qry()} SELECT qid, id, round({d2('vec', 'qvec')}, 6) AS dist FROM pts, qry WHERE id < 100")
+def l2_norm_identity(spark, sf):
+    both = points(spark, sf).filter("id < 100").crossJoin(F.broadcast(asked(spark, sf)))
+    return rounded(both.select("qid", "id", V.l2_squared_by_norms("vec", "qvec").alias("dist")))
+
+
+@query(f"WITH {PTS} SELECT id, round(list_sum(list_transform(vec, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE))), 6) AS norm FROM pts")
+def vector_norms(spark, sf):
+    return rounded(points(spark, sf).select("id", V.norm_squared("vec").alias("norm")), "norm")
+
+
+@query(f"WITH {PTS}, {qry()} SELECT qid, id, round(sqrt({d2('vec', 'qvec')}), 6) AS dist FROM pts, qry WHERE id < 50")
+def euclidean_distance(spark, sf):
+    both = points(spark, sf).filter("id < 50").crossJoin(F.broadcast(asked(spark, sf)))
+    return rounded(both.select("qid", "id", V.l2("vec", "qvec").alias("dist")))
+
+
+@query(f"WITH {PTS} SELECT id, dim - 1 AS dim, round(CAST(x AS DOUBLE) * 10.0::DOUBLE, 6) AS value FROM (SELECT id, unnest(vec) AS x, generate_subscripts(vec, 1) AS dim FROM pts)")
+def vector_scale(spark, sf):
+    long = points(spark, sf).select("id", F.posexplode(V.scaled("vec", 10.0)).alias("dim", "value"))
+    return rounded(long.select("id", F.col("dim").cast("long"), "value"), "value")
+
+
+@query(f"WITH {PTS} SELECT id, dim - 1 AS dim, round(floor(abs(CAST(x AS DOUBLE)) * 200) / 100.0::DOUBLE, 6) AS value FROM (SELECT id, unnest(vec) AS x, generate_subscripts(vec, 1) AS dim FROM pts)")
+def vector_from_u8(spark, sf):
+    u8 = points(spark, sf).select("id", F.transform("vec", lambda x: F.floor(F.abs(x.cast("double")) * 200).cast("smallint")).alias("u8"))
+    long = u8.select("id", F.posexplode(V.from_unsigned_bytes("u8")).alias("dim", "value"))
+    return rounded(long.select("id", F.col("dim").cast("long"), "value"), "value")
+
+
+@query(f"WITH {PTS} SELECT dim - 1 AS dim, count(*) AS n, round(sum(CAST(x AS DOUBLE)), 6) AS total FROM (SELECT unnest(vec) AS x, generate_subscripts(vec, 1) AS dim FROM pts) GROUP BY dim")
+def vector_transpose(spark, sf):
+    return rounded(V.transposed(points(spark, sf)).groupBy("dim").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")), "total")
+
+
+PARAMS = """pr AS (SELECT dim - 1 AS dim, (hi - lo) / 255.0::DOUBLE AS scale, lo FROM (SELECT dim, min(CAST(x AS DOUBLE)) AS lo, max(CAST(x AS DOUBLE)) AS hi FROM ex GROUP BY dim)),
+qp AS (SELECT dim, scale, CASE WHEN scale > 0 THEN CAST(greatest(-128, least(127, round(-128.0::DOUBLE - lo / scale))) AS BIGINT) ELSE 0 END AS zp FROM pr)"""
+EX = "ex AS (SELECT id, unnest(vec) AS x, generate_subscripts(vec, 1) AS dim FROM pts)"
+
+
+def codes_sql(rounding: str = "round") -> str:
+    return f"qc AS (SELECT id, qp.dim, CAST(greatest(-128, least(127, {rounding}(CAST(x AS DOUBLE) / scale) + zp)) AS BIGINT) AS code, scale, zp, CAST(x AS DOUBLE) AS x FROM ex JOIN qp ON ex.dim - 1 = qp.dim)"
+
+
+@query(f"WITH {PTS}, {EX}, {PARAMS} SELECT dim, round(scale, 9) AS scale, zp FROM qp")
+def quant_params(spark, sf):
+    return V.quantisation(points(spark, sf)).withColumn("scale", F.round("scale", 9))
+
+
+def _codes(spark, sf, **how) -> tuple[DataFrame, DataFrame, DataFrame]:
+    p = points(spark, sf)
+    params = materialise(V.quantisation(p), "quant")
+    return p, params, V.quantised(p, params, **how)
+
+
+def _code_rows(coded: DataFrame) -> DataFrame:
+    return coded.select("id", F.posexplode("codes").alias("dim", "code")).select("id", F.col("dim").cast("long"), F.col("code").cast("long"))
+
+
+@query(f"WITH {PTS}, {EX}, {PARAMS}, {codes_sql()} SELECT id, dim, code FROM qc")
+def quant_codes(spark, sf):
+    return _code_rows(_codes(spark, sf)[2])
+
+
+@query(f"WITH {PTS}, {EX}, {PARAMS}, {codes_sql('round_even')} SELECT id, dim, code FROM qc".replace("round_even(CAST(x AS DOUBLE) / scale)", "round_even(CAST(x AS DOUBLE) / scale, 0)"))
+def quant_halfeven(spark, sf):
+    return _code_rows(_codes(spark, sf, half_even=True)[2])
+
+
+@query(f"WITH {PTS}, {EX}, {PARAMS}, {codes_sql()} SELECT dim, round(avg(abs(scale * (code - zp) - x)), 6) AS mean_error, round(max(abs(scale * (code - zp) - x)), 6) AS max_error FROM qc GROUP BY dim")
+def dequant_error(spark, sf):
+    _, params, coded = _codes(spark, sf)
+    gap = F.zip_with("approx", "vec", lambda a, x: F.abs(a - x.cast("double")))
+    long = V.dequantised(coded, params).select(F.posexplode(gap).alias("dim", "gap"))
+    return rounded(long.groupBy(F.col("dim").cast("long").alias("dim")).agg(F.avg("gap").alias("mean_error"), F.max("gap").alias("max_error")), "mean_error", "max_error")
+
+
+@query(knn_sql("true"))
+def rerank_from_int8(spark, sf):
+    p = points(spark, sf)
+    params = materialise(V.quantisation(p, clamp=False), "quant")
+    return rounded(Q.from_codes(V.quantised(p, params), p, params, asked(spark, sf), K, 60))
+
+
+# ---- grids ----------------------------------------------------------------------------------------------------
+
+
+@query(f"""WITH {PTS}, m AS (SELECT CAST(min(a0) AS DOUBLE) AS lo0, CAST(max(a0) AS DOUBLE) AS hi0, CAST(min(a1) AS DOUBLE) AS lo1, CAST(max(a1) AS DOUBLE) AS hi1 FROM pts),
+w AS (SELECT id, CAST(least(floor((a0 - lo0) / ((hi0 - lo0) / 4.0::DOUBLE)), 3) AS BIGINT) AS b0, CAST(least(floor((a1 - lo1) / ((hi1 - lo1) / 4.0::DOUBLE)), 3) AS BIGINT) AS b1 FROM pts, m)
+SELECT id, b0, b1, b0 * 4 + b1 AS cell_id FROM w""")
+def grid_equiwidth(spark, sf):
+    return R.equi_width(points(spark, sf), SHAPE).select("id", "b0", "b1", "cell_id")
+
+
+@query(f"WITH {PTS}, m AS (SELECT min(id) AS lo, max(id) AS hi FROM pts) SELECT id, least(CAST(floor((id - lo) / greatest(1, (hi - lo + 1) // 7)) AS BIGINT), 6) AS cell_id FROM pts, m")
+def grid_id_range(spark, sf):
+    return R.by_id_range(points(spark, sf), 7).select("id", "cell_id")
+
+
+@query(f"WITH {PTS}, {GRID} SELECT id, b0, b1, cell_id FROM g")
+def grid_equidepth(spark, sf):
+    return gridded(spark, sf).select("id", "b0", "b1", "cell_id")
+
+
+@query(f"WITH {PTS}, {GRID} SELECT CAST(0 AS BIGINT) AS dim, b0 AS bucket, min(a0) AS lo, max(a0) AS hi FROM g GROUP BY b0 UNION ALL SELECT CAST(1 AS BIGINT), b1, min(a1), max(a1) FROM g GROUP BY b1")
+def grid_bounds(spark, sf):
+    return R.bounds(gridded(spark, sf), 2)
+
+
+@query(f"WITH {LI_SQL}, g AS (SELECT id, {depth('a0', 8, 'li')} AS b0 FROM li) SELECT b0, count(*) AS n, sum(id) AS ids FROM g GROUP BY b0".replace("sum(id)", "CAST(sum(id) AS BIGINT)"))
+def lineitem_grid(spark, sf):
+    g = R.equi_depth(materialise(line_points(spark, sf), "lines"), [8])
+    return g.groupBy("b0").agg(F.count(F.lit(1)).alias("n"), F.sum("id").alias("ids"))
+
+
+@query(f"""WITH o AS (SELECT o_orderkey AS id, o_totalprice AS a0, CAST(o_custkey AS BIGINT) AS a1, row_number() OVER (ORDER BY o_totalprice, o_orderkey) - 1 AS r0, row_number() OVER (ORDER BY o_custkey, o_orderkey) - 1 AS r1,
+  ceil(count(*) OVER () / 4.0::DOUBLE) AS w FROM orders) SELECT cell_id, count(*) AS n FROM (SELECT least(CAST(floor(r0 / w) AS BIGINT), 3) * 4 + least(CAST(floor(r1 / w) AS BIGINT), 3) AS cell_id FROM o) GROUP BY cell_id""")
+def orders_grid(spark, sf):
+    o = spark.read.parquet(f"{sf}/orders.parquet").select(F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("a0"), F.col("o_custkey").cast("long").alias("a1"))
+    return R.histogram(R.equi_depth(o, [4, 4]))
+
+
+@query()
+def grid_tieaware(spark, sf):
+    return R.tie_aware(points(spark, sf), 4).select("id", "a0", "bucket")
+
+
+@query(f"""WITH {PTS}, r AS (SELECT a0 AS value, count(*) AS n FROM pts GROUP BY a0) SELECT value, n, CAST(coalesce(sum(n) OVER (ORDER BY value ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS first FROM r""")
+def run_lengths(spark, sf):
+    return R.run_lengths(points(spark, sf))
+
+
+@query(f"WITH {PTS} SELECT count(DISTINCT a0) >= 4 AS enough, CAST(0 AS BIGINT) AS split_values, CAST(count(*) AS BIGINT) AS points FROM pts")
+def grid_dp_split(spark, sf):
+    """The splitter's promises: every point in a bucket, as many buckets as asked for, no value in two."""
+    s = R.dp_split(points(spark, sf), 4)
+    per = s.groupBy("a0").agg(F.countDistinct("bucket").alias("b"))
+    split = per.agg(F.coalesce(F.sum((F.col("b") > 1).cast("long")), F.lit(0)).alias("split_values"))
+    return s.agg((F.countDistinct("bucket") == 4).alias("enough"), F.count(F.lit(1)).alias("points")).crossJoin(split).select("enough", "split_values", "points")
+
+
+@query(f"WITH {PTS}, {GRID} SELECT cell_id, count(*) AS n FROM g GROUP BY cell_id")
+def cell_histogram(spark, sf):
+    return R.histogram(gridded(spark, sf))
+
+
+@query(f"WITH {PTS}, {GRID}, s AS (SELECT cell_id, count(*) AS n FROM g GROUP BY cell_id) SELECT count(*) AS parts, min(n) AS least, max(n) AS most, max(n) - min(n) AS difference, round(stddev_pop(n), 6) AS spread FROM s")
+def partition_balance(spark, sf):
+    return R.balance(gridded(spark, sf), bucket="cell_id")
+
+
+@query(f"WITH {PTS}, {GRID} SELECT cell_id AS bucket, count(*) AS n, min(a0) AS lo, max(a0) AS hi FROM g GROUP BY cell_id")
+def partition_ranges(spark, sf):
+    return R.part_ranges(gridded(spark, sf), bucket="cell_id")
+
+
+@query("SELECT CAST(16 AS BIGINT) AS cells")
+def grid_cell_count(spark, sf):
+    return R.cell_count(spark, SHAPE)
+
+
+@query(f"WITH {PTS}, {GRID} SELECT id, cell_id, row_number() OVER (PARTITION BY cell_id ORDER BY id) - 1 AS local_id FROM g")
+def local_ids(spark, sf):
+    return R.local_ids(gridded(spark, sf))
+
+
+@query(f"WITH {PTS}, {GRID}, s AS (SELECT cell_id, count(*) AS n FROM g GROUP BY cell_id) SELECT cell_id, n, CAST(coalesce(sum(n) OVER (ORDER BY cell_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM s")
+def cell_offsets(spark, sf):
+    return R.offsets(gridded(spark, sf))
+
+
+@query(f"WITH {PTS} SELECT id, CASE WHEN a1 < 250 THEN 0 WHEN a1 < 500 THEN 1 WHEN a1 < 750 THEN 2 ELSE 3 END::BIGINT AS place FROM pts")
+def bucket_of_value(spark, sf):
+    return points(spark, sf).select("id", V.upper_bound(F.array(*[F.lit(x) for x in (0, 250, 500, 750)]), F.col("a1")).alias("place"))
+
+
+# ---- planning -------------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {chosen_sql()} SELECT qid, cell_id FROM qc")
+def query_cells(spark, sf):
+    return Plan(spark, sf).chosen
+
+
+@query(f"WITH {chosen_sql()} SELECT qid, cell_id FROM qry JOIN cells ON (hi0 >= l0 AND lo0 <= r0) OR (hi1 >= l1 AND lo1 <= r1)")
+def query_cells_or(spark, sf):
+    plan = Plan(spark, sf)
+    return S.query_cells(plan.queries, plan.cells, 2, any_=True)
+
+
+@query(f"""WITH {PTS}, {qry()}, m AS (SELECT min(a0) AS lo0, max(a0) AS hi0, min(a1) AS lo1, max(a1) AS hi1 FROM pts),
+k AS (SELECT b0, b1 FROM range(4) t0(b0), range(4) t1(b1)),
+w AS (SELECT *, (hi0 - lo0) / 4.0::DOUBLE AS w0, (hi1 - lo1) / 4.0::DOUBLE AS w1 FROM m)
+SELECT qid, b0 * 4 + b1 AS cell_id FROM qry, w, k WHERE l0 <= hi0 AND r0 >= lo0 AND l1 <= hi1 AND r1 >= lo1
+ AND b0 BETWEEN greatest(0, least(floor((l0 - lo0) / w0), 3)) AND greatest(0, least(floor((r0 - lo0) / w0), 3))
+ AND b1 BETWEEN greatest(0, least(floor((l1 - lo1) / w1), 3)) AND greatest(0, least(floor((r1 - lo1) / w1), 3))""")
+def query_cells_uniform(spark, sf):
+    p = points(spark, sf)
+    edges = p.agg(*[f(f"a{j}").cast("double").alias(f"{n}{j}") for j in (0, 1) for n, f in (("lo", F.min), ("hi", F.max))])
+    return S.query_cells_uniform(asked(spark, sf), edges, SHAPE)
+
+
+@query(f"WITH {chosen_sql()} SELECT qid, count(*) AS n_cells FROM qc GROUP BY qid")
+def cells_per_query(spark, sf):
+    return S.cells_per_query(Plan(spark, sf).chosen)
+
+
+AREA = """ar AS (SELECT qid, cell_id, (CASE WHEN hi0 > lo0 THEN CAST(least(hi0, r0) - greatest(lo0, l0) AS DOUBLE) / CAST(hi0 - lo0 AS DOUBLE) ELSE 1.0::DOUBLE END)
+  * (CASE WHEN hi1 > lo1 THEN CAST(least(hi1, r1) - greatest(lo1, l1) AS DOUBLE) / CAST(hi1 - lo1 AS DOUBLE) ELSE 1.0::DOUBLE END) AS area FROM qry JOIN cells ON hi0 >= l0 AND lo0 <= r0 AND hi1 >= l1 AND lo1 <= r1)"""
+
+
+@query(f"WITH {chosen_sql()}, {AREA} SELECT qid, cell_id, round(area, 6) AS area, area <= 0.5 AS is_little FROM ar")
+def overlap_area(spark, sf):
+    plan = Plan(spark, sf)
+    return rounded(S.overlap_area(plan.queries, plan.cells, 2, 0.5), "area")
+
+
+@query(f"WITH {chosen_sql()}, {AREA} SELECT qid, CAST(sum(CASE WHEN area <= 0.5 THEN 1 ELSE 0 END) AS BIGINT) AS n_little FROM ar GROUP BY qid")
+def little_cells(spark, sf):
+    plan = Plan(spark, sf)
+    return S.little_cells(S.overlap_area(plan.queries, plan.cells, 2, 0.5))
+
+
+BATCHES = "bt AS (SELECT cell_id, CAST(floor((row_number() OVER (ORDER BY cell_id) - 1) / 4) AS BIGINT) AS batch_id FROM cells)"
+
+
+@query(f"WITH {chosen_sql()}, {AREA}, {BATCHES} SELECT qid, batch_id, bool_and(area <= 0.5) AS all_little FROM ar JOIN bt USING (cell_id) GROUP BY qid, batch_id")
+def all_little_in_batch(spark, sf):
+    plan = Plan(spark, sf)
+    return S.all_little(S.overlap_area(plan.queries, plan.cells, 2, 0.5), S.batches(plan.cells, 4))
+
+
+@query(f"WITH {chosen_sql()}, {BATCHES} SELECT batch_id, cell_id FROM bt")
+def cell_batches(spark, sf):
+    return S.batches(Plan(spark, sf).cells, 4).select("batch_id", "cell_id")
+
+
+@query(f"WITH {chosen_sql()}, {BATCHES} SELECT DISTINCT qid FROM qc JOIN bt USING (cell_id) WHERE batch_id = 1")
+def batch_semijoin(spark, sf):
+    plan = Plan(spark, sf)
+    return S.queries_of_batch(plan.queries, plan.chosen, S.batches(plan.cells, 4).filter("batch_id = 1")).select("qid")
+
+
+SELECTIVITY = f"sel AS (SELECT qid, count(id) AS matches, count(id) / CAST((SELECT count(*) FROM pts) AS DOUBLE) AS selectivity FROM qry LEFT JOIN pts ON {AND} GROUP BY qid)"
+
+
+@query(f"WITH {PTS}, {qry('mixed')}, {SELECTIVITY} SELECT qid, matches, round(selectivity, 6) AS selectivity FROM sel")
+def query_selectivity(spark, sf):
+    return rounded(S.selectivity(points(spark, sf), asked(spark, sf, kind="mixed"), P.box(2)), "selectivity")
+
+
+STRATEGY = f"""{SELECTIVITY}, nc AS (SELECT qid, count(cell_id) AS n_cells FROM qry LEFT JOIN qc USING (qid) GROUP BY qid)"""
+
+
+@query(f"""WITH {chosen_sql('mixed')}, {STRATEGY} SELECT qid, round(selectivity, 6) AS selectivity, n_cells,
+  CASE WHEN selectivity <= 0.02 THEN 'scan' WHEN n_cells >= 16 THEN 'full' ELSE 'cells' END AS strategy FROM sel JOIN nc USING (qid)""")
+def strategy_choice(spark, sf):
+    return rounded(_strategies(Plan(spark, sf, "mixed")), "selectivity")
+
+
+def _strategies(plan: Plan) -> DataFrame:
+    return S.strategy(S.selectivity(plan.grid, plan.queries, P.box(2)), S.cells_per_query(plan.chosen), prefilter=0.02, postfilter=16)
+
+
+# ---- clusters -------------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {PTS}, {LABELS} SELECT id, cid FROM lab")
+def cluster_assign(spark, sf):
+    return Plan(spark, sf).clusters()[0]
+
+
+@query(f"WITH {PTS}, {LABELS} SELECT cid, dim - 1 AS dim, round(avg(CAST(x AS DOUBLE)), 6) AS x FROM (SELECT cid, unnest(vec) AS x, generate_subscripts(vec, 1) AS dim FROM pts JOIN lab USING (id)) GROUP BY cid, dim")
+def cluster_centroids(spark, sf):
+    long = Plan(spark, sf).clusters()[1].select("cid", F.posexplode("vec").alias("dim", "x"))
+    return rounded(long.select("cid", F.col("dim").cast("long"), "x"), "x")
+
+
+@query(f"WITH {PTS}, {LABELS}, {GRID} SELECT cell_id, cid, count(*) AS n FROM g JOIN lab USING (id) GROUP BY cell_id, cid")
+def cluster_cell_counts(spark, sf):
+    plan = Plan(spark, sf)
+    return C.cluster_cells(plan.grid, plan.clusters()[0])
+
+
+@query(f"WITH {PTS}, {qry()}, {CENTROIDS}, {NEAREST} SELECT qid, cid, round(dist, 6) AS dist, rank FROM nr")
+def nearest_clusters(spark, sf):
+    plan = Plan(spark, sf)
+    return rounded(C.nearest(plan.queries, plan.clusters()[1]))
+
+
+ORDER = f"""{CENTROIDS}, {NEAREST}, cc AS (SELECT cell_id, cid, count(*) AS n FROM g JOIN lab USING (id) GROUP BY cell_id, cid),
+sc AS (SELECT qc.qid, qc.cell_id, CAST(coalesce(sum(n), 0) AS BIGINT) AS score FROM qc LEFT JOIN (SELECT qid, cell_id, n FROM nr JOIN cc USING (cid)) z ON z.qid = qc.qid AND z.cell_id = qc.cell_id GROUP BY qc.qid, qc.cell_id)"""
+
+
+@query(f"WITH {chosen_sql()}, {ORDER} SELECT qid, cell_id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, cell_id) AS visit_rank FROM sc")
+def cell_visit_order(spark, sf):
+    return Plan(spark, sf).order().select("qid", "cell_id", "score", "visit_rank")
+
+
+@query(f"WITH {PTS} SELECT count(*) AS points, CAST(8 AS BIGINT) AS clusters, true AS lower FROM pts")
+def kmeans_fit(spark, sf):
+    """A fit's promises: every point has a cluster, none is empty, inertia is below that of one cluster."""
+    p = points(spark, sf)
+    labels, _, summary = C.kmeans(p, 8)
+    flat = p.select(F.posexplode("vec").alias("dim", "x")).groupBy("dim").agg((F.var_pop(F.col("x").cast("double")) * F.count(F.lit(1))).alias("v")).agg(F.sum("v").alias("v")).first()["v"]
+    return labels.agg(F.count(F.lit(1)).alias("points"), F.countDistinct("cid").alias("clusters")).withColumn("lower", F.lit(summary["inertia"] < flat))
+
+
+# ---- graphs ---------------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {PTS}, {GRID}, {CELL_GRAPH} SELECT cell_id, src, rank, dst FROM e")
+def cell_knn_graph(spark, sf):
+    return G.cell_graph(gridded(spark, sf), DEGREE)
+
+
+@query(f"WITH {PTS}, {GRID}, {CROSS} SELECT src, dst_cell, rank, dst FROM x")
+def cross_cell_edges(spark, sf):
+    return G.cross_edges(gridded(spark, sf), 2, block=200)
+
+
+ASSEMBLED = "asm AS (SELECT src, dst FROM e WHERE rank <= 2 UNION ALL SELECT src, dst FROM x JOIN g ON g.id = x.src WHERE x.rank <= 2 AND x.dst_cell <> g.cell_id)"
+
+
+def _assembled(plan: Plan) -> DataFrame:
+    return G.assembled(*plan.graphs(), plan.grid)
+
+
+@query(f"WITH {PTS}, {GRID}, {CELL_GRAPH}, {CROSS}, {ASSEMBLED} SELECT src, dst FROM asm")
+def assembled_graph(spark, sf):
+    return _assembled(Plan(spark, sf))
+
+
+@query(f"WITH {PTS}, {GRID}, {CELL_GRAPH}, {CROSS}, {ASSEMBLED}, d AS (SELECT src, count(*) AS degree FROM asm GROUP BY src) SELECT count(*) AS points, min(degree) AS least, max(degree) AS most, round(avg(degree), 6) AS mean FROM d")
+def graph_degree_stats(spark, sf):
+    return G.degree_stats(_assembled(Plan(spark, sf)))
+
+
+@query(f"WITH {PTS}, {GRID} SELECT count(*) AS points, true AS near FROM g")
+def graph_by_descent(spark, sf):
+    """Approximate graphs' promise: at least nine in ten edges are exact."""
+    g = gridded(spark, sf)
+    exact, found = G.cell_graph(g, DEGREE), G.descend(g, DEGREE)
+    both = exact.join(found.select("src", "dst"), ["src", "dst"]).count()
+    return g.agg(F.count(F.lit(1)).alias("points")).withColumn("near", F.lit(both >= 0.9 * exact.count()))
+
+
+@query()
+def spokesman(spark, sf):
+    return G.representatives(Plan(spark, sf).graphs()[0])
+
+
+@query(f"WITH {PTS} SELECT count(*) AS points, CAST(0 AS BIGINT) AS wrong FROM pts")
+def spokesman_invariant(spark, sf):
+    """Every point is represented by itself or by a point that has it as a neighbour."""
+    edges = Plan(spark, sf).graphs()[0]
+    reps = G.representatives(edges)
+    bad = reps.filter("id <> rep_id").join(edges, (F.col("rep_id") == F.col("src")) & (F.col("id") == F.col("dst")), "left_anti")
+    return reps.agg(F.count(F.lit(1)).alias("points")).crossJoin(bad.agg(F.count(F.lit(1)).alias("wrong")))
+
+
+@query()
+def spokesman_lookup(spark, sf):
+    edges, cross = Plan(spark, sf).graphs()
+    reps = materialise(G.representatives(edges), "reps")
+    return G.through_representative(G.compressed(cross, reps), reps)
+
+
+FRONTIER = "fr AS (SELECT qid, id FROM qry JOIN pts ON id % 10 = qid % 10 AND id < 100)"
+
+
+def _frontier(plan: Plan) -> DataFrame:
+    return plan.grid.filter("id < 100").join(plan.queries, F.col("id") % 10 == F.col("qid") % 10).select("qid", "id")
+
+
+@query(f"WITH {PTS}, {qry()}, {GRID}, {CELL_GRAPH}, {FRONTIER} SELECT DISTINCT qid, dst AS id FROM fr JOIN e ON e.src = fr.id")
+def frontier_expand(spark, sf):
+    plan = Plan(spark, sf)
+    return G.expand(_frontier(plan), plan.graphs()[0])
+
+
+@query(f"WITH {chosen_sql()}, {CROSS}, {FRONTIER} SELECT DISTINCT fr.qid, dst_cell AS cell_id, dst AS id FROM fr JOIN x ON x.src = fr.id AND x.rank <= 2 JOIN qc ON qc.qid = fr.qid AND qc.cell_id = x.dst_cell")
+def cross_cell_hop(spark, sf):
+    plan = Plan(spark, sf)
+    return G.hop(_frontier(plan), plan.graphs()[1], plan.chosen)
+
+
+@query(f"WITH {PTS}, {GRID} SELECT cell_id, id, rank FROM (SELECT cell_id, id, row_number() OVER (PARTITION BY cell_id ORDER BY id * 104729 % 99991, id) AS rank FROM g) WHERE rank <= 3")
+def entry_points(spark, sf):
+    return G.entry_points(gridded(spark, sf), 3)
+
+
+# ---- index searches -------------------------------------------------------------------------------------------
+
+
+@query(knn_sql(kind="mixed"))
+def prefilter_search(spark, sf):
+    plan = Plan(spark, sf, "mixed")
+    return rounded(Q.prefilter(plan.grid, plan.queries, plan.chosen, 2, K))
+
+
+def _beams(plan: Plan, width: int) -> DataFrame:
+    edges, cross = plan.graphs()
+    return Q.by_cells(plan.grid, edges, cross, plan.queries, plan.order(), 2, K, width=width)
+
+
+@query(knn_sql(kind="mixed"))
+def cell_beam_search(spark, sf):
+    """With a beam as wide as a cell every cell is scored whole, so the answer is exact."""
+    return rounded(_beams(Plan(spark, sf, "mixed"), 1 << 20))
+
+
+@query(f"WITH {PTS}, {qry('mixed')} SELECT CAST(count(*) AS BIGINT) AS queries, true AS good FROM qry")
+def cell_beam_recall(spark, sf):
+    """A narrow beam's promise: nine in ten of the true neighbours."""
+    plan = Plan(spark, sf, "mixed")
+    truth = Q.exact(plan.grid, plan.queries, 2, K)
+    return E.recall(_beams(plan, 32), truth, plan.queries).select("queries", (F.col("recall") >= 0.9).alias("good"))
+
+
+def _full_graph(plan: Plan) -> tuple[DataFrame, DataFrame]:
+    edges, cross = plan.graphs()
+    return materialise(G.assembled(edges, cross, plan.grid), "assembled"), materialise(G.entry_points(plan.grid, 4), "entries")
+
+
+@query(f"WITH {PTS}, {qry('open')} SELECT CAST(count(*) AS BIGINT) AS queries, true AS good FROM qry")
+def post_filter_search(spark, sf):
+    """The whole graph's promise on open boxes: nine in ten of the true neighbours."""
+    plan = Plan(spark, sf, "open")
+    graph, entries = _full_graph(plan)
+    found = Q.over_graph(plan.grid, graph, plan.queries, entries, 2, K, width=48)
+    return E.recall(found, Q.exact(plan.grid, plan.queries, 2, K), plan.queries).select("queries", (F.col("recall") >= 0.9).alias("good"))
+
+
+@query(f"WITH {PTS}, {qry('mixed')} SELECT CAST(count(*) AS BIGINT) AS queries, true AS good, CAST(0 AS BIGINT) AS outside FROM qry")
+def combined_search(spark, sf):
+    """Three strategies in one search: recall of nine in ten, and nothing outside its box."""
+    plan = Plan(spark, sf, "mixed")
+    edges, cross = plan.graphs()
+    graph, entries = _full_graph(plan)
+    found = materialise(Q.combined(plan.grid, edges, cross, graph, plan.queries, plan.order(), materialise(_strategies(plan), "plan"), entries, 2, K), "combined")
+    outside = found.join(plan.grid, "id").join(F.broadcast(plan.queries), "qid").filter(~P.box(2)).agg(F.count(F.lit(1)).alias("outside"))
+    return E.recall(found, Q.exact(plan.grid, plan.queries, 2, K), plan.queries).select("queries", (F.col("recall") >= 0.9).alias("good")).crossJoin(outside)
+
+
+@query(knn_sql(kind="mixed"))
+def out_of_core_search(spark, sf):
+    """Batch by batch of cells with beams as wide as a cell: exact."""
+    plan = Plan(spark, sf, "mixed")
+    edges, cross = plan.graphs()
+    return rounded(Q.in_batches(plan.grid, edges, cross, plan.queries, plan.order(), materialise(S.batches(plan.cells, 8), "batches"), 2, K, width=1 << 20))
+
+
+# ---- evaluation and workloads -----------------------------------------------------------------------------------
+
+
+@query(knn_sql(kind="mixed"))
+def ground_truth(spark, sf):
+    return rounded(Q.exact_blocks(points(spark, sf), asked(spark, sf, kind="mixed"), 2, K))
+
+
+HALF = f"""t AS (SELECT * FROM (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY {d2('vec', 'qvec')}, id) AS rank FROM pts JOIN qry ON {AND}) WHERE rank <= 10),
+f AS (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY {d2('vec', 'qvec')}, id) AS rank FROM pts JOIN qry ON {AND} AND id % 2 = 0),
+h AS (SELECT * FROM f WHERE rank <= 10),
+pq AS (SELECT q.qid, count(h.id) AS hits, count(t.id) AS truth_size FROM qry q LEFT JOIN t ON t.qid = q.qid LEFT JOIN h ON h.qid = t.qid AND h.id = t.id GROUP BY q.qid),
+rc AS (SELECT *, CASE WHEN truth_size = 0 THEN 1.0::DOUBLE ELSE hits / CAST(truth_size AS DOUBLE) END AS recall FROM pq)"""
+
+
+def _half(spark, sf) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """A search that sees even ids only, the truth, and the queries."""
+    p, q = points(spark, sf), asked(spark, sf, kind="mixed")
+    return Q.exact(p.filter("id % 2 = 0"), q, 2, K), Q.exact(p, q, 2, K), q
+
+
+@query(f"WITH {PTS}, {qry('mixed')}, {HALF} SELECT round(avg(recall), 6) AS recall, count(*) AS queries FROM rc")
+def recall_at_k(spark, sf):
+    return E.recall(*_half(spark, sf))
+
+
+@query(f"WITH {PTS}, {qry('mixed')}, {HALF} SELECT count(h.id) AS same, count(*) AS truth_size FROM t LEFT JOIN h ON h.qid = t.qid AND h.rank = t.rank AND h.id = t.id")
+def recall_positional(spark, sf):
+    found, truth, _ = _half(spark, sf)
+    return E.positional(found, truth)
+
+
+@query(f"WITH {PTS}, {qry('mixed')}, {HALF} SELECT qid, hits, truth_size, round(recall, 6) AS recall FROM rc WHERE recall < 0.6")
+def low_recall_report(spark, sf):
+    return rounded(E.low_recall(*_half(spark, sf)), "recall")
+
+
+@query(f"WITH {PTS}, {qry('narrow')} SELECT qid FROM qry WHERE NOT EXISTS (SELECT 1 FROM pts WHERE {AND})")
+def empty_truth_report(spark, sf):
+    q = asked(spark, sf, kind="narrow")
+    return E.empty_truth(Q.exact(points(spark, sf), q, 2, K), q)
+
+
+@query("SELECT 0.0::DOUBLE AS gap, CAST(0 AS BIGINT) AS wrong")
+def distance_check(spark, sf):
+    p, q = points(spark, sf), asked(spark, sf)
+    return E.difference(Q.exact_blocks(p, q, 2, K), Q.exact(p, q, 2, K))
+
+
+@query("SELECT i AS qid, (i * 7919) % 801 AS l0, (i * 7919) % 801 + 199 AS r0, (i * 7919 + 104729) % 801 AS l1, (i * 7919 + 104729) % 801 + 199 AS r1 FROM range(100) t(i)")
+def gen_ranges_selectivity(spark, sf):
+    return W.ranges_of_selectivity(spark, 100, 2, 1000, 0.2)
+
+
+@query("SELECT i AS qid, " + ", ".join(f"least((i * 7919 + {j * 31}) % 1000, (i * 104729 + {j * 17}) % 1000) AS l{j}, greatest((i * 7919 + {j * 31}) % 1000, (i * 104729 + {j * 17}) % 1000) AS r{j}" for j in range(3)) + " FROM range(100) t(i)")
+def gen_ranges_multi(spark, sf):
+    return W.ranges_of_any_width(spark, 100, 3, 1000)
+
+
+@query(f"WITH {PTS} SELECT id, id % 16 AS cell_id, (id % 16) * 62 + (id * 7919) % 62 AS a0 FROM pts")
+def gen_attrs_stratified(spark, sf):
+    return W.stratified_attribute(points(spark, sf), 16, 1000)
+
+
+@query()
+def ef_sweep_metrics(spark, sf):
+    plan = Plan(spark, sf, "mixed")
+    edges, cross = plan.graphs()
+    order = plan.order()
+    truth = materialise(Q.exact(plan.grid, plan.queries, 2, K), "truth")
+    return E.sweep(spark, lambda width: Q.by_cells(plan.grid, edges, cross, plan.queries, order, 2, K, width=width), [10, 40], truth, plan.queries)
+
+
+# ---- files and streams ------------------------------------------------------------------------------------------
+
+
+def _local(name: str) -> str:
+    import tempfile
+
+    return f"{tempfile.mkdtemp(prefix='veldspar-')}/{name}"
+
+
+@query(f"WITH {PTS} SELECT id, dim - 1 AS dim, CAST(x AS DOUBLE) AS x FROM (SELECT id, unnest(vec) AS x, generate_subscripts(vec, 1) AS dim FROM pts)")
+def file_fvecs(spark, sf):
+    from .sources import binary as B
+
+    path = _local("base.fvecs")
+    B.write_fvecs(points(spark, sf), path)
+    return B.read_fvecs(spark, path).select("id", F.posexplode("vec").alias("dim", "x")).select("id", F.col("dim").cast("long"), F.col("x").cast("double"))
+
+
+@query(f"WITH {PTS} SELECT id, a0, a1 FROM pts")
+def file_attributes(spark, sf):
+    from .sources import binary as B
+
+    path = _local("base.attrs")
+    B.write_attributes(points(spark, sf), path, 2)
+    return B.read_attributes(spark, path)
+
+
+@query(f"WITH {PTS}, {qry('open')} SELECT qid, l0 + 1 AS l0, r0, l1, r1 FROM qry")
+def file_ranges(spark, sf):
+    from .sources import binary as B
+
+    path = _local("ranges")
+    B.write_ranges(asked(spark, sf, kind="open").withColumn("l0", F.col("l0") + 1), path, 2)
+    return B.read_ranges(spark, path, 2)
+
+
+@query(f"WITH {PTS}, {GRID}, ex AS (SELECT src, rank, dst FROM (SELECT a.id AS src, b.id AS dst, row_number() OVER (PARTITION BY a.id ORDER BY {d2('a.vec', 'b.vec')}, b.id) AS rank FROM g a JOIN g b ON a.id <> b.id AND b.id < 200) WHERE rank <= 4 AND src < 200) SELECT src, rank, dst FROM ex")
+def file_graph(spark, sf):
+    from .sources import binary as B
+
+    path = _local("graph")
+    p = points(spark, sf).filter("id < 200").withColumn("cell_id", F.lit(0).cast("long"))
+    B.write_graph(G.cell_graph(p, 4), path)
+    return B.read_graph(spark, path)
+
+
+@query(f"WITH {PTS}, {GRID} SELECT id, b0, b1, cell_id FROM g")
+def file_grid(spark, sf):
+    from .sources import binary as B
+
+    path = _local("points.grid")
+    g = gridded(spark, sf)
+    B.write_grid(g, R.bounds(g, 2), SHAPE, path)
+    return B.read_grid(spark, path)[1]
+
+
+@query(f"WITH {PTS}, {EX}, {PARAMS}, {codes_sql()} SELECT id, dim, code FROM qc")
+def file_quantised(spark, sf):
+    from .sources import binary as B
+
+    path = _local("base.int8")
+    _, params, coded = _codes(spark, sf)
+    B.write_quantised(coded, params, path)
+    return _code_rows(B.read_quantised(spark, path)[0])
+
+
+@query(f"WITH {PTS}, {LABELS} SELECT id, cid FROM lab")
+def file_labels(spark, sf):
+    from .sources import binary as B
+
+    path = _local("labels")
+    B.write_numbers(Plan(spark, sf).clusters()[0], path, "cid")
+    return B.read_numbers(spark, path, "cid")
+
+
+@query(f"WITH {PTS} SELECT id, a0 FROM pts")
+def load_or_build_table(spark, sf):
+    from .sources import binary as B
+
+    path = scratch(spark, "cached")
+    B.load_or_build(spark, path, lambda: points(spark, sf).select("id", "a0"))
+    return B.load_or_build(spark, path, lambda: points(spark, sf).limit(0))
+
+
+@query(knn_sql())
+def stream_search(spark, sf):
+    from .streaming.search import search_stream
+
+    inbox, out = scratch(spark, "inbox"), scratch(spark, "answers")
+    q = asked(spark, sf)
+    q.repartition(4, "qid").write.parquet(inbox)
+    p = points(spark, sf)
+    arriving = spark.readStream.schema(q.schema).option("maxFilesPerTrigger", 2).parquet(inbox)
+    search_stream(arriving, lambda batch: Q.exact(p, batch, 2, K), out).awaitTermination()
+    return rounded(spark.read.parquet(f"{out}/batch=*").select("qid", "rank", "id", "dist"))
