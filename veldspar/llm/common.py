@@ -1,36 +1,14 @@
-"""Shared folder, table access and split hashes used by the corpus operators."""
+"""Table access, split hashes, and the storage that the corpus operators share with the rest."""
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..shipping import ship
+from ..storage import materialise, scratch, shared_dir
 
-DEFAULT_SHARED = "/tmp/checkpoints"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """Folder that the driver and every executor see: spark.checkpoint.dir, else one for a single machine."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not named:
-        named = spark.sparkContext.getCheckpointDir() or DEFAULT_SHARED
-    return named.rstrip("/")
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder."""
-    return f"{shared_dir(spark)}/veldspar/{name}-{uuid.uuid4().hex}"
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: lineage ends there and survives lost executors."""
-    spark = df.sparkSession
-    path = scratch(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["materialise", "ready", "scratch", "shared_dir", "shuffle_partitions", "split_of", "table", "text_or_empty"]
 
 
 def ready(spark: SparkSession) -> SparkSession:

@@ -218,7 +218,10 @@ def _judged(docs: DataFrame, bench: DataFrame, block_bytes: int, at: int, *, kee
         return docs.mapInArrow(run, schema)
 
     # More blocks than one: spans of each block by row of a fixed copy, merged.
-    fixed = materialise(docs.withColumn("_row", F.monotonically_increasing_id()), "decontaminate-docs")
+    row_id = "_row"
+    while row_id in docs.columns:
+        row_id += "_"
+    fixed = materialise(docs.withColumn(row_id, F.monotonically_increasing_id()), "decontaminate-docs")
     part_schema = "_row long, n_words long, starts array<long>, lengths array<long>, items array<string>"
     every = None
     for block in blocks:
@@ -241,7 +244,7 @@ def _judged(docs: DataFrame, bench: DataFrame, block_bytes: int, at: int, *, kee
                     schema=pa.schema([("_row", pa.int64()), ("n_words", pa.int64()), ("starts", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("items", pa.list_(pa.string()))]),
                 )
 
-        own = fixed.select("text", "_row").mapInArrow(spans, part_schema)
+        own = fixed.select("text", F.col(row_id).alias("_row")).mapInArrow(spans, part_schema)
         every = own if every is None else every.unionByName(own)
     merged = every.groupBy("_row").agg(F.first("n_words").alias("n_words"), *[F.flatten(F.collect_list(c)).alias(c) for c in ("starts", "lengths", "items")])
 
@@ -256,5 +259,5 @@ def _judged(docs: DataFrame, bench: DataFrame, block_bytes: int, at: int, *, kee
 
     verdict = merged.mapInArrow(finish, f"_row long, {COLUMNS}")
     if keep:
-        return fixed.join(verdict.filter("NOT contaminated").select("_row"), "_row").select(*docs.columns)
-    return fixed.select("_row", "doc_id").join(verdict, "_row").select(*names)
+        return fixed.join(verdict.filter("NOT contaminated").select(F.col("_row").alias(row_id)), row_id).select(*docs.columns)
+    return fixed.select(F.col(row_id).alias("_row"), "doc_id").join(verdict, "_row").select(*names)

@@ -121,8 +121,8 @@ def exact_dedup(docs: DataFrame, *, digest_bytes: int = 32) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of docs that stay, with all their columns."""
     docs = _located(docs, docs.columns)
-    gone = exact_dedup(docs).filter("NOT kept").select(F.col("file").alias("_file"), F.col("row").alias("_row"))
-    at = (F.col("_metadata.file_path") == F.col("_file")) & (F.col("_metadata.row_index") == F.col("_row"))
+    gone = exact_dedup(docs).filter("NOT kept").select(F.col("file").alias("gone_file"), F.col("row").alias("gone_row"))
+    at = (docs["_metadata.file_path"] == gone["gone_file"]) & (docs["_metadata.row_index"] == gone["gone_row"])
     return docs.join(gone.hint("shuffle_hash"), at, "left_anti")
 
 

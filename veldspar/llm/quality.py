@@ -26,7 +26,7 @@ from . import kernel
 from .common import ready, split_of
 
 BITS = 18
-MAX_SAMPLE = 6000
+MAX_SAMPLE = 3000
 EPOCHS = 3
 SEED = 5
 #: What every pair of twice the same word hashes to, so that repetition is learnt whatever the word.
@@ -71,7 +71,17 @@ def scores(column: pa.Array, weights: np.ndarray, bias: float, bits: int = BITS)
 
 def train(texts: pa.Array, labels: np.ndarray, *, bits: int = BITS, epochs: int = EPOCHS, rule: Ftrl = Ftrl()) -> tuple[np.ndarray, float]:
     """Weights and bias after FTRL-proximal passes over the documents in a fixed shuffled order; the classes weigh the same in sum."""
-    docs = [np.unique(places[off[i] : off[i + 1]], return_counts=True) for places, off in features(texts, kernel.Roller(SEED), bits) for i in range(len(off) - 1)]
+    # Distinct places and counts of all documents in three flat arrays: documents as small arrays of their own would fragment the driver's memory.
+    parts, ends = [], [np.zeros(1, np.int64)]
+    for places, off in features(texts, kernel.Roller(SEED), bits):
+        doc = np.repeat(np.arange(len(off) - 1), np.diff(off))
+        key, count = np.unique((doc << bits) | places, return_counts=True)
+        parts.append(((key & ((1 << bits) - 1)).astype(np.int32), count.astype(np.float32)))
+        ends.append(np.searchsorted(key >> bits, np.arange(1, len(off))) + ends[-1][-1])
+    places = np.concatenate([np.zeros(0, np.int32), *[x[0] for x in parts]])
+    counts = np.concatenate([np.zeros(0, np.float32), *[x[1] for x in parts]])
+    at = np.concatenate(ends)
+    del parts, ends
     z, n = np.zeros((1 << bits) + 1), np.zeros((1 << bits) + 1)
     share = np.bincount(labels, minlength=2) / max(len(labels), 1)
     if len(labels) == 0 or share.min() == 0:  # nothing to tell apart
@@ -83,10 +93,10 @@ def train(texts: pa.Array, labels: np.ndarray, *, bits: int = BITS, epochs: int
         return -np.sign(z[i]) * s / ((rule.beta + np.sqrt(n[i])) / rule.alpha + rule.l2)
 
     for _ in range(epochs):
-        for d in order.permutation(len(docs)):
-            places, counts = docs[d]
-            i = np.append(places, 1 << bits)  # the last place is the bias
-            x = np.append(counts / np.sqrt(max(counts.sum(), 1)), 1.0)
+        for d in order.permutation(len(at) - 1):
+            own = slice(at[d], at[d + 1])
+            i = np.append(places[own], 1 << bits)  # the last place is the bias
+            x = np.append(counts[own] / np.sqrt(max(counts[own].sum(), 1)), 1.0)
             w = weight(i)
             p = 1 / (1 + np.exp(-np.clip(w @ x, -35, 35)))
             g = (p - labels[d]) * x * 0.5 / share[labels[d]]
