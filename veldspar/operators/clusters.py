@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.sizes import broadcast_within
 from ..functions.vectors import l2_squared
 from .ranking import top_k
 
@@ -32,7 +33,7 @@ def cluster_cells(gridded: DataFrame, labels: DataFrame) -> DataFrame:
 
 def nearest(queries: DataFrame, centroids: DataFrame, r: int = 4) -> DataFrame:
     """(qid, cid, dist, rank): the r nearest centroids of each query."""
-    both = queries.select("qid", "qvec").join(F.broadcast(centroids))
+    both = queries.select("qid", "qvec").join(broadcast_within(centroids))
     scored = both.select("qid", "cid", l2_squared("qvec", "vec").alias("dist"))
     return top_k(scored, ["qid"], ["dist", "cid"], r)
 

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.sizes import broadcast_within
+
 SCAN, CELLS, FULL = "scan", "cells", "full"
 
 
@@ -21,7 +23,7 @@ def _overlap(attributes: int, any_: bool) -> Column:
 
 def query_cells(queries: DataFrame, cells: DataFrame, attributes: int, *, any_: bool = False) -> DataFrame:
     """(qid, cell_id): the cells whose box meets the query's.  cells has one row per grid cell, a number fixed by the grid's shape, and is broadcast."""
-    return queries.join(F.broadcast(cells), _overlap(attributes, any_)).select("qid", "cell_id")
+    return queries.join(broadcast_within(cells), _overlap(attributes, any_)).select("qid", "cell_id")
 
 
 def query_cells_uniform(queries: DataFrame, edges: DataFrame, shape: list[int]) -> DataFrame:
@@ -50,7 +52,7 @@ def cells_per_query(chosen: DataFrame) -> DataFrame:
 
 def overlap_area(queries: DataFrame, cells: DataFrame, attributes: int, threshold: float) -> DataFrame:
     """(qid, cell_id, area, is_little): the part of each visited cell's box that the query covers; little if at most threshold."""
-    both = queries.join(F.broadcast(cells), _overlap(attributes, False))
+    both = queries.join(broadcast_within(cells), _overlap(attributes, False))
     area = F.lit(1.0)
     for j in range(attributes):
         lo, hi, l, r = (F.col(f"{x}{j}") for x in ("lo", "hi", "l", "r"))
@@ -66,7 +68,7 @@ def little_cells(areas: DataFrame) -> DataFrame:
 
 def all_little(areas: DataFrame, batches: DataFrame) -> DataFrame:
     """(qid, batch_id, all_little): whether all the cells of a batch that the query visits are little."""
-    return areas.join(F.broadcast(batches), "cell_id").groupBy("qid", "batch_id").agg(F.bool_and("is_little").alias("all_little"))
+    return areas.join(broadcast_within(batches), "cell_id").groupBy("qid", "batch_id").agg(F.bool_and("is_little").alias("all_little"))
 
 
 def selectivity(points: DataFrame, queries: DataFrame, predicate: Column) -> DataFrame:
@@ -75,7 +77,7 @@ def selectivity(points: DataFrame, queries: DataFrame, predicate: Column) -> Dat
     queries are a stated, bounded set and are broadcast to the scan; matches are counted per task before the shuffle.
     """
     n = points.agg(F.count(F.lit(1)).alias("n"))
-    hits = points.join(F.broadcast(queries), predicate).groupBy("qid").agg(F.count(F.lit(1)).alias("matches"))
+    hits = points.join(broadcast_within(queries), predicate).groupBy("qid").agg(F.count(F.lit(1)).alias("matches"))
     out = queries.select("qid").join(hits, "qid", "left").crossJoin(F.broadcast(n))
     matches = F.coalesce("matches", F.lit(0)).cast("long")
     return out.select("qid", matches.alias("matches"), (matches / F.greatest("n", F.lit(1))).alias("selectivity"))
@@ -104,5 +106,5 @@ def batches(cells: DataFrame, per_batch: int) -> DataFrame:
 
 def queries_of_batch(queries: DataFrame, chosen: DataFrame, batch: DataFrame) -> DataFrame:
     """The queries that visit a cell of the batch."""
-    touched = chosen.join(F.broadcast(batch.select("cell_id")), "cell_id", "left_semi").select("qid").distinct()
+    touched = chosen.join(broadcast_within(batch.select("cell_id")), "cell_id", "left_semi").select("qid").distinct()
     return queries.join(touched, "qid", "left_semi")
