@@ -44,7 +44,8 @@ def oracle_sql() -> dict[str, str]:
 # ---- fixtures -------------------------------------------------------------------------------------------------
 
 K = 10
-N_QUERIES = 20
+#: Every row whose id is divisible by this is a query.
+EVERY = 100
 SHAPE = [4, 4]
 DEGREE = 8
 
@@ -57,8 +58,8 @@ def points(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def asked(spark: SparkSession, sf: str, *, kind: str = "plain") -> DataFrame:
-    """The first embeddings as queries: plain boxes, narrow ones, open ones, or all three by turns."""
-    e = spark.read.parquet(f"{sf}/embeddings.parquet").filter(F.col("vec_id") < N_QUERIES)
+    """Every hundredth embedding as a query: plain boxes, narrow ones, open ones, or all three by turns."""
+    e = spark.read.parquet(f"{sf}/embeddings.parquet").filter(F.col("vec_id") % EVERY == 0)
     i = F.col("vec_id")
     turn = {"plain": F.lit(0), "narrow": F.lit(1), "open": F.lit(2), "mixed": i % 3}[kind]
     l0 = F.when(turn == 2, F.lit(-1)).otherwise(F.col("label") - 2)
@@ -77,7 +78,7 @@ def qry(kind: str = "plain") -> str:
   CAST(CASE WHEN {turn} = 2 THEN -1 ELSE label - 2 END AS BIGINT) AS l0, CAST(CASE WHEN {turn} = 2 THEN 99 ELSE label + 2 END AS BIGINT) AS r0,
   CAST(CASE WHEN {turn} = 0 THEN 100 WHEN {turn} = 1 THEN vec_id * 37 % 900 ELSE 0 END AS BIGINT) AS l1,
   CAST(CASE WHEN {turn} = 0 THEN 700 WHEN {turn} = 1 THEN vec_id * 37 % 900 + 20 ELSE 1000 END AS BIGINT) AS r1
-  FROM embeddings WHERE vec_id < {N_QUERIES})"""
+  FROM embeddings WHERE vec_id % {EVERY} = 0)"""
 
 
 def d2(a: str, b: str) -> str:
@@ -184,7 +185,7 @@ def exact_knn_with_dist(spark, sf):
 
 @query(knn_sql(OR, "mixed"))
 def exact_knn_blocks_or(spark, sf):
-    return rounded(Q.exact_blocks(points(spark, sf), asked(spark, sf, kind="mixed"), 2, K, any_=True, block=7))
+    return rounded(Q.exact_blocks(points(spark, sf), asked(spark, sf, kind="mixed"), 2, K, any_=True, block=3))
 
 
 @query(knn_sql(kind="narrow"))
@@ -210,14 +211,14 @@ def line_points(spark: SparkSession, sf: str) -> DataFrame:
     return with_rank(t, keys, "id").select("id", vec.alias("vec"), day.alias("a0"), F.col("l_partkey").cast("long").alias("a1"), F.col("l_suppkey").cast("long").alias("a2"))
 
 
-LINE_QUERIES = f"lq AS (SELECT id AS qid, vec AS qvec, a0 - 200 AS l0, a0 + 200 AS r0, id % 50 AS l1, id % 50 + 2000 AS r1 FROM li WHERE id % 500 = 0 AND id < 20000)"
+LINE_QUERIES = f"lq AS (SELECT id AS qid, vec AS qvec, a0 - 200 AS l0, a0 + 200 AS r0, id % 50 AS l1, id % 50 + 2000 AS r1 FROM li WHERE id % {EVERY} = 0)"
 
 
 @query(f"""WITH {LI_SQL}, {LINE_QUERIES}, s AS (SELECT qid, id, {d2("vec", "qvec")} AS dist FROM li JOIN lq ON {AND}),
 r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY dist, id) AS rank FROM s) SELECT qid, rank, round(dist, 6) AS dist FROM r WHERE rank <= {K}""")
 def lineitem_knn(spark, sf):
     p = materialise(line_points(spark, sf), "lines")
-    q = p.filter("id % 500 = 0 AND id < 20000").select(F.col("id").alias("qid"), F.col("vec").alias("qvec"), (F.col("a0") - 200).alias("l0"), (F.col("a0") + 200).alias("r0"), (F.col("id") % 50).alias("l1"), (F.col("id") % 50 + 2000).alias("r1"))
+    q = p.filter(F.col("id") % EVERY == 0).select(F.col("id").alias("qid"), F.col("vec").alias("qvec"), (F.col("a0") - 200).alias("l0"), (F.col("a0") + 200).alias("r0"), (F.col("id") % 50).alias("l1"), (F.col("id") % 50 + 2000).alias("r1"))
     return rounded(Q.exact_blocks(p, q, 2, K)).select("qid", "rank", "dist")
 
 
@@ -231,9 +232,9 @@ def l2_matrix_centroids(spark, sf):
     return rounded(plan.queries.crossJoin(F.broadcast(centres)).select("qid", "cid", V.l2_squared("qvec", "vec").alias("dist")))
 
 
-@query(f"WITH {PTS}, {qry()} SELECT qid, id, round({d2('vec', 'qvec')}, 6) AS dist FROM pts, qry WHERE id < 100")
+@query(f"WITH {PTS}, {qry()} SELECT qid, id, round({d2('vec', 'qvec')}, 6) AS dist FROM pts, qry")
 def l2_norm_identity(spark, sf):
-    both = points(spark, sf).filter("id < 100").crossJoin(F.broadcast(asked(spark, sf)))
+    both = points(spark, sf).crossJoin(F.broadcast(asked(spark, sf)))
     return rounded(both.select("qid", "id", V.l2_squared_by_norms("vec", "qvec").alias("dist")))
 
 
@@ -242,9 +243,9 @@ def vector_norms(spark, sf):
     return rounded(points(spark, sf).select("id", V.norm_squared("vec").alias("norm")), "norm")
 
 
-@query(f"WITH {PTS}, {qry()} SELECT qid, id, round(sqrt({d2('vec', 'qvec')}), 6) AS dist FROM pts, qry WHERE id < 50")
+@query(f"WITH {PTS}, {qry()} SELECT qid, id, round(sqrt({d2('vec', 'qvec')}), 6) AS dist FROM pts, qry")
 def euclidean_distance(spark, sf):
-    both = points(spark, sf).filter("id < 50").crossJoin(F.broadcast(asked(spark, sf)))
+    both = points(spark, sf).crossJoin(F.broadcast(asked(spark, sf)))
     return rounded(both.select("qid", "id", V.l2("vec", "qvec").alias("dist")))
 
 
@@ -599,11 +600,13 @@ def spokesman_lookup(spark, sf):
     return G.through_representative(G.compressed(cross, reps), reps)
 
 
-FRONTIER = "fr AS (SELECT qid, id FROM qry JOIN pts ON id % 10 = qid % 10 AND id < 100)"
+ENTRIES = "en AS (SELECT cell_id, id, rank FROM (SELECT cell_id, id, row_number() OVER (PARTITION BY cell_id ORDER BY id * 104729 % 99991, id) AS rank FROM g) WHERE rank <= 3)"
+FRONTIER = f"{ENTRIES}, fr AS (SELECT qid, id FROM qry, en)"
 
 
 def _frontier(plan: Plan) -> DataFrame:
-    return plan.grid.filter("id < 100").join(plan.queries, F.col("id") % 10 == F.col("qid") % 10).select("qid", "id")
+    """Every query at the entry points of every cell."""
+    return G.entry_points(plan.grid, 3).select("id").crossJoin(F.broadcast(plan.queries.select("qid")))
 
 
 @query(f"WITH {PTS}, {qry()}, {GRID}, {CELL_GRAPH}, {FRONTIER} SELECT DISTINCT qid, dst AS id FROM fr JOIN e ON e.src = fr.id")
@@ -618,7 +621,7 @@ def cross_cell_hop(spark, sf):
     return G.hop(_frontier(plan), plan.graphs()[1], plan.chosen)
 
 
-@query(f"WITH {PTS}, {GRID} SELECT cell_id, id, rank FROM (SELECT cell_id, id, row_number() OVER (PARTITION BY cell_id ORDER BY id * 104729 % 99991, id) AS rank FROM g) WHERE rank <= 3")
+@query(f"WITH {PTS}, {GRID}, {ENTRIES} SELECT cell_id, id, rank FROM en")
 def entry_points(spark, sf):
     return G.entry_points(gridded(spark, sf), 3)
 
@@ -693,16 +696,15 @@ def ground_truth(spark, sf):
 
 
 HALF = f"""t AS (SELECT * FROM (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY {d2('vec', 'qvec')}, id) AS rank FROM pts JOIN qry ON {AND}) WHERE rank <= 10),
-f AS (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY {d2('vec', 'qvec')}, id) AS rank FROM pts JOIN qry ON {AND} AND id % 2 = 0),
-h AS (SELECT * FROM f WHERE rank <= 10),
+h AS (SELECT * FROM t WHERE rank <= 5),
 pq AS (SELECT q.qid, count(h.id) AS hits, count(t.id) AS truth_size FROM qry q LEFT JOIN t ON t.qid = q.qid LEFT JOIN h ON h.qid = t.qid AND h.id = t.id GROUP BY q.qid),
 rc AS (SELECT *, CASE WHEN truth_size = 0 THEN 1.0::DOUBLE ELSE hits / CAST(truth_size AS DOUBLE) END AS recall FROM pq)"""
 
 
 def _half(spark, sf) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """A search that sees even ids only, the truth, and the queries."""
+    """A search that stops at five, the truth at ten, and the queries."""
     p, q = points(spark, sf), asked(spark, sf, kind="mixed")
-    return Q.exact(p.filter("id % 2 = 0"), q, 2, K), Q.exact(p, q, 2, K), q
+    return Q.exact(p, q, 2, 5), Q.exact(p, q, 2, K), q
 
 
 @query(f"WITH {PTS}, {qry('mixed')}, {HALF} SELECT round(avg(recall), 6) AS recall, count(*) AS queries FROM rc")
@@ -793,13 +795,12 @@ def file_ranges(spark, sf):
     return B.read_ranges(spark, path, 2)
 
 
-@query(f"WITH {PTS}, {GRID}, ex AS (SELECT src, rank, dst FROM (SELECT a.id AS src, b.id AS dst, row_number() OVER (PARTITION BY a.id ORDER BY {d2('a.vec', 'b.vec')}, b.id) AS rank FROM g a JOIN g b ON a.id <> b.id AND b.id < 200) WHERE rank <= 4 AND src < 200) SELECT src, rank, dst FROM ex")
+@query(f"WITH {PTS}, {GRID}, {CELL_GRAPH} SELECT src, rank, dst FROM e")
 def file_graph(spark, sf):
     from .sources import binary as B
 
     path = _local("graph")
-    p = points(spark, sf).filter("id < 200").withColumn("cell_id", F.lit(0).cast("long"))
-    B.write_graph(G.cell_graph(p, 4), path)
+    B.write_graph(G.cell_graph(gridded(spark, sf), DEGREE), path)
     return B.read_graph(spark, path)
 
 
