@@ -19,6 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialise
+
 RATIO = 0.3
 MIN_PAGES = 3
 HIDDEN = r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>"
@@ -38,9 +40,11 @@ def html_lines(html: Column) -> Column:
 
 def boilerplate(lined: DataFrame, ratio: float, min_pages: int) -> DataFrame:
     """Of rows (host, keys): host and its boilerplate keys."""
-    pages = lined.groupBy("host").agg(F.count(F.lit(1)).alias("host_pages"))
+    # Totals and frequent lines are written before they are joined and grouped, so that the join on a very large host can be split.
+    pages = materialise(lined.groupBy("host").agg(F.count(F.lit(1)).alias("host_pages")), "line-hosts")
     counts = lined.select("host", F.explode(F.array_distinct("keys")).alias("key")).groupBy("host", "key").agg(F.count(F.lit(1)).alias("on_pages"))
     often = counts.filter(F.col("on_pages") >= min_pages).join(pages, "host").filter(F.col("on_pages") > F.lit(ratio) * F.col("host_pages"))
+    often = materialise(often.select("host", "key"), "line-frequent")
     return often.groupBy("host").agg(F.collect_list("key").alias("dropped"))
 
 
@@ -48,7 +52,8 @@ def line_dedup(pages: DataFrame, *, ratio: float = RATIO, min_pages: int = MIN_P
     """page_id, host, n_lines, n_dropped, text: one row per row of pages; text joins the lines that stay by line breaks."""
     lined = pages.select(F.col(page_id).alias("page_id"), host_of(F.col(url)).alias("host"), html_lines(F.col(html)).alias("lines"))
     keyed = lined.withColumn("keys", F.transform("lines", lambda x: F.unhex(F.md5(x.cast("binary")))))
-    common = boilerplate(keyed.select("host", "keys"), ratio, min_pages)
+    # Written, so that the plan knows its size: small sets are broadcast and pages not shuffled, large ones joined by host.
+    common = materialise(boilerplate(keyed.select("host", "keys"), ratio, min_pages), "line-boilerplate")
     none = F.array().cast("array<binary>")
     rows = lined.join(common, "host", "left").withColumn("dropped", F.coalesce("dropped", none))
     kept = F.filter("lines", lambda x: ~F.array_contains(F.col("dropped"), F.unhex(F.md5(x.cast("binary")))))
