@@ -89,7 +89,8 @@ def exact_dedup(docs: DataFrame, *, digest_bytes: int = 32) -> DataFrame:
     hits = materialise(texts.join(state.hint("shuffle_hash"), "digest"), "dedup-hit-texts")
     is_keeper = (F.col("file") == F.col("keep.file")) & (F.col("row") == F.col("keep.row"))
     keepers = hits.filter(is_keeper).select("digest", F.col("text").alias("keep_text"))
-    differ = materialise(hits.select("digest", "text").join(keepers, "digest").filter("text <> keep_text").select("digest").distinct(), "dedup-differ")
+    # Written before anything is grouped, so that the join on a very common digest can be split.
+    differ = materialise(hits.select("digest", "text").join(keepers, "digest").filter("text <> keep_text").select("digest"), "dedup-differ").distinct()
 
     sure = state
     extra = None
