@@ -2,7 +2,7 @@
 
 Each step re-hangs nodes under the smallest neighbour; steps end when nothing changes, after about the square of the logarithm of
 the longest path.  Minima are pre-aggregated per task, so a node with very many neighbours is no hot key,
-and joins back to a node's edges are split by the skew-join rule.  Edges stay on the executors, each step's are written to the shared folder.
+and as minima are written before they are joined to the edges, the skew-join rule can split those joins.  Edges stay on the executors, each step's are written to the shared folder.
 """
 
 from __future__ import annotations
@@ -20,13 +20,13 @@ def _least(pairs: DataFrame) -> DataFrame:
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    hung = both.join(_least(both), "u").filter("v > u")
+    hung = both.join(materialise(_least(both), "components"), "u").filter("v > u")
     return hung.select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = _least(down)
+    least = materialise(_least(down), "components")
     hung = down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return hung.unionByName(least.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
 
