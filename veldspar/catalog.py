@@ -786,7 +786,8 @@ def file_attributes(spark, sf):
     return B.read_attributes(spark, path)
 
 
-@query(f"WITH {PTS}, {qry('open')} SELECT qid, l0 + 1 AS l0, r0, l1, r1 FROM qry")
+# Range files hold no ids: a query is known by its place.
+@query(f"WITH {PTS}, {qry('open')} SELECT row_number() OVER (ORDER BY qid) - 1 AS qid, l0 + 1 AS l0, r0, l1, r1 FROM qry")
 def file_ranges(spark, sf):
     from .sources import binary as B
 
