@@ -3,6 +3,7 @@
 import math
 import random
 import re
+from collections import Counter
 
 import duckdb
 import numpy as np
@@ -220,6 +221,17 @@ def test_lattice(spark, folder, docs):
     one = {r["doc_id"]: r["score"] for r in lattice.score_texts(docs, rounds=1).collect()}
     assert all(one[i] == pytest.approx(got[i]["score"], rel=1e-5) for i in one)
 
+    # Without fitting: every segmentation by the vocabulary's first scores, and the word's own arc.
+    split = {i: re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode().lower()) for i, t in PAIRS}
+    training = [i for i in split if lattice.is_training(i)]
+    counts = Counter(w for i in training for w in split[i])
+    n, ends = sum(counts.values()) + len(training), len(training)
+    new = (sum(c == 1 for c in counts.values()) + 1) / (n + 1)
+    log_word = {w: math.log((1 - new) * counts[w] / n + new * math.exp(marginal(b" " + w))) for ws in split.values() for w in set(ws)}
+    end = math.log((1 - new) * ends / n + new * (ends + 1) / (n + 2))
+    for r in lattice.score_texts(docs, rounds=0).collect():
+        assert r["score"] == pytest.approx((sum(log_word[w] for w in split[r["doc_id"]]) + end) / math.log(10), rel=1e-5)
+
 
 def test_mixing_meets_targets(spark, folder, docs):
     rows = queries.op9_mix_sources(spark, folder).collect()

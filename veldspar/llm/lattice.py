@@ -6,7 +6,8 @@ all.  A text is its lower-cased words, each led by the vocabulary's word-start m
 probability is the product of its words' marginals and the end's.  Any byte is also a piece, so every word has a path.
 
 The vocabulary's own scores (ranks) give the first probabilities; ROUNDS rounds of expectation-maximisation over the words of all
-training documents then fit them.  Words are counted by shards of the word space (see pieces): every piece of
+training documents then fit them.  A word of the training documents spans its lattice with one more arc, of its share of all
+training tokens; that of words seen once goes to the vocabulary's arcs, which new words have alone (Good-Turing).  Words are counted by shards of the word space (see pieces): every piece of
 documents sends its distinct words with their training counts, shards add them up, run the recursion once per distinct word, and answer with
 each word's count and marginal.  What reaches the driver is one number per vocabulary piece.
 
@@ -196,8 +197,8 @@ def _count(shard: int, payloads: list[bytes]) -> tuple[np.ndarray, np.ndarray, n
     return distinct, counts, buf, off, np.split(place, np.cumsum([len(p[0]) for p in parts])[:-1])
 
 
-def fit(sent: DataFrame, lattice: Lattice, logp: np.ndarray, rounds: int) -> tuple[np.ndarray, int, int, float]:
-    """Log probabilities of pieces, training tokens, distinct training words, and the end's log probability.
+def fit(sent: DataFrame, lattice: Lattice, logp: np.ndarray, rounds: int) -> tuple[np.ndarray, int, int, float, float]:
+    """Log probabilities of pieces, training tokens, distinct training words, the end's log probability, and the share of the vocabulary's arcs.
 
     sent: messages of all pieces; ends are counted from shard -1.
     """
@@ -209,11 +210,11 @@ def fit(sent: DataFrame, lattice: Lattice, logp: np.ndarray, rounds: int) -> tup
         known = counts > 0
         size = np.diff(off)[known]
         text = buf[kernel.take_ranges(off[:-1][known], size)]
-        return pa.table({"n": pa.array([int(counts.sum())]), "v": pa.array([int(known.sum())]), "payload": pa.array([pack(counts[known], size.astype(np.uint32), text)], pa.binary())})
+        return pa.table({"n": pa.array([int(counts.sum())]), "v": pa.array([int(known.sum())]), "once": pa.array([int((counts == 1).sum())]), "payload": pa.array([pack(counts[known], size.astype(np.uint32), text)], pa.binary())})
 
     ends = sent.filter("shard < 0")
-    vocabulary = materialise(sent.filter("shard >= 0").groupBy("shard").applyInArrow(words, "n long, v long, payload binary"), "lattice-words")
-    sums = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("v"), F.lit(0)).alias("v")).first()
+    vocabulary = materialise(sent.filter("shard >= 0").groupBy("shard").applyInArrow(words, "n long, v long, once long, payload binary"), "lattice-words")
+    sums = vocabulary.agg(*[F.coalesce(F.sum(x), F.lit(0)).alias(x) for x in ("n", "v", "once")]).first()
     n_ends = int(ends.agg(F.coalesce(F.sum("piece"), F.lit(0)).alias("n")).first()["n"])
     n, v = int(sums["n"]) + n_ends, int(sums["v"]) + (n_ends > 0)
     end = np.log((n_ends + 1) / (n + 2))
@@ -224,7 +225,7 @@ def fit(sent: DataFrame, lattice: Lattice, logp: np.ndarray, rounds: int) -> tup
             model, lp = names.value, given.value
             total = np.zeros(model.n + 256)
             for batch in batches:
-                for payload in batch.column(2).to_pylist():
+                for payload in batch.column("payload").to_pylist():
                     counts, size, text = unpack(payload)
                     off = np.concatenate([[0], np.cumsum(size.astype(np.int64))])
                     for i, j, buf, part in model.batches(text, off):
@@ -237,7 +238,15 @@ def fit(sent: DataFrame, lattice: Lattice, logp: np.ndarray, rounds: int) -> tup
         expected[rows["k"]] += rows["x"]
         logp = np.log(expected / (expected.sum() + n_ends + 1))
         end = np.log((n_ends + 1) / (expected.sum() + n_ends + 1))
-    return logp, n, v, float(end)
+    new = (int(sums["once"]) + 1) / (n + 1)
+    return logp, n, v, float(np.log((1 - new) * n_ends / max(n, 1) + new * np.exp(end))), new
+
+
+def with_word_arc(lattice_marginal: np.ndarray, counts: np.ndarray, n: int, new: float) -> np.ndarray:
+    """Log marginals over all arcs: the vocabulary's, of share new, and the word's own of its count in n training tokens."""
+    with np.errstate(divide="ignore"):  # a word that was not counted has no arc
+        own = np.log(counts * ((1 - new) / max(n, 1)))
+    return np.logaddexp(own, np.log(new) + lattice_marginal)
 
 
 def score_texts(docs: DataFrame, *, vocabulary: str = VOCABULARY, rounds: int = ROUNDS, piece_bytes: int = PIECE_BYTES, per_shard: int = WORDS_PER_SHARD) -> DataFrame:
@@ -255,13 +264,14 @@ def score_texts(docs: DataFrame, *, vocabulary: str = VOCABULARY, rounds: int =
         yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int64()), pa.array([ends], pa.int64()), pa.array([b""], pa.binary())], ["shard", "piece", "payload"])
 
     sent = materialise(each_piece(pieces, send, MESSAGE), "lattice-counts")
-    logp, n, v, end = fit(sent, lattice, first, rounds)
+    logp, n, v, end, new = fit(sent, lattice, first, rounds)
     model = spark.sparkContext.broadcast((lattice, logp))
 
     def answer(shard: int, ids: list[int], payloads: list[bytes]) -> list[bytes]:
         own, lp = model.value
         _, counts, buf, off, places = _count(shard, payloads)
         marginal = np.concatenate([np.zeros(0), *[own.run(b, o, lp)[0] for _, _, b, o in own.batches(buf, off)]])
+        marginal = with_word_arc(marginal, counts, n, new)
         return [pack(counts[p], marginal[p].astype(np.float32)) for p in places]
 
     answers = merge(sent.filter("shard >= 0"), answer)
