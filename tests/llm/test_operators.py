@@ -182,6 +182,21 @@ def test_language(spark, folder, docs):
     assert {r["lang_pred"] for r in language.identify(docs.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def test_language_learns_every_drawn_document_whole(spark):
+    r = random.Random(8)
+    texts = {lang: ["".join(r.choice(letters) for _ in range(n)) for n in [30_000] + [1500] * 20] for lang, letters in (("x", "abcdef "), ("y", "abcdef "))}
+    docs = spark.createDataFrame([(i, t, lang) for lang, own in texts.items() for i, t in enumerate(own)], "doc_id long, text string, lang string")
+    parsers = language.learn(docs)
+    train = {r["doc_id"] for r in docs.filter(language.split_of(F.col("doc_id"), language.FOLDS) != language.HELD_OUT).select("doc_id").collect()}
+    assert 0 in train and len(train) > 12
+    for lang, own in texts.items():
+        column = parsers.langs.index(lang)
+        for i in train - {0}:  # a text that was learnt whole is one phrase
+            buf, off = language.simplify(np.frombuffer(own[i].encode(), np.uint8), np.array([0, len(own[i])]))
+            assert parsers.phrases(buf, off)[0, column] == 1
+    assert {x["n"] for x in language.draw(docs, 5).groupBy("lang").agg(F.count("*").alias("n")).collect()} == {5}
+
+
 def test_suffix_automaton_parses_by_longest_match():
     r = random.Random(3)
     sample = "".join(r.choice("abc ") for _ in range(200)).encode()

@@ -6,11 +6,13 @@ and the language whose parse needs the fewest bits, phrases * log2(sample length
 
 Text is read as bytes of UTF-8: a-z after lower-casing A-Z and all bytes from 128 up stand for
 themselves, any run of other bytes is one gap.  Automata are tables whose entry holds the next state and whether a
-phrase ended, so many pieces of text step through them side by side.  Texts are parsed whole, in
+phrase ended, so many pieces of text step through them side by side; only states with several ways on have a row of their own,
+the others, most of them, are one number.  Texts are parsed whole, in
 pieces of PIECE bytes whose phrases are added up; a piece's edge ends a phrase in every language alike.
 
-The sample is a documented bound: about SAMPLE_DOCS training documents a language, by hash of the id,
-of whose texts the first SAMPLE_BYTES together are learnt.  The automata, at most 2 * SAMPLE_BYTES states a language, are what is broadcast.
+The sample is a documented bound of rows, the parameter sample_docs: that many training documents a language, or all if there
+are fewer, by hash of the id.  Every drawn document is learnt whole, however long.  The automata, at most two states
+a byte drawn, are built one after another on the driver and are what is broadcast.
 
 Cases: null texts and texts without a letter are `und` with score 0, as is everything if no language can be learnt;
 equal lengths of parse go to the first language by code point; a null id hashes as the empty text; repeated rows are predicted each; an
@@ -23,20 +25,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import kernel
 from .common import ready, split_of
 
 SAMPLE_DOCS = 64
-SAMPLE_BYTES = 20_000
 PIECE = 2048
 SLICE = 4 << 20
 FOLDS, HELD_OUT = 4, 2
 #: Bits a byte by which a language must be better for its share of the score to be e times another's.
 SHARPNESS = 8.0
 UND = "und"
+#: In the low bits of a state's number: it has no single way on, but a row of the table.
+BITS = 9
+SEVERAL = (1 << BITS) - 1
 _OWN = np.zeros(256, bool)
 _OWN[0x61:0x7B] = True
 _OWN[0x80:] = True
@@ -83,7 +87,10 @@ def suffix_automaton(text: bytes) -> list[dict[int, int]]:
 
 
 class Parsers:
-    """Automata of all languages in one table over the bytes seen in any sample."""
+    """Automata of all languages over the bytes seen in any sample.
+
+    A state with one way on is the number of the state there and its byte's place; any other is the number of its row in the table.
+    """
 
     def __init__(self, samples: dict[str, bytes]):
         self.langs = sorted(samples)
@@ -91,21 +98,31 @@ class Parsers:
         self.place = np.full(256, len(seen), np.int64)  # the last place: bytes in no sample
         self.place[seen] = np.arange(len(seen))
         self.width = len(seen) + 1
-        rows, self.start, self.bits = [], [], []
-        base = 0
+        place = self.place.tolist()
+        rows, numbers, self.start, self.miss, self.bits = [], [], [], [], []
+        base = first = 0
         for lang in self.langs:
             states = suffix_automaton(samples[lang])
-            own = np.full((len(states), self.width), -1, np.int64)
-            for s, out in enumerate(states):
-                if out:
-                    own[s, self.place[list(out)]] = list(out.values())
-            root = np.where(own[0] >= 0, own[0], 0)  # after a phrase ends, its successor starts with the byte at hand
-            table = np.where(own >= 0, own * 2, root[None, :] * 2 + 1) + 2 * base
-            rows.append(table.astype(np.int32))
+            many = [s for s, out in enumerate(states) if len(out) > 1]
+            # After a phrase ends, its successor starts with the byte at hand.
+            ended = np.ones(self.width, np.int64)
+            for c, to in states[0].items():
+                ended[place[c]] = to * 2 + 1
+            own = np.repeat(ended[None, :], len(many) + 1, axis=0)  # row 0: of states that cannot go on
+            number = np.fromiter(((base + next(iter(out.values()))) << BITS | place[next(iter(out))] if len(out) == 1 else first << BITS | SEVERAL for out in states), np.int64, len(states))
+            for r, s in enumerate(many, 1):
+                number[s] = (first + r) << BITS | SEVERAL
+                for c, to in states[s].items():
+                    own[r, place[c]] = to * 2
+            rows.append((own + 2 * base).astype(np.int32))
+            numbers.append(number)
             self.start.append(base)
+            self.miss.append(first)
             self.bits.append(np.log2(max(len(samples[lang]), 2)))
             base += len(states)
+            first += len(own)
         self.table = np.concatenate(rows).ravel() if rows else np.zeros(0, np.int32)
+        self.number = np.concatenate(numbers) if numbers else np.zeros(0, np.int64)
 
     def phrases(self, buf: np.ndarray, off: np.ndarray) -> np.ndarray:
         """Phrases of each document in each language."""
@@ -118,12 +135,17 @@ class Parsers:
         size = np.minimum(PIECE, off[1:][doc] - begin)
         order = np.argsort(-size, kind="stable")
         begin, size, doc = begin[order], size[order], doc[order]
-        place = self.place[buf].astype(np.int32)
-        state = np.repeat(np.array(self.start, np.int32)[:, None], len(doc), axis=1)
+        place = self.place[buf]
+        state = np.repeat(np.array(self.start, np.int64)[:, None], len(doc), axis=1)
+        miss = np.array(self.miss, np.int64)[:, None]
         ended = np.ones((n, len(doc)), np.int32)  # the phrase at the piece's end
         live = np.searchsorted(-size, -np.arange(int(size[0]) if len(size) else 0), side="left")
         for t, k in enumerate(live):
-            step = self.table[state[:, :k] * np.int32(self.width) + place[begin[:k] + t]]
+            byte = place[begin[:k] + t]
+            number = self.number[state[:, :k]]
+            single, to = number & SEVERAL, number >> BITS
+            row = np.where(single == SEVERAL, to, miss)
+            step = np.where(single == byte, to * 2, self.table[row * self.width + byte])
             ended[:, :k] += step & 1
             state[:, :k] = step >> 1
         return np.array([np.bincount(doc, e, docs) for e in ended]).T.reshape(docs, n)
@@ -140,27 +162,32 @@ class Parsers:
         return np.concatenate(best), np.concatenate(share)
 
 
-def learn(docs: DataFrame) -> Parsers:
-    """Parsers of a bounded sample of the rows with text and lang outside the held-out fold."""
+def draw(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
+    """lang, text, place: sample_docs rows a language with text and lang outside the held-out fold, by hash of the id."""
     known = docs.filter("text IS NOT NULL AND lang IS NOT NULL").filter(split_of(F.col("doc_id"), FOLDS) != HELD_OUT)
     counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if not counts:
-        return Parsers({})
     share = F.lit(0.0)
     for lang, n in sorted(counts.items()):
-        share = F.when(F.col("lang") == lang, F.lit(min(1.0, SAMPLE_DOCS / n))).otherwise(share)
-    draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    rows = known.filter(draw < share).select("lang", "text", draw.alias("draw"), "doc_id").toPandas()
+        # More than are wanted, so that enough hash below; the smallest of them are kept.
+        share = F.when(F.col("lang") == lang, F.lit(min(1.0, (2 * sample_docs + 32) / n))).otherwise(share)
+    key = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    rows = known.select("lang", "text", key.alias("key"), "doc_id").filter(F.col("key") < share)
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("key", "doc_id", "text"))
+    return rows.select("lang", "text", place.alias("place")).filter(F.col("place") <= sample_docs)
+
+
+def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Parsers:
+    """Parsers of the drawn rows' whole texts."""
     samples: dict[str, bytes] = {}
-    for lang, own in rows.sort_values(["draw", "doc_id", "text"]).groupby("lang"):
+    for lang, own in draw(docs, sample_docs).toPandas().sort_values(["lang", "place"]).groupby("lang"):
         raw = np.frombuffer("\n".join(own["text"]).encode(), np.uint8)
-        samples[lang] = simplify(raw, np.array([0, len(raw)]))[0][:SAMPLE_BYTES].tobytes()
+        samples[lang] = simplify(raw, np.array([0, len(raw)]))[0].tobytes()
     return Parsers({k: v for k, v in samples.items() if v.strip()})
 
 
-def identify(docs: DataFrame) -> DataFrame:
+def identify(docs: DataFrame, *, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
     """doc_id, held_out, lang_pred, score: one row per row of docs."""
-    model = ready(docs.sparkSession).sparkContext.broadcast(learn(docs))
+    model = ready(docs.sparkSession).sparkContext.broadcast(learn(docs, sample_docs))
     rows = docs.select(
         "doc_id",
         (split_of(F.col("doc_id"), FOLDS) == HELD_OUT).alias("held_out"),
