@@ -280,6 +280,18 @@ def test_html_reader():
     assert [b.text for b in html_extract.read_blocks("a < b <p title='>'>c</p></div>d")] == ["a < b", "c", "d"]
 
 
+def test_html_reader_goes_on_after_unseen_elements_without_end():
+    def texts(html):
+        return [b.text for b in html_extract.read_blocks(html)]
+
+    for empty in ("<svg/>", '<svg width="2" a="b=c" />', '<SVG class="i"/>', "<math/>", "<svg>", "<video src=a>", "<canvas>", "<object>", "<template>"):
+        assert texts(f"<p>one</p>{empty}<p>two</p>{empty}<p>three</p>") == ["one", "two", "three"]
+    assert texts("<p>one</p><svg/><p>two</p><svg><text>no</text></svg><p>three</p>") == ["one", "two", "three"]
+    assert texts("<p>one</p><svg width=2/><text>no</text></svg><p>two</p>") == ["one", "two"]
+    for tag in ("script", "style", "title", "iframe", "noscript"):
+        assert texts(f"<p>one</p><{tag}>a<p>two</p>") == ["one"] and texts(f"<p>one</p><{tag}/>a<p>two</p>") == ["one"]
+
+
 def test_viterbi_is_the_best_path():
     from itertools import product
 

@@ -9,8 +9,9 @@ same element; weights are fitted by maximum likelihood on labelled pages (html_p
 The model is a table of a few hundred weights, trained on the driver from a fixed number of pages.
 Every page is read whole, alone, in one pass; nothing is shuffled.
 
-Cases: null and blank html give the empty text; unclosed and stray tags are mended as browsers do for paragraphs, lists and tables; a comment, script
-or style without end runs to the page's end; character references are decoded; repeated rows are read each;
+Cases: null and blank html give the empty text; unclosed and stray tags are mended as browsers do for paragraphs, lists and tables; a comment, script,
+style, title, iframe or noscript without end runs to the page's end, any other unseen element without end is passed over as its start tag alone;
+a self-closed svg or math is empty; character references are decoded; repeated rows are read each;
 an empty table gives an empty result; other columns, whatever their names, are ignored.
 """
 
@@ -37,6 +38,9 @@ L2 = 2e-4
 # HTML's elements by how they are read.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 UNSEEN = frozenset("script style template svg math iframe object noscript title canvas audio video".split())
+#: Of these, what holds text only, which runs to the page's end if it has no end; and what is empty where it closes itself.
+RAW_TEXT = frozenset("script style title iframe noscript".split())
+FOREIGN = frozenset(["svg", "math"])
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 #: A start tag of the key ends an open element of the value, if none of the stops stands between.
 _TEXT_BLOCKS = "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split()
@@ -48,6 +52,8 @@ STEMS = "advert sponsor promo banner cookie consent notice comment respon repl d
 
 TOKEN = re.compile(r"<!--|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)>|<[!?/][^>]*>", re.S)
 ATTRIBUTE = re.compile(r"(class|id|role|hidden|style|data-y)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?(?=[\s/]|$)", re.I)
+#: A slash at the end of a start tag that belongs to an unquoted value, so that the tag does not close itself.
+UNQUOTED = re.compile(r"=\s*[^\s\"']*/$")
 SPACES = re.compile(r"\s+")
 NAME_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
@@ -83,6 +89,7 @@ def read_blocks(html: str) -> list[Block]:
     path: list[tuple[str, str]] = []
     numbers: list[int] = [0]
     text: list[str] = []
+    endless: set[str] = set()
     linked = links = number = at = 0
 
     def end_block() -> None:
@@ -138,8 +145,15 @@ def read_blocks(html: str) -> list[Block]:
             close(to)
             continue
         if tag in UNSEEN:
+            if tag in endless or (tag in FOREIGN and m.group(3).endswith("/") and not UNQUOTED.search(m.group(3))):
+                continue
             stop = re.compile(rf"</{tag}\s*>", re.I).search(html, at)
-            at = n if stop is None else stop.end()
+            if stop is not None:
+                at = stop.end()
+            elif tag in RAW_TEXT:
+                at = n
+            else:
+                endless.add(tag)  # none of its further start tags has an end either
             continue
         if tag in VOID:
             if tag == "br":
