@@ -1,12 +1,13 @@
 """Language-model scoring by subword lattices.
 
-The pieces of a public unigram-scored subword vocabulary span a lattice over each word; every path is a segmentation, its
+The pieces of a public subword vocabulary span a lattice over each word; every path is a segmentation, its
 probability the product of its pieces' probabilities, and a forward recursion in log space sums them
 all.  A text is its lower-cased words, each led by the vocabulary's word-start mark, and one end; as no path crosses a mark, its marginal
 probability is the product of its words' marginals and the end's.  Any byte is also a piece, so every word has a path.
 
-The vocabulary's own scores (ranks) give the first probabilities; ROUNDS rounds of expectation-maximisation over the words of all
-training documents then fit them.  A word of the training documents spans its lattice with one more arc, of its share of all
+The vocabulary is a BPE model: its scores are merge ranks only, not unigram scores.  1 / (rank + 50) gives the first probabilities;
+ROUNDS rounds of expectation-maximisation over the words of all training documents then take their place, so that with rounds
+the file's scores weight nothing in the result.  A word of the training documents spans its lattice with one more arc, of its share of all
 training tokens; that of words seen once goes to the vocabulary's arcs, which new words have alone (Good-Turing).  Words are counted by shards of the word space (see pieces): every piece of
 documents sends its distinct words with their training counts, shards add them up, run the recursion once per distinct word, and answer with
 each word's count and marginal.  What reaches the driver is one number per vocabulary piece.
