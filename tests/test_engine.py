@@ -127,6 +127,16 @@ def test_quantisation_of_constant_and_positive_dimensions(spark):
     assert abs(approx[1][1] - 20) < 0.05 and abs(approx[0][1] - 10) < 0.05
 
 
+def test_rerank_keeps_every_row_within_the_error_of_the_codes(spark):
+    # All but two rows fall on one code; the nearest has the largest id, so a fixed number of candidates misses it.
+    rows = [(i, [0.4 - i * 0.001, 0.0], 0, 0) for i in range(100)] + [(200, [-1000.0, 0.0], 0, 0), (201, [1000.0, 0.0], 0, 0)]
+    p, q = points(spark, rows), asked(spark, (0, [0.3, 0.0], None, None, None, None))
+    q = q.withColumn("qvec", F.array(F.lit(0.301), F.lit(0.0)))
+    exact = V.quantisation(p, clamp=False)
+    got = Q.from_codes(V.quantised(p, exact), p, exact, q, 3, 10)
+    assert ids(got) == ids(Q.exact(p, q, 0, 3)) == [(0, 99), (0, 98), (0, 97)]
+
+
 def test_graphs_beam_and_full_graph(spark):
     g = R.equi_depth(small(spark), [2, 2])
     edges, cross = G.cell_graph(g, 4), G.cross_edges(g, 2, block=16)
