@@ -150,6 +150,14 @@ def test_graphs_beam_and_full_graph(spark):
     assert ids(got) == want
 
 
+def test_full_graph_search_goes_on_until_no_row_is_left_to_expand(spark):
+    n = 36  # a chain of more hops than a fixed number of rounds would go
+    p = points(spark, [(i, [float(i)], 0, 0) for i in range(n)]).coalesce(1)
+    edges = spark.createDataFrame([(i, i + 1) for i in range(n - 1)], "src long, dst long").coalesce(1)
+    q = asked(spark, (0, [float(n)], None, None, None, None))
+    assert ids(Q.over_graph(p, edges, q, p.filter("id = 0").select("id"), 2, 2, width=2)) == [(0, n - 1), (0, n - 2)]
+
+
 def test_beam_misses_a_component_but_a_wide_one_does_not():
     x = np.array([[0.0], [0.1], [5.0], [5.1]])
     adjacency = [np.array([1]), np.array([0]), np.array([3]), np.array([2])]
