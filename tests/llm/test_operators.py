@@ -280,6 +280,40 @@ def test_html_reader():
     assert [b.text for b in html_extract.read_blocks("a < b <p title='>'>c</p></div>d")] == ["a < b", "c", "d"]
 
 
+def test_html_reader_against_a_plain_one():
+    r = random.Random(4)
+    parts = ["<p>", "</p>", '<div class="a">', "</div>", "<a href='x>y'>", "</a>", "<a ", "'x' ", '"', "'", "=", "<", "<!", "<!--", "-->", "<svg/>", "<svg a=b/>", "</svg>", "<script>", "</script>", "<br/>", "<li>", "<ul>", "</ul>", "text ", "w&amp;x ", "<td>", "<tr>", "<table>", "</b>", "<b>", "\n", ">", "/", "<h1>", "</", "<?x", "<span hidden>", "<math />", "<object>"]
+    for _ in range(4000):
+        page = "".join(r.choice(parts) for _ in range(r.randint(1, 25)))
+        got = [(b.text, b.path, b.linked, b.container) for b in html_extract.read_blocks(page)]
+        assert got == brute.page_blocks(page), page
+
+
+def test_html_extraction_against_a_plain_one():
+    import pyarrow.parquet as pq
+
+    model = html_extract.trained()
+    pages = pq.read_table("/root/testdata/sf0.01/pages.parquet")["html"].to_pylist()
+    assert all(model.extract(p) == brute.main_text(p, model, html_extract) for p in [*pages, *html_pages.labelled_pages(60, seed=5), None, ""])
+
+
+@pytest.mark.parametrize(
+    "page",
+    ["<p>text <a " + "'x' " * 100_000, "<a" * 500_000, "<a " * 300_000, "<!" * 500_000, '<a ="> <a " ' * 80_000, "<b>" * 150_000 + "x</i>" * 50_000, "<h1>x" * 100_000, "<p " + "class=" * 150_000 + '">x', "&#" + "9" * 1_000_000 + ";", "<script" * 100_000, "word " * 2_000_000, "<svg " + "=a" * 200_000 + " x/>t"],
+    ids=["unclosed quotes", "a in a", "a without end", "declarations", "quotes that hide ends", "deep", "deep headings", "attributes", "digits", "scripts", "10 MB of text", "values"],
+)
+def test_html_reader_takes_time_in_proportion(page):
+    import time
+
+    began = time.process_time()
+    html_extract.trained().label(html_extract.read_blocks(page))
+    assert time.process_time() - began < 10
+
+
+def test_html_references_of_many_digits():
+    assert [b.text for b in html_extract.read_blocks("<p>&#" + "0" * 5000 + "65; &#x" + "f" * 5000 + "; &#00000038;lt;")] == ["A \ufffd &lt;"]
+
+
 def test_html_reader_goes_on_after_unseen_elements_without_end():
     def texts(html):
         return [b.text for b in html_extract.read_blocks(html)]
