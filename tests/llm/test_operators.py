@@ -101,9 +101,43 @@ def test_substring(spark, folder, docs):
     assert by_id(small.withColumn("s", F.sha2(F.col("text").cast("binary"), 256)), "n_words", "n_removed", "s") == want
 
 
-def test_exact_dedup_compares_full_texts_when_digests_collide(docs):
+def test_exact_dedup_compares_full_texts_when_digests_collide(docs, tmp_path):
+    right = by_id(exact_dedup.exact_dedup(docs), "keep_id", "group_size", "kept", "text_sha256")
+    assert by_id(exact_dedup.exact_dedup(docs, digest_bytes=1), "keep_id", "group_size", "kept", "text_sha256") == right
+    rows, at = exact_dedup.plain_read(docs)
+    assert by_id(exact_dedup.exact_dedup(rows, located=at, digest_bytes=1), "keep_id", "group_size", "kept", "text_sha256") == right
+    half = docs.filter("doc_id % 2 = 0")
+    exact_dedup.exact_dedup(docs.filter("doc_id % 2 = 1"), state_path=f"file://{tmp_path}/state", digest_bytes=1).count()
+    got = by_id(exact_dedup.exact_dedup(half, state_path=f"file://{tmp_path}/state", digest_bytes=1), "keep_id", "group_size", "kept", "text_sha256")
+    assert got == {i: x for i, x in right.items() if i % 2 == 0}
+
+
+def test_exact_dedup_state_takes_batches_and_arrivals(spark, docs, tmp_path):
+    path = f"file://{tmp_path}/state"
     right = by_id(exact_dedup.exact_dedup(docs), "keep_id", "group_size", "kept")
-    assert by_id(exact_dedup.exact_dedup(docs, digest_bytes=1), "keep_id", "group_size", "kept") == right
+    assert by_id(exact_dedup.exact_dedup(docs.repartition(3), files_per_trigger=1), "keep_id", "group_size", "kept") == right
+    first, second = docs.filter("doc_id < 90").repartition(2), docs.filter("doc_id >= 90")
+    plain = {}
+    for i, t in PAIRS:
+        if i < 90:
+            plain.setdefault(t or "", []).append(i)
+    assert by_id(exact_dedup.exact_dedup(first, state_path=path, arrival="one", files_per_trigger=1), "keep_id", "group_size") == {i: (max(g), len(g)) for g in plain.values() for i in g}
+    for _ in range(2):  # the second time its rows are not counted again
+        got = by_id(exact_dedup.exact_dedup(second, state_path=path, arrival="two"), "keep_id", "group_size", "kept")
+        assert got == {i: x for i, x in right.items() if i >= 90}
+    kept = exact_dedup.keep_one(docs.filter("doc_id IN (3, 7, 18)"), state_path=path, arrival="two more")  # each seen before under its id: the later place stays
+    assert kept.columns == docs.columns and kept.count() == sum(right[i][0] == i for i in (3, 7, 18))
+
+
+def test_exact_dedup_of_rows_that_share_a_place_in_a_file(spark, tmp_path):
+    spark.createDataFrame([(1, "a|b|a"), (2, "c|b"), (3, "d")], "doc_id long, text string").write.parquet(f"{tmp_path}/t")
+    split = spark.read.parquet(f"{tmp_path}/t").select("doc_id", F.explode(F.split("text", "[|]")).alias("text"))
+    assert sorted(r["text"] for r in exact_dedup.keep_one(split).collect()) == ["a", "b", "c", "d"]
+    assert sorted((r["text_sha256"], r["group_size"]) for r in exact_dedup.exact_dedup(split).filter("kept").collect()) == sorted((brute.sha(t), n) for t, n in (("a", 2), ("b", 2), ("c", 1), ("d", 1)))
+    named = split.withColumn("_metadata", F.lit(1)).withColumn("a.b", F.lit(2)).withColumn("doc", F.lit(3)).withColumn("_flag", F.lit(4))
+    assert exact_dedup.keep_one(named).columns == named.columns and exact_dedup.keep_one(named).count() == 4
+    drawn = spark.read.parquet(f"{tmp_path}/t").sample(0.7, seed=3)
+    assert exact_dedup.keep_one(drawn).count() == drawn.count()
 
 
 def test_exact_dedup_of_repeated_rows_and_null_ids(spark):

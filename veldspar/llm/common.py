@@ -8,7 +8,11 @@ from pyspark.sql import functions as F
 from ..shipping import ship
 from ..storage import materialise, scratch, shared_dir
 
-__all__ = ["materialise", "ready", "scratch", "shared_dir", "shuffle_partitions", "split_of", "table", "text_or_empty"]
+__all__ = ["free_name", "materialise", "possible", "quoted", "ready", "scratch", "shared_dir", "shuffle_partitions", "split_of", "table", "text_or_empty", "without"]
+
+#: Bits of a sieve at most: 8 MB, whatever the tables' size, and keys beyond which a sieve would let most rows through.
+SIEVE_BITS = 26
+SIEVE_KEYS = 1 << 25
 
 
 def ready(spark: SparkSession) -> SparkSession:
@@ -32,3 +36,50 @@ def split_of(doc_id: Column, mod: int) -> Column:
 
 def text_or_empty(text: Column) -> Column:
     return F.coalesce(text, F.lit(""))
+
+
+def free_name(columns: list[str], name: str) -> str:
+    while name in columns:
+        name += "_"
+    return name
+
+
+def quoted(name: str) -> Column:
+    """The column of exactly this name, dots and all."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def _sifted(rows: DataFrame, key: str, keys: DataFrame) -> tuple[DataFrame, str] | None:
+    """rows with a flag that is false only if the row's key is not among keys; None if there are too many keys for that to help.
+
+    The keys' hashes are marked in a bitmap of at most 2**SIEVE_BITS bits, the proven bound of what is broadcast.
+    """
+    n = keys.count()
+    if n > SIEVE_KEYS:
+        return None
+    bits = min(SIEVE_BITS, max(15, (16 * n).bit_length()))
+    place, bucket, marks, flag = (free_name(rows.columns, x) for x in ("_place", "_bucket", "_marks", "_flag"))
+    hashed = F.pmod(F.xxhash64(key), F.lit(1 << bits))
+    own = keys.select(hashed.alias(place))
+    bitmap = own.groupBy(F.bitmap_bucket_number(place).alias(bucket)).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias(marks))
+    at = F.bitmap_bit_position(place)
+    byte = F.conv(F.hex(F.substring(marks, F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    marked = F.coalesce(F.getbit(byte, (at % 8).cast("int")) == 1, F.lit(False))
+    placed = rows.withColumn(place, hashed).withColumn(bucket, F.bitmap_bucket_number(place))
+    return placed.join(F.broadcast(bitmap), bucket, "left").withColumn(flag, marked).drop(place, bucket, marks), flag
+
+
+def possible(rows: DataFrame, key: str, keys: DataFrame) -> DataFrame:
+    """The rows whose key (a column of both) is among keys, and a few others, without a shuffle of the rows; all rows if keys are very many."""
+    sifted = _sifted(rows, key, keys)
+    return rows if sifted is None else sifted[0].filter(F.col(sifted[1])).drop(sifted[1])
+
+
+def without(rows: DataFrame, key: str, gone: DataFrame) -> DataFrame:
+    """The rows whose key is not in gone (key); only rows that a sieve does not clear are shuffled.  rows is read twice, so it must be repeatable."""
+    sifted = _sifted(rows, key, gone)
+    if sifted is None:
+        return rows.join(gone.hint("shuffle_hash"), key, "left_anti")
+    flagged, flag = sifted
+    clear = flagged.filter(~F.col(flag)).drop(flag)
+    return clear.unionByName(flagged.filter(F.col(flag)).drop(flag).join(gone.hint("shuffle_hash"), key, "left_anti").select(*map(quoted, clear.columns)))

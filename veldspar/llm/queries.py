@@ -15,7 +15,8 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup.exact_dedup(table(spark, sf_dir, "documents")).drop("file", "row")
+    rows, at = exact_dedup.plain_read(table(spark, sf_dir, "documents"))
+    return exact_dedup.exact_dedup(rows, located=at).drop("file", "row")
 
 
 def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
