@@ -56,9 +56,10 @@ def folder(spark, tmp_path_factory):
     docs = spark.createDataFrame(ROWS, DOCS)
     docs.select("*", *[F.lit("x").alias(c) for c in CLASHING]).repartition(3).write.parquet(f"{root}/documents.parquet")
     items = [(1, " ".join(ROWS[4][1].split()[3:40])), (2, ROWS[154][1][:400]), (3, "One"), (4, None), (5, ""), (6, " ".join(ROWS[30][1].split()[:5])), (7, " ".join(ROWS[8][1].split()[-20:]) + " tail")]
-    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{root}/benchmark.parquet")
+    extra = [F.lit("x").alias(c) for c in ("block", "source", "n_words", "doc_id", "_row")]
+    spark.createDataFrame(items, "item_id long, text string").select("*", *extra).write.parquet(f"{root}/benchmark.parquet")
     labels = [(i, int(i % 10 != 0), 0) for i in range(150) if i % 4] + [(7, 1, 1), (999, 1, 0), (None, 0, 0)]
-    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{root}/labels.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").select("*", *[F.lit("x").alias(c) for c in ("text", "source", "size", "key", "w")]).write.parquet(f"{root}/labels.parquet")
     pages = [(i, f"https://Site{i % 2}.example/{i}", f"<html><body><nav><a href='/'>Home</a></nav><p>About us {i % 2}</p><p>Text <b>number</b> {i}</p><script>Home</script></body></html>") for i in range(12)]
     pages += [(20, None, "<p>Alone</p>"), (21, "https://site0.example/x", None), (22, "no host", ""), (20, None, "<p>Alone</p>")]
     spark.createDataFrame(pages, "page_id long, url string, html string").select("*", F.lit(1).alias("lines"), F.lit(2).alias("host")).write.parquet(f"{root}/pages.parquet")
@@ -196,6 +197,35 @@ def test_decontamination(spark, folder, docs):
         assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == clean
 
 
+def test_decontamination_of_repeated_words(spark):
+    r = random.Random(6)
+
+    def text(words, n):
+        return " ".join(r.choice(words) for _ in range(n))
+
+    items, rows = [], []
+    for i in range(12):
+        words = ["a", "b", "c"][: 1 + i % 3]
+        items.append((i, text(words, r.choice([1, 5, 12, 13, 14, 30]))))
+        rows += [(10 * i + j, f"{text(words, 60)} {items[-1][1]} {text(['x', 'y'], 20)}") for j in range(3)]
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    columns = ("n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+    for block in (1 << 20, 60):
+        assert by_id(decontaminate.contamination(docs, bench, block_bytes=block), *columns) == brute.contamination(rows, items)
+
+
+def test_decontamination_of_one_word_over_and_over_takes_time_in_proportion():
+    import time
+
+    import pyarrow as pa
+
+    index = decontaminate.Index(["1"], pa.array(["a " * 10_000]))
+    began = time.process_time()
+    (found,) = decontaminate._spans(pa.array(["a " * 500_000]), index)
+    assert decontaminate._judge(*found) == ([500_000], ["1"], [1])
+    assert time.process_time() - began < 10
+
+
 def test_quality(spark, folder, docs):
     rows = {r["doc_id"]: r for r in queries.op5_quality(spark, folder).collect()}
     assert len(rows) == len(ROWS) and all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.5) for r in rows.values())

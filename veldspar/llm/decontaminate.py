@@ -2,13 +2,15 @@
 
 Words are runs of letters and digits, lower-cased A-Z.  A window is WINDOW consecutive words of one
 item; an item of fewer words is one window.  Of the hashes of K consecutive words the least in each
-W consecutive ones are kept as fingerprints, in documents and items alike.  With K + W - 1 = WINDOW every shared
-span of WINDOW words holds a shared fingerprint; each match of fingerprints is extended word by word to
-both sides, and spans of at least WINDOW words are hits.  Short items are matched by the hash of
-all their words, which is winnowing with K as long as the item and W = 1.
+W consecutive ones, the last of several as small, is kept as a fingerprint, in documents and items alike.  With K + W - 1 = WINDOW every shared
+span of WINDOW words holds a shared fingerprint at the same place.  A document's fingerprints are joined with the items';
+each match is extended to all windows over it, which are compared with the items' windows, first by hash and then word by word, and neighbouring windows
+that match make up the extended span.  A window is compared once however many places of items it matches, so time grows with the words of the
+document, not with pairs of places.  Short items are matched by the hash of all their words, which is winnowing with K as long as the item and W = 1.
 
-Documents are read once and not shuffled.  The items are taken in blocks of at most BLOCK_BYTES of text,
-a proven bound on what is broadcast; with more than one block the documents are read once a block and their hit spans merged.
+Documents are not shuffled.  The items are taken in blocks of at most BLOCK_BYTES of text, a proven bound on what is broadcast:
+with more than one block they are taken one after another, each block's spans are written and its broadcast is destroyed before the
+next one is built, and the spans are merged by document.
 
 Cases: null and wordless texts have no words and no hits; null and wordless items have no windows; several rows of one item_id
 are parts of one item, each with its own windows, a null item_id is the id ''; repeated document rows are judged each; empty tables give empty
@@ -18,7 +20,7 @@ results or no hits; other columns, whatever their names, are ignored.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,42 +28,45 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel
-from .common import materialise, ready
+from .common import free_name, materialise, ready, without
 
 WINDOW = 13
 K = 7
 W = WINDOW - K + 1
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 16 << 20
 SEED = 6
 #: A document is contaminated if at least one in RATIO words is hit.
 RATIO = 20
-#: Matches extended at one time.
-AT_ONCE = 1 << 18
 
 
-def winnow(hashes: np.ndarray, word_off: np.ndarray, roller: kernel.Roller) -> tuple[np.ndarray, np.ndarray]:
-    """Word index and hash of the fingerprints of all documents."""
-    at, goff = kernel.gram_starts(word_off, K)
-    grams = roller.grams(hashes, at, K)
-    first, _ = kernel.gram_starts(goff, W)
-    if not len(first):
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    least = np.lib.stride_tricks.sliding_window_view(grams, W).min(axis=1)[first] if len(first) < len(grams) // 4 else _sliding_min(grams, W)[first]
+def winnow(grams: np.ndarray, gram_off: np.ndarray) -> np.ndarray:
+    """Which grams are fingerprints: in each W consecutive ones of a document the last that is the least."""
+    first, _ = kernel.gram_starts(gram_off, W)
     keep = np.zeros(len(grams), bool)
-    for d in range(W):
-        keep[first + d] |= grams[first + d] == least
-    return at[keep], grams[keep]
-
-
-def _sliding_min(x: np.ndarray, w: int) -> np.ndarray:
-    out = x[: len(x) - w + 1].copy()
-    for d in range(1, w):
-        np.minimum(out, x[d : len(x) - w + 1 + d], out=out)
-    return out
+    if not len(first):
+        return keep
+    least, last = grams[first], np.zeros(len(first), np.int64)
+    for d in range(1, W):
+        now = grams[first + d]
+        last[now <= least] = d
+        least = np.minimum(least, now)
+    keep[first + last] = True
+    return keep
+
+
+def _grouped(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys, and offsets into the distinct values of each."""
+    order = np.lexsort((values, keys))
+    keys, values = keys[order], values[order]
+    new = np.ones(len(keys), bool)
+    new[1:] = (keys[1:] != keys[:-1]) | (values[1:] != values[:-1])
+    keys, values = keys[new], values[new]
+    distinct, first = np.unique(keys, return_index=True)
+    return distinct, np.append(first, len(keys)), values
 
 
 class Index:
-    """Fingerprints, short items and word hashes of a block of items."""
+    """Fingerprints, windows and short items of a block of items."""
 
     def __init__(self, ids: list[str], texts: pa.Array):
         self.roller = kernel.Roller(SEED)
@@ -70,66 +75,67 @@ class Index:
             h, woff = words(buf, off, self.roller)
             hashes.append(h)
             offs.append(woff[1:] + offs[-1][-1])
-        self.hashes, self.off, self.ids = np.concatenate(hashes), np.concatenate(offs), np.array(ids, dtype=object)
-        self.item_of = np.repeat(np.arange(len(ids)), np.diff(self.off))
-        at, h = winnow(self.hashes, self.off, self.roller)
-        order = np.argsort(h, kind="stable")
-        self.places = at[order]
-        self.prints, self.from_ = np.unique(h[order], return_index=True)
-        self.to = np.append(self.from_[1:], len(h))
-        self.short: list[tuple[int, np.ndarray, np.ndarray]] = []
-        size = np.diff(self.off)
+        self.words, off, self.ids = np.concatenate(hashes), np.concatenate(offs), np.array(ids, dtype=object)
+        at, goff = kernel.gram_starts(off, K)
+        grams = self.roller.grams(self.words, at, K)
+        self.prints = np.unique(grams[winnow(grams, goff)])
+        at, woff = kernel.gram_starts(off, WINDOW)
+        windows = self.roller.grams(self.words, at, WINDOW)
+        # Windows by hash, the items that have each, and one place of each.
+        self.windows, self.to, self.items = _grouped(windows, np.repeat(np.arange(len(ids)), np.diff(woff)))
+        self.place = at[np.unique(windows, return_index=True)[1]]
+        self.short: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]] = []
+        size = np.diff(off)
         for n in sorted({int(x) for x in size if 0 < x < WINDOW}):
             items = np.flatnonzero(size == n)
-            whole = self.roller.grams(self.hashes, self.off[items], n)
-            order = np.argsort(whole, kind="stable")
-            self.short.append((n, whole[order], items[order]))
-
-    def hits(self, hashes: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Start and length of hit spans and the item (row of the block), in words of all documents."""
-        found = [(np.zeros(0, np.int64),) * 3]
-        at, h = winnow(hashes, off, self.roller)
-        for lo in range(0, len(at), AT_ONCE) if len(self.prints) else ():
-            a, x = at[lo : lo + AT_ONCE], h[lo : lo + AT_ONCE]
-            i = np.minimum(np.searchsorted(self.prints, x), len(self.prints) - 1)
-            same = self.prints[i] == x
-            a, i = a[same], i[same]
-            count = self.to[i] - self.from_[i]
-            ends = np.cumsum(count)
-            begin = 0
-            while begin < len(a):  # a bounded number of pairs of places at one time
-                end = max(begin + 1, int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + AT_ONCE, side="right")))
-                part = slice(begin, end)
-                found.append(self._extend(hashes, off, np.repeat(a[part], count[part]), self.places[kernel.take_ranges(self.from_[i[part]], count[part])]))
-                begin = end
-        for n, whole, items in self.short:
+            self.short.append((n, *_grouped(self.roller.grams(self.words, off[items], n), items)))
+
+    def hits(self, hashes: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Start and length of hit spans, in words of all documents, and distinct pairs of a document and an item (row of the block)."""
+        starts, lengths, docs, items = ([np.zeros(0, np.int64)] for _ in range(4))
+
+        def add(at: np.ndarray, place: np.ndarray, n: int, to: np.ndarray, of: np.ndarray) -> None:
+            """Windows of n words that begin at `at` (ascending) and match the index's window `place`."""
+            if not len(at):
+                return
+            doc = np.searchsorted(off, at, side="right") - 1
+            joined = np.flatnonzero(np.append(True, (at[1:] > at[:-1] + 1) | (doc[1:] > doc[:-1])))
+            last = np.append(joined[1:], len(at)) - 1
+            starts.append(at[joined])
+            lengths.append(at[last] + n - at[joined])
+            key = np.unique(doc * len(to) + place)
+            doc, place = key // len(to), key % len(to)
+            count = to[place + 1] - to[place]
+            docs.append(np.repeat(doc, count))
+            items.append(of[kernel.take_ranges(to[place], count)])
+
+        at, goff = kernel.gram_starts(off, K)
+        if len(at) and len(self.prints):
+            grams = self.roller.grams(hashes, at, K)
+            own = np.flatnonzero(winnow(grams, goff))
+            own = own[self.prints[np.minimum(np.searchsorted(self.prints, grams[own]), len(self.prints) - 1)] == grams[own]]
+            # Extended to all windows over a matching fingerprint that lie in its document.
+            around = np.zeros(len(hashes) + 1, bool)
+            for d in range(W):
+                begin = at[own] - d
+                around[begin[begin >= 0]] = True
+            whole, _ = kernel.gram_starts(off, WINDOW)
+            begin = whole[around[whole]]
+            h = self.roller.grams(hashes, begin, WINDOW)
+            place = np.minimum(np.searchsorted(self.windows, h), len(self.windows) - 1)
+            same = np.flatnonzero(self.windows[place] == h)
+            begin, place = begin[same], place[same]
+            for d in range(WINDOW):
+                same = hashes[begin + d] == self.words[self.place[place] + d]
+                begin, place = begin[same], place[same]
+            add(begin, place, WINDOW, self.to, self.items)
+        for n, whole, to, of in self.short:
             at, _ = kernel.gram_starts(off, n)
             h = self.roller.grams(hashes, at, n)
-            lo, hi = np.searchsorted(whole, h, "left"), np.searchsorted(whole, h, "right")
-            some = np.flatnonzero(hi > lo)
-            count = (hi - lo)[some]
-            found.append((np.repeat(at[some], count), np.full(count.sum(), n), items[kernel.take_ranges(lo[some], count)]))
-        return tuple(np.concatenate(x) for x in zip(*found))
-
-    def _extend(self, hashes: np.ndarray, off: np.ndarray, p: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        item = self.item_of[q]
-        doc = np.searchsorted(off, p, side="right") - 1
-        right = self._reach(hashes, p, q, 1, np.minimum(off[doc + 1] - p, self.off[item + 1] - q))
-        left = self._reach(hashes, p - 1, q - 1, -1, np.minimum(p - off[doc], q - self.off[item]))
-        spans = np.unique(np.stack([p - left, left + right, item])[:, left + right >= WINDOW], axis=1)
-        return spans[0], spans[1], spans[2]
-
-    def _reach(self, hashes: np.ndarray, p: np.ndarray, q: np.ndarray, way: int, room: np.ndarray) -> np.ndarray:
-        """How many words match from p and q on, in one direction, within room."""
-        reach = np.zeros(len(p), np.int64)
-        live = np.flatnonzero(room > 0)
-        step = 0
-        while len(live):
-            live = live[hashes[p[live] + way * step] == self.hashes[q[live] + way * step]]
-            step += 1
-            reach[live] = step
-            live = live[room[live] > step]
-        return reach
+            place = np.minimum(np.searchsorted(whole, h), len(whole) - 1)
+            same = whole[place] == h
+            add(at[same], place[same], n, to, of)
+        return tuple(np.concatenate(x) for x in (starts, lengths, docs, items))
 
 
 def words(buf: np.ndarray, off: np.ndarray, roller: kernel.Roller) -> tuple[np.ndarray, np.ndarray]:
@@ -138,22 +144,22 @@ def words(buf: np.ndarray, off: np.ndarray, roller: kernel.Roller) -> tuple[np.n
     return roller.words(low, start, end), woff
 
 
-def _spans(column: pa.Array, index: Index) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Per slice: words of each document, and document, start in it, length and item of each hit span."""
+def _spans(column: pa.Array, index: Index) -> Iterator[tuple[np.ndarray, ...]]:
+    """Per slice: words of each document; document, start in it and length of each hit span; document and item of each distinct pair."""
     for _, _, buf, off in kernel.slices(column):
         hashes, woff = words(buf, off, index.roller)
-        start, length, item = index.hits(hashes, woff)
+        start, length, docs, items = index.hits(hashes, woff)
         doc = np.searchsorted(woff, start, side="right") - 1
-        yield np.diff(woff), doc, start - woff[doc], length, item
+        yield np.diff(woff), doc, start - woff[doc], length, docs, index.ids[items]
 
 
-def _judge(n_words: np.ndarray, doc: np.ndarray, start: np.ndarray, length: np.ndarray, item: np.ndarray) -> tuple[list[int], list[str], list[str]]:
+def _judge(n_words: np.ndarray, doc: np.ndarray, start: np.ndarray, length: np.ndarray, docs: np.ndarray, ids: np.ndarray) -> tuple[list[int], list[str], list[int]]:
     """n_hit, comma-joined item ids, and n_items of each document of a slice."""
     off = np.concatenate([[0], np.cumsum(n_words)])
     hit = np.concatenate([[0], np.cumsum(kernel.cover(off[-1], off[doc] + start, length))])
     n_hit = hit[off[1:]] - hit[off[:-1]]
     items: list[set] = [set() for _ in n_words]
-    for d, i in zip(doc.tolist(), item.tolist()):
+    for d, i in zip(docs.tolist(), ids.tolist()):
         items[d].add(i)
     return n_hit.tolist(), [",".join(sorted(x)) for x in items], [len(x) for x in items]
 
@@ -171,15 +177,18 @@ def _joined(parts: list[list[pa.Array]], n: int) -> list[pa.Array]:
     return [pa.concat_arrays(x) for x in zip(*parts)] if parts else _columns(np.zeros(0), [], [], [])
 
 
-def _blocks(bench: DataFrame, block_bytes: int) -> Iterator[Index]:
-    """Indexes of the items, each over a block of about block_bytes of text at most."""
+def _blocks(bench: DataFrame, block_bytes: int) -> tuple[int, Callable[[int], Index]]:
+    """Number of blocks of the items, each of about block_bytes of text at most, and what builds a block's index."""
     items = bench.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), F.col("text").cast("string").alias("text")).filter("text IS NOT NULL")
     total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first()["b"]
     n = max(1, -(-int(total) // block_bytes))
     block = F.pmod(F.xxhash64("item_id", "text"), F.lit(n))
-    for k in range(n):
+
+    def build(k: int) -> Index:
         rows = items.filter(block == k).orderBy("item_id", "text").toArrow()
-        yield Index(rows["item_id"].to_pylist(), rows["text"].combine_chunks() if rows.num_rows else pa.array([], pa.string()))
+        return Index(rows["item_id"].to_pylist(), rows["text"].combine_chunks() if rows.num_rows else pa.array([], pa.string()))
+
+    return n, build
 
 
 def contamination(docs: DataFrame, bench: DataFrame, *, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -196,7 +205,7 @@ def decontaminate(docs: DataFrame, bench: DataFrame, *, block_bytes: int = BLOCK
 
 def _judged(docs: DataFrame, bench: DataFrame, block_bytes: int, at: int, *, keep: bool) -> DataFrame:
     spark = ready(docs.sparkSession)
-    blocks = [spark.sparkContext.broadcast(x) for x in _blocks(bench, block_bytes)]
+    n_blocks, build = _blocks(bench, block_bytes)
     schema = docs.schema if keep else f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {COLUMNS}"
     names = docs.columns if keep else ["doc_id", *[x.split()[0] for x in COLUMNS.split(", ")]]
 
@@ -205,46 +214,43 @@ def _judged(docs: DataFrame, bench: DataFrame, block_bytes: int, at: int, *, kee
             return batch.filter(pa.array(~columns[-1].to_numpy(zero_copy_only=False).astype(bool)))
         return pa.RecordBatch.from_arrays([batch.column(0), *columns], names)
 
-    if len(blocks) == 1:
+    if n_blocks == 1:
+        given = spark.sparkContext.broadcast(build(0))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            index = blocks[0].value
+            index = given.value
             for batch in batches:
-                parts = []
-                for n_words, doc, start, length, item in _spans(batch.column(at), index):
-                    parts.append(_columns(n_words, *_judge(n_words, doc, start, length, index.ids[item])))
+                parts = [_columns(found[0], *_judge(*found)) for found in _spans(batch.column(at), index)]
                 yield answer(batch, _joined(parts, len(batch)))
 
         return docs.mapInArrow(run, schema)
 
     # More blocks than one: spans of each block by row of a fixed copy, merged.
-    row_id = "_row"
-    while row_id in docs.columns:
-        row_id += "_"
+    row_id = free_name(docs.columns, "_row")
     fixed = materialise(docs.withColumn(row_id, F.monotonically_increasing_id()), "decontaminate-docs")
     part_schema = "_row long, n_words long, starts array<long>, lengths array<long>, items array<string>"
     every = None
-    for block in blocks:
+    for k in range(n_blocks):
+        every_row = k == 0  # one block tells how many words each document has, the others speak of hits only
+        given = spark.sparkContext.broadcast(build(k))
 
-        def spans(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
-            index = block.value
+        def spans(batches: Iterator[pa.RecordBatch], given=given, every_row=every_row) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 base, out = 0, []
                 row = batch.column(1).to_pylist()
-                for n_words, doc, start, length, item in _spans(batch.column(0), index):
-                    cut = np.searchsorted(np.sort(doc), np.arange(len(n_words) + 1))
-                    order = np.argsort(doc, kind="stable")
-                    start, length, ids = start[order], length[order], index.ids[item[order]]
+                for n_words, doc, start, length, docs_, ids in _spans(batch.column(0), given.value):
+                    by_doc, by_item = np.argsort(doc, kind="stable"), np.argsort(docs_, kind="stable")
+                    cut, item_cut = np.searchsorted(doc[by_doc], np.arange(len(n_words) + 1)), np.searchsorted(docs_[by_item], np.arange(len(n_words) + 1))
+                    start, length, ids = start[by_doc], length[by_doc], ids[by_item]
                     for d in range(len(n_words)):
-                        c = slice(cut[d], cut[d + 1])
-                        out.append((row[base + d], int(n_words[d]), start[c].tolist(), length[c].tolist(), ids[c].tolist()))
+                        c, i = slice(cut[d], cut[d + 1]), slice(item_cut[d], item_cut[d + 1])
+                        if every_row or c.stop > c.start:
+                            out.append({"_row": row[base + d], "n_words": int(n_words[d]), "starts": start[c].tolist(), "lengths": length[c].tolist(), "items": ids[i].tolist()})
                     base += len(n_words)
-                yield pa.RecordBatch.from_pylist(
-                    [dict(zip(("_row", "n_words", "starts", "lengths", "items"), x)) for x in out],
-                    schema=pa.schema([("_row", pa.int64()), ("n_words", pa.int64()), ("starts", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("items", pa.list_(pa.string()))]),
-                )
+                yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("_row", pa.int64()), ("n_words", pa.int64()), ("starts", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("items", pa.list_(pa.string()))]))
 
-        own = fixed.select("text", F.col(row_id).alias("_row")).mapInArrow(spans, part_schema)
+        own = materialise(fixed.select("text", F.col(row_id).alias("_row")).mapInArrow(spans, part_schema), "decontaminate-spans")
+        given.destroy()
         every = own if every is None else every.unionByName(own)
     merged = every.groupBy("_row").agg(F.first("n_words").alias("n_words"), *[F.flatten(F.collect_list(c)).alias(c) for c in ("starts", "lengths", "items")])
 
@@ -252,12 +258,13 @@ def _judged(docs: DataFrame, bench: DataFrame, block_bytes: int, at: int, *, kee
         for batch in batches:
             parts = []
             for x in batch.to_pylist():
+                spans_, ids = np.zeros(len(x["starts"]), np.int64), np.zeros(len(x["items"]), np.int64)
                 n = np.array([x["n_words"]])
-                doc = np.zeros(len(x["starts"]), np.int64)
-                parts.append(_columns(n, *_judge(n, doc, np.array(x["starts"], np.int64), np.array(x["lengths"], np.int64), np.array(x["items"], dtype=object))))
+                parts.append(_columns(n, *_judge(n, spans_, np.array(x["starts"], np.int64), np.array(x["lengths"], np.int64), ids, np.array(x["items"], dtype=object))))
             yield pa.RecordBatch.from_arrays([batch.column(0), *_joined(parts, len(batch))], ["_row", *[c.split()[0] for c in COLUMNS.split(", ")]])
 
     verdict = merged.mapInArrow(finish, f"_row long, {COLUMNS}")
     if keep:
-        return fixed.join(verdict.filter("NOT contaminated").select(F.col("_row").alias(row_id)), row_id).select(*docs.columns)
+        gone = materialise(verdict.filter("contaminated").select(F.col("_row").alias(row_id)), "decontaminate-gone")
+        return without(fixed, row_id, gone).drop(row_id)
     return fixed.select(F.col(row_id).alias("_row"), "doc_id").join(verdict, "_row").select(*names)
