@@ -261,19 +261,30 @@ def test_language_learns_every_drawn_document_whole(spark):
     assert {x["n"] for x in language.draw(docs, 5).groupBy("lang").agg(F.count("*").alias("n")).collect()} == {5}
 
 
-def test_suffix_automaton_parses_by_longest_match():
+@pytest.mark.parametrize(("piece", "part"), [(3, 40), (7, 4 << 20), (2048, 4 << 20)])
+def test_suffix_automaton_parses_by_longest_match(monkeypatch, piece, part):
+    monkeypatch.setattr(language, "PIECE", piece)
+    monkeypatch.setattr(language, "SLICE", part)
     r = random.Random(3)
-    sample = "".join(r.choice("abc ") for _ in range(200)).encode()
-    parsers = language.Parsers({"x": sample})
-    for text in [bytes(r.choice(b"abcd ") for _ in range(n)) for n in (1, 7, 60, 300)]:
-        want, i = 0, 0
+
+    def phrases(text, sample):
+        n = i = 0
         while i < len(text):
             j = i + 1
             while j < len(text) and text[i : j + 1] in sample:
                 j += 1
-            want, i = want + 1, j
-        buf = np.frombuffer(text, np.uint8)
-        assert abs(int(parsers.phrases(buf, np.array([0, len(buf)]))[0, 0]) - want) <= text.count(b"d")
+            n, i = n + 1, j
+        return n
+
+    for turn in range(60):
+        letters = r.choice(["ab ", "abc ", "abcdef "])
+        samples = {lang: "".join(r.choice(letters) for _ in range(r.choice([1, 5, 60, 300]))).encode() for lang in "xyz"[: r.randint(1, 3)]}
+        texts = [bytes(r.choice(letters.encode() + b"q") for _ in range(r.choice([0, 1, 7, 60, 300]))) for _ in range(r.randint(1, 5))] + [samples["x"] * 2]
+        texts = texts[-1:] if turn % 3 == 0 else texts
+        parsers = language.Parsers(samples)
+        got = parsers.phrases(np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts])]))
+        assert got.tolist() == [[phrases(t, samples[lang]) for lang in parsers.langs] for t in texts]
+    assert language.Parsers({"x": b"abcabcabc"}).phrases(np.frombuffer(b"abdcabdabdab", np.uint8), np.array([0, 4, 12])).tolist() == [[3], [5]]
 
 
 def test_lattice(spark, folder, docs):

@@ -5,10 +5,14 @@ against each: a phrase is the longest match that occurs in the sample, the next
 and the language whose parse needs the fewest bits, phrases * log2(sample length) / length, wins.
 
 Text is read as bytes of UTF-8: a-z after lower-casing A-Z and all bytes from 128 up stand for
-themselves, any run of other bytes is one gap.  Automata are tables whose entry holds the next state and whether a
-phrase ended, so many pieces of text step through them side by side; only states with several ways on have a row of their own,
-the others, most of them, are one number.  Texts are parsed whole, in
-pieces of PIECE bytes whose phrases are added up; a piece's edge ends a phrase in every language alike.
+themselves, any run of other bytes is one gap.  A byte that the sample does not have is a phrase of its own.  Automata are tables whose entry holds the next
+state and whether a phrase starts, so many pieces of text step through them side by side; only states with several ways on have a row of their own,
+the others, most of them, are one number.
+
+Texts are parsed whole.  A text of more than PIECE bytes is read by several lanes at once, each from its piece's border.  Then the parse that comes out of each piece, in
+the middle of a phrase, is followed into the next one until it starts a phrase where that piece's own parse does, from where on the two are the same; a piece in which they
+never meet goes to the parse that came in, and if it leaves in another state than before its successor is looked at again, until nothing changes.  So the phrases
+are those of one parse from the text's first byte.
 
 The sample is a documented bound of rows, the parameter sample_docs: that many training documents a language, or all if there
 are fewer, by hash of the id.  Every drawn document is learnt whole, however long.  The automata, at most two states
@@ -32,6 +36,7 @@ from . import kernel
 from .common import ready, split_of
 
 SAMPLE_DOCS = 64
+#: Bytes that one lane reads; of a text that is read at one time.
 PIECE = 2048
 SLICE = 4 << 20
 FOLDS, HELD_OUT = 4, 2
@@ -52,8 +57,12 @@ def simplify(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     own = _OWN[low]
     keep = own.copy()
     keep[1:] |= own[:-1]
-    at = np.concatenate([[0], np.cumsum(keep)])[off]
-    return np.where(own, low, np.uint8(0x20))[keep], at
+    if len(off) == 2:  # one text, perhaps a very long one
+        at = np.array([0, np.count_nonzero(keep)])
+    else:
+        at = np.concatenate([[0], np.cumsum(keep)])[off]
+    low[~own] = 0x20
+    return low[keep], at
 
 
 def suffix_automaton(text: bytes) -> list[dict[int, int]]:
@@ -95,7 +104,7 @@ class Parsers:
     def __init__(self, samples: dict[str, bytes]):
         self.langs = sorted(samples)
         seen = sorted(set(b"".join(samples.values())))
-        self.place = np.full(256, len(seen), np.int64)  # the last place: bytes in no sample
+        self.place = np.full(256, len(seen), np.int16)  # the last place: bytes in no sample
         self.place[seen] = np.arange(len(seen))
         self.width = len(seen) + 1
         place = self.place.tolist()
@@ -103,8 +112,8 @@ class Parsers:
         base = first = 0
         for lang in self.langs:
             states = suffix_automaton(samples[lang])
-            many = [s for s, out in enumerate(states) if len(out) > 1]
-            # After a phrase ends, its successor starts with the byte at hand.
+            many = [s for s, out in enumerate(states) if len(out) > 1 or s == 0]
+            # Where no way goes on a phrase ends, and its successor starts with the byte at hand; a byte that is in no sample leads back to the start.
             ended = np.ones(self.width, np.int64)
             for c, to in states[0].items():
                 ended[place[c]] = to * 2 + 1
@@ -112,7 +121,7 @@ class Parsers:
             number = np.fromiter(((base + next(iter(out.values()))) << BITS | place[next(iter(out))] if len(out) == 1 else first << BITS | SEVERAL for out in states), np.int64, len(states))
             for r, s in enumerate(many, 1):
                 number[s] = (first + r) << BITS | SEVERAL
-                for c, to in states[s].items():
+                for c, to in states[s].items() if s else ():  # every byte read in the start begins a phrase
                     own[r, place[c]] = to * 2
             rows.append((own + 2 * base).astype(np.int32))
             numbers.append(number)
@@ -123,32 +132,84 @@ class Parsers:
             first += len(own)
         self.table = np.concatenate(rows).ravel() if rows else np.zeros(0, np.int32)
         self.number = np.concatenate(numbers) if numbers else np.zeros(0, np.int64)
+        self.misses = np.array(self.miss, np.int64)
 
-    def phrases(self, buf: np.ndarray, off: np.ndarray) -> np.ndarray:
-        """Phrases of each document in each language."""
+    def _step(self, lang: np.ndarray, state: np.ndarray, byte: np.ndarray) -> np.ndarray:
+        """Twice the next state of each lane, plus one if a phrase starts with this byte."""
+        number = self.number[state]
+        single, to = number & SEVERAL, number >> BITS
+        row = np.where(single == SEVERAL, to, self.misses[lang])
+        return np.where(single == byte, to * 2, self.table[row * self.width + byte])
+
+    def _count(self, place: np.ndarray, off: np.ndarray, enter: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Phrases that start in each text, by language, parsed on from the states `enter` (languages x texts), and the states at their ends."""
         docs, n = len(off) - 1, len(self.langs)
-        length = np.diff(off)
-        per = -(-length // PIECE)
+        per = -(-np.diff(off) // PIECE)
         doc = np.repeat(np.arange(docs), per)
         nth = np.arange(len(doc)) - np.repeat(np.cumsum(per) - per, per)
-        begin = off[:-1][doc] + nth * PIECE
-        size = np.minimum(PIECE, off[1:][doc] - begin)
-        order = np.argsort(-size, kind="stable")
-        begin, size, doc = begin[order], size[order], doc[order]
-        place = self.place[buf]
-        state = np.repeat(np.array(self.start, np.int64)[:, None], len(doc), axis=1)
-        miss = np.array(self.miss, np.int64)[:, None]
-        ended = np.ones((n, len(doc)), np.int32)  # the phrase at the piece's end
-        live = np.searchsorted(-size, -np.arange(int(size[0]) if len(size) else 0), side="left")
+        first = off[:-1][doc] + nth * PIECE
+        last = np.minimum(first + PIECE, off[1:][doc])
+        if not len(doc):
+            return np.zeros((docs, n), np.int64), enter
+        marks = np.zeros((len(place), n), bool)
+        # All pieces side by side, longest first.
+        order = np.argsort(first - last, kind="stable")
+        size, at = (last - first)[order], first[order]
+        came = np.where(nth == 0, enter[:, doc], np.array(self.start, np.int64)[:, None])
+        state = came[:, order]
+        langs = np.arange(n)[:, None]
+        live = np.searchsorted(-size, -np.arange(size[0]), side="left")
         for t, k in enumerate(live):
-            byte = place[begin[:k] + t]
-            number = self.number[state[:, :k]]
-            single, to = number & SEVERAL, number >> BITS
-            row = np.where(single == SEVERAL, to, miss)
-            step = np.where(single == byte, to * 2, self.table[row * self.width + byte])
-            ended[:, :k] += step & 1
+            where = at[:k] + t
+            step = self._step(langs, state[:, :k], place[where])
+            marks[where] = (step & 1).T
             state[:, :k] = step >> 1
-        return np.array([np.bincount(doc, e, docs) for e in ended]).T.reshape(docs, n)
+        left = np.empty_like(state)
+        left[:, order] = state
+        came, left = came.ravel(), left.ravel()  # lanes of all languages, one after another
+        lang, begin, stop = np.repeat(np.arange(n), len(doc)), np.tile(first, n), np.tile(last, n)
+        inner = np.flatnonzero(np.tile(nth, n) > 0)
+        while True:
+            change = inner[left[inner - 1] != came[inner]]
+            if not len(change):
+                break
+            came[change] = left[change - 1]
+            state, here = came[change], begin[change]
+            lane = np.arange(len(change))
+            while len(lane):
+                of = lang[change[lane]]
+                step = self._step(of, state[lane], place[here[lane]])
+                starts = (step & 1).astype(bool)
+                own = marks[here[lane], of]
+                marks[here[lane], of] = starts
+                meets = starts & own
+                state[lane] = step >> 1
+                here[lane] += 1
+                through = ~meets & (here[lane] >= stop[change[lane]])
+                left[change[lane[through]]] = state[lane[through]]
+                lane = lane[~meets & ~through]
+        some = np.flatnonzero(np.diff(off))
+        count = np.zeros((docs, n), np.int64)
+        count[some] = np.add.reduceat(marks, off[:-1][some], axis=0, dtype=np.int64)
+        end = np.array(enter)
+        tail = np.flatnonzero(np.append(doc[1:] != doc[:-1], True))
+        end[:, doc[tail]] = left.reshape(n, -1)[:, tail]
+        return count, end
+
+    def phrases(self, buf: np.ndarray, off: np.ndarray) -> np.ndarray:
+        """Phrases of each document in each language."""
+        docs, n = len(off) - 1, len(self.langs)
+        if not n or not docs:
+            return np.zeros((docs, n), np.int64)
+        state = np.repeat(np.array(self.start, np.int64)[:, None], docs, axis=1)
+        if docs > 1 or off[-1] <= SLICE:
+            return self._count(self.place[buf], off, state)[0]
+        total = np.zeros((1, n), np.int64)
+        for at in range(0, int(off[1]), SLICE):  # a very long text, slice by slice, in the state that the slice before left
+            part = self.place[buf[at : at + SLICE]]
+            count, state = self._count(part, np.array([0, len(part)]), state)
+            total += count
+        return total
 
     def predict(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Place of the best language and its share of the score, per row."""
