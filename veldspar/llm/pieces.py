@@ -85,7 +85,10 @@ class Piece:
 
 
 def write_pieces(docs: DataFrame, piece_bytes: int = PIECE_BYTES) -> DataFrame:
-    """piece, n_words, ids, sizes, texts: the documents (doc_id, text) packed, in a table bucketed by piece."""
+    """piece, n_words, ids, sizes, texts: the documents (doc_id, text) packed, in files of the shared folder bucketed by piece.
+
+    Only a catalog table can be written in buckets, so one is made and its entry dropped at once.
+    """
     spark = ready(docs.sparkSession)
     schema = "piece long, n_words long, ids array<long>, sizes array<int>, texts binary"
     arrow = pa.schema([("piece", pa.int64()), ("n_words", pa.int64()), ("ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32())), ("texts", pa.binary())])
@@ -116,7 +119,9 @@ def write_pieces(docs: DataFrame, piece_bytes: int = PIECE_BYTES) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
     name = f"veldspar_pieces_{uuid.uuid4().hex}"
     rows.write.format("parquet").option("compression", "zstd").option("path", scratch(spark, "pieces")).bucketBy(shuffle_partitions(spark), "piece").saveAsTable(name)
-    return spark.table(name)
+    pieces = spark.table(name)  # analysed here, with its buckets
+    spark.sql(f"DROP TABLE {name}")  # the catalog's entry only: the files lie in the shared folder
+    return pieces
 
 
 def _nulls_first(rows: pa.Table) -> pa.Table:
