@@ -102,6 +102,15 @@ def test_substring(spark, folder, docs):
     assert by_id(small.withColumn("s", F.sha2(F.col("text").cast("binary"), 256)), "n_words", "n_removed", "s") == want
 
 
+def test_pieces_stay_bucketed_and_out_of_the_catalog(spark, docs):
+    pieces = substring.write_pieces(docs, 500)
+    answers = spark.range(5).withColumnRenamed("id", "piece").groupBy("piece").count()
+    plan = pieces.join(answers.hint("shuffle_hash"), "piece", "left")._jdf.queryExecution().executedPlan().toString()
+    assert "Bucketed: true" in plan and plan.count("Exchange hashpartitioning") == 1
+    assert sum(len(r["ids"]) for r in pieces.collect()) == len(ROWS)
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("veldspar")]
+
+
 def test_exact_dedup_compares_full_texts_when_digests_collide(docs, tmp_path):
     right = by_id(exact_dedup.exact_dedup(docs), "keep_id", "group_size", "kept", "text_sha256")
     assert by_id(exact_dedup.exact_dedup(docs, digest_bytes=1), "keep_id", "group_size", "kept", "text_sha256") == right
@@ -288,7 +297,7 @@ def test_suffix_automaton_parses_by_longest_match(monkeypatch, piece, part):
 
 
 def test_lattice(spark, folder, docs):
-    names, logp = lattice.load_vocabulary(lattice.VOCABULARY)
+    names, logp = lattice.load_vocabulary()
     place = {n: i for i, n in enumerate(names)}
     model = lattice.Lattice(names)
     words = [b" the", " schöne".encode(), b" \xff\xfe", b" x", b" " + b"ab" * 30]
@@ -311,16 +320,40 @@ def test_lattice(spark, folder, docs):
     one = {r["doc_id"]: r["score"] for r in lattice.score_texts(docs, rounds=1).collect()}
     assert all(one[i] == pytest.approx(got[i]["score"], rel=1e-5) for i in one)
 
-    # Without fitting: every segmentation by the vocabulary's first scores, and the word's own arc.
+    # A plain model: every segmentation of every training word, and two rounds of expectation-maximisation.
     split = {i: re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode().lower()) for i, t in PAIRS}
     training = [i for i in split if lattice.is_training(i)]
     counts = Counter(w for i in training for w in split[i])
     n, ends = sum(counts.values()) + len(training), len(training)
     new = (sum(c == 1 for c in counts.values()) + 1) / (n + 1)
-    log_word = {w: math.log((1 - new) * counts[w] / n + new * math.exp(marginal(b" " + w))) for ws in split.values() for w in set(ws)}
-    end = math.log((1 - new) * ends / n + new * (ends + 1) / (n + 2))
-    for r in lattice.score_texts(docs, rounds=0).collect():
-        assert r["score"] == pytest.approx((sum(log_word[w] for w in split[r["doc_id"]]) + end) / math.log(10), rel=1e-5)
+    end = (ends + 1) / (n + 2)
+    p = np.exp(logp)
+    words = {w for ws in split.values() for w in set(ws)}
+    for rounds in range(3):
+        if rounds:
+            total = np.full(len(p), lattice.FLOOR)
+            for w, c in counts.items():
+                arcs, a, b = paths(b" " + w, place, len(names), p)
+                for i, j, k in arcs:
+                    total[k] += c * a[i] * p[k] * b[j] / a[-1]
+            p, end = total / (total.sum() + ends + 1), (ends + 1) / (total.sum() + ends + 1)
+        own = {w: paths(b" " + w, place, len(names), p)[1][-1] for w in words}
+        for r in lattice.score_texts(docs, rounds=rounds).collect():
+            ws = split[r["doc_id"]]
+            assert r["score"] == pytest.approx(sum(math.log10(own[w]) for w in ws) + math.log10(end), rel=1e-5)
+            arc = sum(math.log10((1 - new) * counts[w] / n + new * own[w]) for w in ws) + math.log10((1 - new) * ends / n + new * end)
+            assert r["word_score"] == pytest.approx(arc, rel=1e-5)
+
+
+def paths(word, place, n, p):
+    """Arcs (from, to, piece) of a word's lattice, and the summed probabilities of all ways up to and from each place."""
+    arcs = [(i, j, place[word[i:j]]) for i in range(len(word)) for j in range(i + 1, len(word) + 1) if word[i:j] in place] + [(i, i + 1, n + word[i]) for i in range(len(word))]
+    ahead, back = [1.0] + [0.0] * len(word), [0.0] * len(word) + [1.0]
+    for j in range(1, len(word) + 1):
+        ahead[j] = sum(ahead[i] * p[k] for i, t, k in arcs if t == j)
+    for i in range(len(word) - 1, -1, -1):
+        back[i] = sum(back[t] * p[k] for f, t, k in arcs if f == i)
+    return arcs, ahead, back
 
 
 def test_mixing_meets_targets(spark, folder, docs):

@@ -3,15 +3,17 @@
 The pieces of a public subword vocabulary span a lattice over each word; every path is a segmentation, its
 probability the product of its pieces' probabilities, and a forward recursion in log space sums them
 all.  A text is its lower-cased words, each led by the vocabulary's word-start mark, and one end; as no path crosses a mark, its marginal
-probability is the product of its words' marginals and the end's.  Any byte is also a piece, so every word has a path.
+probability, the score, is the product of its words' marginals and the end's.  Any byte is also a piece, so every word has a path.
 
-The vocabulary is a BPE model: its scores are merge ranks only, not unigram scores.  1 / (rank + 50) gives the first probabilities;
-ROUNDS rounds of expectation-maximisation over the words of all training documents then take their place, so that with rounds
-the file's scores weight nothing in the result.  A word of the training documents spans its lattice with one more arc, of its share of all
-training tokens; that of words seen once goes to the vocabulary's arcs, which new words have alone (Good-Turing).  Words are counted by shards of the word space (see pieces): every piece of
+No public vocabulary at hand has unigram scores: the file is a BPE model, whose scores are minus the merge ranks.  1 / (rank + 50) gives the first probabilities, and
+ROUNDS rounds of expectation-maximisation over the words of all training documents fit a unigram model's to them; with rounds=0 the ranks alone weight the segmentations.
+Words are counted by shards of the word space (see pieces): every piece of
 documents sends its distinct words with their training counts, shards add them up, run the recursion once per distinct word, and answer with
 each word's count and marginal.  What reaches the driver is one number per vocabulary piece.
 
+word_score is the score of a second, larger lattice, in which every training word is one more arc over its own bytes, of its share of all training
+tokens, while that of words seen once goes to the vocabulary's arcs, which new words have alone (Good-Turing).
+
 Two words are the same when their 64-bit hash is.  base_score is the add-one unigram score over words.
 
 Cases: null texts count as empty and have the end only; a null id hashes as the empty text; ids are integers; repeated rows
@@ -23,6 +25,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +36,8 @@ from . import kernel
 from .common import materialise, ready
 from .pieces import MESSAGE, PIECE_BYTES, Piece, each_piece, merge, messages, pack, shard_of, unpack, with_answers, write_pieces
 
-VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
+#: Of the public tokenizers; another file's path can be given.
+VOCABULARY = "piece_bpe_32k.model"
 FOLDS, HELD_OUT = 7, 2
 ROUNDS = 3
 #: Distinct words of all pieces together that one shard counts, about: fewer than windows, as words are held as text.
@@ -46,10 +50,14 @@ AT_ONCE = 1 << 20
 SEED = 7
 
 
-def load_vocabulary(path: str) -> tuple[list[bytes], np.ndarray]:
+def load_vocabulary(path: str | None = None) -> tuple[list[bytes], np.ndarray]:
     """Pieces as bytes, the mark as a space, and first log probabilities by the rank that the file's scores give; 256 bytes come last."""
     import sentencepiece
 
+    if path is None:
+        import public_tokenizers
+
+        path = str(public_tokenizers.path(VOCABULARY))
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     found: dict[bytes, float] = {}
     for i in range(model.get_piece_size()):
@@ -198,11 +206,26 @@ def _count(shard: int, payloads: list[bytes]) -> tuple[np.ndarray, np.ndarray, n
     return distinct, counts, buf, off, np.split(place, np.cumsum([len(p[0]) for p in parts])[:-1])
 
 
-def fit(sent: DataFrame, lattice: Lattice, logp: np.ndarray, rounds: int) -> tuple[np.ndarray, int, int, float, float]:
-    """Log probabilities of pieces, training tokens, distinct training words, the end's log probability, and the share of the vocabulary's arcs.
+@dataclass
+class Fitted:
+    """Log probabilities of pieces and of the end, training tokens, ends among them, distinct training words, and the share of words not yet seen."""
 
-    sent: messages of all pieces; ends are counted from shard -1.
-    """
+    logp: np.ndarray
+    end: float
+    n: int
+    ends: int
+    v: int
+    new: float
+
+    def with_word_arc(self, marginal: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """Log marginals over the vocabulary's arcs, of share new, and the word's own of its count in n training tokens."""
+        with np.errstate(divide="ignore"):  # a word that was not counted has no arc
+            own = np.log(counts * ((1 - self.new) / max(self.n, 1)))
+        return np.logaddexp(own, np.log(self.new) + marginal)
+
+
+def fit(sent: DataFrame, lattice: Lattice, logp: np.ndarray, rounds: int) -> Fitted:
+    """The model of the training words; sent: messages of all pieces, ends are counted from shard -1."""
     spark = sent.sparkSession
     names = spark.sparkContext.broadcast(lattice)
 
@@ -239,19 +262,14 @@ def fit(sent: DataFrame, lattice: Lattice, logp: np.ndarray, rounds: int) -> tup
         expected[rows["k"]] += rows["x"]
         logp = np.log(expected / (expected.sum() + n_ends + 1))
         end = np.log((n_ends + 1) / (expected.sum() + n_ends + 1))
-    new = (int(sums["once"]) + 1) / (n + 1)
-    return logp, n, v, float(np.log((1 - new) * n_ends / max(n, 1) + new * np.exp(end))), new
+    return Fitted(logp, float(end), n, n_ends, v, (int(sums["once"]) + 1) / (n + 1))
 
 
-def with_word_arc(lattice_marginal: np.ndarray, counts: np.ndarray, n: int, new: float) -> np.ndarray:
-    """Log marginals over all arcs: the vocabulary's, of share new, and the word's own of its count in n training tokens."""
-    with np.errstate(divide="ignore"):  # a word that was not counted has no arc
-        own = np.log(counts * ((1 - new) / max(n, 1)))
-    return np.logaddexp(own, np.log(new) + lattice_marginal)
+def score_texts(docs: DataFrame, *, vocabulary: str | None = None, rounds: int = ROUNDS, piece_bytes: int = PIECE_BYTES, per_shard: int = WORDS_PER_SHARD) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, word_score: one row per row of docs.
 
-
-def score_texts(docs: DataFrame, *, vocabulary: str = VOCABULARY, rounds: int = ROUNDS, piece_bytes: int = PIECE_BYTES, per_shard: int = WORDS_PER_SHARD) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score: one row per row of docs."""
+    vocabulary is the path of a sentencepiece model; by default one of the public tokenizers.
+    """
     spark = ready(docs.sparkSession)
     pieces = write_pieces(docs, piece_bytes)
     total = int(pieces.agg(F.coalesce(F.sum("n_words"), F.lit(0)).alias("n")).first()["n"])
@@ -265,32 +283,34 @@ def score_texts(docs: DataFrame, *, vocabulary: str = VOCABULARY, rounds: int =
         yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int64()), pa.array([ends], pa.int64()), pa.array([b""], pa.binary())], ["shard", "piece", "payload"])
 
     sent = materialise(each_piece(pieces, send, MESSAGE), "lattice-counts")
-    logp, n, v, end, new = fit(sent, lattice, first, rounds)
-    model = spark.sparkContext.broadcast((lattice, logp))
+    fitted = fit(sent, lattice, first, rounds)
+    model = spark.sparkContext.broadcast((lattice, fitted.logp))
 
     def answer(shard: int, ids: list[int], payloads: list[bytes]) -> list[bytes]:
         own, lp = model.value
         _, counts, buf, off, places = _count(shard, payloads)
         marginal = np.concatenate([np.zeros(0), *[own.run(b, o, lp)[0] for _, _, b, o in own.batches(buf, off)]])
-        marginal = with_word_arc(marginal, counts, n, new)
         return [pack(counts[p], marginal[p].astype(np.float32)) for p in places]
 
     answers = merge(sent.filter("shard >= 0"), answer)
-    below = np.log10(n + v + 1)
+    n, below, ends = fitted.n, np.log10(fitted.n + fitted.v + 1), fitted.ends
+    fitted.logp = np.zeros(0)  # not needed where documents are scored
 
     def score(piece: Piece, row: dict) -> Iterator[pa.RecordBatch]:
         own = Counted(piece)
         docs_ = len(piece.ids)
         parts = [unpack(x) for x in row["answers"] or []]
-        counts = np.concatenate([np.zeros(0, np.int64), *[p[0] for p in parts]])[own.place]
-        marginal = np.concatenate([np.zeros(0), *[p[1].astype(np.float64) for p in parts]])[own.place] / np.log(10)
+        counts = np.concatenate([np.zeros(0, np.int64), *[p[0] for p in parts]])
+        marginal = np.concatenate([np.zeros(0), *[p[1].astype(np.float64) for p in parts]])
+        with_arc = fitted.with_word_arc(marginal, counts)[own.place]
+        counts, marginal = counts[own.place], marginal[own.place]
         n_tokens = np.diff(own.off) + 1
         base = np.bincount(own.doc, np.log10(counts + 1.0), docs_) + np.log10(ends + 1.0) - n_tokens * below
         known = np.bincount(own.doc, counts > 0, docs_).astype(np.int64) + (ends > 0)
-        total = np.bincount(own.doc, marginal, docs_) + end / np.log(10)
-        columns = [pa.array(piece.ids, pa.int64()), pa.array(~own.training), pa.array(n_tokens), pa.array(known), pa.array(np.full(docs_, n)), pa.array(base), pa.array(total)]
-        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+        end_arc = np.log((1 - fitted.new) * ends / max(n, 1) + fitted.new * np.exp(fitted.end))
+        scores = [(np.bincount(own.doc, m, docs_) + e) / np.log(10) for m, e in ((marginal, fitted.end), (with_arc, end_arc))]
+        columns = [pa.array(piece.ids, pa.int64()), pa.array(~own.training), pa.array(n_tokens), pa.array(known), pa.array(np.full(docs_, n)), pa.array(base), *map(pa.array, scores)]
+        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "word_score"])
 
-    ends = int(sent.filter("shard < 0").agg(F.coalesce(F.sum("piece"), F.lit(0)).alias("n")).first()["n"])
-    schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, word_score double"
     return each_piece(with_answers(pieces, answers, "answers"), score, schema)
