@@ -61,6 +61,8 @@ def folder(spark, tmp_path_factory):
     labels = [(i, int(i % 10 != 0), 0) for i in range(150) if i % 4] + [(7, 1, 1), (999, 1, 0), (None, 0, 0)]
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").select("*", *[F.lit("x").alias(c) for c in ("text", "source", "size", "key", "w")]).write.parquet(f"{root}/labels.parquet")
     pages = [(i, f"https://Site{i % 2}.example/{i}", f"<html><body><nav><a href='/'>Home</a></nav><p>About us {i % 2}</p><p>Text <b>number</b> {i}</p><script>Home</script></body></html>") for i in range(12)]
+    pages += [(30 + i, "http://me:pw@two.example:80/x", f"\tTop\n<p> page {i}\x0c</p><b>x</b> \t <!-- Top --><p>last < {i}") for i in range(2)]
+    pages += [(40, "http://two.example/y", "<p>Top</p>\t<script>Top"), (41, "http://one.example", "<p>Alone</p>a <b c")]
     pages += [(20, None, "<p>Alone</p>"), (21, "https://site0.example/x", None), (22, "no host", ""), (20, None, "<p>Alone</p>")]
     spark.createDataFrame(pages, "page_id long, url string, html string").select("*", F.lit(1).alias("lines"), F.lit(2).alias("host")).write.parquet(f"{root}/pages.parquet")
     return root
@@ -242,10 +244,43 @@ def test_quality(spark, folder, docs):
     assert np.mean([rows[i]["predicted"] == (i % 10 != 0) for i in held]) > 0.95
     kept = quality.filter_quality(docs, table(spark, folder, "labels"))
     assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == {i for i, r in rows.items() if r["predicted"]}
+    import pyarrow as pa
+
+    weights = np.random.default_rng(1).normal(size=1 << quality.BITS)
+    alone = quality.scores(pa.array([ROWS[5][1]]), weights, 0.5)[0]
+    assert {x for i in range(40) for x in quality.scores(pa.array([*(r[1] for r in ROWS[:i]), ROWS[5][1]]), weights, 0.5)[-1:]} == {alone}
     none = quality.classify(docs, table(spark, folder, "labels").limit(0))
     assert {r["score"] for r in none.collect()} == {0.5}
 
 
+def test_quality_training_against_a_plain_learner():
+    import pyarrow as pa
+
+    texts, labels = [r[1] for r in ROWS[:60]], np.array([int(r[0] % 10 != 0) for r in ROWS[:60]])
+    rule, bits = quality.Ftrl(), 12
+    got, bias = quality.train(pa.array(texts), labels, bits=bits, rule=rule)
+    counts = []
+    for places, off in quality.features(pa.array(texts), quality.kernel.Roller(quality.SEED), bits):
+        counts += [Counter(places[a:b].tolist()) for a, b in zip(off[:-1], off[1:])]
+    z, n = Counter(), Counter()
+
+    def weight(i):
+        return 0.0 if abs(z[i]) <= rule.l1 else -(z[i] - math.copysign(rule.l1, z[i])) / ((rule.beta + math.sqrt(n[i])) / rule.alpha + rule.l2)
+
+    order, share = np.random.default_rng(quality.SEED), {y: np.mean(labels == y) for y in (0, 1)}
+    for _ in range(quality.EPOCHS):
+        for d in order.permutation(len(texts)):
+            x = {i: c / math.sqrt(sum(counts[d].values())) for i, c in counts[d].items()} | {"bias": 1.0}
+            w = {i: weight(i) for i in x}
+            g = 1 / (1 + math.exp(-sum(w[i] * x[i] for i in x))) - labels[d]
+            for i, v in x.items():
+                step = g * v * 0.5 / share[labels[d]]
+                z[i] += step - (math.sqrt(n[i] + step * step) - math.sqrt(n[i])) / rule.alpha * w[i]
+                n[i] += step * step
+    assert bias == pytest.approx(weight("bias"), abs=1e-6)
+    assert np.allclose(got, [weight(i) for i in range(1 << bits)], atol=1e-6)
+
+
 def test_language(spark, folder, docs):
     rows = {r["doc_id"]: r for r in queries.op8_language(spark, folder).collect()}
     plain = [i for i in range(150) if len(ROWS[i][1]) > 40 and i % 11 != 7 and i % 13 != 5 and i % 10 != 4]
@@ -451,14 +486,25 @@ def test_viterbi_is_the_best_path():
 
 def test_html_query(spark, folder):
     rows = queries.op4_html_extract(spark, folder).collect()
-    assert len(rows) == 16 and all(r["n_chars"] == len(r["text"]) for r in rows)
+    assert len(rows) == 20 and all(r["n_chars"] == len(r["text"]) for r in rows)
     assert {r["text"] for r in rows if r["page_id"] in (21, 22)} == {""}
 
 
 def test_line_dedup_drops_a_sites_common_lines(spark, folder):
     rows = {r["page_id"]: r for r in line_dedup.line_dedup(table(spark, folder, "pages")).collect()}
     assert rows[3]["text"] == "Text number 3" and rows[3]["host"] == "site1.example" and rows[3]["n_dropped"] == 2
-    assert rows[20]["text"] == "Alone" and rows[21]["n_lines"] == 0
+    assert rows[20]["text"] == "" and rows[20]["n_dropped"] == 1 and rows[21]["n_lines"] == 0  # on 2 of the 3 pages without host
+    assert rows[30]["host"] == "two.example" and rows[30]["text"] == "page 0\nlast < 0" and rows[40]["text"] == "" and rows[41]["text"] == "Alone\na <b c"
+
+
+def test_line_dedup_takes_time_in_proportion(spark):
+    import time
+
+    hard = ["<!--" * 200_000, "<script " * 100_000, "<a " * 200_000, "<" * 500_000, "<b" * 300_000, " " * 500_000 + "x", "\n" * 500_000]
+    rows = spark.createDataFrame([(i, "http://h", x) for i, x in enumerate(hard)], "page_id long, url string, html string")
+    began = time.perf_counter()
+    assert line_dedup.line_dedup(rows).count() == len(hard)
+    assert time.perf_counter() - began < 60
 
 
 def test_every_query_takes_empty_tables(spark, folder, tmp_path):

@@ -8,7 +8,8 @@ key inside the source, and their sizes are summed up to the budget.  The documen
 edge gives only the words that still fit.
 
 The sort of a source never meets in one task: keys are cut into monotone buckets of about
-max(PER_BUCKET, sqrt(n)) documents, sizes are pre-aggregated by (source, bucket), bucket totals are
+max(PER_BUCKET, sqrt(n)) documents, by the distribution function of the source's keys (documents of one weight have exponential keys of that
+rate, and how many a source has of each weight is counted), sizes are pre-aggregated by (source, bucket), bucket totals are
 prefix-summed, and documents are only sorted inside their bucket.
 
 Cases: a null or blank text has size 0 and gives 0 words; a null source is a source, last
@@ -18,6 +19,9 @@ empty table gives an empty result; other columns, whatever their names, are igno
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -36,11 +40,11 @@ def n_words(text: Column) -> Column:
     return F.regexp_count(text_or_empty(text), F.lit(WORD)).cast("long")
 
 
-def source_targets(sizes: DataFrame, max_epochs: int = MAX_EPOCHS) -> DataFrame:
-    """Of rows (source, size): source, sid, docs, source_size, target.  One row a source is all that meets in one task."""
+def source_targets(sizes: DataFrame, max_epochs: int = MAX_EPOCHS, more: Sequence[Column] = ()) -> DataFrame:
+    """Of rows (source, size): source, sid, docs, source_size, more aggregates, target.  One row a source is all that meets in one task."""
     every = Window.partitionBy()
     by_ratio = Window.orderBy("ratio", "sid")
-    per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("docs"))
+    per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("docs"), *more)
     per = per.withColumn("sid", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())))
     per = per.withColumn("w", ((F.col("sid") - 1) % 3 + 1).cast("double")).withColumn("top", F.col("source_size") * float(max_epochs))
     per = per.withColumn("ratio", F.col("top") / F.col("w")).withColumn("total", F.sum("source_size").over(every).cast("double"))
@@ -50,7 +54,8 @@ def source_targets(sizes: DataFrame, max_epochs: int = MAX_EPOCHS) -> DataFrame:
     per = per.withColumn("held", F.col("top") * F.col("w_left") <= F.col("left") * F.col("w"))
     free = F.sum(F.when(~F.col("held"), F.col("w"))).over(every)
     rest = F.col("total") - F.coalesce(F.sum(F.when(F.col("held"), F.col("top"))).over(every), F.lit(0.0))
-    return per.select("source", "sid", "docs", "source_size", F.when(F.col("held"), F.col("top")).otherwise(rest / free * F.col("w")).alias("target"))
+    known = [c for c in per.columns if c not in ("w", "top", "ratio", "total", "left", "w_left", "held")]
+    return per.select(*known, F.when(F.col("held"), F.col("top")).otherwise(rest / free * F.col("w")).alias("target"))
 
 
 def sampling_key(doc_id: Column, weight: Column, seed: str = SEED) -> Column:
@@ -65,7 +70,6 @@ def mix_sources(docs: DataFrame, labels: DataFrame | None = None, *, max_epochs:
     labels (doc_id, quality) gives sampling weights; documents without a label, and all if labels is None, get the weight of None.
     """
     weights = weights or QUALITY_WEIGHTS
-    least = min(weights.values())
     base = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"))
     weight = F.lit(weights[None])
     if labels is not None:
@@ -74,15 +78,18 @@ def mix_sources(docs: DataFrame, labels: DataFrame | None = None, *, max_epochs:
         for value, w in weights.items():
             if value is not None:
                 weight = F.when(F.col("quality") == value, F.lit(w)).otherwise(weight)
-    base = materialise(base.select("doc_id", "source", "size", sampling_key(F.col("doc_id"), weight, seed).alias("key")), "mix-keys")
+    base = materialise(base.select("doc_id", "source", "size", weight.alias("weight"), sampling_key(F.col("doc_id"), weight, seed).alias("key")), "mix-keys")
 
-    targets = materialise(source_targets(base, max_epochs), "mix-targets").withColumnRenamed("source", "of_source")
+    rates = sorted(set(weights.values()))
+    shares = [F.avg((F.col("weight") == F.lit(w)).cast("double")).alias(f"share{i}") for i, w in enumerate(rates)]
+    targets = materialise(source_targets(base, max_epochs, shares), "mix-targets").withColumnRenamed("source", "of_source")
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     rows = base.join(targets, F.col("source").eqNullSafe(F.col("of_source")), "inner").drop("of_source")
     rows = rows.withColumn("epochs", epochs).withColumn("budget", F.floor("target").cast("long") - F.col("epochs") * F.col("source_size"))
     buckets = F.ceil(F.col("docs") / F.greatest(F.lit(float(PER_BUCKET)), F.sqrt("docs")))
-    rows = rows.withColumn("bucket", F.least(F.floor(buckets * (F.lit(1.0) - F.exp(-F.col("key") * least))), buckets - 1).cast("long"))
-    rows = materialise(rows, "mix-rows")
+    below = reduce(Column.__add__, [F.col(f"share{i}") * (F.lit(1.0) - F.exp(-F.col("key") * F.lit(float(w)))) for i, w in enumerate(rates)])
+    rows = rows.withColumn("bucket", F.least(F.floor(buckets * below), buckets - 1).cast("long"))
+    rows = materialise(rows.drop("weight", *[f"share{i}" for i in range(len(rates))]), "mix-rows")
 
     sums = rows.groupBy("sid", "bucket").agg(F.sum("size").alias("bucket_size"))
     before = F.sum("bucket_size").over(Window.partitionBy("sid").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
