@@ -183,6 +183,41 @@ def test_a_large_family_is_linked_across_blocks(spark, monkeypatch):
     assert got == brute.near(rows, 3, 85)
 
 
+def test_a_chain_of_mostly_unlinked_documents(spark, monkeypatch):
+    r = random.Random(9)
+    words, rows = [f"w{i}" for i in range(80)], []
+    for i in range(400):  # each keeps about three in four of the words of the one before: near enough to share a bucket, seldom to be linked
+        words = [f"x{r.randrange(10**6)}" if r.random() < r.choice([0.0, 0.01, 0.1]) else w for w in words]
+        rows.append((i, " ".join(words)))
+    want = brute.near(rows, 3, 85)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert 20 < len({x[1] for x in want.values()}) < 390
+    assert by_id(minhash.near_duplicates(docs, shingle=3, similarity=85), "n_shingles", "component_id", "kept") == want
+    monkeypatch.setattr(minhash, "BLOCK_DOCS", 4)
+    assert by_id(minhash.near_duplicates(docs, shingle=3, similarity=85), "n_shingles", "component_id", "kept") == want
+
+
+@pytest.mark.parametrize("similarity", [30, 65, 96])
+def test_near_duplicates_at_any_threshold(spark, similarity):
+    r = random.Random(similarity)
+    rows = []
+    for i in range(120):
+        words = rows[r.randrange(len(rows))][1].split() if rows and i % 3 else [f"y{r.randrange(10**6)}" for _ in range(60)]
+        rows.append((i, " ".join(f"z{r.randrange(10**6)}" if r.random() < r.choice([0.005, 0.02, 0.1]) else w for w in words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert by_id(minhash.near_duplicates(docs, shingle=3, similarity=similarity), "n_shingles", "component_id", "kept") == brute.near(rows, 3, similarity)
+
+
+def test_band_shapes():
+    assert minhash.band_shape(85) == (25, 5) and minhash.band_shape(80) == (31, 4)
+    for similarity in range(11, 101):
+        bands, places = minhash.band_shape(similarity)
+        assert bands * places <= 126 and (1 - (similarity / 100) ** places) ** bands <= 1e-6
+    for similarity in (5, 101):
+        with pytest.raises(ValueError, match="similarity"):
+            minhash.band_shape(similarity)
+
+
 def test_components(spark):
     r = random.Random(2)
     edges = [(r.randrange(200), r.randrange(200)) for _ in range(120)] + [(i, i + 1) for i in range(300, 340)]

@@ -1,18 +1,20 @@
 """Near-duplicates by min-max hashing.
 
 A document's set is its distinct runs of SHINGLE words.  Under each of HALF hash functions both the least and the greatest value
-are kept, which gives 2 * HALF signature places for HALF evaluations; bands of ROWS places put documents into buckets.
-From 0.85 on bands have 5 places (a pair at 0.85 misses all 25 with probability 4e-7), below that 4 (a pair at 0.8 misses all 31 with 8e-8).
+are kept, which gives 2 * HALF signature places for HALF evaluations; bands of some places put documents into buckets.  A band has as many places as let a pair at the
+threshold miss all bands with probability MISS at most: 5 from 0.85 on (4e-7), 4 at 0.8 (8e-8); below 0.11 not even single places do, and the threshold is refused.
 
 1. Documents with equal sets form a class, of which the smallest id goes on: copies are never compared.
-2. Each member of a bucket is tied to the bucket's smallest member; the tied components are families, the only places where links can be.
-3. Full sets confirm links.  A family is dealt into blocks of about BLOCK_SHINGLES shingles by hash; within a block all intersections are
-   counted as products of incidence matrices, together with the family's first member, and a spanning forest of the links is kept.
-4. Families of more than one block may have links across blocks.  Only documents outside their family's largest linked group still
-   matter on one side; their blocks are compared with all blocks of compatible set size.
-5. Components of the confirmed links name each document's group.
+2. The smallest member of a bucket is its hub.  Each document goes to one place first, under the least of its buckets' hubs, in blocks of about BLOCK_SHINGLES
+   shingles; within a block all intersections are counted as products of incidence matrices on full sets, together with the hub, and a spanning
+   forest of the links is kept.
+3. Only buckets whose members are not yet all linked go on; of buckets with the same members one does.  Buckets of one hub are taken together where they are nearly the same
+   documents, else each by itself.  There the documents outside the largest linked group are compared with all others: in one block, or, if there are more, block by block
+   with those of a compatible set size.  A document meets no other than those it shares a bucket with.
+4. Components of the confirmed links name each document's group.
 
 No pair is emitted unless it is a link of a spanning forest, a bucket of any size costs one row per member, and no task holds more than two blocks.
+docs is read more than once, so it must be repeatable, as a table is.
 
 Cases: null and wordless texts have the empty set and are linked with nothing; fewer words than SHINGLE make one shingle of them all; ids are integers;
 rows with a null id keep a null group; rows repeated with one id are one document of that id; an empty table gives
@@ -25,11 +27,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel
-from .common import materialise, ready
+from .common import free_name, materialise, possible, quoted, ready, without
 from .components import components
 
 SHINGLE = 5
@@ -37,10 +39,17 @@ SIMILARITY = 80
 HALF = 63
 
 
+#: Probability at most that a pair at the threshold shares no bucket.
+MISS = 1e-6
+
+
 def band_shape(similarity: int) -> tuple[int, int]:
-    """Bands, and signature places in each."""
-    rows = 5 if similarity >= 85 else 4
-    return 2 * HALF // rows, rows
+    """Bands, and signature places in each: as many places as the threshold allows."""
+    t = similarity / 100
+    fit = [r for r in range(1, 13) if (1 - t**r) ** (2 * HALF // r) <= MISS]
+    if not fit or similarity > 100:
+        raise ValueError(f"a similarity of {similarity} hundredths is out of what {2 * HALF} signature places can find, 11 to 100")
+    return 2 * HALF // fit[-1], fit[-1]
 
 
 BLOCK_SHINGLES = 1 << 17
@@ -126,7 +135,7 @@ def _full_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, n), batch.column(1).slice(at, n), pa.array(np.diff(off)), lists], schema=arrow)
                 at += n
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string").alias("text"))
+    texts = possible(docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string").alias("text")), "rep", wanted.select("rep"))
     return texts.join(wanted.hint("shuffle_hash"), "rep").select("rep", "family", "text").mapInArrow(run, "rep long, family long, n long, grams array<long>")
 
 
@@ -209,56 +218,74 @@ def near_duplicates(docs: DataFrame, *, shingle: int = SHINGLE, similarity: int
     return rows.select("doc_id", "n_shingles", own.alias("component_id"), F.coalesce(own == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
+def _blocks_of(n: Column, members: Column) -> Column:
+    return F.greatest(F.ceil(n / BLOCK_SHINGLES), F.ceil(members / BLOCK_DOCS)).cast("int")
+
+
 def _links(docs: DataFrame, some: DataFrame, classes: DataFrame, shingle: int, similarity: int) -> DataFrame:
     """Confirmed links (u, v) between representatives, enough to connect whatever is linked."""
     reps = classes.select(F.col("rep").alias("doc_id"))
     # A repeated row with one id may stand twice here; that ties nothing new.
     bands = some.join(reps, "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), F.explode("bands").alias("bucket"))
-    least = bands.groupBy("bucket").agg(F.min("rep").alias("hub"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("bucket", "hub")
-    ties = materialise(bands.join(least, "bucket").filter("rep <> hub").select(F.col("rep").alias("u"), F.col("hub").alias("v")).distinct(), "minhash-ties")
-    families = materialise(components(ties).select(F.col("node").alias("rep"), F.col("component").alias("family")), "minhash-families")
-    full = materialise(_full_sets(docs, families, shingle).dropDuplicates(["rep"]), "minhash-full")
-
-    load = full.groupBy("family").agg(F.sum("n").alias("load"), F.count(F.lit(1)).alias("members"))
-    blocks = F.greatest(F.ceil(F.col("load") / BLOCK_SHINGLES), F.ceil(F.col("members") / BLOCK_DOCS)).cast("int")
-    load = materialise(load.select("family", blocks.alias("blocks")), "minhash-blocks")
-    dealt = full.join(load, "family").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    # The smallest document of a family, the likely original, stands in every block.
-    hub = (F.col("rep") == F.col("family")) & (F.col("blocks") > 1)
-    spots = F.when(hub, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("block"))
-    inside = dealt.select("family", F.explode(spots).alias("block"), "rep", F.lit(0).alias("side"), "grams")
+    least = bands.groupBy("bucket").agg(F.min("rep").alias("hub"), F.max("rep").alias("last")).filter("hub < last").select("bucket", "hub")
+    shared = materialise(bands.join(materialise(least, "minhash-hubs"), "bucket").select("bucket", "hub", "rep"), "minhash-shared")
+    homes = materialise(shared.groupBy("rep").agg(F.min("hub").alias("family")), "minhash-homes")
+    full = materialise(_full_sets(docs, homes, shingle).dropDuplicates(["rep"]), "minhash-full")
 
     def confirm(table: pa.Table) -> pa.Table:
         return _confirm(table.select(["rep", "side", "grams"]), similarity)
 
-    first = materialise(inside.groupBy("family", "block").applyInArrow(confirm, EDGES), "minhash-links")
+    # Everyone at home, with the hub.
+    guests = full.filter("rep <> family")
+    load = materialise(guests.groupBy("family").agg(_blocks_of(F.sum("n"), F.count(F.lit(1))).alias("blocks")), "minhash-blocks")
+    dealt = guests.join(load, "family").select("family", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("block"), "rep", F.lit(0).alias("side"), "grams")
+    hubs = full.select("rep", "grams").join(load, F.col("rep") == F.col("family"))
+    hubs = hubs.select("family", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "rep", F.lit(0).alias("side"), "grams")
+    first = materialise(dealt.unionByName(hubs).groupBy("family", "block").applyInArrow(confirm, EDGES), "minhash-links")
+    group = components(first).withColumnRenamed("node", "rep")
 
-    # Families of several blocks: the documents outside the largest linked group, by set size, against all.
-    large = dealt.filter("blocks > 1").select("family", "rep", "n", "grams")
-    if large.isEmpty():
+    # Buckets that are not yet of one group, one of those with the same members.
+    named = full.select("rep", "n").join(group, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    placed = materialise(shared.join(materialise(named, "minhash-groups"), "rep"), "minhash-placed")
+    marks = [F.bit_xor(F.xxhash64("rep", F.lit(i))).alias(f"x{i}") for i in (0, 1)]
+    several = placed.groupBy("bucket").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count(F.lit(1)).alias("members"), *marks).filter("a <> b")
+    open_ = materialise(several.groupBy("members", "x0", "x1").agg(F.min("bucket").alias("bucket")).select("bucket", "members"), "minhash-open")
+    if open_.isEmpty():
         return first
-    group = components(first).withColumnRenamed("node", "rep")
-    grouped = materialise(large.select("family", "rep", "n").join(group, "rep", "left").withColumn("component", F.coalesce("component", "rep")), "minhash-grouped")
-    sizes = grouped.groupBy("family", "component").agg(F.count(F.lit(1)).alias("c"))
-    main = sizes.groupBy("family").agg(F.max(F.struct("c", "component")).alias("m")).select("family", F.col("m.component").alias("main"))
-    step = F.floor(F.log("n") / F.lit(np.log(100.0 / similarity))).cast("int")  # sets that link differ by one step at most
-    placed = materialise(grouped.join(main, "family").select("family", "rep", "n", (F.col("component") != F.col("main")).alias("loose"), step.alias("step")), "minhash-placed")
-    per = placed.groupBy("family", "step").agg(
-        F.greatest(F.ceil(F.sum("n") / BLOCK_SHINGLES), F.ceil(F.count(F.lit(1)) / BLOCK_DOCS)).cast("int").alias("every"),
-        F.greatest(F.ceil(F.sum(F.when(F.col("loose"), F.col("n")).otherwise(0)) / BLOCK_SHINGLES), F.ceil(F.sum(F.col("loose").cast("int")) / BLOCK_DOCS)).cast("int").alias("loose_blocks"),
+    rows = placed.join(open_, "bucket")
+    most = rows.groupBy("hub").agg(F.max("members").alias("largest"))
+    together = rows.select("hub", "rep").distinct().groupBy("hub").agg(F.count(F.lit(1)).alias("all"))
+    merged = most.join(together, "hub").filter(F.col("all") <= F.greatest(F.lit(BLOCK_DOCS), 4 * F.col("largest"))).select("hub", F.lit(True).alias("merged"))
+    rows = rows.join(materialise(merged, "minhash-merged"), "hub", "left")
+    unit = F.when(F.col("merged"), F.struct(F.lit(0).alias("kind"), F.col("hub").alias("at"))).otherwise(F.struct(F.lit(1).alias("kind"), F.col("bucket").alias("at")))
+    rows = materialise(rows.select(unit.alias("unit"), "rep", "n", "component").distinct(), "minhash-units")
+
+    # The largest group of each stays on one side; the others, and all in what fits one block, meet everyone.
+    sizes = rows.groupBy("unit", "component").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("s"))
+    main = sizes.groupBy("unit").agg(F.max(F.struct("c", "component"))["component"].alias("main"), _blocks_of(F.sum("s"), F.sum("c")).alias("blocks"))
+    step = F.floor(F.log("n") / F.lit(np.log(100.0 / similarity) if similarity < 100 else 1.0)).cast("int")  # sets that link differ by one step at most
+    rows = rows.join(materialise(main, "minhash-main"), "unit").withColumn("loose", F.col("component") != F.col("main")).withColumn("step", step)
+    whole = rows.filter("blocks = 1").select("unit", "rep", *[F.lit(-1).alias(c) for c in ("s", "i", "t", "j")], F.lit(0).alias("side"))
+    large = materialise(rows.filter("blocks > 1").select("unit", "rep", "n", "loose", "step"), "minhash-large")
+    per = large.groupBy("unit", "step").agg(
+        _blocks_of(F.sum("n"), F.count(F.lit(1))).alias("every"),
+        _blocks_of(F.sum(F.when(F.col("loose"), F.col("n")).otherwise(0)), F.sum(F.col("loose").cast("int"))).alias("loose_blocks"),
     )
     near = F.explode(F.array(*[F.col("step") + d for d in (-1, 0, 1)])).alias("other")
     deal = F.xxhash64("rep", F.lit(1))
-    rows = placed.join(per.select("family", "step", "every", "loose_blocks"), ["family", "step"])
-    there = per.select("family", F.col("step").alias("other"), F.col("every").alias("other_every"), F.col("loose_blocks").alias("other_loose"))
-    spread = rows.select("family", "rep", "loose", "step", F.pmod(deal, F.col("every")).cast("int").alias("own"), F.when(F.col("loose"), F.pmod(deal, F.greatest("loose_blocks", F.lit(1)))).cast("int").alias("own_loose"), near).join(there, ["family", "other"])
-    left = spread.filter("loose").select("family", "rep", F.col("step").alias("s"), F.col("own_loose").alias("i"), F.col("other").alias("t"), F.explode(F.sequence(F.lit(0), F.col("other_every") - 1)).alias("j"), F.lit(0).alias("side"))
-    right = spread.filter("other_loose > 0").select("family", "rep", F.col("other").alias("s"), F.explode(F.sequence(F.lit(0), F.col("other_loose") - 1)).alias("i"), F.col("step").alias("t"), F.col("own").alias("j"), F.lit(1).alias("side"))
-    tasks = left.unionByName(right).join(large.select("rep", "grams"), "rep")
-    return first.unionByName(tasks.groupBy("family", "s", "i", "t", "j").applyInArrow(confirm, EDGES))
+    spread = large.join(per, ["unit", "step"])
+    there = per.select("unit", F.col("step").alias("other"), F.col("every").alias("other_every"), F.col("loose_blocks").alias("other_loose"))
+    spread = spread.select("unit", "rep", "loose", "step", F.pmod(deal, F.col("every")).cast("int").alias("own"), F.when(F.col("loose"), F.pmod(deal, F.greatest("loose_blocks", F.lit(1)))).cast("int").alias("own_loose"), near).join(there, ["unit", "other"])
+    left = spread.filter("loose").select("unit", "rep", F.col("step").alias("s"), F.col("own_loose").alias("i"), F.col("other").alias("t"), F.explode(F.sequence(F.lit(0), F.col("other_every") - 1)).alias("j"), F.lit(0).alias("side"))
+    right = spread.filter("other_loose > 0").select("unit", "rep", F.col("other").alias("s"), F.explode(F.sequence(F.lit(0), F.col("other_loose") - 1)).alias("i"), F.col("step").alias("t"), F.col("own").alias("j"), F.lit(1).alias("side"))
+    tasks = materialise(whole.unionByName(left).unionByName(right), "minhash-tasks").join(full.select("rep", "grams"), "rep")
+    second = tasks.groupBy("unit", "s", "i", "t", "j").applyInArrow(confirm, EDGES)
+    return first.unionByName(second)
 
 
 def keep_one(docs: DataFrame, *, shingle: int = SHINGLE, similarity: int = SIMILARITY) -> DataFrame:
     """The rows of docs that are the first of their group, with all their columns."""
-    gone = near_duplicates(docs, shingle=shingle, similarity=similarity).filter("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone.hint("shuffle_hash"), docs["doc_id"] == gone["_gone"], "left_anti")
+    key = free_name(docs.columns, "_doc")
+    gone = near_duplicates(docs, shingle=shingle, similarity=similarity).filter("NOT kept").select(F.col("doc_id").alias(key)).distinct()
+    rows = docs.withColumn(key, quoted("doc_id").cast("long"))
+    return without(rows, key, materialise(gone, "minhash-gone")).select(*map(quoted, docs.columns))
