@@ -10,9 +10,11 @@ DEFAULT_SHARED = "/tmp/checkpoints"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session, else the context's checkpoint folder, else one for a single machine."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return (named or spark.sparkContext.getCheckpointDir() or DEFAULT_SHARED).rstrip("/")
+    """spark.checkpoint.dir of the session, else the context's checkpoint folder; a machine's own folder only if all runs on that machine."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return (named or DEFAULT_SHARED).rstrip("/")
 
 
 def scratch(spark: SparkSession, name: str) -> str:
