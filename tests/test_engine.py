@@ -161,9 +161,10 @@ def test_full_graph_search_goes_on_until_no_row_is_left_to_expand(spark):
 def test_beam_misses_a_component_but_a_wide_one_does_not():
     x = np.array([[0.0], [0.1], [5.0], [5.1]])
     adjacency = [np.array([1]), np.array([0]), np.array([3]), np.array([2])]
-    rows, _ = Q.beam(x, np.arange(4), adjacency, np.array([5.0]), np.array([0]), 2)
-    assert set(rows) == {0, 1}
-    rows, _ = Q.beam(x, np.arange(4), adjacency, np.array([5.0]), np.array([0]), 4)
+    for width, walk in ((2, False), (99, True)):
+        rows, _, hops = Q.beam(x, np.arange(4), adjacency, np.array([5.0]), np.array([0]), width, walk=walk)
+        assert set(rows) == {0, 1} and hops == 2
+    rows, _, _ = Q.beam(x, np.arange(4), adjacency, np.array([5.0]), np.array([0]), 4)
     assert set(rows) == {0, 1, 2, 3}
 
 

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.vectors import linear_cell
+from ..storage import materialise
 from .ranking import with_rank
 
 
@@ -70,9 +72,17 @@ def value_counts(points: DataFrame, attribute: str = "a0") -> DataFrame:
 
 
 def run_lengths(points: DataFrame, attribute: str = "a0") -> DataFrame:
-    """(value, n, first): each run of equal values in sorted order and the place where it starts."""
-    w = Window.orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
-    return value_counts(points, attribute).withColumn("first", F.coalesce(F.sum("n").over(w), F.lit(0)).cast("long"))
+    """(value, n, first): each run of equal values in sorted order and the place where it starts.
+
+    Values are range-partitioned and written; sums run inside each range and are shifted by the sums of the ranges before.
+    """
+    n = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = materialise(value_counts(points, attribute).repartitionByRange(n, "value").withColumn("_range", F.spark_partition_id()), "runs")
+    earlier = Window.rowsBetween(Window.unboundedPreceding, -1)
+    sums = ranged.groupBy("_range").agg(F.sum("n").alias("_n"))  # one row a range
+    shifts = sums.select("_range", F.coalesce(F.sum("_n").over(earlier.orderBy("_range")), F.lit(0)).alias("_before"))
+    inside = F.coalesce(F.sum("n").over(earlier.partitionBy("_range").orderBy("value")), F.lit(0))
+    return ranged.withColumn("_inside", inside).join(F.broadcast(shifts), "_range").select("value", "n", (F.col("_before") + F.col("_inside")).cast("long").alias("first"))
 
 
 def tie_aware_cuts(counts: list[int], parts: int) -> list[int]:
@@ -103,7 +113,8 @@ def tie_aware_cuts(counts: list[int], parts: int) -> list[int]:
 def best_split(counts: list[int], parts: int) -> list[int]:
     """First distinct value of each segment: at most parts runs of neighbouring values whose sizes are nearest to N / parts in squares.
 
-    Dynamic programming over the value histogram; of splits as good the one with the earliest cuts. Meant for histograms of some thousands of values.
+    Dynamic programming over the value histogram; of splits as good the one with the earliest cuts.  As the cost of a run is convex in its size, the
+    best place of a cut moves one way only, so each row of the table is filled by halving, in m log m steps.
     """
     m = len(counts)
     if parts >= m:
@@ -112,32 +123,39 @@ def best_split(counts: list[int], parts: int) -> list[int]:
     for c in counts:
         prefix.append(prefix[-1] + c)
     aim = prefix[-1] / parts
-    cost = [(x - aim) ** 2 for x in prefix]
+    size = np.array(prefix, np.float64)
+    cost = (size - aim) ** 2
     back = []
     for s in range(2, parts + 1):
-        now, at = [float("inf")] * (m + 1), [0] * (m + 1)
-        for i in range(s, m + 1):
-            for k in range(s - 1, i):
-                c = cost[k] + (prefix[i] - prefix[k] - aim) ** 2
-                if c < now[i]:
-                    now[i], at[i] = c, k
+        now, at = np.full(m + 1, np.inf), np.zeros(m + 1, np.int64)
+        todo = [(s, m, s - 1, m - 1)]  # ends from, to; last cuts from, to
+        while todo:
+            lo, hi, first, last = todo.pop()
+            if lo > hi:
+                continue
+            i = (lo + hi) // 2
+            k = slice(first, min(last, i - 1) + 1)
+            c = cost[k] + (size[i] - size[k] - aim) ** 2
+            j = int(np.argmin(c))
+            now[i], at[i] = c[j], first + j
+            todo += [(lo, i - 1, first, first + j), (i + 1, hi, first + j, last)]
         cost = now
         back.append(at)
     cuts, i = [], m
     for at in reversed(back):
-        i = at[i]
+        i = int(at[i])
         cuts.append(i)
     return [0, *reversed(cuts)]
 
 
-#: A histogram of more distinct values than this is not brought to the driver.
-MAX_VALUES = 1 << 20
+#: A histogram of more distinct values than this is not brought to the driver; the optimal split takes fewer.
+MAX_VALUES, MAX_SPLIT_VALUES = 1 << 20, 1 << 16
 
 
-def _histogram(points: DataFrame, attribute: str) -> tuple[list, list[int]]:
-    rows = value_counts(points, attribute).orderBy("value").limit(MAX_VALUES + 1).collect()
-    if len(rows) > MAX_VALUES:
-        raise ValueError(f"{attribute} has over {MAX_VALUES} distinct values; use equi_depth")
+def _histogram(points: DataFrame, attribute: str, most: int = MAX_VALUES) -> tuple[list, list[int]]:
+    rows = value_counts(points, attribute).orderBy("value").limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"{attribute} has over {most} distinct values; use equi_depth")
     return [r["value"] for r in rows], [r["n"] for r in rows]
 
 
@@ -150,9 +168,18 @@ def tie_aware(points: DataFrame, parts: int, attribute: str = "a0") -> DataFrame
     return ranked.withColumn("bucket", (F.size(F.filter(starts, lambda c: c <= F.col("rank"))) - 1).cast("long")).drop("rank")
 
 
+def tie_aware_grid(points: DataFrame, shape: list[int]) -> DataFrame:
+    """b0.. and cell_id: every attribute cut as by tie_aware; points with a null attribute are in no cell."""
+    out = points
+    for j, s in enumerate(shape):
+        own = tie_aware(points.select("id", f"a{j}"), s, f"a{j}").select("id", F.col("bucket").alias(f"b{j}"))
+        out = out.join(own, "id", "left")
+    return out.withColumn("cell_id", linear_cell([f"b{j}" for j in range(len(shape))], shape))
+
+
 def dp_split(points: DataFrame, parts: int, attribute: str = "a0") -> DataFrame:
     """points with bucket: whole runs of equal values, sizes as even as can be."""
-    values, counts = _histogram(points, attribute)
+    values, counts = _histogram(points, attribute, MAX_SPLIT_VALUES)
     firsts = [values[i] for i in best_split(counts, parts)] if counts else []
     kind = points.schema[attribute].dataType
     starts = F.array(*[F.lit(v).cast(kind) for v in firsts]) if firsts else F.array().cast(f"array<{kind.simpleString()}>")
