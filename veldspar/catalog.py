@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import workload as W
 from .functions import predicates as P
 from .functions import vectors as V
+from .functions.sizes import broadcast_within
 from .operators import clusters as C
 from .operators import evaluate as E
 from .operators import graph as G
@@ -229,12 +230,12 @@ def lineitem_knn(spark, sf):
 def l2_matrix_centroids(spark, sf):
     plan = Plan(spark, sf)
     _, centres = plan.clusters()
-    return rounded(plan.queries.crossJoin(F.broadcast(centres)).select("qid", "cid", V.l2_squared("qvec", "vec").alias("dist")))
+    return rounded(plan.queries.crossJoin(broadcast_within(centres)).select("qid", "cid", V.l2_squared("qvec", "vec").alias("dist")))
 
 
 @query(f"WITH {PTS}, {qry()} SELECT qid, id, round({d2('vec', 'qvec')}, 6) AS dist FROM pts, qry")
 def l2_norm_identity(spark, sf):
-    both = points(spark, sf).crossJoin(F.broadcast(asked(spark, sf)))
+    both = points(spark, sf).crossJoin(broadcast_within(asked(spark, sf)))
     return rounded(both.select("qid", "id", V.l2_squared_by_norms("vec", "qvec").alias("dist")))
 
 
@@ -245,7 +246,7 @@ def vector_norms(spark, sf):
 
 @query(f"WITH {PTS}, {qry()} SELECT qid, id, round(sqrt({d2('vec', 'qvec')}), 6) AS dist FROM pts, qry")
 def euclidean_distance(spark, sf):
-    both = points(spark, sf).crossJoin(F.broadcast(asked(spark, sf)))
+    both = points(spark, sf).crossJoin(broadcast_within(asked(spark, sf)))
     return rounded(both.select("qid", "id", V.l2("vec", "qvec").alias("dist")))
 
 
@@ -354,11 +355,28 @@ def orders_grid(spark, sf):
     return R.histogram(R.equi_depth(o, [4, 4]))
 
 
-@query()
+def tie_aware_sql(attribute: str, parts: int, out: str, name: str) -> str:
+    """Cuts of an attribute: every ideal cut moved to its run's nearer edge, each at least one after the one before, and the bucket of every point."""
+    return f"""{name}n AS (SELECT count(*) AS n, least({parts}, count(*)) AS parts FROM pts WHERE {attribute} IS NOT NULL),
+{name}r AS (SELECT first, first + c AS last, c FROM (SELECT {attribute}, count(*) AS c, CAST(sum(count(*)) OVER (ORDER BY {attribute}) AS BIGINT) - count(*) AS first FROM pts WHERE {attribute} IS NOT NULL GROUP BY {attribute})),
+{name}i AS (SELECT p, n, parts, CAST(round_even(p * n / CAST(parts AS DOUBLE), 0) AS BIGINT) AS ideal FROM {name}n, range(1, {parts}) t(p) WHERE p < parts),
+{name}c AS (SELECT p, least(CASE WHEN first < ideal AND ideal < last AND c < 2 * CAST(ceil(n / CAST(parts AS DOUBLE)) AS BIGINT) THEN CASE WHEN ideal - first <= last - ideal THEN first ELSE last END ELSE ideal END, n - (parts - p)) AS cut
+  FROM {name}i JOIN {name}r ON first <= ideal AND (ideal < last OR last = n) AND first = (SELECT max(first) FROM {name}r z WHERE z.first <= ideal)),
+{name}k AS (SELECT p, max(cut - p) OVER (ORDER BY p) + p AS cut FROM (SELECT p, cut FROM {name}c UNION ALL SELECT 0, 0)),
+{name} AS (SELECT id, (SELECT count(*) FROM {name}k WHERE cut <= pl) - 1 AS {out} FROM (SELECT id, row_number() OVER (ORDER BY {attribute}, id) - 1 AS pl FROM pts WHERE {attribute} IS NOT NULL))"""
+
+
+@query(f"WITH {PTS}, {tie_aware_sql('a0', 4, 'bucket', 'ta')} SELECT id, a0, bucket FROM pts JOIN ta USING (id)")
 def grid_tieaware(spark, sf):
     return R.tie_aware(points(spark, sf), 4).select("id", "a0", "bucket")
 
 
+@query(f"WITH {PTS}, {tie_aware_sql('a0', 4, 'b0', 'ta')}, {tie_aware_sql('a2', 5, 'b1', 'tb')} SELECT id, b0, b1, b0 * 5 + b1 AS cell_id FROM ta JOIN tb USING (id)")
+def grid_tieaware_all(spark, sf):
+    p = points(spark, sf).select("id", "a0", F.col("a2").alias("a1"))
+    return R.tie_aware_grid(p, [4, 5]).select("id", "b0", "b1", "cell_id")
+
+
 @query(f"""WITH {PTS}, r AS (SELECT a0 AS value, count(*) AS n FROM pts GROUP BY a0) SELECT value, n, CAST(coalesce(sum(n) OVER (ORDER BY value ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS first FROM r""")
 def run_lengths(spark, sf):
     return R.run_lengths(points(spark, sf))
@@ -439,6 +457,11 @@ def cells_per_query(spark, sf):
     return S.cells_per_query(Plan(spark, sf).chosen)
 
 
+@query(f"WITH {chosen_sql('mixed')}, n AS (SELECT qid, count(*) AS n_cells FROM qc GROUP BY qid) SELECT qid, n_cells, row_number() OVER (ORDER BY n_cells DESC, qid) - 1 AS place FROM n")
+def longest_first(spark, sf):
+    return S.longest_first(Plan(spark, sf, "mixed").chosen)
+
+
 AREA = """ar AS (SELECT qid, cell_id, (CASE WHEN hi0 > lo0 THEN CAST(least(hi0, r0) - greatest(lo0, l0) AS DOUBLE) / CAST(hi0 - lo0 AS DOUBLE) ELSE 1.0::DOUBLE END)
   * (CASE WHEN hi1 > lo1 THEN CAST(least(hi1, r1) - greatest(lo1, l1) AS DOUBLE) / CAST(hi1 - lo1 AS DOUBLE) ELSE 1.0::DOUBLE END) AS area FROM qry JOIN cells ON hi0 >= l0 AND lo0 <= r0 AND hi1 >= l1 AND lo1 <= r1)"""
 
@@ -579,7 +602,15 @@ def graph_by_descent(spark, sf):
     return g.agg(F.count(F.lit(1)).alias("points")).withColumn("near", F.lit(both >= 0.9 * exact.count()))
 
 
-@query()
+#: Cell by cell, in order of id: a point without a representative represents itself and claims its later neighbours that have none.
+SPOKESMAN = """nb AS (SELECT g.cell_id, g.id, coalesce(list(e.dst) FILTER (e.dst IS NOT NULL), []) AS n FROM g LEFT JOIN e ON e.src = g.id GROUP BY g.cell_id, g.id),
+cl AS (SELECT cell_id, list(id ORDER BY id) AS ids, list(n ORDER BY id) AS ns FROM nb GROUP BY cell_id),
+gr AS (SELECT cell_id, ids, ns, 1 AS i, list_transform(ids, lambda y: CAST(NULL AS BIGINT)) AS rep FROM cl
+  UNION ALL SELECT cell_id, ids, ns, i + 1, CASE WHEN rep[i] IS NULL THEN list_transform(rep, lambda r, j: CASE WHEN r IS NOT NULL THEN r WHEN j = i OR (j > i AND list_contains(ns[i], ids[j])) THEN ids[i] END) ELSE rep END FROM gr WHERE i <= len(ids)),
+rp AS (SELECT cell_id, unnest(ids) AS id, unnest(rep) AS rep_id FROM gr WHERE i = len(ids) + 1)"""
+
+
+@query(f"WITH RECURSIVE {PTS}, {GRID}, {CELL_GRAPH}, {SPOKESMAN} SELECT cell_id, id, rep_id FROM rp")
 def spokesman(spark, sf):
     return G.representatives(Plan(spark, sf).graphs()[0])
 
@@ -593,7 +624,7 @@ def spokesman_invariant(spark, sf):
     return reps.agg(F.count(F.lit(1)).alias("points")).crossJoin(bad.agg(F.count(F.lit(1)).alias("wrong")))
 
 
-@query()
+@query(f"WITH RECURSIVE {PTS}, {GRID}, {CELL_GRAPH}, {CROSS}, {SPOKESMAN} SELECT rp.id, x.dst_cell, x.rank, x.dst FROM rp JOIN x ON x.src = rp.rep_id")
 def spokesman_lookup(spark, sf):
     edges, cross = Plan(spark, sf).graphs()
     reps = materialise(G.representatives(edges), "reps")
@@ -606,7 +637,7 @@ FRONTIER = f"{ENTRIES}, fr AS (SELECT qid, id FROM qry, en)"
 
 def _frontier(plan: Plan) -> DataFrame:
     """Every query at the entry points of every cell."""
-    return G.entry_points(plan.grid, 3).select("id").crossJoin(F.broadcast(plan.queries.select("qid")))
+    return G.entry_points(plan.grid, 3).select("id").crossJoin(broadcast_within(plan.queries.select("qid")))
 
 
 @query(f"WITH {PTS}, {qry()}, {GRID}, {CELL_GRAPH}, {FRONTIER} SELECT DISTINCT qid, dst AS id FROM fr JOIN e ON e.src = fr.id")
@@ -646,6 +677,46 @@ def cell_beam_search(spark, sf):
     return rounded(_beams(Plan(spark, sf, "mixed"), 1 << 20))
 
 
+#: What an endless beam reaches: from 16 scattered points of the first cell, then from the cross edges of the k nearest reached there, or scattered points, in every other cell.
+WALK = f"""loc AS (SELECT cell_id, id, row_number() OVER (PARTITION BY cell_id ORDER BY id) - 1 AS l, count(*) OVER (PARTITION BY cell_id) AS n FROM g),
+scat AS (SELECT DISTINCT cell_id, id FROM loc JOIN range(16) t(j) ON l = (j * (n - 1)) // 15),
+od AS (SELECT qid, cell_id, row_number() OVER (PARTITION BY qid ORDER BY score DESC, cell_id) AS visit_rank FROM sc),
+w1 AS (SELECT qid, cell_id, id FROM od JOIN scat USING (cell_id) WHERE visit_rank = 1 UNION SELECT w1.qid, w1.cell_id, e.dst FROM w1 JOIN e ON e.src = w1.id),
+near1 AS (SELECT qid, id FROM (SELECT w1.qid, w1.id, row_number() OVER (PARTITION BY w1.qid ORDER BY {d2('vec', 'qvec')}, w1.id) AS rn FROM w1 JOIN qry ON qry.qid = w1.qid JOIN pts ON pts.id = w1.id) WHERE rn <= {K}),
+hp AS (SELECT DISTINCT od.qid, od.cell_id, x.dst AS id FROM near1 JOIN x ON x.src = near1.id JOIN od ON od.qid = near1.qid AND od.cell_id = x.dst_cell AND od.visit_rank > 1),
+w2 AS (SELECT qid, cell_id, id FROM hp UNION SELECT od.qid, od.cell_id, scat.id FROM od JOIN scat USING (cell_id) WHERE visit_rank > 1 AND NOT EXISTS (SELECT 1 FROM hp WHERE hp.qid = od.qid AND hp.cell_id = od.cell_id)
+  UNION SELECT w2.qid, w2.cell_id, e.dst FROM w2 JOIN e ON e.src = w2.id),
+walked AS (SELECT * FROM w1 UNION SELECT * FROM w2)"""
+
+
+def walk_sql(kind: str) -> str:
+    return f"WITH RECURSIVE {chosen_sql(kind)}, {ORDER}, {CELL_GRAPH}, {CROSS}, {WALK}"
+
+
+def nearest_of_sql(reached: str) -> str:
+    """The k nearest in its box of what each query reached (qid, id)."""
+    return f"""SELECT qid, rank, id, round(dist, 6) AS dist FROM (SELECT qid, id, dist, row_number() OVER (PARTITION BY qid ORDER BY dist, id) AS rank
+  FROM (SELECT qry.qid, pts.id, {d2('vec', 'qvec')} AS dist FROM {reached} z JOIN qry ON qry.qid = z.qid JOIN pts ON pts.id = z.id WHERE {AND})) WHERE rank <= {K}"""
+
+
+def _walk(plan: Plan) -> DataFrame:
+    edges, cross = plan.graphs()
+    return Q.visits_by_cells(plan.grid, edges, cross, plan.queries, plan.order(), 2, K, width=1 << 20, walk=True)
+
+
+@query(walk_sql("mixed") + " " + nearest_of_sql("(SELECT DISTINCT qid, id FROM walked)"))
+def cell_walk_search(spark, sf):
+    """An endless beam that goes by edges only: what it reaches, and no more, is in its answers."""
+    found = _walk(Plan(spark, sf, "mixed")).filter("inside").select("qid", "id", "dist")
+    return rounded(top_k(found, ["qid"], ["dist", "id"], K).select("qid", "rank", "id", "dist"))
+
+
+@query(walk_sql("mixed") + " SELECT qid, count(DISTINCT cell_id) AS cells, count(*) AS hops, count(*) AS scored FROM walked GROUP BY qid")
+def beam_counters(spark, sf):
+    """Cells visited, rows expanded and distances computed of the same beams: each row reached is scored and expanded once."""
+    return Q.counters(_walk(Plan(spark, sf, "mixed")))
+
+
 @query(f"WITH {PTS}, {qry('mixed')} SELECT CAST(count(*) AS BIGINT) AS queries, true AS good FROM qry")
 def cell_beam_recall(spark, sf):
     """A narrow beam's promise: nine in ten of the true neighbours."""
@@ -660,7 +731,7 @@ def _full_graph(plan: Plan) -> tuple[DataFrame, DataFrame]:
 
 
 @query(f"WITH {PTS}, {qry('open')} SELECT CAST(count(*) AS BIGINT) AS queries, true AS good FROM qry")
-def post_filter_search(spark, sf):
+def post_filter_recall(spark, sf):
     """The whole graph's promise on open boxes: nine in ten of the true neighbours."""
     plan = Plan(spark, sf, "open")
     graph, entries = _full_graph(plan)
@@ -668,14 +739,45 @@ def post_filter_search(spark, sf):
     return E.recall(found, Q.exact(plan.grid, plan.queries, 2, K), plan.queries).select("queries", (F.col("recall") >= 0.9).alias("good"))
 
 
-@query(f"WITH {PTS}, {qry('mixed')} SELECT CAST(count(*) AS BIGINT) AS queries, true AS good, CAST(0 AS BIGINT) AS outside FROM qry")
+#: What an endless beam reaches in the assembled graph from four points of every cell.
+REACH = f"""{ASSEMBLED}, en4 AS (SELECT id FROM (SELECT id, row_number() OVER (PARTITION BY cell_id ORDER BY id * 104729 % 99991, id) AS rank FROM g) WHERE rank <= 4),
+re AS (SELECT id FROM en4 UNION SELECT asm.dst FROM re JOIN asm ON asm.src = re.id)"""
+
+
+@query(f"WITH RECURSIVE {PTS}, {qry('open')}, {GRID}, {CELL_GRAPH}, {CROSS}, {REACH} " + nearest_of_sql("(SELECT qid, re.id FROM qry, re)"))
+def post_filter_search(spark, sf):
+    """An endless beam over the whole graph, boxes applied afterwards."""
+    plan = Plan(spark, sf, "open")
+    graph, entries = _full_graph(plan)
+    return rounded(Q.over_graph(plan.grid, graph, plan.queries, entries, 2, K, width=1 << 20))
+
+
+@query(f"WITH RECURSIVE {PTS}, {qry('open')}, {GRID}, {CELL_GRAPH}, {CROSS}, {REACH} " + nearest_of_sql("(SELECT qid, re.id FROM qry, re)").replace(f" WHERE {AND}", ""))
+def single_graph_search(spark, sf):
+    """The same without boxes."""
+    plan = Plan(spark, sf, "open")
+    graph, entries = _full_graph(plan)
+    return rounded(Q.over_graph(plan.grid, graph, plan.queries, entries, 0, K, width=1 << 20))
+
+
+@query(f"{walk_sql('mixed')}, {REACH}, {STRATEGY}, st AS (SELECT qid, CASE WHEN selectivity <= 0.02 THEN 'scan' WHEN n_cells >= 16 THEN 'full' ELSE 'cells' END AS strategy FROM sel JOIN nc USING (qid)) "
+    + nearest_of_sql("(SELECT qid, pts.id FROM st, pts WHERE strategy = 'scan' UNION SELECT qid, walked.id FROM walked JOIN st USING (qid) WHERE strategy = 'cells' UNION SELECT qid, re.id FROM st, re WHERE strategy = 'full')"))
 def combined_search(spark, sf):
+    """Three strategies in one search, with endless beams that go by edges."""
+    plan = Plan(spark, sf, "mixed")
+    edges, cross = plan.graphs()
+    graph, entries = _full_graph(plan)
+    return rounded(Q.combined(plan.grid, edges, cross, graph, plan.queries, plan.order(), materialise(_strategies(plan), "plan"), entries, 2, K, width=1 << 20, walk=True))
+
+
+@query(f"WITH {PTS}, {qry('mixed')} SELECT CAST(count(*) AS BIGINT) AS queries, true AS good, CAST(0 AS BIGINT) AS outside FROM qry")
+def combined_recall(spark, sf):
     """Three strategies in one search: recall of nine in ten, and nothing outside its box."""
     plan = Plan(spark, sf, "mixed")
     edges, cross = plan.graphs()
     graph, entries = _full_graph(plan)
     found = materialise(Q.combined(plan.grid, edges, cross, graph, plan.queries, plan.order(), materialise(_strategies(plan), "plan"), entries, 2, K), "combined")
-    outside = found.join(plan.grid, "id").join(F.broadcast(plan.queries), "qid").filter(~P.box(2)).agg(F.count(F.lit(1)).alias("outside"))
+    outside = found.join(plan.grid, "id").join(broadcast_within(plan.queries), "qid").filter(~P.box(2)).agg(F.count(F.lit(1)).alias("outside"))
     return E.recall(found, Q.exact(plan.grid, plan.queries, 2, K), plan.queries).select("queries", (F.col("recall") >= 0.9).alias("good")).crossJoin(outside)
 
 
@@ -687,6 +789,18 @@ def out_of_core_search(spark, sf):
     return rounded(Q.in_batches(plan.grid, edges, cross, plan.queries, plan.order(), materialise(S.batches(plan.cells, 8), "batches"), 2, K, width=1 << 20))
 
 
+@query(f"WITH {PTS}, {qry()}, u AS (SELECT id, a0, a1, list_transform(vec, lambda x: CAST(floor(abs(CAST(x AS DOUBLE)) * 200) AS BIGINT)) AS vec FROM pts), uq AS (SELECT qid, l0, r0, l1, r1, vec AS qvec FROM qry JOIN u ON id = qid), s AS (SELECT qid, id, {d2('vec', 'qvec')} AS dist FROM u JOIN uq ON {AND}), r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY dist, id) AS rank FROM s) SELECT qid, rank, id, round(dist, 6) AS dist FROM r WHERE rank <= {K}")
+def byte_vector_search(spark, sf):
+    """Vectors of unsigned bytes, searched cell by cell with beams as wide as a cell."""
+    plan = Plan(spark, sf)
+    u8 = F.transform("vec", lambda x: F.floor(F.abs(x.cast("double")) * 200).cast("smallint"))
+    plan.grid = materialise(plan.grid.withColumn("vec", u8), "bytes")
+    plan.queries = plan.queries.drop("qvec").join(plan.grid.select(F.col("id").alias("qid"), F.col("vec").alias("qvec")), "qid")
+    edges, cross = plan.graphs()
+    order = plan.chosen.withColumn("visit_rank", F.row_number().over(Window.partitionBy("qid").orderBy("cell_id")))
+    return rounded(Q.by_cells(plan.grid, edges, cross, plan.queries, order, 2, K, width=1 << 20))
+
+
 # ---- evaluation and workloads -----------------------------------------------------------------------------------
 
 
@@ -750,29 +864,42 @@ def gen_attrs_stratified(spark, sf):
     return W.stratified_attribute(points(spark, sf), 16, 1000)
 
 
+SIZES = [5, 0, 40, 17, 1, 30]
+
+
+@query("WITH c AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, {sum(SIZES[:i])}, {n})" for i, n in enumerate(SIZES)) + ") t(c, first, n)) SELECT id, CAST(c AS BIGINT) AS cell_id, CAST(c * 166 + (id * 7919) % 166 AS BIGINT) AS a0 FROM range(93) t(id) JOIN c ON id >= first AND id < first + n")
+def gen_attrs_of_cells(spark, sf):
+    return W.attribute_of_cells(spark, SIZES, 1000)
+
+
+@query(f"""WITH {PTS}, d AS (SELECT id, id * 7919 % 1000 AS x, id * 104729 % 1000 AS y FROM pts),
+p AS (SELECT *, CAST(floor((row_number() OVER (ORDER BY x, id) - 1) * 4 / (SELECT count(*) FROM pts)) AS BIGINT) AS b0 FROM d),
+q AS (SELECT *, CAST(floor((row_number() OVER (PARTITION BY b0 ORDER BY y, id) - 1) * 5 / count(*) OVER (PARTITION BY b0)) AS BIGINT) AS b1 FROM p)
+SELECT id, b0 * 5 + b1 AS cell_id, b0 * 250 + x % 250 AS a0, b1 * 200 + y % 200 AS a1 FROM q""")
+def gen_attrs_balanced(spark, sf):
+    return W.balanced_attributes(points(spark, sf), (4, 5), 1000)
+
+
 @query()
 def ef_sweep_metrics(spark, sf):
     plan = Plan(spark, sf, "mixed")
     edges, cross = plan.graphs()
     order = plan.order()
     truth = materialise(Q.exact(plan.grid, plan.queries, 2, K), "truth")
-    return E.sweep(spark, lambda width: Q.by_cells(plan.grid, edges, cross, plan.queries, order, 2, K, width=width), [10, 40], truth, plan.queries)
+    metrics = E.sweep(spark, lambda width: Q.by_cells(plan.grid, edges, cross, plan.queries, order, 2, K, width=width), [10, 40], truth, plan.queries)
+    path = scratch(spark, "metrics")
+    E.write_metrics(metrics, path)
+    return spark.read.csv(path, header=True, schema=metrics.schema)
 
 
 # ---- files and streams ------------------------------------------------------------------------------------------
 
 
-def _local(name: str) -> str:
-    import tempfile
-
-    return f"{tempfile.mkdtemp(prefix='veldspar-')}/{name}"
-
-
 @query(f"WITH {PTS} SELECT id, dim - 1 AS dim, CAST(x AS DOUBLE) AS x FROM (SELECT id, unnest(vec) AS x, generate_subscripts(vec, 1) AS dim FROM pts)")
 def file_fvecs(spark, sf):
     from .sources import binary as B
 
-    path = _local("base.fvecs")
+    path = scratch(spark, "base.fvecs")
     B.write_fvecs(points(spark, sf), path)
     return B.read_fvecs(spark, path).select("id", F.posexplode("vec").alias("dim", "x")).select("id", F.col("dim").cast("long"), F.col("x").cast("double"))
 
@@ -781,7 +908,7 @@ def file_fvecs(spark, sf):
 def file_attributes(spark, sf):
     from .sources import binary as B
 
-    path = _local("base.attrs")
+    path = scratch(spark, "base.attrs")
     B.write_attributes(points(spark, sf), path, 2)
     return B.read_attributes(spark, path)
 
@@ -791,16 +918,95 @@ def file_attributes(spark, sf):
 def file_ranges(spark, sf):
     from .sources import binary as B
 
-    path = _local("ranges")
+    path = scratch(spark, "ranges")
     B.write_ranges(asked(spark, sf, kind="open").withColumn("l0", F.col("l0") + 1), path, 2)
     return B.read_ranges(spark, path, 2)
 
 
+U8 = "CAST(floor(abs(CAST(x AS DOUBLE)) * 200) AS BIGINT)"
+
+
+@query(f"WITH {PTS} SELECT id, dim - 1 AS dim, {U8} AS raw, CAST({U8} AS DOUBLE) AS value FROM (SELECT id, unnest(vec) AS x, generate_subscripts(vec, 1) AS dim FROM pts)")
+def file_u8bin(spark, sf):
+    """Byte vectors, kept as they are and read as floats."""
+    from .sources import binary as B
+
+    path = scratch(spark, "base.u8bin")
+    B.write_u8bin(points(spark, sf).withColumn("vec", F.transform("vec", lambda x: F.floor(F.abs(x.cast("double")) * 200))), path)
+    raw, floats = (B.read_u8bin(spark, path, as_float=f).select("id", F.posexplode("vec").alias("dim", "x")) for f in (False, True))
+    both = raw.join(floats.withColumnRenamed("x", "y"), ["id", "dim"])
+    return both.select("id", F.col("dim").cast("long"), F.col("x").cast("long").alias("raw"), F.col("y").cast("double").alias("value"))
+
+
+@query(f"WITH {PTS}, {qry()} SELECT row_number() OVER (ORDER BY qid) - 1 AS qid, l1 AS l0, r1 AS r0 FROM qry")
+def file_ranges_single(spark, sf):
+    from .sources import binary as B
+
+    path = scratch(spark, "ranges")
+    B.write_ranges(asked(spark, sf).select("qid", F.col("l1").alias("l0"), F.col("r1").alias("r0")), path, 1)
+    return B.read_ranges(spark, path)
+
+
+@query(f"WITH {PTS}, {qry()} SELECT row_number() OVER (ORDER BY qid) - 1 AS id, qid AS query FROM qry")
+def file_query_ids(spark, sf):
+    from .sources import binary as B
+
+    path = scratch(spark, "query-ids")
+    B.write_numbers(asked(spark, sf).select("qid"), path, "qid", "qid")
+    return B.read_numbers(spark, path, "query")
+
+
+@query(f"""WITH {PTS}, {qry()}, s AS (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY {d2("vec", "qvec")}, id) AS rank FROM pts, qry)
+SELECT dense_rank() OVER (ORDER BY qid) - 1 AS qid, rank, id FROM s WHERE rank <= {K}""")
+def file_truth(spark, sf):
+    from .sources import binary as B
+
+    path = scratch(spark, "truth")
+    B.write_truth(Q.exact(points(spark, sf), asked(spark, sf), 0, K), path)
+    return B.read_truth(spark, path)
+
+
+@query(f"WITH {PTS}, {GRID}, {CELL_GRAPH} SELECT src AS id, rank - 1 AS place, dst FROM e")
+def file_ivecs(spark, sf):
+    from .sources import binary as B
+
+    path = scratch(spark, "graph.ivecs")
+    edges = G.cell_graph(gridded(spark, sf), DEGREE)
+    lists = edges.groupBy("src").agg(F.sort_array(F.collect_list(F.struct("rank", "dst"))).alias("n"))
+    B.write_ivecs(lists.select("src", F.transform("n", lambda s: s["dst"]).alias("nbrs")), path, order="src")
+    return B.read_ivecs(spark, path).select("id", F.posexplode("nbrs").alias("place", "dst")).select("id", F.col("place").cast("long"), "dst")
+
+
+PLACES = "pc AS (SELECT id, row_number() OVER (ORDER BY cell_id, id) - 1 AS place FROM g)"
+
+
+@query(f"WITH {PTS}, {GRID}, {CELL_GRAPH}, {PLACES} SELECT cell_id, s.place AS src, rank, d.place AS dst FROM e JOIN pc s ON s.id = e.src JOIN pc d ON d.id = e.dst")
+def file_cell_graphs(spark, sf):
+    """One file a cell, read as one graph over the places of points that stand cell by cell."""
+    from .sources import binary as B
+
+    g, prefix = gridded(spark, sf), scratch(spark, "cells") + "/graph_"
+    B.write_cell_graphs(materialise(G.cell_graph(g, DEGREE), "edges"), materialise(R.local_ids(g), "local"), prefix, ".bin", SHAPE[0] * SHAPE[1])
+    return B.read_cell_graphs(spark, prefix, ".bin", SHAPE[0] * SHAPE[1])
+
+
+@query(f"WITH RECURSIVE {PTS}, {GRID}, {CELL_GRAPH}, {CROSS}, {SPOKESMAN} SELECT rp.id, x.dst_cell, x.rank, x.dst FROM rp JOIN x ON x.src = rp.rep_id")
+def file_compressed_cross(spark, sf):
+    from .sources import binary as B
+
+    path = scratch(spark, "cross.compressed")
+    edges, cross = Plan(spark, sf).graphs()
+    reps = materialise(G.representatives(edges), "reps")
+    B.write_compressed(reps, G.compressed(cross, reps), path)
+    reps, cross = B.read_compressed(spark, path)
+    return G.through_representative(cross, reps)
+
+
 @query(f"WITH {PTS}, {GRID}, {CELL_GRAPH} SELECT src, rank, dst FROM e")
 def file_graph(spark, sf):
     from .sources import binary as B
 
-    path = _local("graph")
+    path = scratch(spark, "graph")
     B.write_graph(G.cell_graph(gridded(spark, sf), DEGREE), path)
     return B.read_graph(spark, path)
 
@@ -809,7 +1015,7 @@ def file_graph(spark, sf):
 def file_grid(spark, sf):
     from .sources import binary as B
 
-    path = _local("points.grid")
+    path = scratch(spark, "points.grid")
     g = gridded(spark, sf)
     B.write_grid(g, R.bounds(g, 2), SHAPE, path)
     return B.read_grid(spark, path)[1]
@@ -819,7 +1025,7 @@ def file_grid(spark, sf):
 def file_quantised(spark, sf):
     from .sources import binary as B
 
-    path = _local("base.int8")
+    path = scratch(spark, "base.int8")
     _, params, coded = _codes(spark, sf)
     B.write_quantised(coded, params, path)
     return _code_rows(B.read_quantised(spark, path)[0])
@@ -829,7 +1035,7 @@ def file_quantised(spark, sf):
 def file_labels(spark, sf):
     from .sources import binary as B
 
-    path = _local("labels")
+    path = scratch(spark, "labels")
     B.write_numbers(Plan(spark, sf).clusters()[0], path, "cid")
     return B.read_numbers(spark, path, "cid")
 

@@ -108,3 +108,10 @@ def queries_of_batch(queries: DataFrame, chosen: DataFrame, batch: DataFrame) ->
     """The queries that visit a cell of the batch."""
     touched = chosen.join(broadcast_within(batch.select("cell_id")), "cell_id", "left_semi").select("qid").distinct()
     return queries.join(touched, "qid", "left_semi")
+
+
+def longest_first(chosen: DataFrame) -> DataFrame:
+    """(qid, n_cells, place): queries in the order of work, those that visit most cells first, ties by query."""
+    from ..operators.ranking import with_rank
+
+    return with_rank(cells_per_query(chosen), [F.desc("n_cells"), "qid"], "place")

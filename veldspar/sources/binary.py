@@ -26,10 +26,15 @@ BATCH_BYTES = 4 << 20
 SPLIT_BYTES = 64 << 20
 
 
-def _open(path: str):
+def _file_system(path: str) -> tuple[pa.fs.FileSystem, str]:
+    """The file system of a path or URI, and the path in it."""
     if "://" not in path and not path.startswith("file:"):
-        return pa.fs.LocalFileSystem().open_input_file(path)
-    fs, inner = pa.fs.FileSystem.from_uri(path.replace("file:/", "file:///") if path.startswith("file:/") and not path.startswith("file://") else path)
+        return pa.fs.LocalFileSystem(), path
+    return pa.fs.FileSystem.from_uri(path.replace("file:/", "file:///") if path.startswith("file:/") and not path.startswith("file://") else path)
+
+
+def _open(path: str):
+    fs, inner = _file_system(path)
     return fs.open_input_file(inner)
 
 
@@ -210,10 +215,12 @@ def read_quantised(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame
 
 
 class _Sink:
-    """Streams rows in order to one file, a partition at a time through the driver."""
+    """Streams rows in order to one file, a partition at a time through the driver; the path may lie on any file system that pyarrow.fs opens."""
 
     def __init__(self, path: str):
-        self.f = open(path, "wb")  # noqa: SIM115  exchange files are written on the driver's machine
+        fs, inner = _file_system(path)
+        fs.create_dir(inner.rsplit("/", 1)[0], recursive=True)
+        self.f = fs.open_output_stream(inner)
 
     def __enter__(self) -> _Sink:
         return self
@@ -237,6 +244,16 @@ def write_fvecs(points: DataFrame, path: str) -> None:
         out.rows(points, ["id"], "vec", "<f4", lead=True)
 
 
+def write_ivecs(lists: DataFrame, path: str, value: str = "nbrs", order: str = "id") -> None:
+    """Lists of the same length, each led by it."""
+    with _Sink(path) as out:
+        out.rows(lists, [order], value, "<u4", lead=True)
+
+
+def write_u8bin(points: DataFrame, path: str) -> None:
+    write_matrix(points, path, "vec", "<u1")
+
+
 def write_matrix(df: DataFrame, path: str, value: str, dtype: str, order: str = "id") -> None:
     """Rows of equal width, after their number and width."""
     n = df.count()
@@ -260,6 +277,44 @@ def write_graph(edges: DataFrame, path: str, src: str = "src", dst: str = "dst")
     write_matrix(lists.select(src, F.transform("n", lambda s: s[dst]).alias("nbrs")), path, "nbrs", "<u4", src)
 
 
+def write_truth(truth: DataFrame, path: str) -> None:
+    """Rows (qid, rank, id) as lists of ids in the order of qid; every query needs the same number of them."""
+    write_graph(truth.withColumnRenamed("id", "dst"), path, "qid")
+
+
+def write_cell_graphs(edges: DataFrame, local: DataFrame, prefix: str, suffix: str, cells: int) -> None:
+    """One file per cell, numbered from 0, of the edges (src, rank, dst) inside it, by the places of points (id, cell_id, local_id) in their cell."""
+    of = local.select("id", "cell_id", "local_id")
+    ends = edges.select("src", "rank", "dst").join(of.withColumnsRenamed({"id": "src", "local_id": "s"}), "src").join(of.drop("cell_id").withColumnsRenamed({"id": "dst", "local_id": "d"}), "dst")
+    for c in range(cells):
+        write_graph(ends.filter(F.col("cell_id") == c).select(F.col("s").alias("src"), "rank", F.col("d").alias("dst")), f"{prefix}{c}{suffix}")
+
+
+def write_compressed(reps: DataFrame, cross: DataFrame, path: str) -> None:
+    """Representatives (id, rep_id) of all points by place, then the cross edges (src, dst_cell, rank, dst) of representatives only, in order of src.
+
+    The file holds the number of points, of representatives and of edges each has, the representative of each point, the representatives, and their edges.
+    """
+    kept = cross.groupBy("src").agg(F.sort_array(F.collect_list(F.struct("dst_cell", "rank", "dst"))).alias("e"))
+    kept = kept.select("src", F.flatten(F.transform("e", lambda x: F.array(x["dst_cell"], x["rank"], x["dst"]))).alias("e"))
+    width = kept.select(F.size("e")).first()[0]
+    with _Sink(path) as out:
+        out.numbers([reps.count(), kept.count(), width], "<u4")
+        out.rows(reps, ["id"], "rep_id", "<u4")
+        out.rows(kept, ["src"], "src", "<u4")
+        out.rows(kept, ["src"], "e", "<u4")
+
+
+def read_compressed(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Representatives (id, rep_id) and their cross edges (src, dst_cell, rank, dst)."""
+    n, m, width = header(path, 3, kind="I")
+    reps = _spread(records(spark, path, "<u4", 1, offset=12, count=n), ["rep_id"])
+    sources = _spread(records(spark, path, "<u4", 1, offset=12 + 4 * n, count=m), ["src"])
+    lists = records(spark, path, "<u4", width, offset=12 + 4 * (n + m), count=m).join(sources, "id")
+    each = F.explode(F.sequence(F.lit(0), F.lit(width - 3), F.lit(3))).alias("p")
+    return reps, lists.select("src", "vals", each).select("src", *[F.get("vals", F.col("p") + j).alias(c) for j, c in enumerate(("dst_cell", "rank", "dst"))])
+
+
 def write_numbers(df: DataFrame, path: str, value: str, order: str = "id") -> None:
     with _Sink(path) as out:
         out.numbers([df.count()], "<u4")

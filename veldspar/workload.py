@@ -31,3 +31,35 @@ def stratified_attribute(points: DataFrame, cells: int, domain: int) -> DataFram
     width = domain // cells
     cell = F.pmod("id", F.lit(cells))
     return points.select("id", cell.cast("long").alias("cell_id"), (cell * width + (F.col("id") * 7919) % F.lit(width)).cast("long").alias("a0"))
+
+
+def attribute_of_cells(spark: SparkSession, sizes: list[int], domain: int) -> DataFrame:
+    """(id, cell_id, a0): ids run from cell to cell, of which cell c has sizes[c]; each cell's values are scattered over its own equal part of [0, domain)."""
+    width, starts = domain // len(sizes), [0]
+    for n in sizes:
+        starts.append(starts[-1] + n)
+    begin = F.array(*[F.lit(s).cast("long") for s in starts[:-1]])
+    out = spark.range(starts[-1]).withColumn("cell_id", (F.size(F.filter(begin, lambda b: b <= F.col("id"))) - 1).cast("long"))
+    # Of empty cells that begin at the same place the last one is counted, which is the one with points.
+    return out.withColumn("a0", F.col("cell_id") * width + F.pmod(F.col("id") * 7919, F.lit(width)))
+
+
+def balanced_attributes(points: DataFrame, shape: tuple[int, int], domain: int) -> DataFrame:
+    """points (id) with a0, a1 and cell_id: two scattered attributes, moved so that every cell of the grid gets equally many points, the first cells one more.
+
+    Points are taken in the order of a scattered first attribute, cut into equal columns, and inside each column in the order of the second; their places, not
+    their first values, then decide the part of [0, domain) that they fall into.
+    """
+    from .operators.ranking import with_rank
+
+    rows, columns = shape
+    drawn = points.select("id", F.pmod(F.col("id") * 7919, F.lit(domain)).alias("x"), F.pmod(F.col("id") * 104729, F.lit(domain)).alias("y"))
+    n = drawn.count()
+    placed = with_rank(drawn, ["x", "id"], "p").withColumn("b0", F.floor(F.col("p") * rows / F.lit(max(n, 1))).cast("long"))
+    # A column's points are n / rows: its places are ranked by range over the whole table, shifted by where the column begins.
+    placed = with_rank(placed, ["b0", "y", "id"], "q")
+    first = placed.groupBy("b0").agg(F.min("q").alias("first"), F.count(F.lit(1)).alias("size"))
+    placed = placed.join(F.broadcast(first), "b0")  # one row a column of the grid
+    placed = placed.withColumn("b1", F.floor((F.col("q") - F.col("first")) * columns / F.col("size")).cast("long"))
+    cut = [F.col("b0") * (domain // rows) + F.pmod("x", F.lit(domain // rows)), F.col("b1") * (domain // columns) + F.pmod("y", F.lit(domain // columns))]
+    return placed.select("id", (F.col("b0") * columns + F.col("b1")).alias("cell_id"), cut[0].cast("long").alias("a0"), cut[1].cast("long").alias("a1"))
