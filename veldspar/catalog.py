@@ -396,7 +396,7 @@ def cell_histogram(spark, sf):
     return R.histogram(gridded(spark, sf))
 
 
-@query(f"WITH {PTS}, {GRID}, s AS (SELECT cell_id, count(*) AS n FROM g GROUP BY cell_id) SELECT count(*) AS parts, min(n) AS least, max(n) AS most, max(n) - min(n) AS difference, round(stddev_pop(n), 6) AS spread FROM s")
+@query(f"WITH {PTS}, {GRID}, s AS (SELECT cell_id, count(*) AS n FROM g GROUP BY cell_id) SELECT count(*) AS parts, min(n) AS least, max(n) AS most, max(n) - min(n) AS difference, round(stddev_pop(n), 6) AS spread, CAST((SELECT count(*) FROM (SELECT a0 FROM g GROUP BY a0 HAVING count(DISTINCT cell_id) > 1)) AS BIGINT) AS split_values FROM s")
 def partition_balance(spark, sf):
     return R.balance(gridded(spark, sf), bucket="cell_id")
 
@@ -426,6 +426,11 @@ def bucket_of_value(spark, sf):
     return points(spark, sf).select("id", V.upper_bound(F.array(*[F.lit(x) for x in (0, 250, 500, 750)]), F.col("a1")).alias("place"))
 
 
+@query(f"WITH {PTS} SELECT id, CAST(len(list_filter([0, 250, 500, 750], lambda b: b < a1)) AS BIGINT) AS place FROM pts")
+def bucket_from_value(spark, sf):
+    return points(spark, sf).select("id", V.lower_bound(F.array(*[F.lit(x) for x in (0, 250, 500, 750)]), F.col("a1")).alias("place"))
+
+
 # ---- planning -------------------------------------------------------------------------------------------------
 
 

@@ -104,6 +104,11 @@ def upper_bound(bounds: Column | str, x: Column) -> Column:
     return F.greatest(F.lit(0), F.size(F.filter(col(bounds), lambda b: b <= x)) - 1).cast("long")
 
 
+def lower_bound(bounds: Column | str, x: Column) -> Column:
+    """Place of the first bound that is not below x, the number of bounds if all are."""
+    return F.size(F.filter(col(bounds), lambda b: b < x)).cast("long")
+
+
 def linear_cell(buckets: list[Column | str], shape: list[int]) -> Column:
     """Cell number of a tuple of buckets, the last dimension running fastest."""
     return reduce(lambda acc, bs: acc * F.lit(bs[1]).cast("long") + col(bs[0]).cast("long"), zip(buckets, shape), F.lit(0).cast("long"))

@@ -188,15 +188,18 @@ def dp_split(points: DataFrame, parts: int, attribute: str = "a0") -> DataFrame:
 
 
 def balance(parted: DataFrame, attribute: str = "a0", bucket: str = "bucket") -> DataFrame:
-    """One row: parts, least, greatest, their difference, and spread of the parts' sizes."""
+    """One row: parts, least, greatest, their difference, and spread of the parts' sizes, and how many values of the attribute stand in several parts."""
     sizes = parted.groupBy(bucket).agg(F.count(F.lit(1)).alias("n"))
-    return sizes.agg(
+    values = parted.groupBy(attribute).agg((F.min(bucket) < F.max(bucket)).cast("long").alias("several"))
+    split = values.filter(F.col(attribute).isNotNull()).agg(F.coalesce(F.sum("several"), F.lit(0)).alias("split_values"))
+    shape = sizes.agg(
         F.count(F.lit(1)).alias("parts"),
         F.min("n").alias("least"),
         F.max("n").alias("most"),
         (F.max("n") - F.min("n")).alias("difference"),
         F.round(F.stddev_pop("n"), 6).alias("spread"),
     )
+    return shape.crossJoin(F.broadcast(split))  # one row with one row
 
 
 def part_ranges(parted: DataFrame, attribute: str = "a0", bucket: str = "bucket") -> DataFrame:
