@@ -231,3 +231,46 @@ def test_entry_and_registry(spark):
 
 def test_half_precision():
     assert V.half(np.array([1.0, 0.1], np.float32), 2.0).dtype == np.float16
+
+
+def test_command_line(spark, tmp_path):
+    from veldspar.__main__ import main
+
+    p = small(spark, 80)
+    q = p.filter("id % 20 = 0").select((F.col("id") / 20).cast("long").alias("qid"), F.col("vec").alias("qvec"), *[F.lit(x).cast("long").alias(n) for n, x in (("l0", 1), ("r0", 4), ("l1", 10), ("r1", 90))])
+    name = {n: str(tmp_path / n) for n in ("base.fvecs", "q.fvecs", "attrs", "ranges", "answers", "open", "metrics")}
+    B.write_fvecs(p, name["base.fvecs"])
+    B.write_fvecs(q.select(F.col("qid").alias("id"), F.col("qvec").alias("vec")), name["q.fvecs"])
+    B.write_attributes(p, name["attrs"], 2)
+    B.write_ranges(q, name["ranges"], 2)
+    files = ["--base", name["base.fvecs"], "--queries", name["q.fvecs"]]
+    boxes = ["--attrs", name["attrs"], "--ranges", name["ranges"], "--k", "5"]
+    main(["search", *files, *boxes, "--out", name["answers"]])
+    assert ids(spark.read.parquet(name["answers"])) == ids(Q.exact(p, q, 2, 5))
+    main(["search", *files, "--out", name["open"]])
+    assert ids(spark.read.parquet(name["open"])) == ids(Q.exact(p, q, 0, 10))
+    main(["sweep", *files, *boxes, "--shape", "2,2", "--widths", "4,80", "--clusters", "3", "--degree", "4", "--out", name["metrics"]])
+    rows = spark.read.csv(name["metrics"], header=True, inferSchema=True).orderBy("ef").collect()
+    assert [r["ef"] for r in rows] == [4, 80] and rows[0]["recall"] <= rows[1]["recall"] == 1.0 and all(r["qps"] > 0 for r in rows)
+    for wrong in (["search", *files, "--attrs", "x", "--out", "y"], ["sweep", *files, "--out", "y"]):
+        with pytest.raises(SystemExit):
+            main(wrong)
+
+
+def test_rerank_by_blocks_of_queries(spark):
+    p = small(spark, 200)
+    q = p.filter("id % 10 = 0").select(F.col("id").alias("qid"), F.col("vec").alias("qvec"), *[F.lit(None).cast("long").alias(n) for n in ("l0", "r0", "l1", "r1")])
+    exact = V.quantisation(p, clamp=False)
+    want = ids(Q.exact(p, q, 0, 7))
+    for block in (3, 4096):
+        assert ids(Q.from_codes(V.quantised(p, exact), p, exact, q, 7, 9, block=block)) == want
+    assert Q.from_codes(V.quantised(p, exact), p, exact, q.limit(0), 7, 9).count() == 0
+    assert Q.from_codes(V.quantised(p, exact).limit(0), p.limit(0), exact, q, 7, 9).count() == 0
+
+
+def test_places_among_bounds_and_split_values(spark):
+    p = spark.createDataFrame([(0, 5, 0), (1, 10, 0), (2, 10, 1), (3, 31, 1), (4, None, 1)], "id long, a0 long, bucket long")
+    bounds = F.array(F.lit(10), F.lit(20), F.lit(30))
+    got = [tuple(r) for r in p.filter("a0 IS NOT NULL").orderBy("id").select(V.upper_bound(bounds, F.col("a0")), V.lower_bound(bounds, F.col("a0"))).collect()]
+    assert got == [(0, 0), (0, 0), (0, 0), (2, 3)]
+    assert R.balance(p).first()["split_values"] == 1
