@@ -58,3 +58,24 @@ def test_ties_in_size_and_key_are_drawn_once_each(spark):
     got = mixing.mix_sources(docs)
     per = {r["source"]: (r["t"], r["g"]) for r in got.groupBy("source").agg(F.sum("taken").alias("t"), F.first("target").alias("g")).collect()}
     assert all(abs(t - g) <= 1 for t, g in per.values()) and got.count() == 60
+
+
+def test_filtering_stages_keep_columns_of_any_name(spark, docs):
+    names = ("_metadata", "a.b", "c`d", "kept", "quality", "piece", "_row", "_doc", "_flag")
+    named = docs
+    for i, n in enumerate(names):
+        named = named.withColumn(n, F.lit(i))
+    labels = spark.createDataFrame([(2, 1), (None, 0), (1, 1)], "doc_id long, quality int")
+    bench = spark.createDataFrame([(7, LONG)], "item_id long, text string")
+    stages = {
+        "quality": lambda d: quality.filter_quality(d, labels),
+        "exact": exact_dedup.keep_one,
+        "near": minhash.keep_one,
+        "decontaminate": lambda d: decontaminate.decontaminate(d, bench),
+        "decontaminate in blocks": lambda d: decontaminate.decontaminate(d, bench.unionByName(bench.withColumn("text", F.lit("q r s t u v w"))), block_bytes=10),
+    }
+    for stage, function in stages.items():
+        plain, got = function(docs), function(named)
+        assert got.columns == named.columns, stage
+        assert rows(got, "doc_id", "text", "source") == rows(plain, "doc_id", "text", "source"), stage
+        assert rows(got.select(*["`" + n.replace("`", "``") + "`" for n in names]), *names) == [tuple(range(len(names)))] * got.count(), stage

@@ -148,6 +148,9 @@ def test_exact_dedup_of_rows_that_share_a_place_in_a_file(spark, tmp_path):
     assert sorted((r["text_sha256"], r["group_size"]) for r in exact_dedup.exact_dedup(split).filter("kept").collect()) == sorted((brute.sha(t), n) for t, n in (("a", 2), ("b", 2), ("c", 1), ("d", 1)))
     named = split.withColumn("_metadata", F.lit(1)).withColumn("a.b", F.lit(2)).withColumn("doc", F.lit(3)).withColumn("_flag", F.lit(4))
     assert exact_dedup.keep_one(named).columns == named.columns and exact_dedup.keep_one(named).count() == 4
+    spark.createDataFrame([(1, "a", "x"), (2, "a", "y"), (3, None, "z")], "doc_id long, text string, _metadata string").write.parquet(f"{tmp_path}/named/documents.parquet")
+    got = by_id(queries.queries()["op2_exact_dedup"](spark, f"{tmp_path}/named"), "keep_id", "group_size", "kept")
+    assert got == {1: (2, 2, False), 2: (2, 2, True), 3: (3, 1, True)}
     drawn = spark.read.parquet(f"{tmp_path}/t").sample(0.7, seed=3)
     assert exact_dedup.keep_one(drawn).count() == drawn.count()
 

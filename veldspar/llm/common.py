@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..shipping import ship
 from ..storage import materialise, scratch, shared_dir
 
-__all__ = ["free_name", "materialise", "possible", "quoted", "ready", "scratch", "shared_dir", "shuffle_partitions", "split_of", "table", "text_or_empty", "without"]
+__all__ = ["filtered", "free_name", "materialise", "possible", "quoted", "ready", "scratch", "shared_dir", "shuffle_partitions", "split_of", "table", "text_or_empty", "without"]
 
 #: Bits of a sieve at most: 8 MB, whatever the tables' size, and keys beyond which a sieve would let most rows through.
 SIEVE_BITS = 26
@@ -49,6 +52,12 @@ def quoted(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def filtered(docs: DataFrame, keep: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> DataFrame:
+    """The rows that keep lets through; it is given columns by place, as names with dots cannot be passed to it."""
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    return plain.mapInArrow(keep, plain.schema).toDF(*docs.columns)
+
+
 def _sifted(rows: DataFrame, key: str, keys: DataFrame) -> tuple[DataFrame, str] | None:
     """rows with a flag that is false only if the row's key is not among keys; None if there are too many keys for that to help.
 

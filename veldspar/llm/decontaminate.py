@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel
-from .common import free_name, materialise, ready, without
+from .common import filtered, free_name, materialise, ready, without
 
 WINDOW = 13
 K = 7
@@ -206,8 +206,7 @@ def decontaminate(docs: DataFrame, bench: DataFrame, *, block_bytes: int = BLOCK
 def _judged(docs: DataFrame, bench: DataFrame, block_bytes: int, at: int, *, keep: bool) -> DataFrame:
     spark = ready(docs.sparkSession)
     n_blocks, build = _blocks(bench, block_bytes)
-    schema = docs.schema if keep else f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {COLUMNS}"
-    names = docs.columns if keep else ["doc_id", *[x.split()[0] for x in COLUMNS.split(", ")]]
+    names = ["doc_id", *[x.split()[0] for x in COLUMNS.split(", ")]]
 
     def answer(batch: pa.RecordBatch, columns: list[pa.Array]) -> pa.RecordBatch:
         if keep:
@@ -223,7 +222,7 @@ def _judged(docs: DataFrame, bench: DataFrame, block_bytes: int, at: int, *, kee
                 parts = [_columns(found[0], *_judge(*found)) for found in _spans(batch.column(at), index)]
                 yield answer(batch, _joined(parts, len(batch)))
 
-        return docs.mapInArrow(run, schema)
+        return filtered(docs, run) if keep else docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {COLUMNS}")
 
     # More blocks than one: spans of each block by row of a fixed copy, merged.
     row_id = free_name(docs.columns, "_row")

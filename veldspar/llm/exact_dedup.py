@@ -134,7 +134,8 @@ def exact_dedup(
 
 def plain_read(docs: DataFrame) -> tuple[DataFrame, tuple[str, str]]:
     """doc_id, text and locator of a table read from Parquet files with nothing done to it, for exact_dedup's located."""
-    return docs.select("doc_id", "text", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")), ("file", "row")
+    of_file = docs.metadataColumn("_metadata")  # the reader's own, even where the table has a column of that name
+    return docs.select("doc_id", "text", of_file["file_path"].alias("file"), of_file["row_index"].alias("row")), ("file", "row")
 
 
 def keep_one(docs: DataFrame, *, state_path: str | None = None, arrival: str | None = None, files_per_trigger: int = FILES_PER_TRIGGER) -> DataFrame:

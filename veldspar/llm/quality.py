@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel
-from .common import ready, split_of
+from .common import filtered, ready, split_of
 
 BITS = 18
 MAX_SAMPLE = 3000
@@ -147,4 +147,4 @@ def filter_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
         for batch in batches:
             yield batch.filter(pa.array(scores(batch.column(at), w, b) >= 0.5))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return filtered(docs, keep)
