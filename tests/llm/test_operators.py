@@ -91,6 +91,29 @@ def with_sql(spark, folder, name):
     return sorted(map(repr, (tuple(r[n] for n in names) for r in got.collect()))), sorted(map(repr, expected))
 
 
+def test_long_words_that_sums_of_powers_confuse(spark):
+    from tests.llm.test_kernel import doubled
+
+    rows, items = [], []
+    for n in (1024, 4096):
+        a, b = doubled(n), doubled(n, "b", "a")
+        lead = " ".join(f"w{i}" for i in range(19))
+        rows += [(len(rows) + i, t) for i, t in enumerate((f"{lead} {a}", f"{lead} {b}", a, b, f"{lead} {a} x", f"{b} {lead}"))]
+        items += [(n, f"{' '.join(lead.split()[-12:])} {b}"), (n + 1, a)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    cut = substring.remove_repeats(docs).withColumn("kept_sha256", F.sha2(F.col("text").cast("binary"), 256))
+    assert by_id(cut, "n_words", "n_removed", "kept_sha256") == brute.substring(rows)
+    for k, percent in ((3, 85), (1, 100), (3, 50)):
+        assert by_id(minhash.near_duplicates(docs, shingle=k, similarity=percent), "n_shingles", "component_id", "kept") == brute.near(rows, k, percent)
+    for block in (1 << 24, 900):
+        hits = decontaminate.contamination(docs, bench, block_bytes=block)
+        assert by_id(hits, "n_words", "n_hit", "n_items", "items_sha256", "contaminated") == brute.contamination(rows, items)
+    wanted = brute.base_scores(rows)
+    for i, got in by_id(lattice.score_texts(docs, rounds=0), "n_tokens", "n_known", "train_tokens", "base_score").items():
+        assert got[:3] == wanted[i][:3] and math.isclose(got[3], wanted[i][3], rel_tol=1e-9)
+
+
 @pytest.mark.parametrize("name", ["op2_exact_dedup", "op9_mix_sources", "op10_line_dedup"])
 def test_against_sql(spark, folder, name):
     got, want = with_sql(spark, folder, name)
@@ -298,7 +321,7 @@ def test_quality_training_against_a_plain_learner():
     rule, bits = quality.Ftrl(), 12
     got, bias = quality.train(pa.array(texts), labels, bits=bits, rule=rule)
     counts = []
-    for places, off in quality.features(pa.array(texts), quality.kernel.Roller(quality.SEED), bits):
+    for places, off in quality.features(pa.array(texts), quality.kernel.Hasher(quality.SEED), bits):
         counts += [Counter(places[a:b].tolist()) for a, b in zip(off[:-1], off[1:])]
     z, n = Counter(), Counter()
 

@@ -4,7 +4,7 @@ Words are runs of letters and digits, lower-cased A-Z.  A window is WINDOW conse
 item; an item of fewer words is one window.  Of the hashes of K consecutive words the least in each
 W consecutive ones, the last of several as small, is kept as a fingerprint, in documents and items alike.  With K + W - 1 = WINDOW every shared
 span of WINDOW words holds a shared fingerprint at the same place.  A document's fingerprints are joined with the items';
-each match is extended to all windows over it, which are compared with the items' windows, first by hash and then word by word, and neighbouring windows
+each match is extended to all windows over it, which are compared with the items' windows, first by hash and then byte by byte, and neighbouring windows
 that match make up the extended span.  A window is compared once however many places of items it matches, so time grows with the words of the
 document, not with pairs of places.  Short items are matched by the hash of all their words, which is winnowing with K as long as the item and W = 1.
 
@@ -66,32 +66,62 @@ def _grouped(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 class Index:
-    """Fingerprints, windows and short items of a block of items."""
+    """Fingerprints, windows and short items of a block of items, under the first seed by which no two different windows have one hash."""
 
     def __init__(self, ids: list[str], texts: pa.Array):
-        self.roller = kernel.Roller(SEED)
-        hashes, offs = [np.zeros(0, np.uint64)], [np.zeros(1, np.int64)]
+        self.ids = np.array(ids, dtype=object)
+        bufs, starts, ends, offs = [np.zeros(0, np.uint8)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(1, np.int64)]
+        base = 0
         for _, _, buf, off in kernel.slices(texts):
-            h, woff = words(buf, off, self.roller)
-            hashes.append(h)
+            low = kernel.LOWER[buf]
+            start, end, woff = kernel.find_words(low, off, kernel.NOT_ALNUM)
+            bufs.append(low)
+            starts.append(start + base)
+            ends.append(end + base)
             offs.append(woff[1:] + offs[-1][-1])
-        self.words, off, self.ids = np.concatenate(hashes), np.concatenate(offs), np.array(ids, dtype=object)
+            base += len(low)
+        self.buf, self.start, off = np.concatenate(bufs), np.concatenate(starts), np.concatenate(offs)
+        self.size = np.concatenate(ends) - self.start
+        seed = SEED
+        while not self._built(kernel.Hasher(seed), off):
+            seed += 1
+
+    def _built(self, hasher: kernel.Hasher, off: np.ndarray) -> bool:
+        self.hasher = hasher
+        hashes = hasher.words(self.buf, self.start, self.start + self.size)
+        _, word = kernel.exact_groups(hashes, self.buf, self.start, self.size)  # numbers of words by their bytes
         at, goff = kernel.gram_starts(off, K)
-        grams = self.roller.grams(self.words, at, K)
+        grams = hasher.grams(hashes, at, K)
         self.prints = np.unique(grams[winnow(grams, goff)])
+        # Windows by hash, the items that have each, and one place of each; then the short items in the same way.
         at, woff = kernel.gram_starts(off, WINDOW)
-        windows = self.roller.grams(self.words, at, WINDOW)
-        # Windows by hash, the items that have each, and one place of each.
-        self.windows, self.to, self.items = _grouped(windows, np.repeat(np.arange(len(ids)), np.diff(woff)))
-        self.place = at[np.unique(windows, return_index=True)[1]]
-        self.short: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]] = []
         size = np.diff(off)
-        for n in sorted({int(x) for x in size if 0 < x < WINDOW}):
-            items = np.flatnonzero(size == n)
-            self.short.append((n, *_grouped(self.roller.grams(self.words, off[items], n), items)))
-
-    def hits(self, hashes: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Start and length of hit spans, in words of all documents, and distinct pairs of a document and an item (row of the block)."""
+        parts = [(WINDOW, at, np.repeat(np.arange(len(self.ids)), np.diff(woff)))]
+        parts += [(n, off[:-1][size == n], np.flatnonzero(size == n)) for n in sorted({int(x) for x in size if 0 < x < WINDOW})]
+        self.windows: list[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
+        for n, at, items in parts:
+            keys = hasher.grams(hashes, at, n)
+            found, first, group = np.unique(keys, return_index=True, return_inverse=True)
+            place = at[first]
+            if any((word[at + d] != word[place[group] + d]).any() for d in range(n)):
+                return False
+            self.windows.append((n, *_grouped(keys, items), place))
+        return True
+
+    def same(self, begin: np.ndarray, place: np.ndarray, n: int, text: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
+        """Which of the runs of n words of the text that begin at `begin` have the bytes of the index's from `place` on."""
+        buf, start, end = text
+        left = np.arange(len(begin))
+        for d in range(n):
+            i, j = begin[left] + d, place[left] + d
+            left = left[kernel.same_bytes(buf, start[i], end[i] - start[i], self.buf, self.start[j], self.size[j])]
+        return left
+
+    def hits(self, hashes: np.ndarray, off: np.ndarray, text: tuple[np.ndarray, np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Start and length of hit spans, in words of all documents, and distinct pairs of a document and an item (row of the block).
+
+        text: bytes, and first byte and byte after the last of every word.
+        """
         starts, lengths, docs, items = ([np.zeros(0, np.int64)] for _ in range(4))
 
         def add(at: np.ndarray, place: np.ndarray, n: int, to: np.ndarray, of: np.ndarray) -> None:
@@ -110,45 +140,36 @@ class Index:
             items.append(of[kernel.take_ranges(to[place], count)])
 
         at, goff = kernel.gram_starts(off, K)
-        if len(at) and len(self.prints):
-            grams = self.roller.grams(hashes, at, K)
-            own = np.flatnonzero(winnow(grams, goff))
-            own = own[self.prints[np.minimum(np.searchsorted(self.prints, grams[own]), len(self.prints) - 1)] == grams[own]]
-            # Extended to all windows over a matching fingerprint that lie in its document.
-            around = np.zeros(len(hashes) + 1, bool)
-            for d in range(W):
-                begin = at[own] - d
-                around[begin[begin >= 0]] = True
-            whole, _ = kernel.gram_starts(off, WINDOW)
-            begin = whole[around[whole]]
-            h = self.roller.grams(hashes, begin, WINDOW)
-            place = np.minimum(np.searchsorted(self.windows, h), len(self.windows) - 1)
-            same = np.flatnonzero(self.windows[place] == h)
-            begin, place = begin[same], place[same]
-            for d in range(WINDOW):
-                same = hashes[begin + d] == self.words[self.place[place] + d]
-                begin, place = begin[same], place[same]
-            add(begin, place, WINDOW, self.to, self.items)
-        for n, whole, to, of in self.short:
-            at, _ = kernel.gram_starts(off, n)
-            h = self.roller.grams(hashes, at, n)
-            place = np.minimum(np.searchsorted(whole, h), len(whole) - 1)
-            same = whole[place] == h
-            add(at[same], place[same], n, to, of)
+        for n, windows, to, of, places in self.windows:
+            if n < WINDOW:
+                begin, _ = kernel.gram_starts(off, n)
+            elif len(at) and len(self.prints):
+                grams = self.hasher.grams(hashes, at, K)
+                own = np.flatnonzero(winnow(grams, goff))
+                own = own[self.prints[np.minimum(np.searchsorted(self.prints, grams[own]), len(self.prints) - 1)] == grams[own]]
+                # Extended to all windows over a matching fingerprint that lie in its document.
+                around = np.zeros(len(hashes) + 1, bool)
+                for d in range(W):
+                    before = at[own] - d
+                    around[before[before >= 0]] = True
+                whole, _ = kernel.gram_starts(off, WINDOW)
+                begin = whole[around[whole]]
+            else:
+                continue
+            h = self.hasher.grams(hashes, begin, n)
+            window = np.minimum(np.searchsorted(windows, h), len(windows) - 1)
+            alike = np.flatnonzero(windows[window] == h)
+            alike = alike[self.same(begin[alike], places[window[alike]], n, text)]
+            add(begin[alike], window[alike], n, to, of)
         return tuple(np.concatenate(x) for x in (starts, lengths, docs, items))
 
 
-def words(buf: np.ndarray, off: np.ndarray, roller: kernel.Roller) -> tuple[np.ndarray, np.ndarray]:
-    low = kernel.LOWER[buf]
-    start, end, woff = kernel.find_words(low, off, kernel.NOT_ALNUM)
-    return roller.words(low, start, end), woff
-
-
 def _spans(column: pa.Array, index: Index) -> Iterator[tuple[np.ndarray, ...]]:
     """Per slice: words of each document; document, start in it and length of each hit span; document and item of each distinct pair."""
     for _, _, buf, off in kernel.slices(column):
-        hashes, woff = words(buf, off, index.roller)
-        start, length, docs, items = index.hits(hashes, woff)
+        low = kernel.LOWER[buf]
+        first, last, woff = kernel.find_words(low, off, kernel.NOT_ALNUM)
+        start, length, docs, items = index.hits(index.hasher.words(low, first, last), woff, (low, first, last))
         doc = np.searchsorted(woff, start, side="right") - 1
         yield np.diff(woff), doc, start - woff[doc], length, docs, index.ids[items]
 

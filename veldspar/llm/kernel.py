@@ -1,8 +1,8 @@
-"""Vectorised text kernels: words and rolling hashes over Arrow string buffers, no per-word Python.
+"""Vectorised text kernels: words and hashes over Arrow string buffers, no per-word Python.
 
 A slice is a run of whole documents whose bytes lie in one buffer; slices hold about
 SLICE_BYTES bytes (or one longer document), so working memory stays bounded whatever the
-batch.  Hashes are polynomials modulo 2**64 with odd bases, finished by a 64-bit mixer.
+batch.  Where equal words must be told from words of equal hash, their bytes are compared.
 """
 
 from __future__ import annotations
@@ -40,34 +40,103 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-class Roller:
-    """Polynomial hashing of ranges by prefix sums: sum of value[i] * base**i, shifted back to the range's start."""
+def load8(buf: np.ndarray, at: np.ndarray, rest: np.ndarray) -> np.ndarray:
+    """Eight bytes from each place as one number, those after the first `rest` as zero."""
+    padded = np.concatenate([buf, np.zeros(8, np.uint8)])
+    x = np.lib.stride_tricks.sliding_window_view(padded, 8)[at].view("<u8")[:, 0]
+    return x & MASKS[np.minimum(rest, 8)]
+
+
+#: The low bytes that are kept of eight.
+MASKS = np.array([(1 << 8 * i) - 1 for i in range(9)], U64)
+STEP = U64(0x9E3779B97F4A7C15)
+
+
+class Hasher:
+    """64-bit hashes of words and of runs of words, which no pattern in the words makes equal.
+
+    A word is cut into chunks of eight bytes.  Each is put through the mixer under a key of its place, and
+    what comes out is summed with odd factors of the place and mixed with the length.  Runs are mixed pairwise, run of 2, 4, 8 ... words by
+    the two halves, so no sum of powers stands over the whole run either.
+    """
 
     def __init__(self, seed: int):
-        rng = np.random.default_rng(seed)
-        self.bytes = rng.integers(1, 2**63, 256, dtype=np.uint64) * U64(2) + U64(1)
-        self.base = int(rng.integers(2**40, 2**62)) * 2 + 1
-        self.inverse = pow(self.base, -1, 2**64)
-        self.up, self.down = np.ones(1, U64), np.ones(1, U64)
-
-    def _powers(self, n: int) -> None:
-        while len(self.up) < n:
-            k = len(self.up)
-            self.up = np.concatenate([self.up, self.up * U64(pow(self.base, k, 2**64))])
-            self.down = np.concatenate([self.down, self.down * U64(pow(self.inverse, k, 2**64))])
-
-    def ranges(self, values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        self._powers(len(values) + 1)
-        total = np.zeros(len(values) + 1, U64)
-        np.cumsum(values * self.up[: len(values)], out=total[1:])
-        return mix((total[end] - total[start]) * self.down[start])
+        self.seed = mix(np.array([seed + 1], U64) * STEP)
+        self.keys, self.factors = np.zeros(0, U64), np.zeros(0, U64)
+
+    def _places(self, n: int) -> None:
+        if len(self.keys) < n:
+            at = np.arange(max(n, 2 * len(self.keys)), dtype=U64)
+            self.keys = mix(at * STEP + self.seed)
+            self.factors = mix(self.keys + U64(1)) | U64(1)
 
     def words(self, buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return self.ranges(self.bytes[buf], start, end)
+        """Hash of each of the words, none of which is empty."""
+        size = end - start
+        if not len(size):
+            return np.zeros(0, U64)
+        chunks = (size + 7) >> 3
+        off = np.concatenate([[0], np.cumsum(chunks)])
+        k = np.arange(off[-1]) - np.repeat(off[:-1], chunks)
+        self._places(int(chunks.max()))
+        x = load8(buf, np.repeat(start, chunks) + 8 * k, np.repeat(size, chunks) - 8 * k)
+        x = mix(x ^ self.keys[k]) * self.factors[k]
+        return mix(np.add.reduceat(x, off[:-1]) ^ (size.astype(U64) * STEP + self.seed))
+
+    def _pair(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return mix(a * STEP + (b ^ self.seed))
 
     def grams(self, hashes: np.ndarray, start: np.ndarray, k: int) -> np.ndarray:
         """Hash of the k consecutive word hashes from each start."""
-        return self.ranges(hashes, start, start + k)
+        if not len(start):
+            return np.zeros(0, U64)
+        run, width, done, out = hashes, 1, 0, None
+        while True:
+            if k & width:
+                part = run[start + done]
+                out = part if out is None else self._pair(out, part)
+                done += width
+            if 2 * width > k:
+                return mix(out ^ (np.array([k], U64) * STEP))
+            run = self._pair(run[:-width], run[width:])
+            width *= 2
+
+
+def same_bytes(a: np.ndarray, at: np.ndarray, size: np.ndarray, b: np.ndarray, there: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Whether the words at `at` in a and at `there` in b, of the sizes `size` and `other`, are the same bytes."""
+    same = size == other
+    left = np.flatnonzero(same)
+    for k in range(0, 64, 8):  # words over 64 bytes are compared further below
+        left = left[size[left] > k]
+        if not len(left):
+            return same
+        rest = size[left] - k
+        equal = load8(a, at[left] + k, rest) == load8(b, there[left] + k, rest)
+        same[left[~equal]] = False
+        left = left[equal]
+    for i in left[size[left] > 64].tolist():
+        same[i] = bool((a[at[i] : at[i] + size[i]] == b[there[i] : there[i] + size[i]]).all())
+    return same
+
+
+def exact_groups(hashes: np.ndarray, buf: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first, place): one word of each group of equal words, in order of hash, and the group of every word.
+
+    Words of one hash whose bytes differ make groups of their own.
+    """
+    _, first, place = np.unique(hashes, return_index=True, return_inverse=True)
+    odd = np.flatnonzero(~same_bytes(buf, start, size, buf, start[first[place]], size[first[place]]))
+    if not len(odd):
+        return first, place
+    by_text: dict[tuple[int, bytes], int] = {}
+    key = first[place]
+    for i in odd.tolist():
+        key[i] = by_text.setdefault((int(hashes[i]), buf[start[i] : start[i] + size[i]].tobytes()), i)
+    found, place = np.unique(key, return_inverse=True)
+    order = np.lexsort((found, hashes[found]))
+    back = np.empty(len(found), np.int64)
+    back[order] = np.arange(len(found))
+    return found[order], back[place]
 
 
 def string_buffer(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:

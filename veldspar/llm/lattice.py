@@ -14,7 +14,7 @@ each word's count and marginal.  What reaches the driver is one number per vocab
 word_score is the score of a second, larger lattice, in which every training word is one more arc over its own bytes, of its share of all training
 tokens, while that of words seen once goes to the vocabulary's arcs, which new words have alone (Good-Turing).
 
-Two words are the same when their 64-bit hash is.  base_score is the add-one unigram score over words.
+Words are found by 64-bit hash and are the same when their bytes are.  base_score is the add-one unigram score over words.
 
 Cases: null texts count as empty and have the end only; a null id hashes as the empty text; ids are integers; repeated rows
 are counted and scored each; without training documents every word is unknown; an empty table gives an empty result; other columns,
@@ -176,8 +176,10 @@ class Counted:
     """Distinct words of a piece, in order of hash, and where its documents have them."""
 
     def __init__(self, piece: Piece):
-        hashes, self.start, self.end, self.off = piece.words(kernel.Roller(SEED), lower=True)
-        self.words, self.first, self.place = np.unique(hashes, return_index=True, return_inverse=True)
+        (hashes,), self.start, self.end, self.off = piece.words([kernel.Hasher(SEED)], lower=True)
+        self.low = kernel.LOWER[piece.buf]
+        self.first, self.place = kernel.exact_groups(hashes, self.low, self.start, self.end - self.start)
+        self.words = hashes[self.first]
         self.doc = np.repeat(np.arange(len(piece.ids)), np.diff(self.off))
         self.training = np.array([is_training(x) for x in piece.ids], bool)
 
@@ -186,24 +188,23 @@ def _send(piece: Piece, shards: int) -> Iterator[pa.RecordBatch]:
     own = Counted(piece)
     counts = np.bincount(own.place[own.training[own.doc]], minlength=len(own.words)).astype(np.uint32)
     size = (own.end - own.start)[own.first]
-    low = kernel.LOWER[piece.buf]
 
     def packed(k: slice) -> bytes:
-        return pack(own.words[k], counts[k], size[k].astype(np.uint32), low[kernel.take_ranges(own.start[own.first[k]], size[k])])
+        return pack(own.words[k], counts[k], size[k].astype(np.uint32), own.low[kernel.take_ranges(own.start[own.first[k]], size[k])])
 
     yield from messages(piece.id, shard_of(own.words, shards), packed)
 
 
-def _count(shard: int, payloads: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
-    """Distinct hashes of a shard, their counts, their marked text and its offsets, and the places of each message's words among them."""
+def _count(payloads: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Counts of the distinct words of a shard, their marked text and its offsets, and the places of each message's words among them."""
     parts = [unpack(p) for p in payloads]
-    words = np.concatenate([p[0] for p in parts])
-    distinct, first, place = np.unique(words, return_index=True, return_inverse=True)
-    counts = np.bincount(place, np.concatenate([p[1] for p in parts]), len(distinct)).astype(np.int64)
     size = np.concatenate([p[2] for p in parts]).astype(np.int64)
     start = np.concatenate([[0], np.cumsum(size)])[:-1]
-    buf, off = _marked(np.concatenate([p[3] for p in parts]), start[first], size[first])
-    return distinct, counts, buf, off, np.split(place, np.cumsum([len(p[0]) for p in parts])[:-1])
+    text = np.concatenate([p[3] for p in parts])
+    first, place = kernel.exact_groups(np.concatenate([p[0] for p in parts]), text, start, size)
+    counts = np.bincount(place, np.concatenate([p[1] for p in parts]), len(first)).astype(np.int64)
+    buf, off = _marked(text, start[first], size[first])
+    return counts, buf, off, np.split(place, np.cumsum([len(p[0]) for p in parts])[:-1])
 
 
 @dataclass
@@ -230,7 +231,7 @@ def fit(sent: DataFrame, lattice: Lattice, logp: np.ndarray, rounds: int) -> Fit
     names = spark.sparkContext.broadcast(lattice)
 
     def words(table: pa.Table) -> pa.Table:
-        _, counts, buf, off, _ = _count(table["shard"][0].as_py(), table["payload"].to_pylist())
+        counts, buf, off, _ = _count(table["payload"].to_pylist())
         known = counts > 0
         size = np.diff(off)[known]
         text = buf[kernel.take_ranges(off[:-1][known], size)]
@@ -288,7 +289,7 @@ def score_texts(docs: DataFrame, *, vocabulary: str | None = None, rounds: int =
 
     def answer(shard: int, ids: list[int], payloads: list[bytes]) -> list[bytes]:
         own, lp = model.value
-        _, counts, buf, off, places = _count(shard, payloads)
+        counts, buf, off, places = _count(payloads)
         marginal = np.concatenate([np.zeros(0), *[own.run(b, o, lp)[0] for _, _, b, o in own.batches(buf, off)]])
         return [pack(counts[p], marginal[p].astype(np.float32)) for p in places]
 

@@ -60,18 +60,18 @@ SEED = 3
 
 def shingles(column: pa.Array, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Per slice: distinct shingle hashes of its documents, ascending within each, and their offsets."""
-    roller = kernel.Roller(SEED)
+    hasher = kernel.Hasher(SEED)
     for _, _, buf, off in kernel.slices(column):
         low = kernel.LOWER[buf]
         start, end, woff = kernel.find_words(low, off, kernel.SPACE)
-        hashes = roller.words(low, start, end)
+        hashes = hasher.words(low, start, end)
         at, goff = kernel.gram_starts(woff, k)
-        grams = roller.grams(hashes, at, k)
+        grams = hasher.grams(hashes, at, k)
         n = np.diff(woff)
         doc = np.repeat(np.arange(len(n)), np.diff(goff))
         for few in range(1, k):  # a short document is one shingle of all its words
             docs = np.flatnonzero(n == few)
-            grams = np.concatenate([grams, roller.grams(hashes, woff[docs], few) ^ kernel.U64(few)])
+            grams = np.concatenate([grams, hasher.grams(hashes, woff[docs], few) ^ kernel.U64(few)])
             doc = np.concatenate([doc, docs])
         order = np.lexsort((grams, doc))
         grams, doc = grams[order], doc[order]

@@ -67,21 +67,22 @@ class Piece:
         self.off = np.concatenate([[0], np.cumsum(row["sizes"], dtype=np.int64)])
         self.order = np.array([NO_ID if x is None else x for x in self.ids], np.int64)
 
-    def words(self, roller: kernel.Roller, lower: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Hash, first byte, byte after the last of every word, and word offsets of the documents."""
-        hashes, starts, ends, offs = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(1, np.int64)]
+    def words(self, hashers: list[kernel.Hasher], lower: bool) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+        """Hashes by each hasher, first byte, byte after the last of every word, and word offsets of the documents."""
+        hashes, starts, ends, offs = [[np.zeros(0, np.uint64)] for _ in hashers], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(1, np.int64)]
         i, n = 0, len(self.off) - 1
         while i < n:
             j = max(i + 1, int(np.searchsorted(self.off, self.off[i] + kernel.SLICE_BYTES, side="right")) - 1)
             buf = self.buf[self.off[i] : self.off[j]]
             buf = kernel.LOWER[buf] if lower else buf
             start, end, woff = kernel.find_words(buf, self.off[i : j + 1] - self.off[i], kernel.SPACE)
-            hashes.append(roller.words(buf, start, end))
+            for held, hasher in zip(hashes, hashers):
+                held.append(hasher.words(buf, start, end))
             starts.append(start + self.off[i])
             ends.append(end + self.off[i])
             offs.append(woff[1:] + offs[-1][-1])
             i = j
-        return tuple(np.concatenate(x) for x in (hashes, starts, ends, offs))
+        return ([np.concatenate(x) for x in hashes], *(np.concatenate(x) for x in (starts, ends, offs)))
 
 
 def write_pieces(docs: DataFrame, piece_bytes: int = PIECE_BYTES) -> DataFrame:

@@ -42,14 +42,14 @@ class Ftrl:
     l2: float = 0.1
 
 
-def features(column: pa.Array, roller: kernel.Roller, bits: int = BITS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def features(column: pa.Array, hasher: kernel.Hasher, bits: int = BITS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """For each slice: hashed places of its documents' words and pairs, one document after another, and n + 1 offsets."""
     for _, _, buf, off in kernel.slices(column):
         low = kernel.LOWER[buf]
         start, end, woff = kernel.find_words(low, off, kernel.SPACE)
-        hashes = roller.words(low, start, end)
+        hashes = hasher.words(low, start, end)
         at, goff = kernel.gram_starts(woff, 2)
-        pairs = roller.grams(hashes, at, 2)
+        pairs = hasher.grams(hashes, at, 2)
         pairs[hashes[at] == hashes[at + 1]] = REPEAT
         out = np.empty(len(hashes) + len(pairs), np.int64)
         # A document's words come first, then its pairs.
@@ -59,9 +59,9 @@ def features(column: pa.Array, roller: kernel.Roller, bits: int = BITS) -> Itera
 
 
 def scores(column: pa.Array, weights: np.ndarray, bias: float, bits: int = BITS) -> np.ndarray:
-    roller = kernel.Roller(SEED)
+    hasher = kernel.Hasher(SEED)
     out = [np.zeros(0)]
-    for places, off in features(column, roller, bits):
+    for places, off in features(column, hasher, bits):
         n, dot = np.diff(off), np.full(len(off) - 1, bias)
         some = np.flatnonzero(n)
         if len(some):  # each document's sum is its own, so equal texts score alike whatever stands beside them
@@ -74,7 +74,7 @@ def train(texts: pa.Array, labels: np.ndarray, *, bits: int = BITS, epochs: int
     """Weights and bias after FTRL-proximal passes over the documents in a fixed shuffled order; the classes weigh the same in sum."""
     # Distinct places and counts of all documents in three flat arrays: documents as small arrays of their own would fragment the driver's memory.
     parts, ends = [], [np.zeros(1, np.int64)]
-    for places, off in features(texts, kernel.Roller(SEED), bits):
+    for places, off in features(texts, kernel.Hasher(SEED), bits):
         doc = np.repeat(np.arange(len(off) - 1), np.diff(off))
         key, count = np.unique((doc << bits) | places, return_counts=True)
         parts.append(((key & ((1 << bits) - 1)).astype(np.int32), count.astype(np.float32)))

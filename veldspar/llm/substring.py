@@ -39,11 +39,11 @@ class Windows:
     """Windows of a piece, their hashes and sketch cells."""
 
     def __init__(self, piece: Piece, window: int, shards: int, width: int):
-        roller, other = kernel.Roller(SEED), kernel.Roller(SEED + 1)
-        hashes, self.start, self.end, self.word_off = piece.words(roller, lower=False)
+        hashers = [kernel.Hasher(SEED), kernel.Hasher(SEED + 1)]
+        (first, second), self.start, self.end, self.word_off = piece.words(hashers, lower=False)
         self.at, self.off = kernel.gram_starts(self.word_off, window)
-        self.a = roller.grams(hashes, self.at, window)
-        self.b = other.grams(hashes, self.at, window)
+        self.a = hashers[0].grams(first, self.at, window)
+        self.b = hashers[1].grams(second, self.at, window)
         shard = shard_of(self.a, shards) << kernel.U64(32)
         self.cells = [shard | (self.b & kernel.U64(width - 1)), shard | ((self.b >> kernel.U64(32)) & kernel.U64(width - 1))]
 
