@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..shipping import ship
 from ..storage import materialise, scratch, shared_dir
 
-__all__ = ["filtered", "free_name", "materialise", "possible", "quoted", "ready", "scratch", "shared_dir", "shuffle_partitions", "split_of", "table", "text_or_empty", "without"]
+__all__ = ["filtered", "free_name", "materialise", "possible", "quoted", "ready", "scratch", "shared_dir", "shuffle_partitions", "split_of", "table", "text_or_empty", "with_few", "without"]
 
 #: Bits of a sieve at most: 8 MB, whatever the tables' size, and keys beyond which a sieve would let most rows through.
 SIEVE_BITS = 26
@@ -92,3 +92,14 @@ def without(rows: DataFrame, key: str, gone: DataFrame) -> DataFrame:
     flagged, flag = sifted
     clear = flagged.filter(~F.col(flag)).drop(flag)
     return clear.unionByName(flagged.filter(F.col(flag)).drop(flag).join(gone.hint("shuffle_hash"), key, "left_anti").select(*map(quoted, clear.columns)))
+
+
+def with_few(rows: DataFrame, key: str, few: DataFrame) -> DataFrame:
+    """rows left-joined with few on the key; rows that a sieve clears are not shuffled."""
+    sifted = _sifted(rows, key, few.select(key))
+    if sifted is None:
+        return rows.join(few, key, "left")
+    flagged, flag = sifted
+    more = [c for c in few.columns if c != key]
+    clear = flagged.filter(~F.col(flag)).drop(flag).select("*", *[F.lit(None).cast(few.schema[c].dataType).alias(c) for c in more])
+    return clear.unionByName(flagged.filter(F.col(flag)).drop(flag).join(few.hint("shuffle_hash"), key, "left"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, html_extract, language, lattice, line_dedup, minhash, mixing, quality, substring
+from . import conversations, decontaminate, exact_dedup, html_extract, language, lattice, line_dedup, minhash, mixing, pii, quality, resample, substring
 from .common import table
 
 
@@ -52,8 +52,38 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("kept_sha256", F.sha2(F.col("text").cast("binary"), 256)).drop("text")
 
 
+def op11_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = pii.sanitise(table(spark, sf_dir, "documents"))
+    return rows.withColumn("sanitised_sha256", F.sha2(F.col("text").cast("binary"), 256)).drop("text")
+
+
+def op12_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair(conversations.damaged(table(spark, sf_dir, "conversations")))
+
+
+OPERATORS = (
+    op1_substring_dedup,
+    op2_exact_dedup,
+    op3_minhash,
+    op4_html_extract,
+    op5_quality,
+    op6_decontaminate,
+    op7_lm_score,
+    op8_language,
+    op9_mix_sources,
+    op10_line_dedup,
+    op11_pii,
+    op12_resample,
+    op13_conversations,
+)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_substring_dedup, op2_exact_dedup, op3_minhash, op4_html_extract, op5_quality, op6_decontaminate, op7_lm_score, op8_language, op9_mix_sources, op10_line_dedup)}
+    return {f.__name__: f for f in OPERATORS}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -61,4 +91,5 @@ def oracle_sql() -> dict[str, str]:
         "op2_exact_dedup": exact_dedup.ORACLE_SQL.format(docs="documents"),
         "op9_mix_sources": mixing.ORACLE_SQL.replace("{docs}", "documents"),
         "op10_line_dedup": line_dedup.ORACLE_SQL,
+        "op13_conversations": conversations.ORACLE_SQL,
     }
