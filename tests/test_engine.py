@@ -1,5 +1,8 @@
 """Hand-made fixtures for the search engine."""
 
+import math
+import random
+
 import numpy as np
 import pytest
 from hypothesis import given, settings
@@ -83,11 +86,64 @@ def test_equi_depth_splits_ties_by_id(spark):
     assert [got[i] for i in range(10)] == [0, 0, 0, 1, 1, 1, 2, 2, 2, 3]
 
 
+def cuts_by_walking(values, parts):
+    """Cuts of a sorted list, found by walking from each ideal place to where the value changes."""
+    n = len(values)
+    parts = min(parts, n)
+    cuts = [0]
+    for p in range(1, parts):
+        place = max(cuts[-1] + 1, min(round(p * n / parts), n - parts + p))
+        if values[place - 1] == values[place] and values.count(values[place]) < 2 * math.ceil(n / parts):
+            for step in range(1, n):  # the lower edge first, at each distance
+                nearer = [x for x in (place - step, place + step) if cuts[-1] < x <= n - parts + p and (values[x - 1] != values[x])]
+                inside = [x for x in nearer if values[min(x, place)] == values[max(x, place) - 1]]
+                if inside:
+                    place = inside[0]
+                    break
+        cuts.append(place)
+    return cuts
+
+
+def cuts_of(counts, parts):
+    starts = np.concatenate([[0], np.cumsum(counts)])
+
+    def run_at(place):
+        i = int(np.searchsorted(starts, place, side="right")) - 1
+        return int(starts[i]), int(starts[i + 1])
+
+    return R.tie_aware_cuts(int(starts[-1]), parts, run_at)
+
+
 def test_tie_aware_cuts():
-    assert R.tie_aware_cuts([6, 1, 1, 1, 1], 4) == [0, 2, 5, 8]  # the run is two parts long, so it is split
-    assert R.tie_aware_cuts([4, 1, 1, 1, 1, 1, 1], 2) == [0, 5]
-    assert R.tie_aware_cuts([2, 5, 3], 2) == [0, 7]  # the nearer edge of the middle run
-    assert R.tie_aware_cuts([1, 1], 5) == [0, 1]
+    assert cuts_of([6, 1, 1, 1, 1], 4) == [0, 2, 5, 8]  # the run is two parts long, so it is split
+    assert cuts_of([4, 1, 1, 1, 1, 1, 1], 2) == [0, 5]
+    assert cuts_of([2, 5, 3], 2) == [0, 7]  # the nearer edge of the middle run
+    assert cuts_of([1, 1], 5) == [0, 1]
+    assert cuts_of([13], 2) == [0, 6]  # no edge is allowed, so the ideal place stays
+    assert cuts_of([1, 8, 1], 4) == [0, 2, 5, 8] == cuts_by_walking([0] + [1] * 8 + [2], 4)
+    r = random.Random(6)
+    for _ in range(20000):
+        counts = [r.choice([1, 1, 2, 3, 5, 13]) for _ in range(r.randint(1, 9))]
+        parts = r.randint(1, 7)
+        assert cuts_of(counts, parts) == cuts_by_walking([v for v, c in enumerate(counts) for _ in range(c)], parts), (counts, parts)
+
+
+def test_tie_aware_parts_and_their_sql_match_walking(spark):
+    import duckdb
+
+    from veldspar import catalog
+
+    r = random.Random(7)
+    for parts in (1, 2, 3, 5, 6):
+        counts = [r.choice([1, 2, 3, 5, 13]) for _ in range(r.randint(2, 7))]
+        values = [v * 10 for v, c in enumerate(counts) for _ in range(c)]
+        cuts = cuts_by_walking(values, parts)
+        want = [(i, sum(c <= i for c in cuts) - 1) for i in range(len(values))]
+        p = points(spark, [(i, [0.0], v, 0) for i, v in enumerate(values)] + [(999, [0.0], None, 0)])
+        assert sorted((x["id"], x["bucket"]) for x in R.tie_aware(p, parts).collect()) == want
+        con = duckdb.connect()
+        con.execute("CREATE TABLE pts AS SELECT unnest(range(?)) AS id, unnest(?) AS a0", [len(values), values])
+        assert sorted(con.execute(f"WITH RECURSIVE {catalog.tie_aware_sql('a0', parts, 'bucket', 'ta')} SELECT id, bucket FROM ta").fetchall()) == want
 
 
 @settings(max_examples=60, deadline=None)

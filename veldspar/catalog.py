@@ -356,22 +356,23 @@ def orders_grid(spark, sf):
 
 
 def tie_aware_sql(attribute: str, parts: int, out: str, name: str) -> str:
-    """Cuts of an attribute: every ideal cut moved to its run's nearer edge, each at least one after the one before, and the bucket of every point."""
+    """Cuts of an attribute, one after another: the ideal place held between the last cut and the values left, then the nearer allowed edge of its run; and the bucket of every point."""
     return f"""{name}n AS (SELECT count(*) AS n, least({parts}, count(*)) AS parts FROM pts WHERE {attribute} IS NOT NULL),
 {name}r AS (SELECT first, first + c AS last, c FROM (SELECT {attribute}, count(*) AS c, CAST(sum(count(*)) OVER (ORDER BY {attribute}) AS BIGINT) - count(*) AS first FROM pts WHERE {attribute} IS NOT NULL GROUP BY {attribute})),
-{name}i AS (SELECT p, n, parts, CAST(round_even(p * n / CAST(parts AS DOUBLE), 0) AS BIGINT) AS ideal FROM {name}n, range(1, {parts}) t(p) WHERE p < parts),
-{name}c AS (SELECT p, least(CASE WHEN first < ideal AND ideal < last AND c < 2 * CAST(ceil(n / CAST(parts AS DOUBLE)) AS BIGINT) THEN CASE WHEN ideal - first <= last - ideal THEN first ELSE last END ELSE ideal END, n - (parts - p)) AS cut
-  FROM {name}i JOIN {name}r ON first <= ideal AND (ideal < last OR last = n) AND first = (SELECT max(first) FROM {name}r z WHERE z.first <= ideal)),
-{name}k AS (SELECT p, max(cut - p) OVER (ORDER BY p) + p AS cut FROM (SELECT p, cut FROM {name}c UNION ALL SELECT 0, 0)),
+{name}k AS (SELECT CAST(0 AS BIGINT) AS p, CAST(0 AS BIGINT) AS cut
+  UNION ALL SELECT p, CASE WHEN first < ideal AND c < 2 * CAST(ceil(n / CAST(parts AS DOUBLE)) AS BIGINT)
+      THEN CASE WHEN first > cut AND (last > most OR ideal - first <= last - ideal) THEN first WHEN last <= most THEN last ELSE ideal END ELSE ideal END
+    FROM (SELECT p, cut, n, parts, most, greatest(cut + 1, least(CAST(round_even(p * n / CAST(parts AS DOUBLE), 0) AS BIGINT), most)) AS ideal
+      FROM (SELECT k.p + 1 AS p, cut, n, parts, n - (parts - (k.p + 1)) AS most FROM {name}k k, {name}n WHERE k.p + 1 < parts)) JOIN {name}r ON first <= ideal AND ideal < last),
 {name} AS (SELECT id, (SELECT count(*) FROM {name}k WHERE cut <= pl) - 1 AS {out} FROM (SELECT id, row_number() OVER (ORDER BY {attribute}, id) - 1 AS pl FROM pts WHERE {attribute} IS NOT NULL))"""
 
 
-@query(f"WITH {PTS}, {tie_aware_sql('a0', 4, 'bucket', 'ta')} SELECT id, a0, bucket FROM pts JOIN ta USING (id)")
+@query(f"WITH RECURSIVE {PTS}, {tie_aware_sql('a0', 4, 'bucket', 'ta')} SELECT id, a0, bucket FROM pts JOIN ta USING (id)")
 def grid_tieaware(spark, sf):
     return R.tie_aware(points(spark, sf), 4).select("id", "a0", "bucket")
 
 
-@query(f"WITH {PTS}, {tie_aware_sql('a0', 4, 'b0', 'ta')}, {tie_aware_sql('a2', 5, 'b1', 'tb')} SELECT id, b0, b1, b0 * 5 + b1 AS cell_id FROM ta JOIN tb USING (id)")
+@query(f"WITH RECURSIVE {PTS}, {tie_aware_sql('a0', 4, 'b0', 'ta')}, {tie_aware_sql('a2', 5, 'b1', 'tb')} SELECT id, b0, b1, b0 * 5 + b1 AS cell_id FROM ta JOIN tb USING (id)")
 def grid_tieaware_all(spark, sf):
     p = points(spark, sf).select("id", "a0", F.col("a2").alias("a1"))
     return R.tie_aware_grid(p, [4, 5]).select("id", "b0", "b1", "cell_id")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -85,28 +87,25 @@ def run_lengths(points: DataFrame, attribute: str = "a0") -> DataFrame:
     return ranged.withColumn("_inside", inside).join(F.broadcast(shifts), "_range").select("value", "n", (F.col("_before") + F.col("_inside")).cast("long").alias("first"))
 
 
-def tie_aware_cuts(counts: list[int], parts: int) -> list[int]:
-    """Places in the sorted values where the parts begin, from the counts of equal values.
+def tie_aware_cuts(n: int, parts: int, run_at: Callable[[int], tuple[int, int]]) -> list[int]:
+    """Places in n sorted values where the parts begin; run_at gives the run of equal values around a place, as its first place and the one after its last.
 
-    Ideal cuts are at p * n / parts, rounded half to even.  A cut inside a run of equal values moves to the run's nearer edge (the lower of two
-    as near), unless the run is at least twice a part long; parts keep one value at least.
+    Ideal cuts are at p * n / parts, rounded half to even, and held so that every part keeps a value.  A cut inside a run moves to the nearer edge of the
+    run (the lower of two as near) of those after the last cut that leave enough values; if there is none, or the run is at least twice a part long, the
+    run is cut at the ideal place.
     """
-    n = sum(counts)
     parts = min(parts, n)
-    starts = [0]
-    for c in counts:
-        starts.append(starts[-1] + c)
-    long = 2 * -(-n // parts) if parts else 0
-    cuts, run = [0], 0
+    if not parts:
+        return []
+    long, cuts = 2 * -(-n // parts), [0]
     for p in range(1, parts):
-        ideal = round(p * n / parts)
-        while run + 1 < len(counts) and starts[run + 1] <= ideal:
-            run += 1
-        low, high = starts[run], starts[run + 1]
+        most = n - (parts - p)
+        ideal = max(cuts[-1] + 1, min(round(p * n / parts), most))
+        low, high = run_at(ideal)
         cut = ideal
-        if low < ideal < high and counts[run] < long:
-            cut = low if ideal - low <= high - ideal else high
-        cuts.append(max(cuts[-1] + 1, min(cut, n - (parts - p))))
+        if low < ideal and high - low < long:
+            cut = min((edge for edge in (low, high) if cuts[-1] < edge <= most), key=lambda edge: abs(edge - ideal), default=ideal)
+        cuts.append(cut)
     return cuts
 
 
@@ -148,21 +147,44 @@ def best_split(counts: list[int], parts: int) -> list[int]:
     return [0, *reversed(cuts)]
 
 
-#: A histogram of more distinct values than this is not brought to the driver; the optimal split takes fewer.
-MAX_VALUES, MAX_SPLIT_VALUES = 1 << 20, 1 << 16
+#: A histogram of more distinct values than this is not brought to the driver.
+MAX_SPLIT_VALUES = 1 << 16
 
 
-def _histogram(points: DataFrame, attribute: str, most: int = MAX_VALUES) -> tuple[list, list[int]]:
+def _histogram(points: DataFrame, attribute: str, most: int = MAX_SPLIT_VALUES) -> tuple[list, list[int]]:
     rows = value_counts(points, attribute).orderBy("value").limit(most + 1).collect()
     if len(rows) > most:
         raise ValueError(f"{attribute} has over {most} distinct values; use equi_depth")
     return [r["value"] for r in rows], [r["n"] for r in rows]
 
 
+def _tie_aware_cuts_of(points: DataFrame, parts: int, attribute: str) -> list[int]:
+    """The cuts of an attribute.  Runs stay on the executors; those around the ideal cuts are looked up, at most one a part at a time."""
+    runs = materialise(run_lengths(points, attribute), "tie-runs")
+    n = int(runs.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"])
+    known: list[tuple[int, int]] = []
+
+    def look_up(places: list[int]) -> None:
+        wanted = F.array(*[F.lit(x).cast("long") for x in places])
+        around = runs.filter(F.exists(wanted, lambda x: (F.col("first") <= x) & (x < F.col("first") + F.col("n"))))
+        known.extend((r["first"], r["first"] + r["n"]) for r in around.select("first", "n").collect())
+
+    def run_at(place: int) -> tuple[int, int]:
+        found = [r for r in known if r[0] <= place < r[1]]
+        if not found:
+            look_up([place])
+            return run_at(place)
+        return found[0]
+
+    some = min(parts, n)
+    if some > 1:
+        look_up(sorted({max(p, min(round(p * n / some), n - (some - p))) for p in range(1, some)}))
+    return tie_aware_cuts(n, parts, run_at)
+
+
 def tie_aware(points: DataFrame, parts: int, attribute: str = "a0") -> DataFrame:
     """points with bucket: contiguous parts that split runs of equal values only if they are long."""
-    values, counts = _histogram(points, attribute)
-    cuts = tie_aware_cuts(counts, parts) if counts else []
+    cuts = _tie_aware_cuts_of(points, parts, attribute)
     ranked = with_rank(points.filter(F.col(attribute).isNotNull()), [attribute, "id"])
     starts = F.array(*[F.lit(c).cast("long") for c in cuts]) if cuts else F.array().cast("array<bigint>")
     return ranked.withColumn("bucket", (F.size(F.filter(starts, lambda c: c <= F.col("rank"))) - 1).cast("long")).drop("rank")
@@ -179,7 +201,7 @@ def tie_aware_grid(points: DataFrame, shape: list[int]) -> DataFrame:
 
 def dp_split(points: DataFrame, parts: int, attribute: str = "a0") -> DataFrame:
     """points with bucket: whole runs of equal values, sizes as even as can be."""
-    values, counts = _histogram(points, attribute, MAX_SPLIT_VALUES)
+    values, counts = _histogram(points, attribute)
     firsts = [values[i] for i in best_split(counts, parts)] if counts else []
     kind = points.schema[attribute].dataType
     starts = F.array(*[F.lit(v).cast(kind) for v in firsts]) if firsts else F.array().cast(f"array<{kind.simpleString()}>")
