@@ -165,7 +165,7 @@ def test_batches_carry_the_beam_and_read_only_their_cells(spark, world, monkeypa
         groups.setdefault(r["batch_id"], set()).add(r["cell_id"])
     monkeypatch.setattr(W, "VISITS", 2)  # a cell's states in several tasks
     reach, real = [], W._round
-    monkeypatch.setattr(W, "_round", lambda index, states, cells, *more: (reach.append(set(cells)), real(index, states, cells, *more))[1])
+    monkeypatch.setattr(W, "_round", lambda index, states, places, cells, *more: (reach.append(set(cells)), real(index, states, places, cells, *more))[1])
     ordered = world.order.join(batches, "cell_id")
     got = found(W.search(world.index, world.plan.queries, ordered, 10, width=8, recycle=4))
     plain = {q: one_channel(world, q, 8, 4, [groups[b] for b in sorted(groups)]) for q in world.visits}

@@ -11,6 +11,7 @@ from . import workload as W
 from .functions import predicates as P
 from .functions import vectors as V
 from .functions.sizes import broadcast_within
+from .operators import cells as beams
 from .operators import clusters as C
 from .operators import evaluate as E
 from .operators import graph as G
@@ -672,15 +673,70 @@ def prefilter_search(spark, sf):
     return rounded(Q.prefilter(plan.grid, plan.queries, plan.chosen, 2, K))
 
 
+def _index(plan: Plan) -> beams.CellIndex:
+    return beams.write_index(plan.grid, *plan.graphs(), 2)
+
+
 def _beams(plan: Plan, width: int) -> DataFrame:
-    edges, cross = plan.graphs()
-    return Q.by_cells(plan.grid, edges, cross, plan.queries, plan.order(), 2, K, width=width)
+    return beams.search(_index(plan), plan.queries, plan.order(), K, width=width, recycle=width)
 
 
-@query(knn_sql(kind="mixed"))
+#: The first k of beam and recycle list.
+BEAM_ANSWER = f"""SELECT qid, rank, id, round(d, 6) AS dist FROM (SELECT qid, z.id, z.d, row_number() OVER (PARTITION BY qid ORDER BY z.d, z.id) AS rank
+  FROM (SELECT qid, unnest(spare || list_transform(list_filter(beam, lambda b: inside[b.id + 1]), lambda b: {{'d': b.d, 'id': b.id}})) AS z FROM ended)) WHERE rank <= {K}"""
+
+
+def beam_sql(width: int, recycle: int, batch: str = "0", answer: str = BEAM_ANSWER) -> str:
+    """A bounded beam that goes from cell to cell, one expansion a step, over lists of every query's distances; needs qry, g, e, x, and od (qid, cell_id, visit_rank).
+
+    batch is the batch of a cell: cells of one come before those of the next, and cross edges are followed within one.
+    """
+    of = batch.format
+    return f"""loc AS (SELECT cell_id, id, row_number() OVER (PARTITION BY cell_id ORDER BY id) - 1 AS l, count(*) OVER (PARTITION BY cell_id) AS n FROM g),
+nv AS MATERIALIZED (SELECT qid, list(cell_id ORDER BY {of('cell_id')}, visit_rank) AS cells FROM od GROUP BY qid),
+dd AS MATERIALIZED (SELECT qid, list(d ORDER BY id) AS dist, list(inside ORDER BY id) AS inside FROM (SELECT qid, g.id, {d2('g.vec', 'qvec')} AS d, {AND} AS inside FROM g, qry) GROUP BY qid),
+nb AS MATERIALIZED (SELECT src AS u, list(dst ORDER BY rank) AS near FROM e GROUP BY src),
+fw AS MATERIALIZED (SELECT target, list(w ORDER BY id) AS ways, any_value(ids) AS scattered
+  FROM (SELECT g.id, c.target, CASE WHEN {of('g.cell_id')} = {of('c.target')} THEN list(x.dst) FILTER (x.dst IS NOT NULL) END AS w FROM g CROSS JOIN (SELECT DISTINCT cell_id AS target FROM g) c LEFT JOIN x ON x.src = g.id AND x.dst_cell = c.target GROUP BY g.id, g.cell_id, c.target)
+  JOIN (SELECT cell_id AS target, list(DISTINCT id) AS ids FROM loc JOIN range(16) t(j) ON l = (j * (n - 1)) // 15 GROUP BY cell_id) USING (target) GROUP BY target),
+bw AS (SELECT qid, 0 AS step, 0 AS v, 0 AS hops, CAST([] AS STRUCT(d DOUBLE, id BIGINT, x BOOLEAN)[]) AS beam, CAST([] AS BIGINT[]) AS met, CAST([] AS STRUCT(d DOUBLE, id BIGINT)[]) AS spare FROM nv
+  UNION ALL
+  SELECT qid, step + 1, CASE WHEN u IS NULL THEN v + 1 ELSE v END, CASE WHEN u IS NULL THEN hops ELSE hops + 1 END, merged[:{width}], met || fresh,
+    list_sort(spare || list_transform(list_filter(merged[{width + 1}:], lambda b: inside[b.id + 1]), lambda b: {{'d': b.d, 'id': b.id}}))[:{recycle}]
+  FROM (SELECT *, list_sort(list_transform(beam, lambda b: {{'d': b.d, 'id': b.id, 'x': b.x OR coalesce(b.id = u, false)}}) || list_transform(fresh, lambda i: {{'d': dist[i + 1], 'id': i, 'x': false}})) AS merged
+    FROM (SELECT *, list_filter(CASE WHEN u IS NOT NULL THEN near WHEN len(ways_in) > 0 THEN ways_in ELSE scattered END, lambda i: NOT list_contains(met, i)) AS fresh
+      FROM (SELECT p.*, near, scattered, dist, inside, list_distinct(flatten(list_filter(list_transform(beam[:64], lambda b: ways[b.id + 1]), lambda w: w IS NOT NULL))) AS ways_in
+        FROM (SELECT bw.*, list_filter(beam, lambda b: NOT b.x)[1].id AS u, CASE WHEN len(list_filter(beam, lambda b: NOT b.x)) = 0 THEN cells[v + 1] END AS target FROM bw JOIN nv USING (qid)) p
+        LEFT JOIN nb ON nb.u = p.u LEFT JOIN fw ON fw.target = p.target JOIN dd ON dd.qid = p.qid WHERE p.u IS NOT NULL OR p.target IS NOT NULL)))),
+ended AS (SELECT * FROM bw JOIN dd USING (qid) QUALIFY row_number() OVER (PARTITION BY qid ORDER BY step DESC) = 1)
+{answer}"""
+
+
+OD = "od AS (SELECT qid, cell_id, row_number() OVER (PARTITION BY qid ORDER BY score DESC, cell_id) AS visit_rank FROM sc)"
+
+
+def narrow_sql(kind: str, width: int, recycle: int, batch: str = "0", answer: str = BEAM_ANSWER) -> str:
+    return f"WITH RECURSIVE {chosen_sql(kind)}, {ORDER}, {CELL_GRAPH}, {CROSS}, {OD}, {beam_sql(width, recycle, batch, answer)}"
+
+
+@query(narrow_sql("mixed", 12, 12))
 def cell_beam_search(spark, sf):
-    """With a beam as wide as a cell every cell is scored whole, so the answer is exact."""
-    return rounded(_beams(Plan(spark, sf, "mixed"), 1 << 20))
+    """A beam of twelve points goes from cell to cell of the visiting order, with its recycle list."""
+    return rounded(_beams(Plan(spark, sf, "mixed"), 12))
+
+
+@query(narrow_sql("mixed", 6, 4, answer="SELECT qid, CAST(v AS BIGINT) AS cells, CAST(hops AS BIGINT) AS hops, CAST(len(met) AS BIGINT) AS scored FROM ended"))
+def narrow_beam_counters(spark, sf):
+    """Cells visited, points expanded and distances computed by a beam of six."""
+    plan = Plan(spark, sf, "mixed")
+    return beams.counters(beams.walk(_index(plan), plan.queries, plan.order(), width=6, recycle=4))
+
+
+@query()
+def dual_beam_search(spark, sf):
+    """Beams in two cells at a time."""
+    plan = Plan(spark, sf, "mixed")
+    return rounded(beams.search(_index(plan), plan.queries, plan.order(), K, width=12, recycle=12, channels=2))
 
 
 #: What an endless beam reaches: from 16 scattered points of the first cell, then from the cross edges of the k nearest reached there, or scattered points, in every other cell.
@@ -723,12 +779,19 @@ def beam_counters(spark, sf):
     return Q.counters(_walk(Plan(spark, sf, "mixed")))
 
 
-@query(f"WITH {PTS}, {qry('mixed')} SELECT CAST(count(*) AS BIGINT) AS queries, true AS good FROM qry")
+#: Recall of what a beam and its recycle list found among the true first k.
+BEAM_RECALL = f""", fnd AS (SELECT qid, id FROM (SELECT qid, z.id, row_number() OVER (PARTITION BY qid ORDER BY z.d, z.id) AS rank FROM (SELECT qid, unnest(spare || list_transform(list_filter(beam, lambda b: inside[b.id + 1]), lambda b: {{'d': b.d, 'id': b.id}})) AS z FROM ended)) WHERE rank <= {K}),
+tr AS (SELECT qid, id FROM (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY {d2('vec', 'qvec')}, id) AS rank FROM pts JOIN qry ON {AND}) WHERE rank <= {K}),
+rc AS (SELECT qry.qid, count(tr.id) AS truth_size, count(fnd.id) AS hits FROM qry LEFT JOIN tr ON tr.qid = qry.qid LEFT JOIN fnd ON fnd.qid = tr.qid AND fnd.id = tr.id GROUP BY qry.qid)
+SELECT count(*) AS queries, round(avg(CASE WHEN truth_size = 0 THEN 1.0::DOUBLE ELSE hits / CAST(truth_size AS DOUBLE) END), 6) AS recall FROM rc"""
+
+
+@query(narrow_sql("mixed", 32, 32, answer=BEAM_RECALL))
 def cell_beam_recall(spark, sf):
-    """A narrow beam's promise: nine in ten of the true neighbours."""
+    """Recall of a beam of 32 points."""
     plan = Plan(spark, sf, "mixed")
     truth = Q.exact(plan.grid, plan.queries, 2, K)
-    return E.recall(_beams(plan, 32), truth, plan.queries).select("queries", (F.col("recall") >= 0.9).alias("good"))
+    return rounded(E.recall(_beams(plan, 32), truth, plan.queries).select("queries", "recall"), "recall")
 
 
 def _full_graph(plan: Plan) -> tuple[DataFrame, DataFrame]:
@@ -787,24 +850,27 @@ def combined_recall(spark, sf):
     return E.recall(found, Q.exact(plan.grid, plan.queries, 2, K), plan.queries).select("queries", (F.col("recall") >= 0.9).alias("good")).crossJoin(outside)
 
 
-@query(knn_sql(kind="mixed"))
+@query(narrow_sql("mixed", 10, 10, "{} // 5"))
 def out_of_core_search(spark, sf):
-    """Batch by batch of cells with beams as wide as a cell: exact."""
+    """Batch by batch of five cells: a round reads the cells and cross edges of one batch only, and beams are carried from batch to batch."""
     plan = Plan(spark, sf, "mixed")
-    edges, cross = plan.graphs()
-    return rounded(Q.in_batches(plan.grid, edges, cross, plan.queries, plan.order(), materialise(S.batches(plan.cells, 8), "batches"), 2, K, width=1 << 20))
+    ordered = plan.order().join(materialise(S.batches(plan.cells, 5), "batches"), "cell_id")
+    return rounded(beams.search(_index(plan), plan.queries, ordered, K, width=10, recycle=10))
 
 
-@query(f"WITH {PTS}, {qry()}, u AS (SELECT id, a0, a1, list_transform(vec, lambda x: CAST(floor(abs(CAST(x AS DOUBLE)) * 200) AS BIGINT)) AS vec FROM pts), uq AS (SELECT qid, l0, r0, l1, r1, vec AS qvec FROM qry JOIN u ON id = qid), s AS (SELECT qid, id, {d2('vec', 'qvec')} AS dist FROM u JOIN uq ON {AND}), r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY dist, id) AS rank FROM s) SELECT qid, rank, id, round(dist, 6) AS dist FROM r WHERE rank <= {K}")
+BYTES = "list_transform(vec, lambda x: CAST(floor(abs(CAST(x AS DOUBLE)) * 200) AS BIGINT))"
+
+
+@query(f"WITH RECURSIVE pts AS (SELECT id, {BYTES} AS vec, a0, a1, a2, a3 FROM (WITH {PTS} SELECT * FROM pts)), qry AS (SELECT qid, {BYTES.replace('vec', 'qvec')} AS qvec, l0, r0, l1, r1 FROM (WITH {qry()} SELECT * FROM qry)), "
+    f"{GRID}, {CELLS}, {CELL_GRAPH}, {CROSS}, od AS (SELECT qid, cell_id, row_number() OVER (PARTITION BY qid ORDER BY cell_id) AS visit_rank FROM qry JOIN cells ON {MEETS}), {beam_sql(8, 8)}")
 def byte_vector_search(spark, sf):
-    """Vectors of unsigned bytes, searched cell by cell with beams as wide as a cell."""
+    """Vectors of unsigned bytes, searched cell by cell with beams of eight points."""
     plan = Plan(spark, sf)
     u8 = F.transform("vec", lambda x: F.floor(F.abs(x.cast("double")) * 200).cast("smallint"))
     plan.grid = materialise(plan.grid.withColumn("vec", u8), "bytes")
     plan.queries = plan.queries.drop("qvec").join(plan.grid.select(F.col("id").alias("qid"), F.col("vec").alias("qvec")), "qid")
-    edges, cross = plan.graphs()
-    order = plan.chosen.withColumn("visit_rank", F.row_number().over(Window.partitionBy("qid").orderBy("cell_id")))
-    return rounded(Q.by_cells(plan.grid, edges, cross, plan.queries, order, 2, K, width=1 << 20))
+    order = plan.chosen.withColumn("visit_rank", F.row_number().over(Window.partitionBy("qid").orderBy("cell_id")).cast("long"))
+    return rounded(beams.search(_index(plan), plan.queries, order, K, width=8, recycle=8))
 
 
 # ---- evaluation and workloads -----------------------------------------------------------------------------------

@@ -258,17 +258,22 @@ def _next(s: State) -> list[int]:
     return s.at if s.at else s.order[:1]
 
 
-def _round(index: CellIndex, states: DataFrame, reach: list[int], width: int, recycle: int, any_: bool, step: Callable[[Walker, State], None]) -> DataFrame:
+def _places(states: DataFrame) -> dict[str, int]:
+    """How many states are at each cell, or pair of cells; as many as the grid has at most."""
+    return {r["at"]: r["count"] for r in states.groupBy("at").count().collect()}
+
+
+def _round(index: CellIndex, states: DataFrame, places: dict[str, int], reach: list[int], width: int, recycle: int, any_: bool, step: Callable[[Walker, State], None]) -> DataFrame:
     """Every state (qid, at, payload) at its cells; reach: the cells whose cross edges may be wanted."""
     spark = states.sparkSession
-    keys = states.groupBy("at").agg(F.ceil(F.count(F.lit(1)) / VISITS).cast("int").alias("blocks"))
-    keys = materialise(keys.withColumn("cell_id", F.explode(F.split("at", ",").cast("array<bigint>"))), "beam-cells")
-    active = [r["cell_id"] for r in keys.select("cell_id").distinct().collect()]  # at most as many as the grid has
+    rows = [(at, int(cell), -(-n // VISITS)) for at, n in places.items() for cell in at.split(",")]
+    keys = spark.createDataFrame(rows, "at string, cell_id long, blocks int")
+    active = sorted({cell for _, cell, _ in rows})
     nothing = F.lit(None)
     cells = index.cells(spark).filter(F.col("cell_id").isin(active)).select("cell_id", nothing.cast("long").alias("dst_cell"), "ids", "vec", "attributes", "neighbours", nothing.cast("binary").alias("src"), nothing.cast("binary").alias("dst"))
     cross = index.cross(spark).filter(F.col("cell_id").isin(active) & F.col("dst_cell").isin(reach)).select("cell_id", "dst_cell", *[nothing.cast("binary").alias(c) for c in ("ids", "vec", "attributes", "neighbours")], "src", "dst")
-    places = keys.select("at", "cell_id", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
-    data = cells.unionByName(cross).join(F.broadcast(places), "cell_id")  # one row a cell and block of states
+    blocks = keys.select("at", "cell_id", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    data = cells.unionByName(cross).join(F.broadcast(blocks), "cell_id")  # one row a cell and block of states
     dealt = states.join(F.broadcast(keys.select("at", "blocks").distinct()), "at").withColumn("block", F.pmod(F.xxhash64("qid"), F.col("blocks")).cast("int"))
     moved = dealt.select("at", "block", "payload").groupBy("at", "block").cogroup(data.groupBy("at", "block"))
     return materialise(moved.applyInPandas(_task(width, recycle, any_, step), "qid long, at string, payload binary"), "beam-states")
@@ -344,8 +349,8 @@ def walk(index: CellIndex, queries: DataFrame, ordered: DataFrame, *, width: int
     for _, cells in groups:
         own = F.col("at").isin([str(c) for c in cells])
         waiting, now = todo.filter(~own), todo.filter(own)
-        while not now.isEmpty():
-            moved = _round(index, now, cells, width, recycle, any_, Walker.visit)
+        while places := _places(now):
+            moved = _round(index, now, places, cells, width, recycle, any_, Walker.visit)
             done, waiting = done.unionByName(moved.filter("at = ''")), waiting.unionByName(moved.filter((F.col("at") != "") & ~own))
             now = moved.filter(own)
         todo = waiting
@@ -357,8 +362,8 @@ def walk_two(index: CellIndex, queries: DataFrame, ordered: DataFrame, *, width:
     states = _states(queries, ordered, index.attributes, 2)
     cells = [r["cell_id"] for r in ordered.select("cell_id").distinct().collect()]  # of as many cells as the grid has at most
     done, now = states.filter("at = ''"), states.filter("at <> ''")
-    while not now.isEmpty():
-        moved = _round(index, now, cells, width, recycle, any_, Walker.alternate)
+    while places := _places(now):
+        moved = _round(index, now, places, cells, width, recycle, any_, Walker.alternate)
         done, now = done.unionByName(moved.filter("at = ''")), moved.filter("at <> ''")
     return done
 
