@@ -188,3 +188,72 @@ def test_a_wide_beam_finds_what_exact_search_finds(world):
     for channels in (1, 2):
         got = W.search(world.index, world.plan.queries, world.order, 10, width=64, recycle=64, channels=channels)
         assert E.recall(got, truth, world.plan.queries).first()["recall"] >= 0.9
+
+
+def test_cross_edges_by_search_are_plain_walks(world):
+    got = {}
+    for r in W.cross_edges_by_search(world.index, world.plan.grid, 2, width=18, tasks=40).orderBy("rank").collect():
+        got.setdefault((r["src"], r["dst_cell"]), []).append(r["dst"])
+    assert len(got) == len(world.vec) * len(world.members)
+    world.queries["point"] = {"l0": 0, "r0": 0, "l1": 0, "r1": 0}
+    for (src, cell), found in sorted(got.items())[::37]:
+        world.queries["point"]["qvec"] = world.vec[src]
+        walk = Plain(world, "point", 18, 0)
+        walk.offer(world.members[cell] if len(world.members[cell]) <= 18 else walk.scattered(cell))
+        while (i := walk.open(cell)) is not None:
+            walk.expand(i)
+        assert found == [i for _, i in walk.beam if i != src][:2]
+    exact = {}
+    for r in world.cross.orderBy("rank").collect():
+        exact.setdefault((r["src"], r["dst_cell"]), []).append(r["dst"])
+    hits = sum(len(set(exact[key]) & set(found)) for key, found in got.items())
+    assert hits >= 0.9 * sum(map(len, exact.values()))
+    del world.queries["point"]
+
+
+def test_an_index_with_searched_cross_edges_finds_neighbours(world):
+    from veldspar.operators import evaluate as E
+    from veldspar.operators import search as Q
+
+    index = W.write_index(world.plan.grid, world.edges, None, 2, width=24)
+    got = W.search(index, world.plan.queries, world.order, 10, width=48, recycle=48)
+    assert E.recall(got, Q.exact(world.plan.grid, world.plan.queries, 2, 10), world.plan.queries).first()["recall"] >= 0.9
+
+
+def test_descent_finds_neighbours_of_neighbours():
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(40, 24))[rng.integers(0, 40, 4000)] * 0.5 + rng.normal(size=(4000, 24))
+    near, dist = G.neighbours_by_descent(x, 24)
+    d = ((x[:300, None] - x[None]) ** 2).sum(2)
+    d[np.arange(300), np.arange(300)] = np.inf
+    true = np.argsort(d, axis=1)[:, :16]
+    assert np.mean([len(set(a[:16]) & set(b)) / 16 for a, b in zip(near[:300].tolist(), true.tolist())]) >= 0.95
+    assert (np.diff(dist, axis=1) >= 0).all() and all(len(set(r)) == 24 for r in near.tolist()) and not (near == np.arange(4000)[:, None]).any()
+    assert np.allclose(dist[:300], np.take_along_axis(((x[:300, None] - x[None]) ** 2).sum(2), near[:300], 1))
+
+
+def test_pruning_counts_detours_and_gives_edges_back():
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(60, 5))
+    d = ((x[:, None] - x[None]) ** 2).sum(2)
+    np.fill_diagonal(d, np.inf)
+    near = np.argsort(d, axis=1)[:, :12]
+    lists = near.tolist()
+    forward = []
+    for u in range(60):
+        detours = [sum(lists[u][r] in lists[w][:r] for w in lists[u][:r]) for r in range(12)]
+        forward.append([lists[u][r] for r in sorted(range(12), key=lambda r: (detours[r], r))][:6])
+    for u in range(60):
+        back = [v for r in range(6) for v in range(60) if forward[v][r] == u][:6]
+        assert [v for v in G.pruned(near, 6)[u].tolist() if v >= 0] == list(dict.fromkeys(forward[u][:3] + back + forward[u][3:]))[:6]
+
+
+def test_descended_and_pruned_cells(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, [float(v) for v in rng.normal(size=6)], i % 3) for i in range(600)] + [(1000, [0.0] * 6, 9), (1001, [1.0] * 6, None)]
+    p = spark.createDataFrame(rows, "id long, vec array<double>, cell_id long")
+    exact = {(r["src"], r["dst"]) for r in G.cell_graph(p, 8).collect()}
+    found = G.descend(p, 8).collect()
+    assert len({(r["src"], r["dst"]) for r in found} & exact) >= 0.97 * len(exact) and len(found) == len(exact)
+    cut = G.descend(p, 8, prune=True).collect()
+    assert {r["src"] for r in cut} == {r[0] for r in rows[:600]} and max(r["rank"] for r in cut) == 8

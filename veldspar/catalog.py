@@ -600,13 +600,25 @@ def graph_degree_stats(spark, sf):
     return G.degree_stats(_assembled(Plan(spark, sf)))
 
 
-@query(f"WITH {PTS}, {GRID} SELECT count(*) AS points, true AS near FROM g")
+@query(f"WITH {PTS}, {GRID}, {CELL_GRAPH} SELECT cell_id, src, rank, dst FROM e")
 def graph_by_descent(spark, sf):
-    """Approximate graphs' promise: at least nine in ten edges are exact."""
+    """NN-Descent on lists of twelve; in cells this small it finds every neighbour, and so equals the exact graph."""
+    return G.descend(gridded(spark, sf), DEGREE, intermediate=12)
+
+
+@query(f"WITH {PTS}, {GRID}, {CROSS} SELECT src, dst_cell, rank, dst FROM x")
+def cross_edges_by_search(spark, sf):
+    """Cross edges found by beams in the cells' own graphs; at this width they find every one."""
     g = gridded(spark, sf)
-    exact, found = G.cell_graph(g, DEGREE), G.descend(g, DEGREE)
-    both = exact.join(found.select("src", "dst"), ["src", "dst"]).count()
-    return g.agg(F.count(F.lit(1)).alias("points")).withColumn("near", F.lit(both >= 0.9 * exact.count()))
+    path = scratch(spark, "cell-index")
+    beams.write_cells(g, materialise(G.cell_graph(g, DEGREE), "edges"), 2, path)
+    return beams.cross_edges_by_search(beams.CellIndex(path, 2), g, 2, width=28)
+
+
+@query()
+def search_graph_of_cells(spark, sf):
+    """Descended lists, cut to edges that detours replace least and edges given back."""
+    return G.descend(gridded(spark, sf), DEGREE, intermediate=12, prune=True)
 
 
 #: Cell by cell, in order of id: a point without a representative represents itself and claims its later neighbours that have none.

@@ -68,28 +68,18 @@ class CellIndex:
         return spark.read.parquet(f"{self.path}/cross").withColumn("cell_id", F.col("cell_id").cast("long")).withColumn("dst_cell", F.col("dst_cell").cast("long"))
 
 
-def write_index(gridded: DataFrame, edges: DataFrame, cross: DataFrame, attributes: int, *, r: int = 2, path: str | None = None) -> CellIndex:
-    """Lay out points (id, vec, a0.., cell_id), edges (cell_id, src, rank, dst) and cross edges (src, dst_cell, rank, dst), the first r of which are kept."""
+def write_index(gridded: DataFrame, edges: DataFrame, cross: DataFrame | None, attributes: int, *, r: int = 2, path: str | None = None, width: int = 64) -> CellIndex:
+    """Lay out points (id, vec, a0.., cell_id), edges (cell_id, src, rank, dst) and cross edges (src, dst_cell, rank, dst), the first r of which are kept.
+
+    Without cross edges they are found by beams of the width in the cells' own graphs.
+    """
     spark = gridded.sparkSession
-    ship(spark)
     path = path or scratch(spark, "cell-index")
-    names = [f"a{j}" for j in range(attributes)]
-
-    def pack(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        left, right = left.sort_values("id"), right.sort_values(["src", "rank"])
-        ids = left["id"].to_numpy(np.int64)
-        src, dst = np.searchsorted(ids, right["src"].to_numpy(np.int64)), np.searchsorted(ids, right["dst"].to_numpy(np.int64))
-        degree = np.bincount(src, minlength=len(ids))
-        neighbours = np.full((len(ids), int(degree.max(initial=0))), -1, np.int32)
-        neighbours[src, np.arange(len(src)) - np.repeat(np.cumsum(degree) - degree, degree)] = dst
-        own = left[names].to_numpy(np.float64) if names else np.zeros((len(ids), 0))
-        vec = np.stack(left["vec"].to_numpy()).astype(np.float64)
-        return pd.DataFrame({"cell_id": [key[0]], "n": [len(ids)], "ids": [ids.tobytes()], "vec": [vec.tobytes()], "attributes": [own.tobytes()], "neighbours": [neighbours.tobytes()]})
-
+    index = CellIndex(path, attributes)
+    write_cells(gridded, edges, attributes, path)
     known = gridded.filter("cell_id IS NOT NULL")
-    plain = known.select("cell_id", "id", F.col("vec").cast("array<double>").alias("vec"), *[F.col(a).cast("double").alias(a) for a in names])
-    cells = plain.groupBy("cell_id").cogroup(edges.select("cell_id", "src", "rank", "dst").groupBy("cell_id")).applyInPandas(pack, CELL)
-    cells.write.partitionBy("cell_id").parquet(f"{path}/cells")
+    if cross is None:
+        cross = materialise(cross_edges_by_search(index, known, r, width=width), "cross")
 
     def pack_cross(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["src", "rank"])
@@ -101,7 +91,7 @@ def write_index(gridded: DataFrame, edges: DataFrame, cross: DataFrame, attribut
     far = cross.filter(F.col("rank") <= r).join(known.select(F.col("id").alias("src"), "cell_id"), "src").filter("cell_id <> dst_cell")
     packed = far.groupBy("cell_id", "dst_cell").applyInPandas(pack_cross, "cell_id long, dst_cell long, src binary, dst binary")
     packed.repartition("cell_id", "dst_cell").write.partitionBy("cell_id", "dst_cell").parquet(f"{path}/cross")
-    return CellIndex(path, attributes)
+    return index
 
 
 @dataclass
@@ -368,6 +358,118 @@ def walk_two(index: CellIndex, queries: DataFrame, ordered: DataFrame, *, width:
     return done
 
 
+def beams(cell: Packed, q: np.ndarray, k: int, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places in the cell (-1 for none) and squared distances of the k nearest points that a beam of the width finds for each row of q, all rows side by side.
+
+    In every step each row expands its nearest unexpanded point; rows that have none are done.  A point that fell out of a full beam cannot come back, so only the beam is looked through.
+    """
+    n, rows = len(cell.ids), len(q)
+    width = max(width, k, SCATTERED)
+    if n <= width:
+        at = np.broadcast_to(np.arange(n), (rows, n))
+        dist = ((cell.vec[None, :, :] - q[:, None, :]) ** 2).sum(2)
+        order = np.lexsort((at, dist), axis=1)[:, :k]
+        return np.take_along_axis(at, order, 1), np.take_along_axis(dist, order, 1)
+    start = cell.places(cell.scattered())
+    held = np.full((rows, width), -1, np.int64)
+    dist = np.full((rows, width), np.inf)
+    held[:, : len(start)] = start
+    dist[:, : len(start)] = ((cell.vec[start][None] - q[:, None, :]) ** 2).sum(2)
+    open_ = held >= 0
+    order = np.lexsort((held, dist), axis=1)
+    held, dist, open_ = (np.take_along_axis(x, order, 1) for x in (held, dist, open_))
+    live = np.arange(rows)
+    while len(live):
+        live = live[open_[live].any(1)]
+        first = open_[live].argmax(1)
+        open_[live, first] = False
+        near = cell.neighbours[held[live, first]].astype(np.int64)
+        fresh = (near >= 0) & ~(near[:, :, None] == held[live][:, None, :]).any(2)
+        d = ((cell.vec[near] - q[live][:, None, :]) ** 2).sum(2)
+        all_held = np.concatenate([held[live], np.where(fresh, near, -1)], axis=1)
+        all_dist = np.concatenate([dist[live], np.where(fresh, d, np.inf)], axis=1)
+        all_open = np.concatenate([open_[live], fresh], axis=1)
+        order = np.lexsort((all_held, all_dist), axis=1)[:, :width]
+        held[live], dist[live], open_[live] = (np.take_along_axis(x, order, 1) for x in (all_held, all_dist, all_open))
+    return held[:, :k], dist[:, :k]
+
+
+#: Rows searched side by side.
+TOGETHER = 1024
+
+
+def cross_edges_by_search(index: CellIndex, points: DataFrame, k: int, *, width: int = 64, tasks: int | None = None) -> DataFrame:
+    """(src, dst_cell, rank, dst): for every point near points of each cell, found by a beam in the cell's own graph.
+
+    Points (id, vec, cell_id) are sent once to every cell, and a cell to the tasks that search it, of which there are `tasks` in all (twice the shuffle partitions unless given), however many points there are: what is
+    shuffled grows with points times cells.  A task holds one cell and a batch of points, which follow it in sorted order.
+    """
+    spark = points.sparkSession
+    ship(spark)
+    known = points.filter("cell_id IS NOT NULL")
+    cells = [r["cell_id"] for r in known.select("cell_id").distinct().collect()]  # of as many cells as the grid has at most
+    if not cells:
+        return spark.createDataFrame([], "src long, dst_cell long, rank long, dst long")
+    blocks = max(1, -(-(tasks or 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))) // len(cells)))
+    packed = index.cells(spark).select("cell_id", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(0).alias("side"), F.lit(0).cast("long").alias("src"), F.lit(None).cast("binary").alias("q"), "ids", "vec", "neighbours")
+    nothing = [F.lit(None).cast("binary").alias(c) for c in ("ids", "vec", "neighbours")]
+
+    def pack(parts):
+        for pdf in parts:
+            yield pd.DataFrame({"src": pdf["id"], "q": [np.asarray(v, np.float64).tobytes() for v in pdf["vec"]]})
+
+    sources = known.select("id", F.col("vec").cast("array<double>").alias("vec")).mapInPandas(pack, "src long, q binary")
+    to = F.explode(F.array(*[F.lit(c).cast("long") for c in cells])).alias("cell_id")
+    asked = sources.select(to, F.pmod(F.xxhash64("src"), F.lit(blocks)).cast("int").alias("block"), F.lit(1).alias("side"), "src", "q", *nothing)
+    stream = packed.unionByName(asked).repartition("cell_id", "block").sortWithinPartitions("cell_id", "block", "side")
+
+    def find(parts):
+        cell = None
+        for pdf in parts:
+            out = []
+            places = np.flatnonzero(pdf["side"].to_numpy() == 0).tolist()
+            for a, b in zip([0, *places], [*places, len(pdf)]):
+                own = pdf.iloc[a:b]
+                if a in places and a < b:
+                    row = own.iloc[0]
+                    cell = Packed({"cell_id": row["cell_id"], "ids": row["ids"], "vec": row["vec"], "attributes": b"", "neighbours": row["neighbours"]})
+                    own = own.iloc[1:]
+                for i in range(0, len(own), TOGETHER):
+                    part = own.iloc[i : i + TOGETHER]
+                    src = part["src"].to_numpy(np.int64)
+                    held, dist = beams(cell, np.stack([np.frombuffer(v, np.float64) for v in part["q"]]), k + 1, width)
+                    ids = np.where(held >= 0, cell.ids[held], -1)
+                    good = (ids >= 0) & (ids != src[:, None])
+                    rank = np.cumsum(good, axis=1)
+                    row, col = np.nonzero(good & (rank <= k))
+                    out.append(pd.DataFrame({"src": src[row], "dst_cell": cell.cell, "rank": rank[row, col], "dst": ids[row, col]}))
+            yield pd.concat(out) if out else pd.DataFrame({"src": [], "dst_cell": [], "rank": [], "dst": []})
+
+    return stream.mapInPandas(find, "src long, dst_cell long, rank long, dst long")
+
+
+def write_cells(gridded: DataFrame, edges: DataFrame, attributes: int, path: str) -> None:
+    """The first of an index's tables: packed cells of points (id, vec, a0.., cell_id) and edges (cell_id, src, rank, dst)."""
+    ship(gridded.sparkSession)
+    names = [f"a{j}" for j in range(attributes)]
+
+    def pack(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        left, right = left.sort_values("id"), right.sort_values(["src", "rank"])
+        ids = left["id"].to_numpy(np.int64)
+        src, dst = np.searchsorted(ids, right["src"].to_numpy(np.int64)), np.searchsorted(ids, right["dst"].to_numpy(np.int64))
+        degree = np.bincount(src, minlength=len(ids))
+        neighbours = np.full((len(ids), int(degree.max(initial=0))), -1, np.int32)
+        neighbours[src, np.arange(len(src)) - np.repeat(np.cumsum(degree) - degree, degree)] = dst
+        own = left[names].to_numpy(np.float64) if names else np.zeros((len(ids), 0))
+        vec = np.stack(left["vec"].to_numpy()).astype(np.float64)
+        return pd.DataFrame({"cell_id": [key[0]], "n": [len(ids)], "ids": [ids.tobytes()], "vec": [vec.tobytes()], "attributes": [own.tobytes()], "neighbours": [neighbours.tobytes()]})
+
+    known = gridded.filter("cell_id IS NOT NULL")
+    plain = known.select("cell_id", "id", F.col("vec").cast("array<double>").alias("vec"), *[F.col(a).cast("double").alias(a) for a in names])
+    cells = plain.groupBy("cell_id").cogroup(edges.select("cell_id", "src", "rank", "dst").groupBy("cell_id")).applyInPandas(pack, CELL)
+    cells.write.partitionBy("cell_id").parquet(f"{path}/cells")
+
+
 def search(index: CellIndex, queries: DataFrame, ordered: DataFrame, k: int, *, width: int = 64, recycle: int = 64, channels: int = 1, any_: bool = False) -> DataFrame:
     """qid, rank, id, dist: the first k of every query that its beam found, by one channel or two."""
     go = walk if channels == 1 else walk_two

@@ -59,36 +59,169 @@ def cell_graph(points: DataFrame, degree: int) -> DataFrame:
     return known.groupBy("cell_id").applyInPandas(build, EDGES)
 
 
-def descend(points: DataFrame, degree: int, *, rounds: int = 8, seed: int = 1) -> DataFrame:
-    """The same graph approximately, for cells too large for all pairs: neighbours' neighbours are tried until nothing gets nearer."""
+#: Neighbours that a point samples in one round of descent, of new ones, of old ones, and of those that have it as a neighbour.
+SAMPLE = 16
+#: Share of all neighbours that a round may change and be the last.
+SETTLED = 0.0005
+#: Points taken at one time in a round.
+AT_ONCE = 2048
+
+
+def _sampled(owner: np.ndarray, other: np.ndarray, n: int, most: int, rng: np.random.Generator) -> np.ndarray:
+    """(n, most): some of each owner's others, drawn anew, -1 for none."""
+    order = np.lexsort((rng.random(len(owner)), owner))
+    owner, other = owner[order], other[order]
+    place = np.arange(len(owner)) - np.searchsorted(owner, owner)
+    out = np.full((n, most), -1, np.int64)
+    keep = place < most
+    out[owner[keep], place[keep]] = other[keep]
+    return out
+
+
+def _first_of(owner: np.ndarray, dist: np.ndarray, other: np.ndarray, n: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k nearest others of each of n owners, each other once; every owner has k at least."""
+    order = np.lexsort((other, dist, owner))
+    owner, dist, other = owner[order], dist[order], other[order]
+    first = np.ones(len(owner), bool)
+    first[1:] = (owner[1:] != owner[:-1]) | (other[1:] != other[:-1])  # one pair has one distance, so its repeats stand together
+    owner, dist, other = owner[first], dist[first], other[first]
+    place = np.arange(len(owner)) - np.searchsorted(owner, owner)
+    keep = place < k
+    return other[keep].reshape(n, k), dist[keep].reshape(n, k)
+
+
+def neighbours_by_descent(x: np.ndarray, k: int, *, rounds: int = 30, seed: int = 1, sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarray]:
+    """NN-Descent: (n, k) places of near points and their squared distances, nearest first; k is less than n.
+
+    Points that are neighbours of one point are likely near each other.  In each round every point brings together a sample of its new neighbours with one another and
+    with a sample of its old ones, both ways along the edges; a neighbour is new until it has been drawn.  It ends when a round changes few of the lists.
+    """
+    n, rng = len(x), np.random.default_rng(seed)
+    x = np.ascontiguousarray(x, np.float64)
+    near = rng.integers(0, n - 1, (n, k + 4))
+    near += near >= np.arange(n)[:, None]
+    near = np.concatenate([near, (np.arange(n)[:, None] + np.arange(1, k + 1)) % n], axis=1)  # so that k of them differ
+    dist = np.concatenate([((x[near[i : i + AT_ONCE]] - x[i : i + AT_ONCE, None]) ** 2).sum(2) for i in range(0, n, AT_ONCE)])
+    near, dist = _first_of(np.repeat(np.arange(n), near.shape[1]), dist.ravel(), near.ravel(), n, k)
+    new = np.ones((n, k), bool)
+    for _ in range(rounds):
+        owner = np.repeat(np.arange(n), k).reshape(n, k)
+        fresh = _sampled(owner[new], near[new], n, sample, rng)
+        drawn = new & (near[:, :, None] == fresh[:, None, :]).any(2)
+        back = _sampled(near[drawn], owner[drawn], n, sample, rng)
+        old = _sampled(owner[~new], near[~new], n, sample, rng)
+        back_old = _sampled(near[~new], owner[~new], n, sample, rng)
+        new &= ~drawn
+        left, right = np.concatenate([fresh, back], axis=1), np.concatenate([fresh, back, old, back_old], axis=1)
+        owners, dists, others = [], [], []
+        worst = dist[:, -1]
+        for i in range(0, n, AT_ONCE):
+            a, b = left[i : i + AT_ONCE], right[i : i + AT_ONCE]
+            xa, xb = x[a], x[b]
+            d = (xa * xa).sum(2)[:, :, None] + (xb * xb).sum(2)[:, None, :] - 2 * xa @ xb.transpose(0, 2, 1)
+            pa, pb = np.broadcast_to(a[:, :, None], d.shape), np.broadcast_to(b[:, None, :], d.shape)
+            good = (pa >= 0) & (pb >= 0) & (pa != pb)
+            slack = 1e-9 * (1 + d)
+            for p, q in ((pa, pb), (pb, pa)):
+                useful = good & (d < worst[p] + slack)
+                owners.append(p[useful])
+                others.append(q[useful])
+        owner_, other_ = np.concatenate(owners), np.concatenate(others)
+        pair = np.unique(owner_ * n + other_)
+        pair = pair[~np.isin(pair, (np.arange(n)[:, None] * n + near).ravel())]
+        if len(pair):
+            owner_, other_ = pair // n, pair % n
+            d = np.concatenate([((x[owner_[i : i + (1 << 18)]] - x[other_[i : i + (1 << 18)]]) ** 2).sum(1) for i in range(0, len(pair), 1 << 18)])
+            was = np.sort((np.arange(n)[:, None] * n + near).ravel())
+            all_owner = np.concatenate([np.repeat(np.arange(n), k), owner_])
+            now, now_d = _first_of(all_owner, np.concatenate([dist.ravel(), d]), np.concatenate([near.ravel(), other_]), n, k)
+            keys = np.arange(n)[:, None] * n + now
+            kept = np.isin(keys, was)
+            changed = int((~kept).sum())
+            new = ~kept | _looked_up(np.arange(n)[:, None] * n + near, new, keys)
+            near, dist = now, now_d
+        else:
+            changed = 0
+        if changed <= SETTLED * n * k:
+            break
+    return near, dist
+
+
+def _looked_up(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """The values of the wanted keys; any value for keys that are not there."""
+    flat = keys.ravel()
+    order = np.argsort(flat)
+    return values.ravel()[order[np.minimum(np.searchsorted(flat[order], wanted), len(flat) - 1)]]
+
+
+def pruned(near: np.ndarray, degree: int) -> np.ndarray:
+    """(n, degree): of each point's neighbours, nearest first, those that detours replace least, half the degree at least, then the points that keep it, by their rank; -1 for none.
+
+    The edge to the neighbour of rank r has a detour for every neighbour of a lower rank that has it among its own of a rank lower than r.
+    """
+    n, k = near.shape
+    degree = min(degree, k)
+    detours = np.zeros((n, k), np.int64)
+    step = max(1, (1 << 22) // (k * k))
+    for i in range(0, n, step):
+        own = near[i : i + step]
+        m = len(own)
+        keys = np.arange(m)[:, None] * n + own
+        order = np.argsort(keys, axis=None)
+        flat = keys.ravel()[order]
+        over = (np.arange(m)[:, None, None] * n + near[own]).ravel()  # (m, k by the first edge's rank, k by the second's)
+        at = np.minimum(np.searchsorted(flat, over), len(flat) - 1)
+        rank = np.where(flat[at] == over, order[at] % k, -1).reshape(m, k, k)
+        longer = rank > np.maximum(np.arange(k)[:, None], np.arange(k)[None, :])[None]
+        np.add.at(detours[i : i + step], (np.nonzero(longer)[0], rank[longer]), 1)
+    order = np.argsort(detours, axis=1, kind="stable")
+    forward = np.take_along_axis(near, order, 1)[:, :degree]
+    # Points that keep it, in order of the rank they keep it at.
+    src, rank = np.repeat(np.arange(n), degree), np.tile(np.arange(degree), n)
+    dst = forward.ravel()
+    by = np.lexsort((src, rank, dst))
+    dst, src = dst[by], src[by]
+    place = np.arange(len(dst)) - np.searchsorted(dst, dst)
+    back = np.full((n, degree), -1, np.int64)
+    back[dst[place < degree], place[place < degree]] = src[place < degree]
+    every = np.concatenate([forward[:, : (degree + 1) // 2], back, forward[:, (degree + 1) // 2 :]], axis=1)
+    owner, at = np.nonzero(every >= 0)
+    ids = every[owner, at]
+    by = np.lexsort((at, ids, owner))
+    first = np.ones(len(by), bool)
+    first[1:] = (owner[by][1:] != owner[by][:-1]) | (ids[by][1:] != ids[by][:-1])
+    keep = np.sort(by[first])  # each neighbour once, at its first place
+    owner, ids = owner[keep], ids[keep]
+    place = np.arange(len(owner)) - np.searchsorted(owner, owner)
+    out = np.full((n, degree), -1, np.int64)
+    out[owner[place < degree], place[place < degree]] = ids[place < degree]
+    return out
+
+
+def descend(points: DataFrame, degree: int, *, intermediate: int | None = None, prune: bool = False, rounds: int = 30, seed: int = 1) -> DataFrame:
+    """(cell_id, src, rank, dst): near points of each point's own cell by NN-Descent, for cells too large for all pairs; with prune those of a search graph.
+
+    Lists of `intermediate` neighbours (twice the degree, 96 at most, unless given) descend, and the degree is cut from them.  Cells of up to twice as many points are compared whole.
+    """
     ship(points.sparkSession)
+    wide = intermediate or max(degree, min(2 * degree, 96))
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("id")
         x, ids = np.stack(pdf["vec"].to_numpy()).astype(np.float64), pdf["id"].to_numpy()
         n = len(ids)
-        k = min(degree, n - 1)
+        k = min(wide, n - 1)
         if k <= 0:
             return pd.DataFrame({"cell_id": [], "src": [], "rank": [], "dst": []})
-        rng = np.random.default_rng(seed)
-        nbr = np.stack([rng.choice(n - 1, k, replace=False) for _ in range(n)])
-        nbr += nbr >= np.arange(n)[:, None]
-        for _ in range(rounds):
-            reverse = [[] for _ in range(n)]
-            for i, row in enumerate(nbr):
-                for j in row:
-                    reverse[j].append(i)
-            new = np.empty_like(nbr)
-            for i in range(n):
-                around = np.unique(np.concatenate([nbr[i], np.array(reverse[i][: 2 * k], np.int64)]))
-                pool = np.unique(np.concatenate([around, nbr[around].ravel()]))
-                pool = pool[pool != i]
-                d = V.exact_distances(x[pool], x[i])
-                new[i] = pool[np.lexsort((ids[pool], d))[:k]]
-            if (new == nbr).all():
-                break
-            nbr = new
-        return pd.DataFrame({"cell_id": pdf["cell_id"].iloc[0], "src": np.repeat(ids, k), "rank": np.tile(np.arange(1, k + 1), n), "dst": ids[nbr.ravel()]})
+        if n <= 2 * wide:
+            row, rank, found = nearest_rows(x, ids, x, k, ids)
+            near = np.empty((n, k), np.int64)
+            near[row, rank - 1] = found
+        else:
+            near, _ = neighbours_by_descent(x, k, rounds=rounds, seed=seed)
+        near = pruned(near, degree) if prune else near[:, : min(degree, k)]
+        row, rank = np.nonzero(near >= 0)
+        return pd.DataFrame({"cell_id": pdf["cell_id"].iloc[0], "src": ids[row], "rank": rank + 1, "dst": ids[near[row, rank]]})
 
     return points.filter(F.col("cell_id").isNotNull()).select("cell_id", "id", "vec").groupBy("cell_id").applyInPandas(build, EDGES)
 
