@@ -330,3 +330,32 @@ def test_places_among_bounds_and_split_values(spark):
     got = [tuple(r) for r in p.filter("a0 IS NOT NULL").orderBy("id").select(V.upper_bound(bounds, F.col("a0")), V.lower_bound(bounds, F.col("a0"))).collect()]
     assert got == [(0, 0), (0, 0), (0, 0), (2, 3)]
     assert R.balance(p).first()["split_values"] == 1
+
+
+@pytest.mark.parametrize("mounted", [True, False])
+def test_sinks_write_rows_where_they_belong(spark, tmp_path, monkeypatch, mounted):
+    begin = B._Sink.__init__
+
+    def opened(self, path):
+        begin(self, path)
+        self.mounted = mounted  # else as on a store of objects, where files are made of parts
+
+    monkeypatch.setattr(B._Sink, "__init__", opened)
+    monkeypatch.setattr(B, "ROWS_AT_ONCE", 7)
+    rng = np.random.default_rng(1)
+    vec = rng.normal(size=(300, 3)).astype(np.float32)
+    order = rng.permutation(300)
+    p = spark.createDataFrame([(int(i), [float(v) for v in vec[i]], int(i) * 3 % 50) for i in order], "id long, vec array<float>, a0 long").repartition(5)
+    B.write_fvecs(p, f"{tmp_path}/a.fvecs")
+    raw = np.fromfile(f"{tmp_path}/a.fvecs", np.uint8).reshape(300, 16)
+    assert (raw[:, :4].copy().view("<i4") == 3).all() and (raw[:, 4:].copy().view("<f4") == vec).all()
+    B.write_numbers(p, f"{tmp_path}/n", "a0")
+    assert np.fromfile(f"{tmp_path}/n", "<u4").tolist() == [300, *[i * 3 % 50 for i in range(300)]]
+    edges = spark.createDataFrame([(i, r, (i + r) % 300) for i in range(300) for r in (2, 1)], "src long, rank long, dst long")
+    B.write_graph(edges, f"{tmp_path}/g")
+    assert np.fromfile(f"{tmp_path}/g", "<u4").tolist() == [300, 2, *[x % 300 for i in range(300) for x in (i + 1, i + 2)]]
+    B.write_numbers(p.limit(0), f"{tmp_path}/none", "a0")
+    assert np.fromfile(f"{tmp_path}/none", "<u4").tolist() == [0]
+    with pytest.raises(ValueError, match="as many in each"):
+        B.write_fvecs(p.withColumn("vec", F.slice("vec", 1, F.when(F.col("id") == 9, 2).otherwise(3))), f"{tmp_path}/bad")
+    assert not list(tmp_path.glob("*.parts")) or not mounted

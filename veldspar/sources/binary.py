@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import ArrayType, DoubleType, FloatType, LongType, StructField, StructType
 
+from ..operators.ranking import with_rank
 from ..shipping import ship
 
 SOURCE = "record_file"
@@ -214,29 +215,112 @@ def read_quantised(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame
     return codes, both.withColumnRenamed("id", "dim")
 
 
+#: Rows that a task encodes at one time.
+ROWS_AT_ONCE = 1 << 14
+COPY_BYTES = 8 << 20
+
+
 class _Sink:
-    """Streams rows in order to one file, a partition at a time through the driver; the path may lie on any file system that pyarrow.fs opens."""
+    """Writes one file, its numbers from the driver and its rows from the tasks that hold them.
+
+    Every row has as many bytes and knows its place, so each task encodes its rows and writes them where they belong: into the file itself where the folder is mounted on all machines, and
+    elsewhere, as on object stores, into parts beside it, whose bytes are copied one after another when the file is closed.  A task that is run again writes the same bytes again.
+    """
 
     def __init__(self, path: str):
-        fs, inner = _file_system(path)
-        fs.create_dir(inner.rsplit("/", 1)[0], recursive=True)
-        self.f = fs.open_output_stream(inner)
+        self.path = path
+        self.fs, self.inner = _file_system(path)
+        self.mounted = isinstance(self.fs, pa.fs.LocalFileSystem)
+        self.fs.create_dir(self.inner.rsplit("/", 1)[0], recursive=True)
+        self.at = 0
+        self.parts: list[bytes | str] = []
+        if self.mounted:
+            open(self.inner, "wb").close()
 
     def __enter__(self) -> _Sink:
         return self
 
-    def __exit__(self, *_: object) -> None:
-        self.f.close()
+    def __exit__(self, failed: type | None, *_: object) -> None:
+        if self.mounted or failed:
+            return
+        with self.fs.open_output_stream(self.inner) as out:
+            for part in self.parts:
+                if isinstance(part, bytes):
+                    out.write(part)
+                    continue
+                with self.fs.open_input_stream(part) as source:
+                    while block := source.read(COPY_BYTES):
+                        out.write(block)
+        if any(isinstance(p, str) for p in self.parts):
+            self.fs.delete_dir(f"{self.inner}.parts")
 
     def numbers(self, values: list | tuple | np.ndarray, dtype: str) -> None:
-        self.f.write(np.asarray(values, dtype).tobytes())
+        raw = np.asarray(values, dtype).tobytes()
+        if self.mounted:
+            with open(self.inner, "r+b") as f:
+                f.seek(self.at)
+                f.write(raw)
+        else:
+            self.parts.append(raw)
+        self.at += len(raw)
 
     def rows(self, df: DataFrame, order: list[str], value: str, dtype: str, *, lead: bool = False) -> None:
-        for r in df.orderBy(*order).select(value).toLocalIterator(prefetchPartitions=True):
-            v = r[0] if isinstance(r[0], list) else [r[0]]
-            if lead:
-                self.numbers([len(v)], "<i4")
-            self.numbers(v, dtype)
+        """The values, numbers or lists of as many each, in the order named; with lead each after its length."""
+        ship(df.sparkSession)
+        listed = isinstance(df.schema[value].dataType, ArrayType)
+        rows = df.select(*order, (F.col(value) if listed else F.array(value)).alias("_value"))
+        ranked = with_rank(rows, order, "_at").select("_at", "_value")
+        sizes = ranked.agg(F.count(F.lit(1)).alias("n"), F.min(F.size("_value")).alias("least"), F.max(F.size("_value")).alias("most")).first()
+        if not sizes["n"]:
+            return
+        if sizes["least"] != sizes["most"]:
+            raise ValueError(f"rows of {value} have {sizes['least']} to {sizes['most']} numbers; a file has as many in each")
+        width, base, mounted, fs, inner = sizes["most"], self.at, self.mounted, self.fs, self.inner
+        row_bytes = width * np.dtype(dtype).itemsize + 4 * lead
+        folder = f"{inner}.parts/{base}"
+        if not mounted:
+            fs.create_dir(folder, recursive=True)
+
+        def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            f = open(inner, "r+b") if mounted else None
+            named: list[tuple[str, int, int]] = []
+            for batch in batches:
+                for i in range(0, len(batch), ROWS_AT_ONCE):
+                    part = batch.slice(i, ROWS_AT_ONCE)
+                    place = part.column(0).to_numpy()
+                    values = part.column(1).flatten().to_numpy(zero_copy_only=False).astype(dtype).reshape(len(part), width)
+                    raw = np.empty((len(part), row_bytes), np.uint8)
+                    if lead:
+                        raw[:, :4] = np.full(len(part), width, "<i4").view(np.uint8).reshape(-1, 4)
+                    raw[:, 4 * lead :] = values.view(np.uint8).reshape(len(part), -1)
+                    order_ = np.argsort(place, kind="stable")
+                    place, raw = place[order_], raw[order_]
+                    cut = np.flatnonzero(np.diff(place) != 1) + 1
+                    for a, b in zip([0, *cut.tolist()], [*cut.tolist(), len(place)]):
+                        if mounted:
+                            f.seek(base + int(place[a]) * row_bytes)
+                            f.write(raw[a:b].tobytes())
+                            named.append(("", int(place[a]), b - a))
+                        else:
+                            name = f"{folder}/{int(place[a]):020d}"
+                            with fs.open_output_stream(name) as out:
+                                out.write(raw[a:b].tobytes())
+                            named.append((name, int(place[a]), b - a))
+            if f is not None:
+                f.close()
+                named = [("", 0, sum(n for _, _, n in named))]
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in named], pa.string()), pa.array([x[1] for x in named], pa.int64()), pa.array([x[2] for x in named], pa.int64())], ["part", "place", "n"])
+
+        written = ranked.mapInArrow(write, "part string, place long, n long")
+        if mounted:
+            done = written.agg(F.sum("n").alias("n")).first()["n"]
+        else:
+            found = written.orderBy("place").collect()  # one row a part of some thousand rows
+            self.parts += [r["part"] for r in found]
+            done = sum(r["n"] for r in found)
+        if done != sizes["n"]:
+            raise OSError(f"{done} of {sizes['n']} rows were written to {self.path}")
+        self.at = base + sizes["n"] * row_bytes
 
 
 def write_fvecs(points: DataFrame, path: str) -> None:
@@ -286,8 +370,27 @@ def write_cell_graphs(edges: DataFrame, local: DataFrame, prefix: str, suffix: s
     """One file per cell, numbered from 0, of the edges (src, rank, dst) inside it, by the places of points (id, cell_id, local_id) in their cell."""
     of = local.select("id", "cell_id", "local_id")
     ends = edges.select("src", "rank", "dst").join(of.withColumnsRenamed({"id": "src", "local_id": "s"}), "src").join(of.drop("cell_id").withColumnsRenamed({"id": "dst", "local_id": "d"}), "dst")
-    for c in range(cells):
-        write_graph(ends.filter(F.col("cell_id") == c).select(F.col("s").alias("src"), "rank", F.col("d").alias("dst")), f"{prefix}{c}{suffix}")
+    lists = ends.groupBy("cell_id", "s").agg(F.sort_array(F.collect_list(F.struct("rank", "d"))).alias("n")).select("cell_id", "s", F.transform("n", lambda x: x["d"]).alias("n"))
+
+    def write(key: tuple, table: pa.Table) -> pa.Table:
+        table = table.sort_by("s")
+        nbrs = table["n"].combine_chunks()
+        flat = nbrs.flatten().to_numpy(zero_copy_only=False).astype("<u4")
+        if len(flat) % len(table):
+            raise ValueError("points of a cell have different numbers of neighbours")
+        _write_whole(f"{prefix}{key[0].as_py()}{suffix}", [len(table), len(flat) // len(table)], flat)
+        return pa.table({"cell_id": pa.array([key[0].as_py()], pa.int64())})
+
+    written = {r["cell_id"] for r in lists.groupBy("cell_id").applyInArrow(write, "cell_id long").collect()}  # of as many cells as the grid has
+    for c in set(range(cells)) - written:
+        _write_whole(f"{prefix}{c}{suffix}", [0, 0], np.zeros(0, "<u4"))
+
+
+def _write_whole(path: str, head: list[int], flat: np.ndarray) -> None:
+    fs, inner = _file_system(path)
+    fs.create_dir(inner.rsplit("/", 1)[0], recursive=True)
+    with fs.open_output_stream(inner) as out:
+        out.write(np.array(head, "<u4").tobytes() + flat.tobytes())
 
 
 def write_compressed(reps: DataFrame, cross: DataFrame, path: str) -> None:
