@@ -522,6 +522,33 @@ def strategy_choice(spark, sf):
     return rounded(_strategies(Plan(spark, sf, "mixed")), "selectivity")
 
 
+#: Points of cells inside the query's box, of all cells met, and of covered parts.
+BOUNDS = f"""{AREA}, es AS (SELECT qid, CAST(coalesce(sum(CASE WHEN l0 <= lo0 AND r0 >= hi0 AND l1 <= lo1 AND r1 >= hi1 THEN n END), 0) AS BIGINT) AS least, CAST(coalesce(sum(n), 0) AS BIGINT) AS most, coalesce(sum(n * area), 0.0::DOUBLE) AS estimate FROM qry LEFT JOIN ar USING (qid) LEFT JOIN cells USING (cell_id) GROUP BY qid)"""
+
+
+@query(f"WITH {chosen_sql('mixed')}, {BOUNDS} SELECT qid, least, most, round(estimate, 6) AS estimate FROM es")
+def selectivity_bounds(spark, sf):
+    plan = Plan(spark, sf, "mixed")
+    return rounded(S.estimated_selectivity(plan.queries, plan.cells, 2), "estimate")
+
+
+@query(f"""WITH {chosen_sql('mixed')}, {STRATEGY}, {BOUNDS} SELECT qid, least <= 0.02 * (SELECT count(*) FROM pts) AND most > 0.02 * (SELECT count(*) FROM pts) AS exact, n_cells,
+  CASE WHEN selectivity <= 0.02 THEN 'scan' WHEN n_cells >= 16 THEN 'full' ELSE 'cells' END AS strategy FROM sel JOIN nc USING (qid) JOIN es USING (qid)""")
+def strategy_by_estimate(spark, sf):
+    """The strategies of strategy_choice, points being counted only where the cells' bounds leave them open."""
+    plan = Plan(spark, sf, "mixed")
+    guess = materialise(S.selectivity_by_estimate(plan.grid, plan.queries, plan.cells, 2, P.box(2), 0.02), "selectivity")
+    chosen = S.strategy(guess.drop("exact"), S.cells_per_query(plan.chosen), prefilter=0.02, postfilter=16)
+    return chosen.join(guess.select("qid", "exact"), "qid").select("qid", "exact", "n_cells", "strategy")
+
+
+@query()
+def batch_schedule(spark, sf):
+    """Cells packed into batches by the queries that visit them together, of at most a third of the points."""
+    plan = Plan(spark, sf, "mixed")
+    return S.batches_by_visits(plan.chosen, plan.cells, max(1, plan.grid.count() // 3))
+
+
 def _strategies(plan: Plan) -> DataFrame:
     return S.strategy(S.selectivity(plan.grid, plan.queries, P.box(2)), S.cells_per_query(plan.chosen), prefilter=0.02, postfilter=16)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -27,6 +28,16 @@ def fits(df: DataFrame, most: int = MOST, most_bytes: int = MOST_BYTES) -> bool:
     return seen["n"] <= most and seen["b"] <= most_bytes
 
 
+def in_blocks(df: DataFrame, key: str, block: int = MOST // 4) -> Iterator[DataFrame]:
+    """df in parts of about `block` rows by hash of the key, each small enough to broadcast; df itself if it fits."""
+    if fits(df):
+        yield df
+        return
+    n = -(-df.count() // block)
+    for b in range(n):
+        yield df.filter(F.pmod(F.xxhash64(key), F.lit(n)) == b)
+
+
 def broadcast_within(df: DataFrame, most: int = MOST, most_bytes: int = MOST_BYTES) -> DataFrame:
     """df marked for broadcast if it fits; else as it is, and Spark picks the join by its own statistics."""
     return F.broadcast(df) if fits(df, most, most_bytes) else df
