@@ -14,9 +14,9 @@ the middle of a phrase, is followed into the next one until it starts a phrase w
 never meet goes to the parse that came in, and if it leaves in another state than before its successor is looked at again, until nothing changes.  So the phrases
 are those of one parse from the text's first byte.
 
-The sample is a documented bound of rows, the parameter sample_docs: that many training documents a language, or all if there
-are fewer, by hash of the id.  Every drawn document is learnt whole, however long.  The automata, at most two states
-a byte drawn, are built one after another on the driver and are what is broadcast.
+The sample is a documented bound, the parameters sample_docs and doc_bytes: that many training documents a language, or all if there
+are fewer, by hash of the id, of at most so many bytes each as long as there are enough of them.  Every drawn document is learnt whole.  So a language's sample has sample_docs * doc_bytes bytes at most, 1 MB, or is
+one document; the automata, at most two states a byte drawn, are built one after another on the driver and are what is broadcast.
 
 Cases: null texts and texts without a letter are `und` with score 0, as is everything if no language can be learnt;
 equal lengths of parse go to the first language by code point; a null id hashes as the empty text; repeated rows are predicted each; an
@@ -36,6 +36,8 @@ from . import kernel
 from .common import ready, split_of
 
 SAMPLE_DOCS = 64
+#: Bytes of a text that the sample takes before longer ones.
+DOC_BYTES = 16 << 10
 #: Bytes that one lane reads; of a text that is read at one time.
 PIECE = 2048
 SLICE = 4 << 20
@@ -223,18 +225,29 @@ class Parsers:
         return np.concatenate(best), np.concatenate(share)
 
 
-def draw(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
-    """lang, text, place: sample_docs rows a language with text and lang outside the held-out fold, by hash of the id."""
+def draw(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, doc_bytes: int = DOC_BYTES) -> DataFrame:
+    """lang, text, place: sample_docs rows a language with text and lang outside the held-out fold, by hash of the id.
+
+    Texts of more than doc_bytes are drawn only where shorter ones do not fill the sample, the shortest first, while all together have no more bytes than a full sample of
+    short ones; a language of long texts alone is learnt from one of them at least.
+    """
     known = docs.filter("text IS NOT NULL AND lang IS NOT NULL").filter(split_of(F.col("doc_id"), FOLDS) != HELD_OUT)
-    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
-    share = F.lit(0.0)
+    size = F.octet_length(F.col("text").cast("string"))
+    known = known.select("lang", "text", "doc_id", size.cast("long").alias("bytes"), (size > doc_bytes).alias("long"))
+    counts = {r["lang"]: r["n"] for r in known.filter("NOT long").groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    share = F.lit(1.0)
     for lang, n in sorted(counts.items()):
         # More than are wanted, so that enough hash below; the smallest of them are kept.
         share = F.when(F.col("lang") == lang, F.lit(min(1.0, (2 * sample_docs + 32) / n))).otherwise(share)
     key = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    rows = known.select("lang", "text", key.alias("key"), "doc_id").filter(F.col("key") < share)
-    place = F.row_number().over(Window.partitionBy("lang").orderBy("key", "doc_id", "text"))
-    return rows.select("lang", "text", place.alias("place")).filter(F.col("place") <= sample_docs)
+    rows = known.withColumn("key", key).filter((F.col("key") < share) & ~F.col("long"))
+    few = [lang for lang, n in counts.items() if n < sample_docs]
+    wanting = known.filter("long").filter(F.col("lang").isin(few) | ~F.col("lang").isin(list(counts))).withColumn("key", F.col("bytes").cast("double"))
+    # The first of each task go on, so no task sees all long texts.
+    order = Window.partitionBy("lang").orderBy("long", "key", "doc_id", "text")
+    placed = rows.unionByName(wanting).withColumn("place", F.row_number().over(order)).filter(F.col("place") <= sample_docs)
+    placed = placed.withColumn("upto", F.sum("bytes").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    return placed.filter((F.col("upto") <= sample_docs * doc_bytes) | (F.col("place") == 1)).select("lang", "text", "place")
 
 
 def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Parsers:
