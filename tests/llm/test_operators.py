@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import zlib
 from collections import Counter
 
 import duckdb
@@ -342,6 +343,17 @@ def test_quality_training_against_a_plain_learner():
     assert np.allclose(got, [weight(i) for i in range(1 << bits)], atol=1e-6)
 
 
+def test_the_sample_of_languages_is_bounded_in_bytes(spark):
+    rows = [(i, f"{'word ' * (i % 40)}tail{i}", "en") for i in range(300)] + [(1000 + i, "x" * 5000 + str(i), "en") for i in range(50)]
+    rows += [(2000 + i, "y" * (3000 + 10 * i), "de") for i in range(30)] + [(3000, "z" * 90000, "fr"), (3004, "z" * 80000, "fr"), (4000, "q", "es"), (4001, "q" * 2000, "es"), (4003, None, "es"), (4004, "q", None)]
+    drawn = {}
+    for r in language.draw(spark.createDataFrame(rows, "doc_id long, text string, lang string"), 20, 1000).orderBy("place").collect():
+        drawn.setdefault(r["lang"], []).append(r["text"])
+    assert len(drawn["en"]) == 20 and all(len(t) <= 1000 for t in drawn["en"])
+    assert len(drawn["de"]) == 6 and [len(t) for t in drawn["de"]] == sorted(len(t) for t in drawn["de"]) and sum(map(len, drawn["de"])) <= 20000
+    assert len(drawn["fr"]) == 1 and drawn["es"][0] in ("q", "q" * 2000)  # one at least, however long
+
+
 def test_language(spark, folder, docs):
     rows = {r["doc_id"]: r for r in queries.op8_language(spark, folder).collect()}
     plain = [i for i in range(150) if len(ROWS[i][1]) > 40 and i % 11 != 7 and i % 13 != 5 and i % 10 != 4]
@@ -571,12 +583,91 @@ def test_line_dedup_takes_time_in_proportion(spark):
 def test_every_query_takes_empty_tables(spark, folder, tmp_path):
     for t in ("documents", "benchmark", "labels", "pages"):
         spark.read.parquet(f"{folder}/{t}.parquet").limit(0).write.parquet(f"{tmp_path}/{t}.parquet")
+    spark.createDataFrame([], "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
     for name, f in queries.queries().items():
         assert f(spark, str(tmp_path)).count() == 0, name
 
 
 def test_names_of_the_queries():
-    assert [int(re.match(r"op(\d+)_", n)[1]) for n in queries.queries()] == list(range(1, 11))
+    assert [int(re.match(r"op(\d+)_", n)[1]) for n in queries.queries()] == list(range(1, 14))
+
+
+def plain_quality(spark, rows, labels):
+    """Scores by id: features word by word, and a learner over dictionaries."""
+    hasher, bits, rule = quality.kernel.Hasher(quality.SEED), quality.BITS, quality.Ftrl()
+
+    def hashed(word):
+        raw = np.frombuffer(word.encode(), np.uint8)
+        return hasher.words(raw, np.array([0]), np.array([len(raw)]))
+
+    def features(text):
+        words = [hashed(w) for w in brute.SPACED.findall((text or "").translate(brute.LOWER))]
+        pairs = [int(quality.REPEAT) if a == b else int(hasher.grams(np.concatenate([a, b]), np.array([0]), 2)[0]) for a, b in zip(words, words[1:])]
+        return Counter(h >> (64 - bits) for h in [*(int(w[0]) for w in words), *pairs])
+
+    known = {}
+    for i, y in labels:
+        if i is not None and y is not None and zlib.crc32(str(i).encode()) % 3 != 1:
+            known[i] = max(known.get(i, 0), y)
+    order_of = {r["i"]: r["h"] for r in spark.createDataFrame([(i,) for i in known], "i long").select("i", F.xxhash64("i").alias("h")).collect()}
+    train = sorted(((order_of[r[0]], r[0], r[1] or "") for r in rows if r[0] in known), key=lambda x: x)
+    counts, labels_ = [features(t) for _, _, t in train], [known[i] for _, i, _ in train]
+    z, n = Counter(), Counter()
+
+    def weight(i):
+        return 0.0 if abs(z[i]) <= rule.l1 else -(z[i] - math.copysign(rule.l1, z[i])) / ((rule.beta + math.sqrt(n[i])) / rule.alpha + rule.l2)
+
+    shuffled, share = np.random.default_rng(quality.SEED), {y: labels_.count(y) / len(labels_) for y in (0, 1)}
+    for _ in range(quality.EPOCHS):
+        for d in shuffled.permutation(len(train)):
+            x = {i: c / math.sqrt(max(sum(counts[d].values()), 1)) for i, c in counts[d].items()} | {"bias": 1.0}
+            w = {i: weight(i) for i in x}
+            g = 1 / (1 + math.exp(-sum(w[i] * x[i] for i in x))) - labels_[d]
+            for i, v in x.items():
+                step = g * v * 0.5 / share[labels_[d]]
+                z[i] += step - (math.sqrt(n[i] + step * step) - math.sqrt(n[i])) / rule.alpha * w[i]
+                n[i] += step * step
+    scores = {}
+    for r in rows:
+        own = features(r[1])
+        dot = weight("bias") + (sum(weight(i) * c for i, c in own.items()) / math.sqrt(sum(own.values())) if own else 0.0)
+        scores[r[0]] = 1 / (1 + math.exp(-dot))
+    return scores
+
+
+def test_quality_and_pipeline_against_plain_versions_of_every_stage(spark, folder):
+    import corpus_pipeline as pipeline
+
+    labels = [(r["doc_id"], r["quality"]) for r in table(spark, folder, "labels").collect()]
+    items = [(r["item_id"], r["text"]) for r in table(spark, folder, "benchmark").collect()]
+    scores = plain_quality(spark, ROWS, labels)
+    got = {r["doc_id"]: r["score"] for r in queries.op5_quality(spark, folder).collect()}
+    assert all(math.isclose(got[i], s, abs_tol=1e-4) for i, s in scores.items()) and len(got) == len(scores)
+    kept = [r for r in ROWS if scores[r[0]] >= 0.5]
+    assert 0 < len(kept) < len(ROWS)
+    last = {r[1] or "": r[0] for r in sorted(kept)}  # of equal texts the largest id stays
+    kept = [r for r in kept if last[r[1] or ""] == r[0]]
+    near = brute.near([(r[0], r[1]) for r in kept], 5, 80)
+    kept = [r for r in kept if near[r[0]][2]]
+    hits = brute.contamination([(r[0], r[1]) for r in kept], items)
+    kept = [r for r in kept if not hits[r[0]][4]]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR, lang VARCHAR, source VARCHAR, n_chars BIGINT)")
+    con.executemany("INSERT INTO documents VALUES (?, ?, ?, ?, ?)", kept)
+    con.execute(f"CREATE VIEW labels AS SELECT * FROM '{folder}/labels.parquet/*.parquet'")
+    found = con.execute(mixing.ORACLE_SQL.replace("{docs}", "documents"))
+    names = [d[0] for d in found.description]
+    want = sorted(tuple(row[names.index(c)] for c in ("doc_id", "size", "source_size", "taken")) for row in found.fetchall())
+    rows = pipeline.run(spark, folder)
+    assert sorted(tuple(r[c] for c in ("doc_id", "size", "source_size", "taken")) for r in rows.collect()) == want
+
+
+def test_pipeline_on_empty_tables(spark, folder, tmp_path):
+    import corpus_pipeline as pipeline
+
+    for name in ("documents", "labels", "benchmark"):
+        table(spark, folder, name).limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
+    assert pipeline.run(spark, str(tmp_path)).count() == 0
 
 
 def test_pipeline_keeps_clean_documents(spark, folder):
