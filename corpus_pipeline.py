@@ -8,6 +8,9 @@ folder and read again as the next stage's docs.  All but the last return documen
 3. near dedup: one document of each group of near-duplicates (five-word shingles, similarity 0.8 and more) stays;
 4. decontamination: documents contaminated by benchmark items go;
 5. mixing: how many words of each document the mix of sources takes.
+
+Cases: null and empty texts count as one text, of which one document stays, and give no words to the mix; documents without a label are judged like the others; a null source is a source of its own; null
+ids and repeated rows are judged row by row, as each stage's module says; columns of any name pass through to the mix; empty tables give an empty result.
 """
 
 from __future__ import annotations
@@ -46,7 +49,7 @@ STAGES = [
     ("mixing", mix_stage),
 ]
 
-#: The classifier is trained, which SQL cannot express; the stages are tested against brute force.
+#: The classifier is trained, which SQL cannot express; a test compares the rows with plain versions of all five stages.
 ORACLE_SQL = None
 
 

@@ -138,7 +138,7 @@ def found(df):
 def test_one_channel_is_the_plain_walk(world, width, recycle):
     states = W.walk(world.index, world.plan.queries, world.order, width=width, recycle=recycle)
     plain = {q: one_channel(world, q, width, recycle) for q in world.visits}
-    assert found(W._answers(states, 10)) == {q: a for q, p in plain.items() if (a := p.answer(10))}
+    assert found(W.answers(states, 10)) == {q: a for q, p in plain.items() if (a := p.answer(10))}
     assert {r["qid"]: [r["cells"], r["hops"], r["scored"]] for r in W.counters(states).collect()} == {q: p.counts for q, p in plain.items()}
 
 
@@ -154,7 +154,7 @@ def test_a_recycle_list_gives_back_what_narrow_boxes_lose(world):
 def test_two_channels_are_the_plain_walk(world, width):
     states = W.walk_two(world.index, world.plan.queries, world.order, width=width, recycle=5)
     plain = {q: two_channels(world, q, width, 5) for q in world.visits}
-    assert found(W._answers(states, 10)) == {q: a for q, p in plain.items() if (a := p.answer(10))}
+    assert found(W.answers(states, 10)) == {q: a for q, p in plain.items() if (a := p.answer(10))}
     assert {r["qid"]: [r["cells"], r["hops"], r["scored"]] for r in W.counters(states).collect()} == {q: p.counts for q, p in plain.items()}
 
 

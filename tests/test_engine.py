@@ -307,7 +307,9 @@ def test_command_line(spark, tmp_path):
     assert ids(spark.read.parquet(name["open"])) == ids(Q.exact(p, q, 0, 10))
     main(["sweep", *files, *boxes, "--shape", "2,2", "--widths", "4,80", "--clusters", "3", "--degree", "4", "--out", name["metrics"]])
     rows = spark.read.csv(name["metrics"], header=True, inferSchema=True).orderBy("ef").collect()
-    assert [r["ef"] for r in rows] == [4, 80] and rows[0]["recall"] <= rows[1]["recall"] == 1.0 and all(r["qps"] > 0 for r in rows)
+    assert [r["ef"] for r in rows] == [4, 80] and rows[0]["recall"] <= rows[1]["recall"] >= 0.9 and all(r["qps"] > 0 for r in rows)
+    assert all(abs(r["select_s"] + r["order_s"] + r["search_s"] - r["total_s"]) < 1e-6 and r["kernel_s"] > 0 for r in rows)
+    assert rows[0]["hops"] < rows[1]["hops"] and rows[0]["scored"] <= rows[1]["scored"] and rows[0]["cells"] == rows[1]["cells"]
     for wrong in (["search", *files, "--attrs", "x", "--out", "y"], ["sweep", *files, "--out", "y"]):
         with pytest.raises(SystemExit):
             main(wrong)

@@ -3,7 +3,7 @@
     python -m veldspar search --base a.fvecs --queries q.fvecs --attrs a.attrs --ranges r.bin --out answers
     python -m veldspar sweep  --base a.fvecs --queries q.fvecs --attrs a.attrs --ranges r.bin --shape 4,4 --widths 10,50,100 --out metrics
 
-Answers are written as Parquet (qid, rank, id, dist), metrics as CSV (ef, recall, qps, total_s).  Without attributes and ranges the search has no filter.
+Answers are written as Parquet (qid, rank, id, dist), metrics as CSV (recall, queries a second, and seconds and counts by step).  Without attributes and ranges the search has no filter.
 The session is the caller's if spark-submit or a test made one.
 """
 
@@ -15,6 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .operators import cells as beams
 from .operators import clusters as C
 from .operators import evaluate as E
 from .operators import graph as G
@@ -77,14 +78,18 @@ def sweep(spark: SparkSession, chosen: argparse.Namespace) -> DataFrame:
     cells = materialise(R.equi_depth(materialise(base, "base"), chosen.shape), "grid")
     edges, cross = materialise(G.cell_graph(cells, chosen.degree), "edges"), materialise(G.cross_edges(cells, chosen.cross), "cross")
     labels, centres, _ = C.kmeans(cells, chosen.clusters)
-    met = S.query_cells(queries, R.cell_boxes(cells, n), n, any_=chosen.any)
-    order = materialise(S.visit_order(met, C.nearest(queries, centres), C.cluster_cells(cells, labels)), "order")
+    nearest, held = materialise(C.nearest(queries, centres), "nearest"), materialise(C.cluster_cells(cells, labels), "cluster-cells")
+    boxes = materialise(R.cell_boxes(cells, n), "cells")
     truth = materialise(Q.exact_blocks(cells, queries, n, chosen.k, any_=chosen.any), "truth")
-
-    def beams(width: int) -> DataFrame:
-        return Q.by_cells(cells, edges, cross, queries, order, n, chosen.k, width=width, any_=chosen.any)
-
-    return E.sweep(spark, beams, chosen.widths, truth, queries)
+    index = beams.write_index(cells, edges, cross, n, r=chosen.cross)
+    steps = E.Steps(
+        select=lambda: S.query_cells(queries, boxes, n, any_=chosen.any),
+        order=lambda met: S.visit_order(met, nearest, held),
+        search=lambda ordered, width: beams.walk(index, queries, ordered, width=width, recycle=width, any_=chosen.any),
+        answers=lambda states: beams.answers(states, chosen.k),
+        counters=beams.counters,
+    )
+    return E.sweep(spark, steps, chosen.widths, truth, queries)
 
 
 def main(argv: Sequence[str] | None = None) -> None:

@@ -768,7 +768,7 @@ def cell_beam_search(spark, sf):
 def narrow_beam_counters(spark, sf):
     """Cells visited, points expanded and distances computed by a beam of six."""
     plan = Plan(spark, sf, "mixed")
-    return beams.counters(beams.walk(_index(plan), plan.queries, plan.order(), width=6, recycle=4))
+    return beams.counters(beams.walk(_index(plan), plan.queries, plan.order(), width=6, recycle=4)).drop("seconds")
 
 
 @query()
@@ -993,16 +993,25 @@ def gen_attrs_balanced(spark, sf):
 
 @query()
 def ef_sweep_metrics(spark, sf):
+    """Two widths, each a timed search, with the seconds of its steps and what its beams did."""
     plan = Plan(spark, sf, "mixed")
-    edges, cross = plan.graphs()
-    order = plan.order()
-    truth = materialise(Q.exact(plan.grid, plan.queries, 2, K), "truth")
-    metrics = E.sweep(spark, lambda width: Q.by_cells(plan.grid, edges, cross, plan.queries, order, 2, K, width=width), [10, 40], truth, plan.queries)
+    index = _index(plan)
+    labels, centres = plan.clusters()
+    nearest, held = materialise(C.nearest(plan.queries, centres), "nearest"), materialise(C.cluster_cells(plan.grid, labels), "cluster-cells")
+    steps = E.Steps(
+        select=lambda: S.query_cells(plan.queries, plan.cells, 2),
+        order=lambda met: S.visit_order(met, nearest, held),
+        search=lambda ordered, width: beams.walk(index, plan.queries, ordered, width=width, recycle=width),
+        answers=lambda states: beams.answers(states, K),
+        counters=beams.counters,
+    )
+    metrics = E.sweep(spark, steps, [10, 40], materialise(Q.exact(plan.grid, plan.queries, 2, K), "truth"), plan.queries)
     path = scratch(spark, "metrics")
     E.write_metrics(metrics, path)
     return spark.read.csv(path, header=True, schema=metrics.schema)
 
 
+
 # ---- files and streams ------------------------------------------------------------------------------------------
 
 

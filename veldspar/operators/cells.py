@@ -13,6 +13,7 @@ A cell that many queries visit is dealt into blocks of at most VISITS states, on
 from __future__ import annotations
 
 import pickle
+import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -121,6 +122,7 @@ class State:
     cells: int = 0
     hops: int = 0
     scored: int = 0
+    seconds: float = 0.0
 
 
 class Walker:
@@ -236,7 +238,9 @@ def _task(width: int, recycle: int, any_: bool, step: Callable[[Walker, State],
         walker, out = Walker(cells, cross, width, recycle, any_), []
         for payload in left["payload"]:
             s = pickle.loads(payload)
+            began = time.perf_counter()
             step(walker, s)
+            s.seconds += time.perf_counter() - began
             out.append((s.qid, ",".join(map(str, _next(s))), pickle.dumps(s)))
         return pd.DataFrame(out, columns=["qid", "at", "payload"])
 
@@ -297,7 +301,7 @@ def _states(queries: DataFrame, ordered: DataFrame, attributes: int, channels: i
     return materialise(rows.mapInPandas(begin, STATE), "beam-states")
 
 
-def _answers(states: DataFrame, k: int) -> DataFrame:
+def answers(states: DataFrame, k: int) -> DataFrame:
     """qid, rank, id, dist of finished states: the first k in the box of beam and recycle list."""
 
     def finish(parts):
@@ -314,13 +318,13 @@ def _answers(states: DataFrame, k: int) -> DataFrame:
 
 
 def counters(states: DataFrame) -> DataFrame:
-    """qid, cells, hops, scored: cells visited, points expanded and distances computed of finished states."""
+    """qid, cells, hops, scored, seconds: cells visited, points expanded, distances computed and time taken by the walks of finished states."""
 
     def count(parts):
         for pdf in parts:
-            yield pd.DataFrame([(s.qid, s.cells, s.hops, s.scored) for s in map(pickle.loads, pdf["payload"])], columns=["qid", "cells", "hops", "scored"])
+            yield pd.DataFrame([(s.qid, s.cells, s.hops, s.scored, s.seconds) for s in map(pickle.loads, pdf["payload"])], columns=["qid", "cells", "hops", "scored", "seconds"])
 
-    return states.mapInPandas(count, "qid long, cells long, hops long, scored long")
+    return states.mapInPandas(count, "qid long, cells long, hops long, scored long, seconds double")
 
 
 def walk(index: CellIndex, queries: DataFrame, ordered: DataFrame, *, width: int, recycle: int, any_: bool = False) -> DataFrame:
@@ -473,4 +477,4 @@ def write_cells(gridded: DataFrame, edges: DataFrame, attributes: int, path: str
 def search(index: CellIndex, queries: DataFrame, ordered: DataFrame, k: int, *, width: int = 64, recycle: int = 64, channels: int = 1, any_: bool = False) -> DataFrame:
     """qid, rank, id, dist: the first k of every query that its beam found, by one channel or two."""
     go = walk if channels == 1 else walk_two
-    return _answers(go(index, queries, ordered, width=width, recycle=recycle, any_=any_), k)
+    return answers(go(index, queries, ordered, width=width, recycle=recycle, any_=any_), k)

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import materialise
+
 
 def recall_per_query(result: DataFrame, truth: DataFrame, queries: DataFrame) -> DataFrame:
     """(qid, hits, truth_size, recall): the share of the true ids that were found, 1 if there are none."""
@@ -44,16 +47,46 @@ def difference(result: DataFrame, truth: DataFrame) -> DataFrame:
     return both.agg(F.round(F.coalesce(F.sum(F.abs(F.col("d1") - F.col("d2"))), F.lit(0.0)), 6).alias("gap"), F.sum((F.col("d1").isNull() | F.col("d2").isNull()).cast("long")).alias("wrong"))
 
 
-def sweep(spark: SparkSession, search: Callable[[int], DataFrame], widths: list[int], truth: DataFrame, queries: DataFrame) -> DataFrame:
-    """(ef, recall, qps, total_s): one timed search for each beam width."""
+@dataclass
+class Steps:
+    """A beam search in its steps: cells of the queries, their order, and for a width finished states, whose answers and counters are asked for apart."""
+
+    select: Callable[[], DataFrame]
+    order: Callable[[DataFrame], DataFrame]
+    search: Callable[[DataFrame, int], DataFrame]
+    answers: Callable[[DataFrame], DataFrame]
+    counters: Callable[[DataFrame], DataFrame]
+
+
+METRICS = "ef long, recall double, qps double, total_s double, select_s double, order_s double, search_s double, kernel_s double, cells long, hops long, scored long"
+
+
+def sweep(spark: SparkSession, steps: Steps, widths: list[int], truth: DataFrame, queries: DataFrame) -> DataFrame:
+    """One search for each beam width: its recall, queries a second, seconds in all and of selecting cells, ordering them, and searching, seconds of the walks themselves summed over tasks,
+    cells visited, points expanded and distances computed.
+
+    Every step's table is written, which is what ends its time; sums over the states are observed while their answers are written.
+    """
     rows, n = [], queries.count()
     for width in widths:
-        began = time.perf_counter()
-        answer = search(width).toPandas()  # k rows a query
-        took = time.perf_counter() - began
-        found = spark.createDataFrame(answer, "qid long, rank long, id long, dist double")
-        rows.append((width, float(recall(found, truth, queries).first()["recall"]), n / took, took))
-    return spark.createDataFrame(rows, "ef long, recall double, qps double, total_s double")
+        times = [time.perf_counter()]
+
+        def written(df: DataFrame, name: str, times=times) -> DataFrame:
+            out = materialise(df, name)
+            times.append(time.perf_counter())
+            return out
+
+        ordered = written(steps.order(written(steps.select(), "sweep-cells")), "sweep-order")
+        states = steps.search(ordered, width)
+        seen = Observation()
+        watched = steps.counters(states).observe(seen, *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("seconds", "cells", "hops", "scored")])
+        watched.write.format("noop").mode("overwrite").save()
+        found = written(steps.answers(states), "sweep-answers")
+        select_s, order_s, search_s = (b - a for a, b in zip(times, times[1:]))
+        sums = seen.get
+        share = float(recall(found, truth, queries).first()["recall"])
+        rows.append((width, share, n / (times[-1] - times[0]), times[-1] - times[0], select_s, order_s, search_s, float(sums["seconds"]), sums["cells"], sums["hops"], sums["scored"]))
+    return spark.createDataFrame(rows, METRICS)
 
 
 def write_metrics(metrics: DataFrame, path: str) -> None:
