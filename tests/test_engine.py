@@ -361,3 +361,18 @@ def test_sinks_write_rows_where_they_belong(spark, tmp_path, monkeypatch, mounte
     with pytest.raises(ValueError, match="as many in each"):
         B.write_fvecs(p.withColumn("vec", F.slice("vec", 1, F.when(F.col("id") == 9, 2).otherwise(3))), f"{tmp_path}/bad")
     assert not list(tmp_path.glob("*.parts")) or not mounted
+
+
+def test_half_precision_gives_exact_answers(spark):
+    rng = np.random.default_rng(9)
+    base = rng.normal(size=(12, 6))
+    rows = [(i, [float(x) for x in base[i % 12] + rng.normal(size=6) * 1e-4], 0, 0) for i in range(400)] + [(500, None, 0, 0), (501, [1e4] * 6, 0, 0)]  # many closer to one another than two bytes tell
+    p = spark.createDataFrame(rows, "id long, vec array<double>, a0 long, a1 long")
+    q = p.filter("id < 30").select(F.col("id").alias("qid"), F.col("vec").alias("qvec"), *[F.lit(None).cast("long").alias(c) for c in ("l0", "r0", "l1", "r1")])
+    halves = V.halved(p).cache()
+    assert {len(r["half"]) for r in halves.filter("half IS NOT NULL").collect()} == {12} and halves.filter("gap IS NULL").count() == 1
+    assert ids(Q.from_halves(halves, p, q, 5, block=8)) == ids(Q.exact_blocks(p, q, 0, 5))
+    rough = Q.exact_blocks(halves.select("id", F.col("half").alias("vec")), q, 0, 5)
+    assert ids(rough) != ids(Q.exact_blocks(p, q, 0, 5))  # halves alone are not enough
+    with pytest.raises(Exception, match="two bytes"):
+        V.halved(p.withColumn("vec", F.array(F.lit(1e5)))).count()

@@ -318,6 +318,13 @@ def rerank_from_int8(spark, sf):
     return rounded(Q.from_codes(V.quantised(p, params), p, params, asked(spark, sf), K, 60))
 
 
+@query(knn_sql("true", kind="mixed"))
+def half_precision_search(spark, sf):
+    """Exact neighbours from vectors of two-byte numbers, ranked again where their error leaves a doubt."""
+    p = points(spark, sf)
+    return rounded(Q.from_halves(materialise(V.halved(p), "halves"), p, asked(spark, sf, kind="mixed"), K))
+
+
 # ---- grids ----------------------------------------------------------------------------------------------------
 
 

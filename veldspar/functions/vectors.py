@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..shipping import ship
+
 
 def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
@@ -130,3 +134,29 @@ def exact_distances(points: np.ndarray, query: np.ndarray) -> np.ndarray:
     """Squared distances in the order of summation of the Column expression, so that ties fall alike."""
     d = points.astype(np.float64) - query.astype(np.float64)
     return np.cumsum(d * d, axis=1)[:, -1] if d.shape[1] else np.zeros(len(d))
+
+
+def halved(points: DataFrame) -> DataFrame:
+    """(id, half, gap): vectors as two-byte floats in binary, and the distance of each from what it stood for; null vectors have neither.
+
+    Numbers beyond the range of two bytes (65,504) are refused, as no bound of the error would hold.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            halves, gaps = [], []
+            for vec in batch.column(1).to_pylist():
+                if vec is None:
+                    halves.append(None)
+                    gaps.append(None)
+                    continue
+                x = np.array(vec, np.float64)
+                if np.abs(x).max(initial=0.0) > 65504:
+                    raise ValueError("a vector has numbers beyond what two bytes hold")
+                half = x.astype("<f2")
+                halves.append(half.tobytes())
+                gaps.append(float(np.sqrt(((half.astype(np.float64) - x) ** 2).sum())))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(halves, pa.binary()), pa.array(gaps, pa.float64())], ["id", "half", "gap"])
+
+    ship(points.sparkSession)
+    return points.select("id", "vec").mapInArrow(run, "id long, half binary, gap double")
