@@ -201,10 +201,10 @@ def pruned(near: np.ndarray, degree: int) -> np.ndarray:
 def descend(points: DataFrame, degree: int, *, intermediate: int | None = None, prune: bool = False, rounds: int = 30, seed: int = 1) -> DataFrame:
     """(cell_id, src, rank, dst): near points of each point's own cell by NN-Descent, for cells too large for all pairs; with prune those of a search graph.
 
-    Lists of `intermediate` neighbours (twice the degree, 96 at most, unless given) descend, and the degree is cut from them.  Cells of up to twice as many points are compared whole.
+    Lists of `intermediate` neighbours (three times the degree, 96 at most, unless given) descend, and the degree is cut from them.  Cells of up to twice as many points are compared whole.
     """
     ship(points.sparkSession)
-    wide = intermediate or max(degree, min(2 * degree, 96))
+    wide = intermediate or max(degree, min(3 * degree, 96))
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("id")
