@@ -198,6 +198,11 @@ def test_resampling_matches_plain_counting(spark):
     assert got == plain_resample(rows, target)
     got = sorted((tuple(r[c] for c in ("doc_id", "n_features", "weight", "score", "rank")) for r in resample.resample(docs, bench, n=3, buckets=64).collect()), key=repr)
     assert got == plain_resample(rows, target, 3, 64)
+    con = duckdb.connect()
+    for name, rows_ in (("documents", rows), ("benchmark", list(enumerate(target)))):
+        con.execute(f"CREATE TABLE {name} (doc_id BIGINT, text VARCHAR)")
+        con.executemany(f"INSERT INTO {name} VALUES (?, ?)", rows_)
+    assert sorted(con.execute(resample.ORACLE_SQL).fetchall(), key=repr) == plain_resample(rows, target)
     drawn = {r["doc_id"] for r in resample.draw(docs.filter("doc_id IS NOT NULL"), bench).collect()}
     assert drawn == {x[0] for x in plain_resample([r for r in rows if r[0] is not None], target) if x[4]}
 

@@ -91,5 +91,6 @@ def oracle_sql() -> dict[str, str]:
         "op2_exact_dedup": exact_dedup.ORACLE_SQL.format(docs="documents"),
         "op9_mix_sources": mixing.ORACLE_SQL.replace("{docs}", "documents"),
         "op10_line_dedup": line_dedup.ORACLE_SQL,
+        "op12_resample": resample.ORACLE_SQL,
         "op13_conversations": conversations.ORACLE_SQL,
     }

@@ -126,3 +126,27 @@ def draw(docs: DataFrame, target: DataFrame, **options) -> DataFrame:
     kept = materialise(resample(docs, target, **options).filter("rank IS NOT NULL").select(F.col("doc_id").alias(key)).distinct(), "resample-drawn")
     rows = docs.withColumn(key, quoted("doc_id").cast("long"))
     return possible(rows, key, kept).join(kept.hint("shuffle_hash"), key, "left_semi").select(*map(quoted, docs.columns))
+
+
+#: The CRC is taken bit by bit over distinct features.
+ORACLE_SQL = r"""
+WITH letters AS (SELECT 'ABCDEFGHIJKLMNOPQRSTUVWXYZ' AS big, 'abcdefghijklmnopqrstuvwxyz' AS small),
+d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), big, small), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents, letters),
+b AS (SELECT regexp_extract_all(translate(coalesce(text, ''), big, small), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark, letters),
+df AS (SELECT r, f, count(*) AS n FROM (SELECT r, unnest(w || list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS f FROM d) GROUP BY r, f),
+bf AS (SELECT f, count(*) AS n FROM (SELECT unnest(w || list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS f FROM b) GROUP BY f),
+u AS (SELECT f, hex(encode(f)) AS h FROM (SELECT f FROM df UNION SELECT f FROM bf)),
+k AS MATERIALIZED (SELECT f, xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), flatten(list_transform(range(0, length(h) // 2),
+    lambda i: [CAST((strpos('0123456789ABCDEF', substr(h, 2 * i + 1, 1)) - 1) * 16 + strpos('0123456789ABCDEF', substr(h, 2 * i + 2, 1)) - 1 AS BIGINT), 0, 0, 0, 0, 0, 0, 0]))),
+    lambda c, v: xor(xor(c, v) >> 1, (xor(c, v) & 1) * 3988292384))) % 10000 AS bucket FROM u),
+s AS (SELECT bucket, sum(n) AS x FROM df JOIN k USING (f) GROUP BY bucket),
+t AS (SELECT bucket, sum(n) AS y FROM bf JOIN k USING (f) GROUP BY bucket),
+z AS (SELECT CAST(coalesce((SELECT sum(x) FROM s), 0) AS DOUBLE) AS big, CAST(coalesce((SELECT sum(y) FROM t), 0) AS DOUBLE) AS small),
+g AS (SELECT s.bucket, CAST(floor(1000.0::DOUBLE * ln((coalesce(y, 0) + 1.0::DOUBLE) * (big + 10000.0::DOUBLE) / ((x + 1.0::DOUBLE) * (small + 10000.0::DOUBLE)))) AS BIGINT) AS gain FROM s LEFT JOIN t USING (bucket), z),
+m AS (SELECT r, CAST(sum(n) AS BIGINT) AS n_features, CAST(sum(n * gain) AS BIGINT) AS total FROM df JOIN k USING (f) JOIN g USING (bucket) GROUP BY r),
+sc AS (SELECT d.r, doc_id, len(w) AS n_words, coalesce(n_features, 0) AS n_features,
+    CASE WHEN n_features IS NULL THEN 0 WHEN total >= 0 THEN total // n_features ELSE -((-total + n_features - 1) // n_features) END AS weight FROM d LEFT JOIN m USING (r)),
+sd AS (SELECT *, weight + CAST(floor(-1000.0::DOUBLE * ln(-ln((CAST('0x' || substr(sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296.0::DOUBLE))) AS BIGINT) AS score FROM sc),
+rk AS (SELECT r, row_number() OVER (ORDER BY score DESC, doc_id NULLS FIRST) AS rank, count(*) OVER () AS n FROM sd WHERE n_words >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN rank <= 25 * n // 100 THEN rank END AS rank FROM sd LEFT JOIN rk USING (r)
+"""
