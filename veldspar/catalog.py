@@ -955,16 +955,22 @@ def low_recall_report(spark, sf):
     return rounded(E.low_recall(*_half(spark, sf)), "recall")
 
 
-@query(f"WITH {PTS}, {qry('narrow')} SELECT qid FROM qry WHERE NOT EXISTS (SELECT 1 FROM pts WHERE {AND})")
+@query(f"WITH {PTS}, {qry('narrow')}, thin AS (SELECT qid, l0, r0, l1, l1 + qid // {EVERY} % 3 AS r1 FROM qry) SELECT qid FROM thin WHERE NOT EXISTS (SELECT 1 FROM pts WHERE {AND})")
 def empty_truth_report(spark, sf):
-    q = asked(spark, sf, kind="narrow")
+    """Queries without a match, among boxes one to three values wide."""
+    q = asked(spark, sf, kind="narrow").withColumn("r1", (F.col("l1") + F.floor(F.col("qid") / EVERY) % 3).cast("long"))
     return E.empty_truth(Q.exact(points(spark, sf), q, 2, K), q)
 
 
-@query("SELECT 0.0::DOUBLE AS gap, CAST(0 AS BIGINT) AS wrong")
+def ranked_sql(condition: str) -> str:
+    return f"SELECT qid, rank, dist FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY dist, id) AS rank FROM (SELECT qid, id, {d2('vec', 'qvec')} AS dist FROM pts JOIN qry ON {condition})) WHERE rank <= {K}"
+
+
+@query(f"WITH {PTS}, {qry('mixed')}, a AS ({ranked_sql(OR)}), b AS ({ranked_sql(AND)}) SELECT round(coalesce(sum(abs(a.dist - b.dist)), 0.0::DOUBLE), 6) AS gap, CAST(sum(CASE WHEN a.dist IS NULL OR b.dist IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS wrong FROM a FULL JOIN b USING (qid, rank)")
 def distance_check(spark, sf):
-    p, q = points(spark, sf), asked(spark, sf)
-    return E.difference(Q.exact_blocks(p, q, 2, K), Q.exact(p, q, 2, K))
+    """How far answers in boxes by OR are from those in boxes by AND, place by place."""
+    p, q = points(spark, sf), asked(spark, sf, kind="mixed")
+    return E.difference(Q.exact_blocks(p, q, 2, K, any_=True), Q.exact(p, q, 2, K))
 
 
 @query("SELECT i AS qid, (i * 7919) % 801 AS l0, (i * 7919) % 801 + 199 AS r0, (i * 7919 + 104729) % 801 AS l1, (i * 7919 + 104729) % 801 + 199 AS r1 FROM range(100) t(i)")
