@@ -272,7 +272,7 @@ def test_record_files(spark, tmp_path):
 
 
 def test_workloads(spark):
-    r = workload.ranges_of_selectivity(spark, 50, 2, 1000, 0.1)
+    r = workload.ranges_of_selectivity(spark.range(50).withColumnRenamed("id", "qid"), 2, 1000, 0.1)
     assert r.filter("r0 - l0 <> 99 OR r1 - l1 <> 99 OR l0 < 0 OR r0 >= 1000").count() == 0
     s = workload.stratified_attribute(spark.range(64), 4, 1000)
     assert {x["count"] for x in s.groupBy("cell_id").count().collect()} == {16}

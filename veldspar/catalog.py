@@ -415,9 +415,9 @@ def partition_ranges(spark, sf):
     return R.part_ranges(gridded(spark, sf), bucket="cell_id")
 
 
-@query("SELECT CAST(16 AS BIGINT) AS cells")
+@query(f"WITH {PTS}, {GRID} SELECT count(DISTINCT b0) * count(DISTINCT b1) AS cells FROM g")
 def grid_cell_count(spark, sf):
-    return R.cell_count(spark, SHAPE)
+    return R.cell_count(R.bounds(gridded(spark, sf), 2))
 
 
 @query(f"WITH {PTS}, {GRID} SELECT id, cell_id, row_number() OVER (PARTITION BY cell_id ORDER BY id) - 1 AS local_id FROM g")
@@ -973,14 +973,19 @@ def distance_check(spark, sf):
     return E.difference(Q.exact_blocks(p, q, 2, K, any_=True), Q.exact(p, q, 2, K))
 
 
-@query("SELECT i AS qid, (i * 7919) % 801 AS l0, (i * 7919) % 801 + 199 AS r0, (i * 7919 + 104729) % 801 AS l1, (i * 7919 + 104729) % 801 + 199 AS r1 FROM range(100) t(i)")
+def _customers(spark, sf) -> DataFrame:
+    """Every customer asks one query."""
+    return spark.read.parquet(f"{sf}/customer.parquet").select(F.col("c_custkey").alias("qid"))
+
+
+@query("SELECT i AS qid, (i * 7919) % 801 AS l0, (i * 7919) % 801 + 199 AS r0, (i * 7919 + 104729) % 801 AS l1, (i * 7919 + 104729) % 801 + 199 AS r1 FROM (SELECT CAST(c_custkey AS BIGINT) AS i FROM customer)")
 def gen_ranges_selectivity(spark, sf):
-    return W.ranges_of_selectivity(spark, 100, 2, 1000, 0.2)
+    return W.ranges_of_selectivity(_customers(spark, sf), 2, 1000, 0.2)
 
 
-@query("SELECT i AS qid, " + ", ".join(f"least((i * 7919 + {j * 31}) % 1000, (i * 104729 + {j * 17}) % 1000) AS l{j}, greatest((i * 7919 + {j * 31}) % 1000, (i * 104729 + {j * 17}) % 1000) AS r{j}" for j in range(3)) + " FROM range(100) t(i)")
+@query("SELECT i AS qid, " + ", ".join(f"least((i * 7919 + {j * 31}) % 1000, (i * 104729 + {j * 17}) % 1000) AS l{j}, greatest((i * 7919 + {j * 31}) % 1000, (i * 104729 + {j * 17}) % 1000) AS r{j}" for j in range(3)) + " FROM (SELECT CAST(c_custkey AS BIGINT) AS i FROM customer)")
 def gen_ranges_multi(spark, sf):
-    return W.ranges_of_any_width(spark, 100, 3, 1000)
+    return W.ranges_of_any_width(_customers(spark, sf), 3, 1000)
 
 
 @query(f"WITH {PTS} SELECT id, id % 16 AS cell_id, (id % 16) * 62 + (id * 7919) % 62 AS a0 FROM pts")
@@ -988,12 +993,13 @@ def gen_attrs_stratified(spark, sf):
     return W.stratified_attribute(points(spark, sf), 16, 1000)
 
 
-SIZES = [5, 0, 40, 17, 1, 30]
-
-
-@query("WITH c AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, {sum(SIZES[:i])}, {n})" for i, n in enumerate(SIZES)) + ") t(c, first, n)) SELECT id, CAST(c AS BIGINT) AS cell_id, CAST(c * 166 + (id * 7919) % 166 AS BIGINT) AS a0 FROM range(93) t(id) JOIN c ON id >= first AND id < first + n")
+@query(f"""WITH {PTS}, c AS (SELECT row_number() OVER (ORDER BY a0) - 1 AS c, CAST(sum(count(*)) OVER (ORDER BY a0) AS BIGINT) - count(*) AS first, count(*) AS n, 1000 // count(*) OVER () AS w FROM pts GROUP BY a0),
+p AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS p FROM pts) SELECT id, c AS cell_id, c * w + (id * 7919) % w AS a0 FROM p JOIN c ON p >= first AND p < first + n""")
 def gen_attrs_of_cells(spark, sf):
-    return W.attribute_of_cells(spark, SIZES, 1000)
+    """An attribute whose cells have as many points as the labels have."""
+    p = points(spark, sf)
+    sizes = [r["n"] for r in R.value_counts(p).orderBy("value").collect()]  # one a label
+    return W.attribute_of_cells(p, sizes, 1000)
 
 
 @query(f"""WITH {PTS}, d AS (SELECT id, id * 7919 % 1000 AS x, id * 104729 % 1000 AS y FROM pts),

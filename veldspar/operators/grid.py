@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -228,8 +228,10 @@ def part_ranges(parted: DataFrame, attribute: str = "a0", bucket: str = "bucket"
     return parted.groupBy(F.col(bucket).alias("bucket")).agg(F.count(F.lit(1)).alias("n"), F.min(attribute).alias("lo"), F.max(attribute).alias("hi"))
 
 
-def cell_count(spark: SparkSession, shape: list[int]) -> DataFrame:
-    return spark.createDataFrame([(s,) for s in shape], "s long").agg(F.product("s").cast("long").alias("cells"))
+def cell_count(edges: DataFrame) -> DataFrame:
+    """One row: cells of the grid of the buckets (dim, bucket)."""
+    per = edges.groupBy("dim").agg(F.countDistinct("bucket").alias("s"))
+    return per.agg(F.product("s").cast("long").alias("cells"))
 
 
 def local_ids(gridded: DataFrame) -> DataFrame:

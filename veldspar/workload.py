@@ -2,23 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def ranges_of_selectivity(spark: SparkSession, n: int, attributes: int, domain: int, share: float) -> DataFrame:
-    """(qid, l0, r0, ...): n boxes whose intervals each cover `share` of [0, domain)."""
+def ranges_of_selectivity(rows: DataFrame, attributes: int, domain: int, share: float) -> DataFrame:
+    """(qid, l0, r0, ...): for every row (qid) a box whose intervals each cover `share` of [0, domain)."""
     width = max(1, int(domain * share))
-    out = spark.range(n).withColumnRenamed("id", "qid")
+    out = rows.select(F.col("qid").cast("long").alias("qid"))
     for j in range(attributes):
         start = (F.col("qid") * 7919 + j * 104729) % F.lit(domain - width + 1)
         out = out.withColumn(f"l{j}", start.cast("long")).withColumn(f"r{j}", (F.col(f"l{j}") + width - 1).cast("long"))
     return out
 
 
-def ranges_of_any_width(spark: SparkSession, n: int, attributes: int, domain: int) -> DataFrame:
-    """(qid, l0, r0, ...): boxes with intervals of scattered place and width."""
-    out = spark.range(n).withColumnRenamed("id", "qid")
+def ranges_of_any_width(rows: DataFrame, attributes: int, domain: int) -> DataFrame:
+    """(qid, l0, r0, ...): for every row (qid) a box with intervals of scattered place and width."""
+    out = rows.select(F.col("qid").cast("long").alias("qid"))
     for j in range(attributes):
         a = (F.col("qid") * 7919 + j * 31) % F.lit(domain)
         b = (F.col("qid") * 104729 + j * 17) % F.lit(domain)
@@ -33,14 +33,17 @@ def stratified_attribute(points: DataFrame, cells: int, domain: int) -> DataFram
     return points.select("id", cell.cast("long").alias("cell_id"), (cell * width + (F.col("id") * 7919) % F.lit(width)).cast("long").alias("a0"))
 
 
-def attribute_of_cells(spark: SparkSession, sizes: list[int], domain: int) -> DataFrame:
-    """(id, cell_id, a0): ids run from cell to cell, of which cell c has sizes[c]; each cell's values are scattered over its own equal part of [0, domain)."""
+def attribute_of_cells(points: DataFrame, sizes: list[int], domain: int) -> DataFrame:
+    """points (id) with cell_id and a0: in order of id, cell c takes sizes[c] points, and the last cell what is left; each cell's values are scattered over its own equal part of [0, domain)."""
+    from .operators.ranking import with_rank
+
     width, starts = domain // len(sizes), [0]
     for n in sizes:
         starts.append(starts[-1] + n)
     begin = F.array(*[F.lit(s).cast("long") for s in starts[:-1]])
-    out = spark.range(starts[-1]).withColumn("cell_id", (F.size(F.filter(begin, lambda b: b <= F.col("id"))) - 1).cast("long"))
+    placed = with_rank(points.select("id"), ["id"], "p")
     # Of empty cells that begin at the same place the last one is counted, which is the one with points.
+    out = placed.withColumn("cell_id", (F.size(F.filter(begin, lambda b: b <= F.col("p"))) - 1).cast("long")).drop("p")
     return out.withColumn("a0", F.col("cell_id") * width + F.pmod(F.col("id") * 7919, F.lit(width)))
 
 
