@@ -61,12 +61,19 @@ class CellIndex:
 
     path: str
     attributes: int
+    #: The tables as they were opened, so that their files are listed once and not in every round.
+    opened: dict[str, DataFrame] = field(default_factory=dict, repr=False, compare=False)
+
+    def _table(self, spark: SparkSession, name: str, schema: str) -> DataFrame:
+        if name not in self.opened:
+            self.opened[name] = spark.read.schema(schema).parquet(f"{self.path}/{name}")
+        return self.opened[name]
 
     def cells(self, spark: SparkSession) -> DataFrame:
-        return spark.read.parquet(f"{self.path}/cells").withColumn("cell_id", F.col("cell_id").cast("long"))
+        return self._table(spark, "cells", CELL)
 
     def cross(self, spark: SparkSession) -> DataFrame:
-        return spark.read.parquet(f"{self.path}/cross").withColumn("cell_id", F.col("cell_id").cast("long")).withColumn("dst_cell", F.col("dst_cell").cast("long"))
+        return self._table(spark, "cross", "cell_id long, dst_cell long, src binary, dst binary")
 
 
 def write_index(gridded: DataFrame, edges: DataFrame, cross: DataFrame | None, attributes: int, *, r: int = 2, path: str | None = None, width: int = 64) -> CellIndex:
