@@ -1,5 +1,7 @@
 """Beams of bounded width that go from cell to cell, against a plain walk over lists and dictionaries."""
 
+from collections import Counter
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -7,6 +9,7 @@ from pyspark.sql import functions as F
 from veldspar import catalog
 from veldspar.operators import cells as W
 from veldspar.operators import graph as G
+from veldspar.operators.parts import dealt
 from veldspar.plans import selection as S
 
 SF = "/root/testdata/sf0.01"
@@ -257,3 +260,33 @@ def test_descended_and_pruned_cells(spark):
     assert len({(r["src"], r["dst"]) for r in found} & exact) >= 0.97 * len(exact) and len(found) == len(exact)
     cut = G.descend(p, 8, prune=True).collect()
     assert {r["src"] for r in cut} == {r[0] for r in rows[:600]} and max(r["rank"] for r in cut) == 8
+
+
+def test_cells_larger_than_a_task_are_dealt_into_parts(spark):
+    rng = np.random.default_rng(9)
+    centres = rng.normal(size=(12, 8)) * 2
+    rows = [(i, [float(v) for v in centres[i % 12] + rng.normal(size=8)], 7) for i in range(1500)]
+    rows += [(5000 + i, [1.0] * 8, 8) for i in range(300)] + [(9000 + i, [float(i)] * 8, 9) for i in range(40)]
+    p = spark.createDataFrame(rows, "id long, vec array<double>, cell_id long")
+    parts = dealt(p, 200, overlap=0.12).collect()
+    sizes = Counter((r["cell_id"], r["part"]) for r in parts)
+    assert max(sizes.values()) <= 200 and sizes[9, ""] == 40
+    assert {(r["cell_id"], r["id"]) for r in parts} == {(r[2], r[0]) for r in rows}
+    assert len(parts) < 4 * len(rows)
+    copies = [r for r in parts if r["cell_id"] == 8]
+    assert len(copies) == 300  # equal points are dealt by hash, once each
+    exact = {(r["src"], r["dst"]) for r in G.cell_graph(p.filter("cell_id <> 8"), 8).collect()}
+    found = G.descend(p, 8, task_points=200, overlap=0.12).collect()
+    ranks = Counter(r["src"] for r in found)
+    assert set(ranks) == {r[0] for r in rows} and set(ranks.values()) == {8}
+    assert len({(r["src"], r["dst"], r["rank"]) for r in found}) == len({(r["src"], r["dst"]) for r in found}) == len(found)
+    assert len({(r["src"], r["dst"]) for r in found if r["cell_id"] != 8} & exact) >= 0.9 * len(exact)
+    near = {r[0]: np.array(r[1]) for r in rows}
+    by_src = {}
+    for r in sorted(found, key=lambda r: r["rank"]):
+        by_src.setdefault(r["src"], []).append(((near[r["src"]] - near[r["dst"]]) ** 2).sum())
+    assert all(np.all(np.diff(d) >= -1e-9) for d in by_src.values())
+    cut = G.descend(p, 8, prune=True, task_points=200, overlap=0.12).collect()
+    assert {r["src"] for r in cut} == {r[0] for r in rows} and max(r["rank"] for r in cut) == 8
+    with pytest.raises(ValueError):
+        dealt(p, 1)

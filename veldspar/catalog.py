@@ -649,6 +649,12 @@ def cross_edges_by_search(spark, sf):
     return beams.cross_edges_by_search(beams.CellIndex(path, 2), g, 2, width=28)
 
 
+@query()
+def graph_of_split_cell(spark, sf):
+    """All points as one cell, descended in overlapping parts of at most 128 points and merged."""
+    return G.descend(points(spark, sf).withColumn("cell_id", F.lit(0).cast("long")), DEGREE, intermediate=24, task_points=128, overlap=0.15)
+
+
 @query()
 def search_graph_of_cells(spark, sf):
     """Descended lists, cut to edges that detours replace least and edges given back."""

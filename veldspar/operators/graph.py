@@ -1,6 +1,6 @@
 """Neighbour graphs inside cells, edges across cells, and their assembly.
 
-Cells are of bounded size by the grid's design, so a cell is one task's work; pairs are compared as blocks of a
+A cell is one task's work, but for NN-Descent, which deals larger cells into parts; pairs are compared as blocks of a
 matrix product and never become rows.
 """
 
@@ -12,7 +12,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
+from ..functions.sizes import broadcast_within
 from ..shipping import ship
+from ..storage import materialise
+from .parts import PART, dealt, merged
 
 EDGES = "cell_id long, src long, rank long, dst long"
 CROSS = "src long, dst_cell long, rank long, dst long"
@@ -65,6 +68,10 @@ SAMPLE = 16
 SETTLED = 0.0005
 #: Points taken at one time in a round.
 AT_ONCE = 2048
+#: Pairs whose distances are computed at one time.
+PAIRS = 1 << 18
+#: Points of a cell that one task descends.
+TASK_POINTS = 1 << 16
 
 
 def _sampled(owner: np.ndarray, other: np.ndarray, n: int, most: int, rng: np.random.Generator) -> np.ndarray:
@@ -131,7 +138,7 @@ def neighbours_by_descent(x: np.ndarray, k: int, *, rounds: int = 30, seed: int
         pair = pair[~np.isin(pair, (np.arange(n)[:, None] * n + near).ravel())]
         if len(pair):
             owner_, other_ = pair // n, pair % n
-            d = np.concatenate([((x[owner_[i : i + (1 << 18)]] - x[other_[i : i + (1 << 18)]]) ** 2).sum(1) for i in range(0, len(pair), 1 << 18)])
+            d = np.concatenate([((x[owner_[i : i + PAIRS]] - x[other_[i : i + PAIRS]]) ** 2).sum(1) for i in range(0, len(pair), PAIRS)])
             was = np.sort((np.arange(n)[:, None] * n + near).ravel())
             all_owner = np.concatenate([np.repeat(np.arange(n), k), owner_])
             now, now_d = _first_of(all_owner, np.concatenate([dist.ravel(), d]), np.concatenate([near.ravel(), other_]), n, k)
@@ -198,10 +205,13 @@ def pruned(near: np.ndarray, degree: int) -> np.ndarray:
     return out
 
 
-def descend(points: DataFrame, degree: int, *, intermediate: int | None = None, prune: bool = False, rounds: int = 30, seed: int = 1) -> DataFrame:
+def descend(
+    points: DataFrame, degree: int, *, intermediate: int | None = None, prune: bool = False, rounds: int = 30, seed: int = 1, task_points: int = TASK_POINTS, overlap: float = 0.1
+) -> DataFrame:
     """(cell_id, src, rank, dst): near points of each point's own cell by NN-Descent, for cells too large for all pairs; with prune those of a search graph.
 
     Lists of `intermediate` neighbours (three times the degree, 96 at most, unless given) descend, and the degree is cut from them.  Cells of up to twice as many points are compared whole.
+    A cell of more than `task_points` points is dealt into overlapping parts of at most so many, a task each, whose lists are merged; with prune each part is cut by its own detours.
     """
     ship(points.sparkSession)
     wide = intermediate or max(degree, min(3 * degree, 96))
@@ -212,7 +222,7 @@ def descend(points: DataFrame, degree: int, *, intermediate: int | None = None,
         n = len(ids)
         k = min(wide, n - 1)
         if k <= 0:
-            return pd.DataFrame({"cell_id": [], "src": [], "rank": [], "dst": []})
+            return pd.DataFrame({"cell_id": [], "src": [], "rank": [], "dst": [], "dist": []})
         if n <= 2 * wide:
             row, rank, found = nearest_rows(x, ids, x, k, ids)
             near = np.empty((n, k), np.int64)
@@ -221,9 +231,19 @@ def descend(points: DataFrame, degree: int, *, intermediate: int | None = None,
             near, _ = neighbours_by_descent(x, k, rounds=rounds, seed=seed)
         near = pruned(near, degree) if prune else near[:, : min(degree, k)]
         row, rank = np.nonzero(near >= 0)
-        return pd.DataFrame({"cell_id": pdf["cell_id"].iloc[0], "src": ids[row], "rank": rank + 1, "dst": ids[near[row, rank]]})
+        to = near[row, rank]
+        dist = np.concatenate([np.zeros(0), *[((x[row[i : i + PAIRS]] - x[to[i : i + PAIRS]]) ** 2).sum(1) for i in range(0, len(row), PAIRS)]])
+        return pd.DataFrame({"cell_id": pdf["cell_id"].iloc[0], "src": ids[row], "rank": rank + 1, "dst": ids[to], "dist": dist})
 
-    return points.filter(F.col("cell_id").isNotNull()).select("cell_id", "id", "vec").groupBy("cell_id").applyInPandas(build, EDGES)
+    known = points.filter(F.col("cell_id").isNotNull()).select("cell_id", "id", "vec")
+    lists = f"{EDGES}, dist double"
+    large = materialise(known.groupBy("cell_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > task_points).select("cell_id"), "large-cells")
+    if large.isEmpty():
+        return known.groupBy("cell_id").applyInPandas(build, lists).drop("dist")
+    large = broadcast_within(large)
+    whole = known.join(large, "cell_id", "left_anti").groupBy("cell_id").applyInPandas(build, lists).drop("dist")
+    in_parts = dealt(known.join(large, "cell_id", "left_semi"), task_points, overlap=overlap).groupBy(*PART).applyInPandas(build, lists)
+    return whole.unionByName(merged(in_parts, degree, by_rank=prune))
 
 
 def cross_edges(points: DataFrame, k: int, *, block: int = 8192) -> DataFrame:
