@@ -2,6 +2,7 @@
 
 import math
 import random
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -294,7 +295,7 @@ def test_command_line(spark, tmp_path):
 
     p = small(spark, 80)
     q = p.filter("id % 20 = 0").select((F.col("id") / 20).cast("long").alias("qid"), F.col("vec").alias("qvec"), *[F.lit(x).cast("long").alias(n) for n, x in (("l0", 1), ("r0", 4), ("l1", 10), ("r1", 90))])
-    name = {n: str(tmp_path / n) for n in ("base.fvecs", "q.fvecs", "attrs", "ranges", "answers", "open", "metrics")}
+    name = {n: str(tmp_path / n) for n in ("base.fvecs", "q.fvecs", "attrs", "ranges", "answers", "open", "metrics", "descent")}
     B.write_fvecs(p, name["base.fvecs"])
     B.write_fvecs(q.select(F.col("qid").alias("id"), F.col("qvec").alias("vec")), name["q.fvecs"])
     B.write_attributes(p, name["attrs"], 2)
@@ -310,6 +311,11 @@ def test_command_line(spark, tmp_path):
     assert [r["ef"] for r in rows] == [4, 80] and rows[0]["recall"] <= rows[1]["recall"] >= 0.9 and all(r["qps"] > 0 for r in rows)
     assert all(abs(r["select_s"] + r["order_s"] + r["search_s"] - r["total_s"]) < 1e-6 and r["kernel_s"] > 0 for r in rows)
     assert rows[0]["hops"] < rows[1]["hops"] and rows[0]["scored"] <= rows[1]["scored"] and rows[0]["cells"] == rows[1]["cells"]
+    shared = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://")) / "veldspar"
+    before = set(shared.iterdir())
+    main(["sweep", *files, *boxes, "--shape", "2,2", "--widths", "80", "--clusters", "3", "--degree", "4", "--descent", "--out", name["descent"]])
+    assert spark.read.csv(name["descent"], header=True, inferSchema=True).first()["recall"] >= 0.9
+    assert set(shared.iterdir()) == before  # what the command wrote on its way is gone
     for wrong in (["search", *files, "--attrs", "x", "--out", "y"], ["sweep", *files, "--out", "y"]):
         with pytest.raises(SystemExit):
             main(wrong)

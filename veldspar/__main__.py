@@ -23,7 +23,7 @@ from .operators import grid as R
 from .operators import search as Q
 from .plans import selection as S
 from .sources import binary as B
-from .storage import materialise
+from .storage import materialise, owned
 
 
 def numbers(text: str) -> list[int]:
@@ -47,6 +47,7 @@ def options(argv: Sequence[str] | None = None) -> argparse.Namespace:
             one.add_argument("--widths", type=numbers, default=[10, 20, 50, 100, 200, 500, 1000])
             one.add_argument("--degree", type=int, default=16, help="edges of a point within its cell")
             one.add_argument("--cross", type=int, default=2, help="edges of a point into every other cell")
+            one.add_argument("--descent", action="store_true", help="build the cells' graphs by NN-Descent and the edges across cells by beams, instead of comparing all pairs")
             one.add_argument("--clusters", type=int, default=16, help="clusters that order the cells")
     chosen = parser.parse_args(argv)
     if (chosen.attrs is None) != (chosen.ranges is None):
@@ -76,7 +77,10 @@ def sweep(spark: SparkSession, chosen: argparse.Namespace) -> DataFrame:
         raise ValueError(f"--shape names {len(chosen.shape)} attributes, the file has {n}")
     queries = materialise(queries, "queries")
     cells = materialise(R.equi_depth(materialise(base, "base"), chosen.shape), "grid")
-    edges, cross = materialise(G.cell_graph(cells, chosen.degree), "edges"), materialise(G.cross_edges(cells, chosen.cross), "cross")
+    if chosen.descent:
+        edges, cross = materialise(G.descend(cells, chosen.degree, prune=True), "edges"), None
+    else:
+        edges, cross = materialise(G.cell_graph(cells, chosen.degree), "edges"), materialise(G.cross_edges(cells, chosen.cross), "cross")
     labels, centres, _ = C.kmeans(cells, chosen.clusters)
     nearest, held = materialise(C.nearest(queries, centres), "nearest"), materialise(C.cluster_cells(cells, labels), "cluster-cells")
     boxes = materialise(R.cell_boxes(cells, n), "cells")
@@ -95,11 +99,13 @@ def sweep(spark: SparkSession, chosen: argparse.Namespace) -> DataFrame:
 def main(argv: Sequence[str] | None = None) -> None:
     chosen = options(argv)
     spark = SparkSession.builder.appName("veldspar").getOrCreate()
-    if chosen.command == "sweep":
-        E.write_metrics(sweep(spark, chosen), chosen.out)
-    else:
-        points, queries, n = load(spark, chosen)
-        Q.exact_blocks(points, queries, n, chosen.k, any_=chosen.any).write.mode("errorifexists").parquet(chosen.out)
+    with owned(spark) as tables:
+        if chosen.command == "sweep":
+            E.write_metrics(sweep(spark, chosen), chosen.out)
+        else:
+            points, queries, n = load(spark, chosen)
+            Q.exact_blocks(points, queries, n, chosen.k, any_=chosen.any).write.mode("errorifexists").parquet(chosen.out)
+    tables.drop()
 
 
 if __name__ == "__main__":

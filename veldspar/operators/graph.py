@@ -206,7 +206,7 @@ def pruned(near: np.ndarray, degree: int) -> np.ndarray:
 
 
 def descend(
-    points: DataFrame, degree: int, *, intermediate: int | None = None, prune: bool = False, rounds: int = 30, seed: int = 1, task_points: int = TASK_POINTS, overlap: float = 0.1
+    points: DataFrame, degree: int, *, intermediate: int | None = None, prune: bool = False, rounds: int = 30, seed: int = 1, task_points: int = TASK_POINTS, overlap: float = 0.15
 ) -> DataFrame:
     """(cell_id, src, rank, dst): near points of each point's own cell by NN-Descent, for cells too large for all pairs; with prune those of a search graph.
 

@@ -30,7 +30,7 @@ def _direction(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"cell_id": [pdf["cell_id"].iloc[0]], "part": [pdf["part"].iloc[0]], "axis": [axis.tolist()]})
 
 
-def dealt(points: DataFrame, limit: int, *, overlap: float = 0.1) -> DataFrame:
+def dealt(points: DataFrame, limit: int, *, overlap: float = 0.15) -> DataFrame:
     """(cell_id, part, id, vec): points (cell_id, id, vec) in parts of at most `limit`, a point in one part at least; a cell that fits is one part, named ''.
 
     A cut is a pass over the points that are in parts too large, whose copies grow by at most a share 2 x overlap; parts halve, so n points take log2(n / limit) passes and a little more.
