@@ -148,6 +148,24 @@ def test_exact_dedup_compares_full_texts_when_digests_collide(docs, tmp_path):
     assert got == {i: x for i, x in right.items() if i % 2 == 0}
 
 
+def test_exact_dedup_reads_the_updates_of_a_new_arrival_only(spark, tmp_path):
+    path = f"file://{tmp_path}/state"
+    rows = [spark.createDataFrame([(10 * a + i, f"text {i % 3} {a * (i % 2)}") for i in range(6)], "doc_id long, text string") for a in range(4)]
+    for a, part in enumerate(rows):
+        seen = exact_dedup._Seen(part, None, path, f"part {a}", 1, 32)
+        read = {f.split("/batch=")[1].split("/")[0] for f in seen.state.inputFiles()}
+        every = {d.name.removeprefix("batch=") for d in (tmp_path / "state" / "updates").iterdir()}
+        assert read and (len(read) < len(every) or a == 0)
+        so_far = [r for p in rows[: a + 1] for r in p.collect()]
+        texts = Counter(r["text"] for r in so_far)
+        got = {r["doc_id"]: (r["keep_id"], r["group_size"]) for r in seen.verdicts().collect()}
+        assert got == {r["doc_id"]: (max(x["doc_id"] for x in so_far if x["text"] == r["text"]), texts[r["text"]]) for r in part.collect()}
+    again = exact_dedup._Seen(rows[1], None, path, "part 1", 1, 32)  # taken in before: no batch is new, and all are read
+    assert {r["doc_id"]: r["group_size"] for r in again.verdicts().collect()} == {r["doc_id"]: texts[r["text"]] for r in rows[1].collect()}
+    empty = exact_dedup._Seen(rows[0].limit(0), None, path, "none", 1, 32)
+    assert empty.verdicts().count() == 0
+
+
 def test_exact_dedup_state_takes_batches_and_arrivals(spark, docs, tmp_path):
     path = f"file://{tmp_path}/state"
     right = by_id(exact_dedup.exact_dedup(docs), "keep_id", "group_size", "kept")

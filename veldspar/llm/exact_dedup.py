@@ -50,7 +50,8 @@ class _Seen:
         else:
             rows = docs.select(F.lit(arrival).alias("file"), F.monotonically_increasing_id().alias("row"), *hashes, F.struct(*map(quoted, docs.columns)).alias("doc"))
         path = f"{self.home}/sightings/{arrival}"
-        if not exists(self.spark, f"{path}/_SUCCESS"):  # an arrival that is named again was taken in before
+        self.new = not exists(self.spark, f"{path}/_SUCCESS")
+        if self.new:  # an arrival that is named again was taken in before
             rows.write.mode("overwrite").option("compression", "zstd").parquet(path)
         self.all = self.spark.read.schema(rows.schema).option("recursiveFileLookup", "true").parquet(f"{self.home}/sightings")
         self.own = self.spark.read.schema(rows.schema).parquet(path)
@@ -61,7 +62,10 @@ class _Seen:
         self.state = self._state(files_per_trigger)
 
     def _state(self, files_per_trigger: int) -> DataFrame:
-        """digest, keep (doc_id, file, row), group_size: the stream's state once it has read all sightings."""
+        """digest, keep (doc_id, file, row), group_size: the stream's state once it has read all sightings, of the arrival's digests at least.
+
+        A batch writes the state of the digests it met.  Those of a new arrival were all met in this run, so only its batches are read, however long the history.
+        """
         session = self.spark.newSession()  # own settings for the state store, none left behind
         prefix = "spark.sql.streaming.stateStore."
         for key, value in {
@@ -78,15 +82,19 @@ class _Seen:
         reader = session.readStream.schema(narrow).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", files_per_trigger)
         sightings = reader.parquet(f"{self.home}/sightings").select("digest", "doc.doc_id", "file", "row")
         state = sightings.groupBy("digest").agg(F.max(F.struct("doc_id", "file", "row")).alias("keep"), F.count(F.lit(1)).alias("group_size"))
-        out = f"{self.home}/updates"
+        out, ran = f"{self.home}/updates", []
 
         def keep_updates(batch: DataFrame, number: int) -> None:
+            ran.append(number)
             batch.write.mode("overwrite").parquet(f"{out}/batch={number}")  # a repeated batch overwrites itself
 
         query = state.writeStream.outputMode("update").trigger(availableNow=True).option("checkpointLocation", f"{self.home}/stream").foreachBatch(keep_updates).start()
         query.awaitTermination()
+        if self.new and not ran:  # there were no rows
+            return self.spark.createDataFrame([], state.schema)
+        batches = [f"{out}/batch={n}" for n in sorted(set(ran))] if self.new else [f"{out}/batch=*"]
         try:
-            updates = self.spark.read.schema(state.schema).option("basePath", out).parquet(f"{out}/batch=*")
+            updates = self.spark.read.schema(state.schema).option("basePath", out).parquet(*batches)
         except AnalysisException:  # no batch ever ran: there were no rows
             return self.spark.createDataFrame([], state.schema)
         latest = F.max(F.struct("group_size", "keep")).alias("s")  # counts only grow, so the largest is the latest
