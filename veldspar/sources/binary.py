@@ -20,6 +20,7 @@ from pyspark.sql.types import ArrayType, DoubleType, FloatType, LongType, Struct
 
 from ..operators.ranking import with_rank
 from ..shipping import ship
+from ..storage import materialise
 
 SOURCE = "record_file"
 BATCH_BYTES = 4 << 20
@@ -358,7 +359,8 @@ def write_ranges(df: DataFrame, path: str, attributes: int, dtype: str = "<u4")
 
 def write_graph(edges: DataFrame, path: str, src: str = "src", dst: str = "dst") -> None:
     lists = edges.groupBy(src).agg(F.sort_array(F.collect_list(F.struct("rank", dst))).alias("n"))
-    write_matrix(lists.select(src, F.transform("n", lambda s: s[dst]).alias("nbrs")), path, "nbrs", "<u4", src)
+    # Written first, as rows are counted, looked at and ranked before they are encoded, and each would make the lists anew.
+    write_matrix(materialise(lists.select(src, F.transform("n", lambda s: s[dst]).alias("nbrs")), "lists"), path, "nbrs", "<u4", src)
 
 
 def write_truth(truth: DataFrame, path: str) -> None:
