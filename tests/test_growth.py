@@ -65,3 +65,30 @@ def test_endless_beams_reach_what_edges_lead_to(spark):
     assert ids(Q._merge(near.filter("inside"), 4)) == ids(Q._merge(far.filter("inside"), 4))
     counted = {r["qid"]: (r["hops"], r["scored"]) for r in Q.counters(near).collect()}
     assert all(hops == scored for hops, scored in counted.values())
+
+
+def test_queries_scored_three_at_a_time_come_to_the_driver_together(spark, monkeypatch):
+    asked_for = []
+    deal = Q._dealt_queries
+    monkeypatch.setattr(Q, "_dealt_queries", lambda *of: (asked_for.append(1) or part for part in deal(*of)))
+    p, q = small(spark), many(spark)
+    for any_ in (False, True):
+        want = ids(Q.exact_blocks(p, q, 2, 5, any_=any_))
+        assert ids(Q.exact_blocks(p, q, 2, 5, any_=any_, block=3)) == want and len(asked_for) == 2
+        monkeypatch.setattr(Q, "QUERY_BLOCK", 20)
+        assert ids(Q.exact_blocks(p, q, 2, 5, any_=any_)) == want and len(asked_for) == 6
+        monkeypatch.setattr(Q, "QUERY_BLOCK", 4096)
+        asked_for.clear()
+
+
+def test_checked_descent_is_exact(spark):
+    rng = np.random.default_rng(6)
+    p = spark.createDataFrame([(i, [float(v) for v in rng.normal(size=32)], i % 2) for i in range(1600)], "id long, vec array<double>, cell_id long")
+    exact = sorted(map(tuple, G.cell_graph(p, 8).collect()))
+    assert sorted(map(tuple, G.descend(p, 8, intermediate=12).collect())) != exact
+    assert sorted(map(tuple, G.descend(p, 8, intermediate=12, check=True).collect())) == exact
+
+
+def test_beams_find_points_that_are_no_neighbours():
+    adjacency = [np.array([1]), np.array([0]), np.array([1]), np.array([2])]
+    assert [a.tolist() for a in Q._both_ways(adjacency)] == [[1], [0, 2], [1, 3], [2]]
