@@ -4,6 +4,8 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from tests.test_engine import asked, ids, points, small
+from veldspar import catalog
+from veldspar.functions import vectors as V
 from veldspar.operators import graph as G
 from veldspar.operators import grid as R
 from veldspar.operators import search as Q
@@ -92,3 +94,30 @@ def test_checked_descent_is_exact(spark):
 def test_beams_find_points_that_are_no_neighbours():
     adjacency = [np.array([1]), np.array([0]), np.array([1]), np.array([2])]
     assert [a.tolist() for a in Q._both_ways(adjacency)] == [[1], [0, 2], [1, 3], [2]]
+
+
+def test_all_pairs_are_no_join_and_equal_the_expressions_bit_for_bit(spark):
+    rng = np.random.default_rng(4)
+    vecs = [[float(v) for v in rng.normal(size=7)] for _ in range(40)] + [None, [1.0, None], [1.0, 2.0], [], [float("nan")] * 7]
+    p = spark.createDataFrame(list(enumerate(vecs)), "id long, vec array<float>").repartition(3)
+    q = spark.createDataFrame([(i, v) for i, v in enumerate(vecs[30:])], "qid long, qvec array<float>")
+    for by_norms, expression in ((False, V.l2_squared), (True, V.l2_squared_by_norms)):
+        want = p.crossJoin(q).select("qid", "id", F.when(V.l2_squared("vec", "qvec").isNotNull(), expression("vec", "qvec")).alias("dist"))  # greatest() skips nulls
+        got = Q.every_distance(p, q, by_norms=by_norms)
+        assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "NestedLoopJoin" not in plan and "Cartesian" not in plan
+
+
+def test_all_pairs_in_blocks_of_queries(spark, monkeypatch):
+    p, q = small(spark), many(spark)
+    want = sorted(map(tuple, Q.every_distance(p, q).collect()))
+    assert len(want) == 60 * 80
+    monkeypatch.setattr(Q, "QUERY_BLOCK", 20)
+    monkeypatch.setattr(Q, "PAIRED", 50)
+    assert sorted(map(tuple, Q.every_distance(p, q).collect())) == want
+
+
+def test_distance_queries_compare_by_blocks(spark):
+    for name in ("l2_norm_identity", "euclidean_distance"):
+        assert "NestedLoopJoin" not in catalog.queries()[name](spark, "/root/testdata/sf0.01")._jdf.queryExecution().executedPlan().toString()
