@@ -1,5 +1,7 @@
 """Work and memory that grow with the input and no faster."""
 
+import tracemalloc
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -121,3 +123,13 @@ def test_all_pairs_in_blocks_of_queries(spark, monkeypatch):
 def test_distance_queries_compare_by_blocks(spark):
     for name in ("l2_norm_identity", "euclidean_distance"):
         assert "NestedLoopJoin" not in catalog.queries()[name](spark, "/root/testdata/sf0.01")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_descent_holds_few_distances_at_a_time():
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(6000, 64))
+    tracemalloc.start()
+    G.neighbours_by_descent(x, 12, rounds=2)
+    held = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert held < 200 << 20
