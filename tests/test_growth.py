@@ -11,6 +11,7 @@ from veldspar.functions import vectors as V
 from veldspar.operators import graph as G
 from veldspar.operators import grid as R
 from veldspar.operators import search as Q
+from veldspar.operators.parts import merge_into, merged
 from veldspar.sources import binary as B
 
 
@@ -133,3 +134,38 @@ def test_descent_holds_few_distances_at_a_time():
     held = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert held < 200 << 20
+
+
+def test_small_parts_of_a_cell_are_cut_and_merged_in_a_task(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    centres = rng.normal(size=(12, 8)) * 2
+    rows = [(i, [float(v) for v in centres[i % 12] + rng.normal(size=8)], 7) for i in range(1500)] + [(5000 + i, [1.0] * 8, 8) for i in range(300)]
+    p = spark.createDataFrame(rows, "id long, vec array<double>, cell_id long")
+    sizes = []
+    deal = G.dealt
+    monkeypatch.setattr(G, "dealt", lambda points, limit, **how: (sizes.append(limit), out := deal(points, limit, **how))[1])
+    exact = {(r["src"], r["dst"]) for r in G.cell_graph(p.filter("cell_id = 7"), 8).collect()}
+    for cut_points in (1 << 14, 700):  # no cut between tasks, and some
+        monkeypatch.setattr(G, "CUT_POINTS", cut_points)
+        found = G.descend(p, 8, task_points=100, overlap=0.15).collect()
+        ranks = sorted((r["src"], r["rank"]) for r in found)
+        assert ranks == sorted((r[0], k) for r in rows for k in range(1, 9))
+        assert len({(r["src"], r["dst"]) for r in found} & exact) >= 0.9 * len(exact)
+    assert sizes == [1 << 14, 700]
+
+
+def test_lists_merged_in_a_task_are_those_merged_between_tasks(spark):
+    rng = np.random.default_rng(8)
+    for by_rank in (False, True):
+        near, dist, rank = np.full((12, 3), -1), np.full((12, 3), np.inf), np.full((12, 3), 15)
+        far, rows = rng.permutation(144).reshape(12, 12) + 0.0, []
+        for _ in range(5):
+            at = np.sort(rng.choice(12, 6, replace=False))
+            more = np.array([rng.choice(12, 4, replace=False) for _ in at])
+            more[:, 3] = -1
+            if not by_rank:
+                more[:, :3] = np.take_along_axis(more[:, :3], np.argsort(far[at[:, None], more[:, :3]], axis=1), 1)
+            merge_into(near, dist, rank, at, more, far[at[:, None], more], by_rank=by_rank)
+            rows += [(0, int(s), j + 1, int(more[i, j]), float(far[s, more[i, j]])) for i, s in enumerate(at) for j in range(3)]
+        want = merged(spark.createDataFrame(rows, "cell_id long, src long, rank long, dst long, dist double"), 3, by_rank=by_rank)
+        assert sorted((r["src"], r["rank"], r["dst"]) for r in want.collect()) == sorted((s, j + 1, int(near[s, j])) for s in range(12) for j in range(3) if near[s, j] >= 0)

@@ -8,6 +8,8 @@ Points that lie on a cut with most of their cell, such as copies, are dealt by h
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -23,10 +25,15 @@ SAMPLE = 1024
 PART = ["cell_id", "part"]
 
 
+def _axis(x: np.ndarray) -> np.ndarray:
+    """The direction in which points vary most."""
+    x = x - x.mean(0)
+    axis = np.linalg.eigh(x.T @ x)[1][:, -1] if len(x) > x.shape[1] else np.linalg.svd(x, full_matrices=False)[2][0]
+    return axis if axis[np.abs(axis).argmax()] > 0 else -axis
+
+
 def _direction(pdf: pd.DataFrame) -> pd.DataFrame:
-    x = np.stack(pdf["vec"].to_numpy()).astype(np.float64)
-    axis = np.linalg.svd(x - x.mean(0), full_matrices=False)[2][0]
-    axis = axis if axis[np.abs(axis).argmax()] > 0 else -axis
+    axis = _axis(np.stack(pdf["vec"].to_numpy()).astype(np.float64))
     return pd.DataFrame({"cell_id": [pdf["cell_id"].iloc[0]], "part": [pdf["part"].iloc[0]], "axis": [axis.tolist()]})
 
 
@@ -63,6 +70,40 @@ def dealt(points: DataFrame, limit: int, *, overlap: float = 0.15) -> DataFrame:
         now = materialise(halves.select("cell_id", F.concat("part", "side").alias("part"), "id", "vec"), "parts")
 
 
+def cut_within(x: np.ndarray, limit: int, *, overlap: float = 0.15, seed: int = 1) -> Iterator[np.ndarray]:
+    """Places of the points, in parts of at most `limit`, that the same cuts make of a part at hand; points on a cut with most of their part are dealt by turns."""
+    rng, todo = np.random.default_rng(seed), [np.arange(len(x))]
+    while todo:
+        at = todo.pop()
+        if len(at) <= limit:
+            yield at
+            continue
+        own = x[at]
+        drawn = rng.choice(len(at), SAMPLE, replace=False) if len(at) > SAMPLE else slice(None)
+        along = (own * _axis(own[drawn])).sum(1)  # equal points have equal sums
+        low, high = np.quantile(along[drawn], [0.5 - overlap, 0.5 + overlap])
+        left, right = along < high, along > low
+        on_cut = np.flatnonzero(~(left | right))
+        left[on_cut[::2]] = right[on_cut[1::2]] = True
+        todo += [at[left], at[right]]
+
+
+def merge_into(near: np.ndarray, dist: np.ndarray, rank: np.ndarray, at: np.ndarray, more: np.ndarray, more_dist: np.ndarray, *, by_rank: bool = False) -> None:
+    """Merge the lists `more` (places, -1 for none) of the points at `at`, nearest first, into the lists near, dist, rank, which keep their length and each neighbour once, as `merged` does."""
+    n, k = near.shape
+    ids = np.concatenate([near[at], more], axis=1)
+    d = np.concatenate([dist[at], np.where(more >= 0, more_dist, np.inf)], axis=1)
+    r = np.concatenate([rank[at], np.where(more >= 0, np.arange(1, more.shape[1] + 1), len(near) + k)], axis=1)
+    order = np.lexsort((ids, d, r) if by_rank else (ids, d), axis=1)
+    ids, d, r = (np.take_along_axis(v, order, 1) for v in (ids, d, r))
+    again = ((ids[:, :, None] == ids[:, None, :]) & np.tri(ids.shape[1], k=-1, dtype=bool)).any(2) | (ids < 0)
+    first = np.argsort(again, axis=1, kind="stable")[:, :k]
+    gone = np.take_along_axis(again, first, 1)
+    near[at] = np.where(gone, -1, np.take_along_axis(ids, first, 1))
+    dist[at] = np.where(gone, np.inf, np.take_along_axis(d, first, 1))
+    rank[at] = np.where(gone, len(near) + k, np.take_along_axis(r, first, 1))
+
+
 def merged(lists: DataFrame, degree: int, *, by_rank: bool = False) -> DataFrame:
     """(cell_id, src, rank, dst): of the lists (cell_id, src, rank, dst, dist) that the parts have of one point, the first `degree` neighbours, each once.
 
