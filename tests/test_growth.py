@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tests.test_engine import asked, ids, points, small
 from veldspar import catalog
 from veldspar.functions import vectors as V
+from veldspar.operators import cells as beams
 from veldspar.operators import graph as G
 from veldspar.operators import grid as R
 from veldspar.operators import search as Q
@@ -169,3 +170,9 @@ def test_lists_merged_in_a_task_are_those_merged_between_tasks(spark):
             rows += [(0, int(s), j + 1, int(more[i, j]), float(far[s, more[i, j]])) for i, s in enumerate(at) for j in range(3)]
         want = merged(spark.createDataFrame(rows, "cell_id long, src long, rank long, dst long, dist double"), 3, by_rank=by_rank)
         assert sorted((r["src"], r["rank"], r["dst"]) for r in want.collect()) == sorted((s, j + 1, int(near[s, j])) for s in range(12) for j in range(3) if near[s, j] >= 0)
+
+
+def test_states_in_the_same_two_cells_share_a_place():
+    nothing = np.zeros(0)
+    states = [beams.State(i, nothing, nothing, nothing, [], [], at=at) for i, at in enumerate(([3, 12], [12, 3], [12]))]
+    assert [beams._place(s) for s in states] == ["3,12", "3,12", "12"] and states[1].at == [12, 3]

@@ -248,7 +248,7 @@ def _task(width: int, recycle: int, any_: bool, step: Callable[[Walker, State],
             began = time.perf_counter()
             step(walker, s)
             s.seconds += time.perf_counter() - began
-            out.append((s.qid, ",".join(map(str, _next(s))), pickle.dumps(s)))
+            out.append((s.qid, _place(s), pickle.dumps(s)))
         return pd.DataFrame(out, columns=["qid", "at", "payload"])
 
     return run
@@ -259,6 +259,11 @@ def _next(s: State) -> list[int]:
     return s.at if s.at else s.order[:1]
 
 
+def _place(s: State) -> str:
+    """The same for all states at the same cells, whichever channel is in which, so that a round sends a pair of cells once."""
+    return ",".join(map(str, sorted(_next(s))))
+
+
 def _places(states: DataFrame) -> dict[str, int]:
     """How many states are at each cell, or pair of cells; as many as the grid has at most."""
     return {r["at"]: r["count"] for r in states.groupBy("at").count().collect()}
@@ -302,7 +307,7 @@ def _states(queries: DataFrame, ordered: DataFrame, attributes: int, channels: i
                 s = State(int(row["qid"]), np.asarray(row["qvec"], np.float64), low, high, order, within)
                 if channels == 2:
                     s.at, s.order = order[:2], order[2:]
-                out.append((s.qid, ",".join(map(str, _next(s))), pickle.dumps(s)))
+                out.append((s.qid, _place(s), pickle.dumps(s)))
             yield pd.DataFrame(out, columns=["qid", "at", "payload"])
 
     return materialise(rows.mapInPandas(begin, STATE), "beam-states")
