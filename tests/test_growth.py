@@ -176,3 +176,10 @@ def test_states_in_the_same_two_cells_share_a_place():
     nothing = np.zeros(0)
     states = [beams.State(i, nothing, nothing, nothing, [], [], at=at) for i, at in enumerate(([3, 12], [12, 3], [12]))]
     assert [beams._place(s) for s in states] == ["3,12", "3,12", "12"] and states[1].at == [12, 3]
+
+
+def test_frontiers_are_not_broadcast(spark):
+    frontier = spark.createDataFrame([(1, 5), (2, 5)], "qid long, id long")
+    ends = Q._ends(frontier, spark.createDataFrame([(5, 6), (6, 7)], "src long, dst long"))
+    assert "BroadcastExchange" not in ends._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, ends.collect())) == [(1, 6), (2, 6)]
