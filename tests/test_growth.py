@@ -137,6 +137,20 @@ def test_descent_holds_few_distances_at_a_time():
     assert held < 200 << 20
 
 
+def test_pairs_of_a_cell_are_held_few_at_a_time():
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(32_000, 4))
+    ids = np.arange(len(x)) * 3
+    tracemalloc.start()
+    row, rank, at = G.nearest_rows(x, ids, x[:1024], 4, ids[:1024])
+    assert tracemalloc.get_traced_memory()[1] < 80 << 20  # 1,024 queries' distances to 32,000 points are 250 MB
+    tracemalloc.stop()
+    assert row.tolist() == np.repeat(np.arange(1024), 4).tolist() and rank.tolist() == [1, 2, 3, 4] * 1024
+    for i in range(0, 1024, 100):
+        dist = V.exact_distances(x, x[i])
+        assert at[row == i].tolist() == [j for j in np.lexsort((ids, dist)).tolist() if j != i][:4]
+
+
 def test_small_parts_of_a_cell_are_cut_and_merged_in_a_task(spark, monkeypatch):
     rng = np.random.default_rng(9)
     centres = rng.normal(size=(12, 8)) * 2
